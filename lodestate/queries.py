@@ -1,15 +1,431 @@
-"""Registered queries of the state engine, with their DuckDB SQL."""
+"""Registered queries of the state engine over the driver's tables, with DuckDB SQL where SQL can express them."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions import bits, paths, rlp
+from .functions.keccak import keccak256
+from .operators import filters, overlay, stats, tries
+from .plans import adapters
+from .sources.shared import shared_dir
+from .sources.snapshots import SnapshotStore
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+#: The block (a day of events) at which as-of reads look.
+AS_OF = "2024-01-15"
+#: Events of this type destroy their account.
+DESTROYS = "error"
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _text(value: str = "value") -> F.Column:
+    return F.decode(F.col(value), "UTF-8")
+
+
+_OPS_SQL = """WITH ops AS (
+  SELECT strftime(ts, '%Y-%m-%d') AS block_hash, event_id AS seq, event_type = 'error' AS destroys, upper(sha256(CAST(user_id AS VARCHAR))) AS account,
+    upper(hex(encode(event_type))) AS slot, CAST(CAST(value AS DECIMAL(18, 2)) AS VARCHAR) AS value FROM events)
+"""
+
+
+# --- reads over blocks -------------------------------------------------------------------------------------------
+
+
+@_query(_OPS_SQL + f"SELECT account, arg_max(value, seq) AS value, max(seq) AS seq FROM ops WHERE block_hash <= '{AS_OF}' AND NOT destroys GROUP BY account")
+def account_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last value of each account as of a block: the filter reaches the scan, and one aggregation gives the winner."""
+    ops = adapters.event_ops(_table(spark, sf_dir, "events"), DESTROYS)
+    seen = ops.where((F.col("block_hash") <= AS_OF) & (F.col("op") == overlay.SET))
+    return seen.groupBy("account").agg(F.max_by(_text(), "seq").alias("value"), F.max("seq").alias("seq"))
+
+
+@_query(_OPS_SQL + "SELECT account, slot, arg_max(value, seq) AS value FROM ops WHERE NOT destroys GROUP BY account, slot")
+def storage_latest_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ops = adapters.event_ops(_table(spark, sf_dir, "events"), DESTROYS).where(F.col("op") == overlay.SET)
+    empty = ops.select(*overlay.KEY, "value").limit(0)
+    return overlay.fold(empty, ops).select("account", "slot", _text().alias("value"))
+
+
+@_query(_OPS_SQL + ", d AS (SELECT account, max(seq) AS last FROM ops WHERE destroys GROUP BY account) SELECT account, slot, arg_max(value, seq) AS value FROM ops LEFT JOIN d USING (account) WHERE NOT destroys AND (last IS NULL OR seq > last) GROUP BY account, slot")
+def destroy_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlay read at the newest block: nearest block first, and destroyed accounts hide what lies below."""
+    events = _table(spark, sf_dir, "events")
+    blocks = adapters.day_blocks(events)
+    head = blocks.agg(F.max("state_hash")).first()[0] or ""
+    ops = adapters.event_ops(events, DESTROYS)
+    if not head:
+        return ops.select("account", "slot", _text().alias("value")).limit(0)
+    return overlay.overlay(ops, overlay.ancestors(blocks, head)).select("account", "slot", _text().alias("value"))
+
+
+@_query(
+    _OPS_SQL
+    + f""", base AS (SELECT account, slot, arg_max(value, seq) AS value FROM ops WHERE NOT destroys AND block_hash <= '{AS_OF}' GROUP BY account, slot),
+  d AS (SELECT account, max(seq) AS last FROM ops WHERE destroys AND block_hash > '{AS_OF}' GROUP BY account),
+  s AS (SELECT account, slot, arg_max(value, seq) AS value FROM ops LEFT JOIN d USING (account) WHERE NOT destroys AND block_hash > '{AS_OF}' AND (last IS NULL OR seq > last) GROUP BY account, slot)
+SELECT account, slot, coalesce(s.value, b.value) AS value FROM (SELECT * FROM base WHERE account NOT IN (SELECT account FROM d)) b FULL JOIN s USING (account, slot)"""
+)
+def overlay_on_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks after a snapshot, read over it."""
+    events = _table(spark, sf_dir, "events")
+    ops = adapters.event_ops(events, DESTROYS)
+    old = ops.where((F.col("block_hash") <= AS_OF) & (F.col("op") == overlay.SET))
+    base = overlay.fold(old.select(*overlay.KEY, "value").limit(0), old)
+    new = ops.where(F.col("block_hash") > AS_OF)
+    blocks = adapters.day_blocks(events).where(F.col("state_hash") > AS_OF)
+    chain = blocks.select("state_hash", (F.lit(1 << 30) - F.col("number")).alias("depth"))
+    return overlay.overlay(new, chain, base).select("account", "slot", _text().alias("value"))
+
+
+@_query(_OPS_SQL + "SELECT account, slot, arg_max(CAST(value AS DOUBLE) < 10, seq) AS deleted FROM ops WHERE NOT destroys GROUP BY account, slot")
+def set_delete_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last op of each slot did; values under 10 stand for deletes."""
+    ops = adapters.event_ops(_table(spark, sf_dir, "events"), DESTROYS).where(F.col("op") == overlay.SET)
+    return overlay.net_changes(ops.withColumn("value", F.when(_text().cast("double") >= 10, F.col("value"))))
+
+
+@_query(
+    _OPS_SQL
+    + """, n AS (SELECT account, slot, arg_max(CAST(value AS DOUBLE) < 10, seq) AS deleted FROM ops WHERE NOT destroys GROUP BY account, slot)
+SELECT account, coalesce(string_agg(slot, ',' ORDER BY slot) FILTER (NOT deleted), '') AS set_slots, coalesce(string_agg(slot, ',' ORDER BY slot) FILTER (deleted), '') AS deleted_slots FROM n GROUP BY account"""
+)
+def touched_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ops = adapters.event_ops(_table(spark, sf_dir, "events"), DESTROYS).where(F.col("op") == overlay.SET)
+    found = overlay.touched(ops.withColumn("value", F.when(_text().cast("double") >= 10, F.col("value"))))
+    return found.select("account", F.array_join("set_slots", ",").alias("set_slots"), F.array_join("deleted_slots", ",").alias("deleted_slots"))
+
+
+@_query(
+    """WITH RECURSIVE b AS (SELECT d AS state_hash, lag(d) OVER (ORDER BY d) AS parent, row_number() OVER (ORDER BY d) AS number FROM (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS d FROM events)),
+chain AS (SELECT state_hash, parent, number, 0 AS depth FROM b WHERE state_hash = (SELECT max(state_hash) FROM b)
+  UNION ALL SELECT b.state_hash, b.parent, b.number, chain.depth + 1 FROM chain JOIN b ON b.state_hash = chain.parent)
+SELECT state_hash, number, CAST(depth AS INTEGER) AS depth FROM chain"""
+)
+def ancestor_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = adapters.day_blocks(_table(spark, sf_dir, "events"))
+    return overlay.ancestors(blocks, blocks.agg(F.max("state_hash")).first()[0])
+
+
+@_query("SELECT d AS state_hash, row_number() OVER (ORDER BY d DESC) AS age FROM (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS d FROM events) ORDER BY d DESC LIMIT 16")
+def retention_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The states that a history of 16 keeps (its length is what bounds the window)."""
+    blocks = adapters.day_blocks(_table(spark, sf_dir, "events"))
+    top = blocks.agg(F.max("number").alias("top"))
+    return blocks.crossJoin(F.broadcast(top)).where(F.col("number") > F.col("top") - 16).select("state_hash", (F.col("top") - F.col("number") + 1).alias("age"))
+
+
+# --- keyed entries -----------------------------------------------------------------------------------------------
+
+_KEYED = "(SELECT c_custkey AS id, upper(sha256(CAST(c_custkey AS VARCHAR))) AS path, c_name || '|' || c_mktsegment AS value FROM customer)"
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.keyed(_table(spark, sf_dir, "customer"), "c_custkey", "c_name", "c_mktsegment")
+
+
+@_query(f"SELECT id, path, value FROM {_KEYED} WHERE starts_with(path, 'A') OR starts_with(path, '1F')")
+def prefix_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _customers(spark, sf_dir)
+    return paths.under(rows, "A").unionByName(paths.under(rows, "1F")).select("id", "path", _text().alias("value"))
+
+
+@_query("""WITH p AS (SELECT DISTINCT substr(upper(sha256(CAST(n_nationkey AS VARCHAR))), 1, CASE WHEN n_nationkey % 2 = 0 THEN 2 ELSE 3 END) AS prefix FROM nation),
+k AS (SELECT o_orderkey AS id, upper(sha256(CAST(o_orderkey AS VARCHAR))) AS slot FROM orders)
+SELECT id, slot FROM k WHERE NOT EXISTS (SELECT 1 FROM p WHERE starts_with(slot, prefix))""")
+def prefix_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One account's storage without the slots under any of many prefixes."""
+    state = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), adapters.hashed_key(F.col("o_orderkey")).alias("slot"), F.lit("00").alias("account"), F.lit(paths.STORAGE).alias("type"))
+    size = F.when(F.col("n_nationkey") % 2 == 0, 2).otherwise(3)
+    prefixes = _table(spark, sf_dir, "nation").select(F.lit("00").alias("account"), F.substr(adapters.hashed_key(F.col("n_nationkey")), F.lit(1), size).alias("prefix"), F.lit(paths.STORAGE).alias("type"))
+    return overlay.remove_prefixes(state, prefixes).select("id", "slot")
+
+
+@_query(f"SELECT id, path FROM {_KEYED} WHERE id NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice >= 300000)")
+def remove_keys_from(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlay.remove_keys(_customers(spark, sf_dir), adapters.keyed(_table(spark, sf_dir, "orders").where("o_totalprice >= 300000"), "o_custkey").select("path"), ["path"]).select("id", "path")
+
+
+@_query(f"SELECT id, path FROM {_KEYED} WHERE id IN (SELECT o_custkey FROM orders)")
+def contains_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlay.contains(_customers(spark, sf_dir), adapters.keyed(_table(spark, sf_dir, "orders"), "o_custkey").select("path"), ["path"]).select("id", "path")
+
+
+@_query(f"SELECT p_partkey AS id, coalesce(k.value, '') AS value FROM part LEFT JOIN {_KEYED} k ON k.id = p_partkey")
+def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batched point reads; keys that aren't there read as empty."""
+    keys = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), adapters.hashed_key(F.col("p_partkey")).alias("path"))
+    return overlay.lookup(_customers(spark, sf_dir), keys, ["path"]).select("id", _text().alias("value"))
+
+
+@_query(f"SELECT substr(path, 1, 1) AS nibble, count(*) AS entries FROM {_KEYED} GROUP BY 1")
+def nibble_count_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.count_by_nibble(_customers(spark, sf_dir))
+
+
+@_query(f"SELECT substr(path, 1, 1) AS bucket, CAST(sum(32 + octet_length(encode(value)) + 4) AS BIGINT) AS bytes FROM {_KEYED} GROUP BY 1")
+def nibble_size_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.size_by(_customers(spark, sf_dir), F.substring("path", 1, 1))
+
+
+@_query("SELECT l_orderkey % 97 AS bucket, CAST(sum(32 + octet_length(encode(l_returnflag || '|' || l_linestatus)) + 4) AS BIGINT) AS bytes FROM lineitem GROUP BY 1")
+def bucket_size_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "lineitem").select(F.concat_ws("|", "l_returnflag", "l_linestatus").alias("value"), F.lit("0" * 64).alias("path"), "l_orderkey")
+    return stats.size_by(rows, F.col("l_orderkey") % 97)
+
+
+@_query("SELECT CASE WHEN substr(path, 1, 1) BETWEEN '0' AND '7' THEN 'half_low' ELSE 'half_high' END AS selector, count(*) AS n FROM " + _KEYED + " GROUP BY 1")
+def nibble_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _customers(spark, sf_dir)
+    return rows.groupBy(F.when(paths.selected(F.col("path"), "half_low"), "half_low").otherwise("half_high").alias("selector")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("""SELECT coalesce(o_orderstatus, 'all') AS scope, coalesce(o_orderpriority, 'all') AS kind, CAST(coalesce(month(o_orderdate), -1) AS INTEGER) AS depth, count(*) AS nodes, quantile_cont(floor(o_totalprice), 0.5) AS p50
+FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority, month(o_orderdate))""")
+def depth_stats_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("scope"), F.col("o_orderpriority").alias("kind"), F.month("o_orderdate").alias("depth"), F.floor("o_totalprice").cast("double").alias("used"))
+    return stats.by_depth(rows).select(F.coalesce("scope", F.lit("all")).alias("scope"), F.coalesce("kind", F.lit("all")).alias("kind"), F.coalesce("depth", F.lit(-1)).alias("depth"), "nodes", "p50")
+
+
+@_query("""WITH v AS (SELECT DISTINCT o_custkey AS v FROM orders), g AS (SELECT v, v - row_number() OVER (ORDER BY v) AS g FROM v),
+r AS (SELECT min(v) AS first, max(v) AS last FROM g GROUP BY g), p AS (SELECT last, unnest(range(first, last + 1, 64)) AS first FROM r)
+SELECT first, least(last - first + 1, 64) AS length FROM p""")
+def consecutive_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.consecutive(_table(spark, sf_dir, "orders"), "o_custkey", 64)
+
+
+@_query("""SELECT p_partkey * 7 AS q, (SELECT max(o_custkey) FROM orders WHERE o_custkey <= p_partkey * 7) AS v FROM part""")
+def predecessor_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries_ = _table(spark, sf_dir, "part").select((F.col("p_partkey") * 7).alias("q"))
+    return stats.highest_not_above(_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("v")), queries_, "v", "q")
+
+
+@_query("SELECT min(i) AS gap FROM range(0, (SELECT max(o_custkey) + 2 FROM orders)) t(i) WHERE i NOT IN (SELECT o_custkey FROM orders)")
+def first_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.first_gap(_table(spark, sf_dir, "orders"), "o_custkey")
+
+
+@_query("SELECT c_custkey AS address FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AND c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
+def integrity_unreached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Allocated but neither reachable nor abandoned."""
+    of = lambda table, column: _table(spark, sf_dir, table).select(F.col(column).alias("address"))
+    pending = _table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("address"))
+    return stats.unreached(of("customer", "c_custkey"), pending, of("supplier", "s_suppkey"))
+
+
+# --- filters -----------------------------------------------------------------------------------------------------
+
+
+@_query("SELECT 0 AS missed, count(*) AS added FROM (SELECT DISTINCT c_custkey FROM customer)")
+def filter_no_false_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _customers(spark, sf_dir)
+    hash_ = F.xxhash64("path")
+    found = filters.may_contain(rows, filters.build(rows, hash_), hash_)
+    return found.agg(F.sum((~F.col("may_contain")).cast("int")).cast("int").alias("missed"), F.count(F.lit(1)).alias("added"))
+
+
+@_query("SELECT 0 AS missed, (SELECT count(*) FROM customer) + (SELECT count(*) FROM part) AS added")
+def filter_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The union of two filters has the keys of both; members are asked for by either of two hashes."""
+    hash_ = F.xxhash64("path")
+    a, b = _customers(spark, sf_dir).select("path"), adapters.keyed(_table(spark, sf_dir, "part").withColumn("k", F.col("p_partkey") + 1_000_000_000), "k").select("path")
+    both = filters.union(filters.build(a, hash_), filters.build(b, hash_))
+    found = filters.may_contain(a.unionByName(b), both, F.xxhash64(F.lit("absent")), hash_)
+    return found.agg(F.sum((~F.col("may_contain")).cast("int")).cast("int").alias("missed"), F.count(F.lit(1)).alias("added"))
+
+
+@_query("SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id")
+def filter_added_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "events").select("event_id", "user_id")
+    return filters.added_first(rows, F.xxhash64("user_id"), "event_id").where("was_new").select("user_id", "event_id")
+
+
+# --- scalar functions --------------------------------------------------------------------------------------------
+
+
+@_query(
+    f"""SELECT id, substr(path, 4) AS tail, substr(path, 1, 5) AS head, substr(path, 3, 7) AS middle, CAST(instr('0123456789ABCDEF', substr(path, 3, 1)) - 1 AS INTEGER) AS nibble, path || 'F' AS longer,
+  regexp_full_match(substr(path, 1, 1), '0*') AS zero, '0x' || lower(path) AS hex, CASE WHEN path LIKE '00%' THEN substr(path, 3, 4) ELSE substr(path, 1, 4) END AS trimmed FROM {_KEYED}"""
+)
+def nibble_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("path")
+    key = F.unhex(p)
+    trimmed = F.hex(bits.without_leading_zeros(key))
+    return _customers(spark, sf_dir).select(
+        "id", paths.slice_path(p, 3).alias("tail"), paths.slice_path(p, 0, 5).alias("head"), paths.slice_path(p, 2, 7).alias("middle"), paths.nibble_at(p, 2).alias("nibble"),
+        paths.append(p, F.lit("F")).alias("longer"), paths.only_zeroes(paths.slice_path(p, 0, 1)).alias("zero"), bits.to_hex(key).alias("hex"),
+        F.when(p.startswith("0000"), F.substring(p, 3, 4)).otherwise(F.substr(trimmed, F.lit(1), F.lit(4))).alias("trimmed"),
+    )
+
+
+@_query(
+    f"""WITH k AS (SELECT id, path, lag(path) OVER (ORDER BY path) AS before FROM {_KEYED}),
+e AS (SELECT id, path, before, unnest(range(1, 65)) AS i FROM k WHERE before IS NOT NULL)
+SELECT id, CAST(coalesce(max(i) FILTER (substr(path, 1, i) = substr(before, 1, i)), 0) AS INTEGER) AS shared FROM e GROUP BY id"""
+)
+def common_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tries.neighbours(_customers(spark, sf_dir).select("id", "path", F.lit("").alias("trie")))
+    return rows.where("left >= 0").select("id", F.col("left").alias("shared"))
+
+
+@_query("""SELECT p_partkey AS id, CAST(m AS INTEGER) AS mask, CAST(bit_count(m) AS INTEGER) AS members, CAST(length(bin(m)) - 1 AS INTEGER) AS largest,
+  CAST(bit_count((m & -m) - 1) AS INTEGER) AS smallest, CAST(bit_count(m & 255) AS INTEGER) AS up_to_7, (m >> 3) & 1 = 1 AS has_3
+FROM (SELECT p_partkey, CAST(p_partkey * 7919 % 65535 + 1 AS BIGINT) AS m FROM part)""")
+def bitset_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 7919 % 65535 + 1).cast("int").alias("mask"))
+    m = F.col("mask")
+    return rows.select("id", "mask", bits.count(m).alias("members"), bits.largest(m).alias("largest"), bits.smallest(m).alias("smallest"), bits.rank(m, F.lit(7)).alias("up_to_7"), bits.has(m, F.lit(3)).alias("has_3"))
+
+
+@_query("""WITH v AS (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS n FROM orders), h AS (SELECT o_orderkey, n, printf('%X', n) AS x FROM v),
+e AS (SELECT o_orderkey, n, CASE WHEN length(x) % 2 = 1 THEN '0' || x ELSE x END AS x FROM h)
+SELECT o_orderkey AS id, CASE WHEN n = 0 THEN '80' WHEN n < 128 THEN x ELSE printf('%X', 128 + length(x) // 2) || x END AS encoded, lpad(CASE WHEN n = 0 THEN '' ELSE x END, 64, '0') AS decoded FROM e""")
+def rlp_integers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RLP of prices in cents, and back."""
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), rlp.integer(bits.uint_bytes(F.round(F.col("o_totalprice") * 100).cast("long"))).alias("e"))
+    return rows.select("id", F.hex("e").alias("encoded"), F.hex(rlp.decode_integer(F.col("e"))).alias("decoded"))
+
+
+@_query("""SELECT upper(sha256(CAST(c_custkey AS VARCHAR))) AS account, CAST(greatest(CAST(round(c_acctbal * 100) AS BIGINT), 0) AS BIGINT) AS balance, CAST(c_nationkey AS BIGINT) AS nonce, true AS plain FROM customer""")
+def account_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts through their compact encoding and back."""
+    rows = adapters.accounts_of(_table(spark, sf_dir, "customer"))
+    none = F.lit(None).cast("binary")
+    coded = rows.select("account", rlp.account_bytes(F.col("balance"), F.col("nonce"), none, none).alias("data"))
+    number = lambda c: F.conv(F.substr(F.hex(c), F.lit(50)), 16, 10).cast("long")
+    return coded.select("account", rlp.account_from_bytes(F.col("data")).alias("a"), (F.octet_length("data") < 20).alias("plain")).select("account", number("a.balance").alias("balance"), number("a.nonce").alias("nonce"), "plain")
+
+
+@_query(f"SELECT id, CASE WHEN id % 2 = 0 THEN '20' || substr(path, 1, 8) ELSE '3' || substr(path, 1, 7) END AS leaf, CASE WHEN id % 2 = 0 THEN '00' || substr(path, 1, 8) ELSE '1' || substr(path, 1, 7) END AS extension FROM {_KEYED}")
+def hex_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = F.substr(F.col("path"), F.lit(1), F.when(F.col("id") % 2 == 0, 8).otherwise(7))
+    return _customers(spark, sf_dir).select("id", F.hex(rlp.hex_prefix(part, True)).alias("leaf"), F.hex(rlp.hex_prefix(part, False)).alias("extension"))
+
+
+@_query()
+def keccak_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _customers(spark, sf_dir).select("id", F.hex(keccak256(F.col("value"))).alias("digest"))
+
+
+# --- tries -------------------------------------------------------------------------------------------------------
+
+_LCP = """WITH k AS (SELECT DISTINCT trie, path FROM (SELECT 'customer' AS trie, upper(sha256(CAST(c_custkey AS VARCHAR))) AS path FROM customer UNION ALL SELECT 'part', upper(sha256(CAST(p_partkey AS VARCHAR))) FROM part)),
+p AS (SELECT trie, substr(path, 1, d) AS prefix, d, count(*) AS n, count(DISTINCT substr(path, d + 1, 1)) AS kids, sum(DISTINCT 1 << (instr('0123456789ABCDEF', substr(path, d + 1, 1)) - 1)) AS mask FROM k, range(0, 24) r(d) GROUP BY ALL),
+b AS (SELECT trie, prefix, d, CAST(mask AS INTEGER) AS mask FROM p WHERE kids > 1),
+l AS (SELECT k.trie, k.path, max(b.d) AS d FROM k JOIN b ON b.trie = k.trie AND starts_with(k.path, b.prefix) GROUP BY ALL),
+u AS (SELECT x.trie, x.prefix, x.d, coalesce(max(y.d), -1) AS up FROM b x LEFT JOIN b y ON y.trie = x.trie AND y.d < x.d AND starts_with(x.prefix, y.prefix) GROUP BY ALL)
+"""
+
+
+def _two_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = lambda name, key: _table(spark, sf_dir, name).select(F.lit(name).alias("trie"), adapters.hashed_key(F.col(key)).alias("path"))
+    return of("customer", "c_custkey").unionByName(of("part", "p_partkey"))
+
+
+@_query(
+    _LCP
+    + """SELECT trie, substr(path, 1, d + 1) AS path, 'leaf' AS kind, substr(path, d + 2) AS node_path, 0 AS children FROM l
+UNION ALL SELECT trie, prefix, 'branch', '', mask FROM b
+UNION ALL SELECT trie, substr(prefix, 1, up + 1), 'extension', substr(prefix, up + 2), 0 FROM u WHERE d > up + 1"""
+)
+def trie_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.structure(_two_tries(spark, sf_dir))
+
+
+@_query(
+    _LCP
+    + """SELECT trie, kind, depth, count(*) AS nodes FROM (SELECT trie, 'leaf' AS kind, d + 1 AS depth FROM l UNION ALL SELECT trie, 'branch', d FROM b UNION ALL SELECT trie, 'extension', up + 1 FROM u WHERE d > up + 1) GROUP BY ALL"""
+)
+def trie_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.structure(_two_tries(spark, sf_dir)).groupBy("trie", "kind", F.length("path").cast("long").alias("depth")).agg(F.count(F.lit(1)).alias("nodes"))
+
+
+@_query()
+def state_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state's root over customers as accounts and their orders as storage."""
+    accounts = adapters.accounts_of(_table(spark, sf_dir, "customer"))
+    return tries.state_root(accounts, adapters.storage_of(_table(spark, sf_dir, "orders"))).select(F.hex("root").alias("root"))
+
+
+@_query()
+def storage_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tries.roots(tries.storage_leaves(adapters.storage_of(_table(spark, sf_dir, "orders"))))[0]
+    return found.select(F.col("trie").alias("account"), F.hex("root").alias("root"))
+
+
+@_query()
+def subtrie_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    accounts = tries.account_leaves(adapters.accounts_of(_table(spark, sf_dir, "customer")))
+    return tries.subtrie_root(accounts, "A").select(F.hex("root").alias("root"))
+
+
+@_query("""WITH h AS (SELECT substr(upper(sha256(CAST(c_custkey AS VARCHAR))), 1, 2) AS path, min(c_custkey) AS id FROM customer GROUP BY 1),
+want AS (SELECT path, sha256('h' || path) AS wanted, CASE WHEN id % 5 = 0 THEN '' ELSE sha256('h' || path) END AS have FROM h),
+one AS (SELECT substr(path, 1, 1) AS path, bool_and(wanted = have) AS ok FROM want GROUP BY 1)
+SELECT path, sha256('h' || path) AS hash FROM one WHERE ok UNION ALL SELECT '', sha256('h') FROM one HAVING bool_and(ok)""")
+def proof_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof branches at depth 0 and 1 over persisted nodes at depth 2, some of which are missing their hash."""
+    digest = lambda p: F.sha2(F.concat(F.lit("h"), p), 256)
+    nodes = _customers(spark, sf_dir).groupBy(F.substring("path", 1, 2).alias("path")).agg(F.min("id").alias("id"))
+    persisted = nodes.where("id % 5 != 0").select("path", digest(F.col("path")).alias("hash"))
+    child = lambda p: F.collect_list(F.struct(F.substr(p, F.length(p), F.lit(1)).alias("nibble"), digest(p).alias("hash")))
+    ones = nodes.groupBy(F.substring("path", 1, 1).alias("p")).agg(child(F.col("path")).alias("children"))
+    top = ones.groupBy(F.lit("").alias("q")).agg(child(F.col("p")).alias("children"))
+    branches = ones.select(F.col("p").alias("path"), digest(F.col("p")).alias("hash"), "children").unionByName(top.select(F.col("q").alias("path"), digest(F.col("q")).alias("hash"), "children"))
+    return tries.promote_proofs(branches, persisted)
+
+
+# --- versions and streams ----------------------------------------------------------------------------------------
+
+
+@_query(_OPS_SQL + f", v AS (SELECT 1 AS block_number, account, slot, arg_max(value, seq) AS value FROM ops WHERE NOT destroys AND block_hash <= '{AS_OF}' GROUP BY ALL UNION ALL SELECT 2, account, slot, arg_max(value, seq) FROM ops WHERE NOT destroys GROUP BY ALL) SELECT CAST(block_number AS BIGINT) AS block_number, account, slot, value FROM v")
+def snapshot_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions committed one after the other, and all retained versions read back."""
+    ops = adapters.event_ops(_table(spark, sf_dir, "events"), DESTROYS).where(F.col("op") == overlay.SET)
+    store = SnapshotStore(spark, f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}", history=2)
+    for number, part in ((1, ops.where(F.col("block_hash") <= AS_OF)), (2, ops.where(F.col("block_hash") > AS_OF))):
+        base = store.read_latest().select(*overlay.KEY, "value")
+        store.commit(overlay.fold(base, part), number, f"state-{number}")
+    return store.read_all().select("block_number", "account", "slot", _text().alias("value"))
+
+
+@_query(_OPS_SQL + "SELECT account, slot, arg_max(value, seq) AS value FROM ops WHERE NOT destroys GROUP BY account, slot")
+def stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The op log as a stream, folded into snapshots batch by batch."""
+    from .streaming.folding import fold_stream
+
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    events = _table(spark, sf_dir, "events")
+    adapters.event_ops(events, DESTROYS).where(F.col("op") == overlay.SET).withColumn("number", F.dayofyear(F.to_date("block_hash")).cast("long")).write.parquet(f"{path}/ops")
+    source = spark.readStream.schema(spark.read.parquet(f"{path}/ops").schema).parquet(f"{path}/ops")
+    store = SnapshotStore(spark, f"{path}/store", history=4)
+    fold_stream(source, store, f"{path}/checkpoint").awaitTermination()
+    return store.read_latest().select("account", "slot", _text().alias("value"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
