@@ -5,11 +5,12 @@
 2. Inverted lists of retained values generate overlaps. A sketch's values are ordered from rare to frequent, and only
    its first values are listed: two sketches that share OVERLAP values must meet in these lists, and a passage that
    many documents hold doesn't make lists of them.
-3. First, each document is paired with the smallest member of the lists it is in (one that most of its lists agree on).
-   Then, pairs are formed only of list members that these links left in different components, and a union-sketch
-   estimate filters them. Members that are connected already need no more pairs, so a group of n copies costs about n.
-4. Exact Jaccard on the full sets verifies every link.
-5. Components: label propagation over links, with written tables between rounds.
+3. First, each document is paired with the most central member of the lists it is in, so a group of n copies costs
+   about n pairs; exact Jaccard on the full sets verifies them. Documents that lists connect are a family. Where these
+   links leave a family in several components, the documents outside its largest one meet the family in blocks: the
+   union-sketch estimate filters a block's pairs, exact Jaccard verifies the others, and a block emits only links that
+   join components.
+4. Components: label propagation over links, with written tables between rounds.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ SKETCH = 64
 #: Two sets of Jaccard 0.85 share fewer than this many of the 64 smallest values of their union in fewer than one of a
 #: million cases (binomial tail: each of these is shared with probability 0.85).
 OVERLAP = 39
+#: Links (16 bytes each) that one task may join.
+LOCAL_LINKS = 1_000_000
+#: Documents on either side of a block.
+BLOCK = 512
 
 _SPACE = np.ones(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = False
@@ -94,45 +99,135 @@ def listed_values(classes: DataFrame, *, k: int = SKETCH, overlap: int = OVERLAP
 
 
 def stars(lists: DataFrame) -> DataFrame:
-    """(a, b): each document b and the smallest member a of its lists, the one that most of its lists have."""
-    least = lists.groupBy("v").agg(F.min("doc_id").alias("a"))
-    votes = lists.join(least, "v").where("a != doc_id").groupBy("doc_id", "a").agg(F.count(F.lit(1)).alias("votes"))
-    return votes.groupBy("doc_id").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a")).select("a", F.col("doc_id").alias("b"))
-
-
-def residual_pairs(lists: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of list members in different components (parts: doc_id, component_id), sizes permitting.
+    """(a, b): each document b and the most central member a of its lists, the one that most of its lists have.
 
-    A list's largest component isn't paired with itself, nor is any other; a list within one component makes no pair.
+    Central is who shares most: the sum of its listed values' frequencies.
     """
-    rows = lists.join(parts, "doc_id").select("v", "doc_id", "n", "component_id")
-    counts = rows.groupBy("v", "component_id").agg(F.count(F.lit(1)).alias("m"))
-    main = counts.groupBy("v").agg(F.max_by("component_id", F.struct("m", "component_id")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-    placed = rows.join(main, "v")
-    x = placed.where("component_id != main").select("v", F.col("doc_id").alias("x"), F.col("n").alias("xn"), F.col("component_id").alias("xc"))
-    y = placed.select("v", F.col("doc_id").alias("y"), F.col("n").alias("yn"), F.col("component_id").alias("yc"), (F.col("component_id") == F.col("main")).alias("y_main"))
-    fits = (F.least("xn", "yn") * 100 >= F.greatest("xn", "yn") * percent) & (F.col("xc") != F.col("yc")) & (F.col("y_main") | (F.col("x") < F.col("y")))
-    return x.join(y, "v").where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    centrality = lists.groupBy("doc_id").agg(F.sum("df").alias("shared"))
+    hubs = lists.join(centrality, "doc_id").groupBy("v").agg(F.max_by("doc_id", F.struct("shared", -F.col("doc_id"))).alias("a"))
+    votes = lists.join(hubs, "v").where("a != doc_id").groupBy("doc_id", "a").agg(F.count(F.lit(1)).alias("votes"))
+    return votes.groupBy("doc_id").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a")).select("a", F.col("doc_id").alias("b"))
 
 
-def estimated(pairs: DataFrame, classes: DataFrame, *, k: int = SKETCH, overlap: int = OVERLAP) -> DataFrame:
-    """Those pairs whose union sketch (the k smallest values of both sketches) has overlap / k of its values in both."""
-    sketch = classes.select("doc_id", "sketch")
-    both = pairs.join(sketch.withColumnsRenamed({"doc_id": "a", "sketch": "x"}), "a").join(sketch.withColumnsRenamed({"doc_id": "b", "sketch": "y"}), "b")
-    union = F.slice(F.array_sort(F.array_union("x", "y")), 1, k)
-    return both.withColumn("u", union).where(F.size(F.array_intersect(F.array_intersect("x", "y"), "u")) * k >= F.size("u") * overlap).select("a", "b")
+def families(lists: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc_id, family): documents that lists connect, verified or not. Every link lies within a family."""
+    least = lists.groupBy("v").agg(F.min("doc_id").alias("a"))
+    edges = lists.join(least, "v").where("a != doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    return components(nodes, stored(edges, "edges")).withColumnRenamed("component_id", "family")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, *, percent: int) -> DataFrame:
-    """Those (a, b) with 100 * |A & B| >= percent * |A | B|, on the full shingle sets. Only documents in pairs are read again."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def open_blocks(members: DataFrame, parts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(family, i, j, x, doc_id, component_id): what is left to compare in families of several components.
+
+    x is true for the documents outside a family's largest component: they meet all of the family. Both sides are dealt
+    into blocks, and each pair of blocks is a task's work; a family of n with r outside makes about n * r / block rows.
+    """
+    rows = members.join(parts, "doc_id")
+    counts = rows.groupBy("family", "component_id").agg(F.count(F.lit(1)).alias("m"))
+    sizes = counts.groupBy("family").agg(F.max_by("component_id", F.struct("m", "component_id")).alias("main"), F.sum("m").alias("n"), F.max("m").alias("most")).where("n > most")
+    blocks_of = lambda n: F.ceil(n / block).cast("int")
+    placed = rows.join(sizes.select("family", "main", blocks_of(F.col("n") - F.col("most")).alias("ni"), blocks_of(F.col("n")).alias("nj")), "family")
+    of = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outside = placed.where("component_id != main").select("family", of("ni").alias("i"), every("nj").alias("j"), F.lit(True).alias("x"), "doc_id", "component_id")
+    return outside.unionByName(placed.select("family", every("ni").alias("i"), of("nj").alias("j"), F.lit(False).alias("x"), "doc_id", "component_id"))
+
+
+def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Numbers of common values of all sets in x and in y."""
+    xs, ys = np.repeat(np.arange(len(x)), [len(v) for v in x]), np.repeat(np.arange(len(y)), [len(v) for v in y])
+    value, at = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    ax, ay = at[: len(xs)], at[len(xs) :]
+    both = (np.bincount(ax, minlength=len(value)) > 0) & (np.bincount(ay, minlength=len(value)) > 0)
+    column = np.cumsum(both) - 1
+    out = np.zeros((len(x), len(y)), np.float32)
+    kx, ky = both[ax], both[ay]
+    xs, ax, ys, ay = xs[kx], column[ax[kx]], ys[ky], column[ay[ky]]
+    for low in range(0, int(both.sum()), 4096):
+        one, two = np.zeros((len(x), 4096), np.float32), np.zeros((len(y), 4096), np.float32)
+        px, py = (ax >= low) & (ax < low + 4096), (ay >= low) & (ay < low + 4096)
+        one[xs[px], ax[px] - low] = 1
+        two[ys[py], ay[py] - low] = 1
+        out += one @ two.T
+    return out.astype(np.int64)
+
+
+def _links_of(ids: list[int], parts: list[int], outside: list[bool], sets: list[np.ndarray], percent: int, k: int, overlap: int) -> list[tuple[int, int]]:
+    """Links of one pair of blocks: of all that hold, those that join components that weren't joined yet."""
+    x, y = [i for i, o in enumerate(outside) if o], [i for i, o in enumerate(outside) if not o]
+    if not x or not y:
+        return []
+    sizes = np.array([len(v) for v in sets])
+    least, most = np.minimum(sizes[x][:, None], sizes[y]), np.maximum(sizes[x][:, None], sizes[y])
+    label = np.array(parts)
+    maybe = (least * 100 >= most * percent) & (label[x][:, None] != label[y])
+    # the union sketch: a set's values are sorted, so its first k are its sketch
+    maybe &= _common([sets[i][:k] for i in x], [sets[i][:k] for i in y]) * k >= np.minimum(least, k) * overlap
+    rows, columns = np.nonzero(maybe.any(1))[0], np.nonzero(maybe.any(0))[0]
+    if not len(rows):
+        return []
+    common = _common([sets[x[i]] for i in rows], [sets[y[j]] for j in columns])
+    union = sizes[x][rows][:, None] + sizes[y][columns] - common
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    out = []
+    for r, c in zip(*np.nonzero((100 * common >= percent * union) & maybe[np.ix_(rows, columns)]), strict=True):
+        a, b = x[rows[r]], y[columns[c]]
+        one, two = find(parts[a]), find(parts[b])
+        if one != two:
+            root[max(one, two)] = min(one, two)
+            out.append((ids[a], ids[b]))
+    return out
+
+
+def _with_sets(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """rows (doc_id, ...) with ``values``, the packed shingle set. Only the texts of documents in rows are read."""
 
     def make(block: pa.RecordBatch) -> pa.RecordBatch:
         values, bounds = shingle_sets(block.column("text"))
         packed = [values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         return pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "values"])
 
-    sets = map_blocks(docs.join(ids, "doc_id", "left_semi"), "text", make, "doc_id long, values binary")
+    ids = rows.select("doc_id").distinct()
+    return rows.join(map_blocks(docs.join(ids, "doc_id", "left_semi"), "text", make, "doc_id long, values binary"), "doc_id")
+
+
+def residual_links(blocks_: DataFrame, docs: DataFrame, *, percent: int, k: int = SKETCH, overlap: int = OVERLAP) -> DataFrame:
+    """(a, b): true links between components of a family, found block by block on the full sets. No pair is emitted that isn't a link."""
+    rows = _with_sets(blocks_, docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held = None, ([], [], [], [])
+
+        def close() -> Iterator[pa.RecordBatch]:
+            found = _links_of(*held, percent, k, overlap)
+            for column in held:
+                column.clear()
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+
+        for batch in batches:
+            for n, key in enumerate(zip(*(batch.column(c).to_pylist() for c in ("family", "i", "j")), strict=True)):
+                if key != own:
+                    yield from close()
+                    own = key
+                for column, name in zip(held, ("doc_id", "component_id", "x"), strict=False):
+                    column.append(batch.column(name)[n].as_py())
+                held[3].append(np.frombuffer(batch.column("values")[n].as_py(), U))
+        yield from close()
+
+    return rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, *, percent: int) -> DataFrame:
+    """Those (a, b) with 100 * |A & B| >= percent * |A | B|, on the full shingle sets."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = _with_sets(ids, docs)
     both = pairs.join(sets.withColumnsRenamed({"doc_id": "a", "values": "x"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "values": "y"}), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,11 +243,37 @@ def verified(pairs: DataFrame, docs: DataFrame, *, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, ok boolean").where("ok").select("a", "b")
 
 
-def components(nodes: DataFrame, links: DataFrame, node: str = "doc_id") -> DataFrame:
-    """(doc_id, component_id): the smallest node that each can reach. Rounds of neighbours' minima and pointer jumps.
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(v, c) of all ends of the links in one task: union and find, the smaller root stays."""
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        top = v
+        while (up := root.setdefault(top, top)) != top:
+            top = up
+        while root[v] != top:
+            root[v], v = top, root[v]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            one, two = find(a), find(b)
+            if one != two:
+                root[max(one, two)] = min(one, two)
+    if root:
+        ends = list(root)
+        yield pa.RecordBatch.from_arrays([pa.array(ends, pa.int64()), pa.array([find(v) for v in ends], pa.int64())], ["v", "c"])
+
+
+def components(nodes: DataFrame, links: DataFrame, node: str = "doc_id", local_links: int = LOCAL_LINKS) -> DataFrame:
+    """(doc_id, component_id): the smallest node that each can reach. links must be a stored table.
 
-    Each round's labels are a stored table. Hot nodes are harmless: a round aggregates minima before its shuffle.
+    Up to local_links links (they are counted first) are joined by one task. More go through rounds of neighbours' minima
+    and pointer jumps with stored labels; hot nodes are harmless there, as a round aggregates minima before its shuffle.
     """
+    if links.count() <= local_links:
+        labels = links.select("a", "b").coalesce(1).mapInArrow(_joined, "v long, c long")
+        return nodes.join(labels, F.col(node) == F.col("v"), "left").select(node, F.coalesce("c", node).alias("component_id"))
     edges = stored(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "edges")
     labels = stored(nodes.join(edges.select(F.col("a").alias(node)).distinct(), node, "left_semi").select(F.col(node).alias("v"), F.col(node).alias("c")), "labels")
     while True:
@@ -183,8 +304,9 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     nodes = classes.select("doc_id")
     links = stored(verified(stored(stars(lists), "stars"), plain, percent=percent), "links")
     parts = components(nodes, links)
-    more = verified(stored(estimated(residual_pairs(lists, parts, percent), classes, k=k, overlap=overlap), "pairs"), plain, percent=percent)
-    whole = components(nodes, links.union(more))
+    listed = stored(lists.select("doc_id").distinct(), "listed")
+    blocks_ = stored(open_blocks(families(lists, listed), parts), "blocks")
+    whole = components(nodes, links.union(stored(residual_links(blocks_, plain, percent=percent, k=k, overlap=overlap), "links")))
     ids = firsts.select("set_hash", F.col("class_id")).join(whole.withColumnRenamed("doc_id", "class_id"), "class_id")
     return facts.join(ids, "set_hash", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
