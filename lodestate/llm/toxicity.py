@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 
 from ._batches import bounded_arrow, blocks, mix, span_hashes, text_view, word_spans
 
-#: At most about so many labelled rows of each class are learned from, those of the smallest hash of their key.
-TRAIN_ROWS = 5000
+#: At most about so many toxic rows, and CLEAN_RATIO times as many clean ones, are learned from: those of the smallest hash of their key.
+TRAIN_ROWS, CLEAN_RATIO = 5000, 4
 #: A learned lexicon entry is LIFT times as frequent in toxic rows as in clean ones, with EVIDENCE nats against chance.
-LIFT, EVIDENCE = 30.0, 15.0
+LIFT, EVIDENCE = 30.0, 12.0
 #: Word beginnings of these many bytes can be lexicon entries.
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 #: How many words a negation or a target reaches.
 REACH = 4
 
@@ -39,8 +39,8 @@ SEED = {
 }
 #: Symbols that the composed machine writes: insult or threat as a plain, aimed, negated or reported match.
 OUTPUTS = ("plain insult", "aimed insult", "negated insult", "reported insult", "plain threat", "aimed threat", "negated threat", "reported threat")
-#: Weights to begin with, and the bias; training moves them as far as labels tell.
-PRIOR = np.array([3.0, 3.5, 0.5, 0.8, 0.6, 2.5, 0.1, 0.3, -2.0])
+#: Weights to begin with: of OUTPUTS, of any insult or aimed threat at all, and the bias; training moves them as far as labels tell.
+PRIOR = np.array([3.0, 3.5, 0.5, 0.8, 0.6, 2.5, 0.1, 0.3, 0.5, -2.0])
 
 
 class Transducer:
@@ -133,7 +133,7 @@ def _word_hash(word: str) -> np.uint64:
 class Model:
     table: np.ndarray  # sorted hashes of words (even) and beginnings (odd)
     symbols: np.ndarray  # their symbols, as bytes
-    weights: np.ndarray  # of OUTPUTS, and the bias
+    weights: np.ndarray  # in the order of PRIOR
 
     @classmethod
     def seeded(cls, learned: np.ndarray) -> Model:
@@ -174,7 +174,8 @@ def match_counts(column: pa.Array, model: Model, machine: Transducer) -> np.ndar
 
 
 def _design(counts: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.log1p(counts), np.ones((len(counts), 1))], 1)
+    strong = counts[:, [0, 1, 5]].sum(1, keepdims=True) > 0
+    return np.concatenate([np.log1p(counts), strong, np.ones((len(counts), 1))], 1)
 
 
 def _fit(x: np.ndarray, y: np.ndarray, strength: float = 1.0) -> np.ndarray:
@@ -190,7 +191,7 @@ def _fit(x: np.ndarray, y: np.ndarray, strength: float = 1.0) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", train_rows: int = TRAIN_ROWS) -> Model:
-    """Learn lexicon and weights from docs with a label (0 or 1), at most about train_rows of each class.
+    """Learn lexicon and weights from docs with a label (0 or 1), about train_rows toxic ones and four times as many clean ones at most.
 
     labels may hold repeated keys (the largest label counts) and null labels (left out). Near copies among the rows
     count once, so that a text copied many times doesn't put its words into the lexicon. Without labels of both classes
@@ -201,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     sizes = {r["y"]: r["n"] for r in one.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return Model.seeded(np.zeros(0, np.uint64))
-    share = F.when(F.col("y") == 1, F.lit(min(1.0, train_rows / sizes[1]))).otherwise(F.lit(min(1.0, train_rows / sizes[0])))
+    share = F.when(F.col("y") == 1, F.lit(min(1.0, train_rows / sizes[1]))).otherwise(F.lit(min(1.0, CLEAN_RATIO * train_rows / sizes[0])))
     picked = one.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < share * 1_000_000)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(picked), "key").select("text", "y")
 
@@ -222,26 +223,36 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     own = lambda c: F.when(F.col(c) < 0, F.xxhash64("text")).otherwise(F.col(c))
     sample = rows.mapInArrow(sketch, "text string, y int, m0 long, m1 long").withColumn("m0", own("m0")).withColumn("m1", own("m1")).dropDuplicates(["m0"]).dropDuplicates(["m1"]).select("text", "y").cache()
 
-    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text", 16 << 20):
-            words, y = _read(block.column("text")), np.array(block.column("y").to_pylist())
-            pairs = [np.stack([words.rows.astype(np.uint64), h], 1) for h in (words.hashes, *words.prefixes)]
-            pairs = np.unique(np.concatenate(pairs), axis=0)
-            pairs = pairs[pairs[:, 1] != 0]
-            term, at = np.unique(pairs[:, 1], return_inverse=True)
-            toxic = np.bincount(at, y[pairs[:, 0].astype(np.int64)], len(term))
-            yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(toxic), pa.array(np.bincount(at, minlength=len(term)) - toxic)], ["term", "toxic", "clean"])
+    def counted(rows: DataFrame, known=None) -> DataFrame:
+        """(term, n): rows that each lexicon candidate is in; known: a broadcast sorted array of the terms that matter."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block in blocks(batches, "text", 8 << 20):
+                words = _read(block.column("text"))
+                pairs = np.concatenate([np.stack([words.rows.astype(np.uint64), h], 1) for h in (words.hashes, *words.prefixes)])
+                keep = pairs[:, 1] != 0
+                if known is not None:
+                    table = known.value
+                    keep &= table[np.minimum(np.searchsorted(table, pairs[:, 1]), len(table) - 1)] == pairs[:, 1]
+                term, n = np.unique(np.unique(pairs[keep], axis=0)[:, 1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n)], ["term", "n"])
+
+        return rows.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
     n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     model = Model.seeded(np.zeros(0, np.uint64))
     if len(n) == 2:
-        counted = sample.mapInArrow(terms, "term long, toxic double, clean double").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         rate = n[1] / (n[0] + n[1])
-        lift = ((F.col("toxic") + 0.5) / n[1]) / ((F.col("clean") + 0.5) / n[0])
-        total = F.col("toxic") + F.col("clean")
-        evidence = F.col("toxic") * F.log(F.col("toxic") / (total * rate)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (total * (1 - rate)))).otherwise(0.0)
-        kept = counted.where((F.col("toxic") > 0) & (lift >= LIFT) & (evidence >= EVIDENCE)).select("term").toPandas()["term"]
-        model = Model.seeded(kept.to_numpy(np.int64).view(np.uint64))
+        # a term needs so many toxic rows for its evidence, which bounds the candidates by the sample
+        toxic = counted(sample.where("y = 1")).where(F.col("n") >= EVIDENCE / -np.log(rate)).toPandas().sort_values("term")
+        terms = np.sort(toxic["term"].to_numpy(np.int64).view(np.uint64))
+        if len(terms):
+            clean = counted(sample.where("y = 0"), docs.sparkSession.sparkContext.broadcast(terms)).toPandas()
+            both = toxic.merge(clean, on="term", how="left", suffixes=("", "_clean")).fillna(0)
+            t, c = both["n"].to_numpy(float), both["n_clean"].to_numpy(float)
+            lift = ((t + 0.5) / n[1]) / ((c + 0.5) / n[0])
+            evidence = t * np.log(t / ((t + c) * rate)) + np.where(c > 0, c * np.log(np.maximum(c, 1) / ((t + c) * (1 - rate))), 0)
+            model = Model.seeded(both["term"].to_numpy(np.int64)[(lift >= LIFT) & (evidence >= EVIDENCE)].view(np.uint64))
         handle = docs.sparkSession.sparkContext.broadcast(model)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
