@@ -37,8 +37,6 @@ REACH = MATCH - ANCHOR
 ANCHOR_BLOCK = 3 << 20
 #: Contexts of one pair of suffix arrays (the contexts of one anchor are never parted).
 PART = 20_000
-#: Buckets for each shuffle partition.
-BUCKETS = 3
 
 
 def rolling(raw: np.ndarray, width: int = ANCHOR) -> np.ndarray:
@@ -105,7 +103,7 @@ _ANCHORS = "bucket int, h binary, c binary, at binary, docs binary"
 
 
 def _anchor_rows(texts: DataFrame, buckets: int) -> DataFrame:
-    """Anchors in packed columns: for each block of texts and bucket one row. docs: (document, text hash, first place)."""
+    """Anchors in packed columns: for each block of texts and bucket one row. docs: documents, text hashes, first places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ._batches import span_hashes
@@ -122,11 +120,12 @@ def _anchor_rows(texts: DataFrame, buckets: int) -> DataFrame:
             bucket = (h % U(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            place = 3 if len(raw) < 1 << 24 else 4
             out: tuple[list, ...] = ([], [], [], [], [])
             for b in np.nonzero(np.diff(bounds))[0]:
                 own = order[bounds[b] : bounds[b + 1]]
                 rows = np.unique(row[own])
-                for column, value in zip(out, (int(b), _packed(h[own] >> U(24), 5), _packed(c[own], 5), at[own].astype("<u4").tobytes(), np.stack([doc[rows], mark[rows], offsets[rows]]).astype("<i8").tobytes()), strict=True):
+                for column, value in zip(out, (int(b), _packed(h[own] >> U(24), 5), _packed(c[own], 5), _packed(at[own].astype(U), place), doc[rows].astype("<i8").tobytes() + mark[rows].astype("<i4").tobytes() + offsets[rows].astype("<i4").tobytes()), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], ["bucket", "h", "c", "at", "docs"])
 
@@ -182,8 +181,9 @@ def _find(rows: DataFrame, partitions: int) -> DataFrame:
                     yield from close()
                     bucket = own
                 h, c, at, docs = (batch.column(x)[i].as_py() for x in ("h", "c", "at", "docs"))
-                doc, mark, start = np.frombuffer(docs, "<i8").reshape(3, -1)
-                place = np.frombuffer(at, "<u4").astype(np.int64)
+                n = len(docs) // 16
+                doc, (mark, start) = np.frombuffer(docs, "<i8", n), np.frombuffer(docs, "<i4", 2 * n, 8 * n).reshape(2, n).astype(np.int64)
+                place = _unpacked(at, len(at) // (len(h) // 5)).astype(np.int64)
                 row = np.searchsorted(start, place, "right") - 1
                 held.append((_unpacked(h, 5), _unpacked(c, 5), doc[row], mark[row], place - start[row]))
         yield from close()
@@ -401,8 +401,8 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     bounded_arrow(spark)
     partitions = _partitions(spark)
     none = F.lit((1 << 63) - 1)
-    texts = docs.select(F.coalesce(F.col(key).cast("long"), none).alias("doc"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row"))
-    found = _find(_anchor_rows(texts, BUCKETS * partitions), partitions)
+    texts = docs.select(F.coalesce(F.col(key).cast("long"), none).alias("doc"), F.hash(F.col(text)).cast("long").alias("mark"), F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row"))
+    found = _find(_anchor_rows(texts, partitions), partitions)
     fetched = stored(_fetch(_by_document(texts, found, partitions), keep_text), "texts")
     open_ = fetched.where("spans is not null")
     closed = fetched.where("spans is null and h is null")
