@@ -17,6 +17,7 @@ from .functions.keccak import EMPTY_TREE
 from .functions.paths import ACCOUNT, STORAGE
 from .operators import overlay, tries
 from .operators.overlay import DESTROY, PERSISTENT, PREFIX_DELETE, SET
+from .sources.shared import stored
 from .sources.snapshots import SnapshotStore, StateGone
 
 OPS = "block_hash string, seq long, op int, type int, account string, slot string, value binary, entry_type int"
@@ -55,6 +56,7 @@ class View:
 
     def root(self) -> str:
         """Root hash of the state, with all storage roots computed anew."""
+        self.state = stored(self.state, "state")
         return bytes(tries.state_root(self.accounts().select("account", "balance", "nonce", "code_hash"), self.storage()).first().root).hex().upper()
 
 
@@ -112,11 +114,14 @@ class Block:
     def touched(self) -> DataFrame:
         return overlay.touched(self.ops().where(F.col("type") == STORAGE))
 
-    def commit(self, number: int) -> str:
-        """Publish under the state's root hash. A block that changes nothing publishes nothing; a repeated one counts once."""
+    def commit(self, number: int, state_hash: str | None = None) -> str:
+        """Publish under the state's root hash, or under a given name (blocks that are synced raw, without a root).
+
+        A block that changes nothing publishes nothing; a repeated one counts once.
+        """
         for hook in self.hooks:
             hook(self.ops())
-        state_hash = self.view().root()
+        state_hash = state_hash or self.view().root()
         if state_hash != self.parent:
             self.chain._publish(state_hash, self.parent, number, self.ops())
         return state_hash

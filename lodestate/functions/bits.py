@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with the value computed once, however often it is used: nested encodings don't multiply."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def mask_of(nibble: Column) -> Column:
     return F.pow(F.lit(2), nibble).cast("int")
 
@@ -45,8 +52,7 @@ def to_hex(value: Column, prefixed: bool = True) -> Column:
 
 def without_leading_zeros(value: Column) -> Column:
     """BINARY without leading zero bytes; a zero byte if nothing is left."""
-    bare = F.regexp_replace(F.hex(value), "^(00)+", "")
-    return F.unhex(F.when(bare == "", F.lit("00")).otherwise(bare))
+    return let(F.regexp_replace(F.hex(value), "^(00)+", ""), lambda bare: F.unhex(F.when(bare == "", F.lit("00")).otherwise(bare)))
 
 
 def minimal(value: Column) -> Column:
@@ -61,6 +67,5 @@ def padded32(value: Column) -> Column:
 
 def uint_bytes(value: Column) -> Column:
     """Minimal big-endian bytes of a non-negative BIGINT."""
-    text = F.hex(value)
-    even = F.when(F.length(text) % 2 == 1, F.concat(F.lit("0"), text)).otherwise(text)
-    return F.when(value == 0, F.lit(b"")).otherwise(F.unhex(even))
+    even = lambda text: F.when(text == "0", F.lit("")).when(F.length(text) % 2 == 1, F.concat(F.lit("0"), text)).otherwise(text)
+    return F.unhex(let(F.hex(value.cast("long")), even))

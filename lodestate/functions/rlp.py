@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .bits import minimal, padded32
+from .bits import let, minimal, padded32, uint_bytes
 from .keccak import EMPTY_CODE, EMPTY_TREE
 
 
@@ -13,21 +13,16 @@ def _byte(value: Column) -> Column:
     return F.unhex(F.lpad(F.hex(value.cast("long")), 2, "0"))
 
 
-def _big_endian(value: Column) -> Column:
-    text = F.hex(value.cast("long"))
-    return F.unhex(F.when(F.length(text) % 2 == 1, F.concat(F.lit("0"), text)).otherwise(text))
-
-
 def _with_header(payload: Column, short: int, long_: int) -> Column:
+    """payload (a plain column or bound value) behind its header."""
     n = F.octet_length(payload)
-    size = _big_endian(n)
-    return F.when(n < 56, F.concat(_byte(n + short), payload)).otherwise(F.concat(_byte(F.octet_length(size) + long_), size, payload))
+    long_header = let(uint_bytes(n), lambda size: F.concat(_byte(F.octet_length(size) + long_), size))
+    return F.concat(F.when(n < 56, _byte(n + short)).otherwise(long_header), payload)
 
 
 def byte_string(value: Column) -> Column:
     """RLP of BINARY; a single byte below 0x80 stands for itself."""
-    single = (F.octet_length(value) == 1) & (value < F.lit(b"\x80"))
-    return F.when(single, value).otherwise(_with_header(value, 0x80, 0xB7))
+    return let(value, lambda v: F.when((F.octet_length(v) == 1) & (v < F.lit(b"\x80")), v).otherwise(_with_header(v, 0x80, 0xB7)))
 
 
 def integer(value: Column) -> Column:
@@ -37,7 +32,7 @@ def integer(value: Column) -> Column:
 
 def list_of(payload: Column) -> Column:
     """RLP list whose encoded items are already put together."""
-    return _with_header(payload, 0xC0, 0xF7)
+    return let(payload, lambda p: _with_header(p, 0xC0, 0xF7))
 
 
 def sequence(*items: Column) -> Column:
@@ -50,23 +45,27 @@ def length_of(value: Column) -> Column:
 
 
 def length_of_sequence(content_length: Column) -> Column:
-    extra = F.when(content_length < 56, F.lit(0)).otherwise(F.octet_length(_big_endian(content_length)))
+    extra = F.when(content_length < 56, F.lit(0)).otherwise(F.octet_length(uint_bytes(content_length)))
     return content_length + 1 + extra
 
 
 def decode_integer(data: Column) -> Column:
     """32-byte integer of a canonical RLP string; null for empty, over-long, badly sized or zero-led input."""
-    n = F.octet_length(data)
-    first = F.conv(F.substr(F.hex(data), F.lit(1), F.lit(2)), 16, 10).cast("int")
-    body = F.substr(data, F.lit(2))
-    good = (first <= 0xA0) & (n == first - 0x80 + 1) & ((n == 1) | (F.hex(F.substr(body, F.lit(1), F.lit(1))) != "00")) & ~((n == 2) & (body < F.lit(b"\x80")))
-    return F.when((n == 1) & (first < 0x80) & (first > 0), padded32(data)).when((first >= 0x80) & good, padded32(body))
+
+    def read(d: Column) -> Column:
+        n = F.octet_length(d)
+        first = F.conv(F.substr(F.hex(d), F.lit(1), F.lit(2)), 16, 10).cast("int")
+        body = F.substr(d, F.lit(2))
+        good = (first <= 0xA0) & (n == first - 0x80 + 1) & ((n == 1) | (F.hex(F.substr(body, F.lit(1), F.lit(1))) != "00")) & ~((n == 2) & (body < F.lit(b"\x80")))
+        return F.when((n == 1) & (first < 0x80) & (first > 0), padded32(d)).when((first >= 0x80) & good, padded32(body))
+
+    return let(data, read)
 
 
 def hex_prefix(path: Column, leaf: bool) -> Column:
     """Compact encoding of a nibble path with its leaf and odd flags."""
     even, odd = ("20", "3") if leaf else ("00", "1")
-    return F.unhex(F.concat(F.when(F.length(path) % 2 == 1, F.lit(odd)).otherwise(F.lit(even)), path))
+    return F.unhex(let(path, lambda p: F.concat(F.when(F.length(p) % 2 == 1, F.lit(odd)).otherwise(F.lit(even)), p)))
 
 
 def leaf_node(path: Column, value: Column) -> Column:
@@ -85,28 +84,40 @@ def account_items(balance: Column, nonce: Column, storage_root: Column, code_has
 
 def account_bytes(balance: Column, nonce: Column, code_hash: Column, storage_root: Column) -> Column:
     """Compact account: one preamble byte when balance and nonce are small (and no hashes if both are the empty ones)."""
-    b, n = minimal(balance), minimal(nonce)
-    code, root = F.coalesce(code_hash, F.lit(EMPTY_CODE)), F.coalesce(storage_root, F.lit(EMPTY_TREE))
-    bl, nl = F.octet_length(b), F.octet_length(n)
-    plain = (code == F.lit(EMPTY_CODE)) & (root == F.lit(EMPTY_TREE))
-    dense = (bl <= 15) & (nl <= 3)
-    preamble = F.lit(0x80) + F.when(plain, F.lit(0)).otherwise(F.lit(0x40)) + nl * 16 + bl
-    hashes = F.concat(code, root)
-    return F.when(dense, F.concat(_byte(preamble), b, n, F.when(plain, F.lit(b"")).otherwise(hashes))).otherwise(F.concat(_byte(bl), _byte(nl), b, n, hashes))
+
+    def write(a: Column) -> Column:
+        bl, nl = F.octet_length(a["b"]), F.octet_length(a["n"])
+        plain = (a["code"] == F.lit(EMPTY_CODE)) & (a["root"] == F.lit(EMPTY_TREE))
+        dense = (bl <= 15) & (nl <= 3)
+        preamble = F.when(dense, _byte(F.lit(0x80) + F.when(plain, F.lit(0)).otherwise(F.lit(0x40)) + nl * 16 + bl)).otherwise(F.concat(_byte(bl), _byte(nl)))
+        return F.concat(preamble, a["b"], a["n"], F.when(dense & plain, F.lit(b"")).otherwise(F.concat(a["code"], a["root"])))
+
+    return let(F.struct(minimal(balance).alias("b"), minimal(nonce).alias("n"), F.coalesce(code_hash, F.lit(EMPTY_CODE)).alias("code"), F.coalesce(storage_root, F.lit(EMPTY_TREE)).alias("root")), write)
 
 
 def account_from_bytes(data: Column) -> Column:
     """Struct (balance, nonce, code_hash, storage_root) of ``account_bytes``; null data is the empty account."""
-    first = F.coalesce(F.conv(F.substr(F.hex(data), F.lit(1), F.lit(2)), 16, 10).cast("int"), F.lit(0x80))
-    dense = first >= 0x80
-    bl = F.when(dense, first.bitwiseAND(15)).otherwise(first)
-    nl = F.when(dense, F.shiftright(first, 4).bitwiseAND(3)).otherwise(F.conv(F.substr(F.hex(data), F.lit(3), F.lit(2)), 16, 10).cast("int"))
-    at = F.when(dense, F.lit(2)).otherwise(F.lit(3))
-    hashed = ~dense | (first.bitwiseAND(0x40) != 0)
-    piece = lambda start, length: F.coalesce(F.substr(data, start, length), F.lit(b""))
-    return F.struct(
-        padded32(piece(at, bl)).alias("balance"),
-        padded32(piece(at + bl, nl)).alias("nonce"),
-        F.when(hashed, piece(at + bl + nl, F.lit(32))).otherwise(F.lit(EMPTY_CODE)).alias("code_hash"),
-        F.when(hashed, piece(at + bl + nl + 32, F.lit(32))).otherwise(F.lit(EMPTY_TREE)).alias("storage_root"),
-    )
+
+    def head(d: Column) -> Column:
+        """Where things are: lengths, the first place, and whether the hashes are there."""
+        first = F.coalesce(F.conv(F.substr(F.hex(d), F.lit(1), F.lit(2)), 16, 10).cast("int"), F.lit(0x80))
+        second = F.conv(F.substr(F.hex(d), F.lit(3), F.lit(2)), 16, 10).cast("int")
+        return let(first, lambda f: F.struct(
+            d.alias("d"),
+            F.when(f >= 0x80, f.bitwiseAND(15)).otherwise(f).alias("bl"),
+            F.when(f >= 0x80, F.shiftright(f, 4).bitwiseAND(3)).otherwise(second).alias("nl"),
+            F.when(f >= 0x80, F.lit(2)).otherwise(F.lit(3)).alias("at"),
+            ((f < 0x80) | (f.bitwiseAND(0x40) != 0)).alias("hashed"),
+        ))
+
+    def read(h: Column) -> Column:
+        piece = lambda start, length: F.coalesce(F.substr(h["d"], start, length), F.lit(b""))
+        hashes = h["at"] + h["bl"] + h["nl"]
+        return F.struct(
+            padded32(piece(h["at"], h["bl"])).alias("balance"),
+            padded32(piece(h["at"] + h["bl"], h["nl"])).alias("nonce"),
+            F.when(h["hashed"], piece(hashes, F.lit(32))).otherwise(F.lit(EMPTY_CODE)).alias("code_hash"),
+            F.when(h["hashed"], piece(hashes + 32, F.lit(32))).otherwise(F.lit(EMPTY_TREE)).alias("storage_root"),
+        )
+
+    return let(let(data, head), read)

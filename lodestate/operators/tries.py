@@ -8,26 +8,18 @@ through the same steps together, and no group has more than sixteen rows.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rlp
 from ..functions.keccak import EMPTY_TREE, keccak256
 from ..functions.paths import common_prefix
-from ..sources.shared import shared_dir
+from ..sources.shared import stored
 
 #: Keys that one window task sorts, about.
 KEYS_PER_TASK = 1 << 20
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def neighbours(keys: DataFrame, trie: str = "trie", path: str = "path", bucket_nibbles: int | None = None) -> DataFrame:
     """keys with ``left`` and ``right``: nibbles in common with the key before and after in the trie, -1 at its ends.
 
@@ -113,8 +105,8 @@ def roots(leaves: DataFrame, with_nodes: bool = False) -> tuple[DataFrame, DataF
 
     with_nodes: also a table (trie, path, ref) of every branch's reference. Tries without leaves have no row.
     """
-    rows = neighbours(leaves.select("trie", "path", "value"))
-    live = _stored(rows.select("trie", "path", F.length("path").alias("depth"), F.lit(True).alias("leaf"), F.col("value").alias("node"), "left", "right", F.greatest("left", "right").alias("up")), "leaves")
+    rows = neighbours(stored(leaves.select("trie", "path", "value"), "leaves"))
+    live = stored(rows.select("trie", "path", F.length("path").alias("depth"), F.lit(True).alias("leaf"), F.col("value").alias("node"), "left", "right", F.greatest("left", "right").alias("up")), "placed")
     depths = sorted((r[0] for r in live.select("up").union(live.select("left")).where("up >= 0").distinct().collect()), reverse=True)
     made: list[DataFrame] = []
     for d in depths:
@@ -126,7 +118,7 @@ def roots(leaves: DataFrame, with_nodes: bool = False) -> tuple[DataFrame, DataF
         grouped = children.groupBy("trie", prefix.alias("prefix")).agg(F.map_from_entries(F.collect_list(F.struct("nibble", "ref"))).alias("refs"), F.min_by("left", "nibble").alias("left"), F.max_by("right", "nibble").alias("right"))
         each = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.coalesce(F.hex(F.try_element_at("refs", F.hex(i))), F.lit("80")))
         grouped = grouped.withColumn("_items", F.unhex(F.concat(F.array_join(each, ""), F.lit("80"))))
-        made.append(_stored(grouped.select("trie", F.col("prefix").alias("path"), F.lit(d).alias("depth"), F.lit(False).alias("leaf"), rlp.list_of(F.col("_items")).alias("node"), "left", "right", F.greatest("left", "right").alias("up")), "branches"))
+        made.append(stored(grouped.select("trie", F.col("prefix").alias("path"), F.lit(d).alias("depth"), F.lit(False).alias("leaf"), rlp.list_of(F.col("_items")).alias("node"), "left", "right", F.greatest("left", "right").alias("up")), "branches"))
     pool = live
     for more in made:
         pool = pool.unionByName(more)

@@ -1,11 +1,20 @@
-"""The folder that all executors share."""
+"""The folder that all executors share, and tables written there to cut lineage."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session, or a folder of our own where it is unset (local runs)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     return (base or "file:///tmp/checkpoints/lodestate").rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: later steps start from files, and lost executors cost no more than their task."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
