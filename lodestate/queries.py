@@ -8,10 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import bits, paths, rlp
+from .functions import bits, memo, paths, rlp
 from .functions.keccak import keccak256
 from .operators import filters, overlay, stats, tries
 from .plans import adapters
+from .sources import importer
 from .sources.shared import shared_dir
 from .sources.snapshots import SnapshotStore
 
@@ -322,6 +323,30 @@ def hex_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _customers(spark, sf_dir).select("id", F.hex(rlp.hex_prefix(part, True)).alias("leaf"), F.hex(rlp.hex_prefix(part, False)).alias("extension"))
 
 
+@_query("""SELECT upper(sha256(CAST(c_custkey AS VARCHAR))) AS account, '' AS slot, CAST(greatest(CAST(round(c_acctbal * 100) AS BIGINT), 0) AS BIGINT) AS number, CAST(c_nationkey AS BIGINT) AS nonce FROM customer
+UNION ALL SELECT upper(sha256(CAST(o_custkey AS VARCHAR))), upper(sha256(CAST(o_orderkey AS VARCHAR))), CAST(round(o_totalprice * 100) AS BIGINT), CAST(-1 AS BIGINT) FROM orders""")
+def import_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Account and storage leaves of a trie, as another node has them, taken into the state and read."""
+    accounts = tries.account_leaves(adapters.accounts_of(_table(spark, sf_dir, "customer")))
+    storage = adapters.storage_of(_table(spark, sf_dir, "orders")).select(F.concat("account", "slot").alias("path"), rlp.byte_string(F.col("value")).alias("value"))
+    state = importer.import_leaves(accounts.select("path", "value").unionByName(storage))
+    number = lambda c: F.conv(F.substr(F.hex(bits.padded32(c)), F.lit(50)), 16, 10).cast("long")
+    read = state.select("account", "slot", "type", "value", F.when(F.col("type") == paths.ACCOUNT, rlp.account_from_bytes(F.col("value"))).alias("a"))
+    return read.select("account", "slot", number(F.coalesce("a.balance", "value")).alias("number"), F.when(F.col("type") == paths.ACCOUNT, number(F.col("a.nonce"))).otherwise(F.lit(-1)).alias("nonce"))
+
+
+@_query("""WITH m AS (SELECT n_regionkey, n_nationkey % 16 AS k, max(sha256(n_name)) AS v FROM nation GROUP BY ALL),
+i AS (SELECT n_regionkey, k, v FROM m WHERE k NOT IN (3, 5) UNION ALL SELECT DISTINCT n_regionkey, 3, 'new' FROM m)
+SELECT n_regionkey AS region, string_agg(k || '=' || v, ',' ORDER BY k) AS memo, CAST(sum(1 << k) AS INTEGER) AS children, true AS has_3 FROM i GROUP BY 1""")
+def child_memo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Child hashes of a branch: one inserted, one deleted."""
+    each = _table(spark, sf_dir, "nation").groupBy("n_regionkey", (F.col("n_nationkey") % 16).cast("tinyint").alias("k")).agg(F.max(F.sha2("n_name", 256)).alias("v"))
+    built = each.groupBy(F.col("n_regionkey").alias("region")).agg(F.map_from_entries(F.collect_list(F.struct("k", F.encode("v", "UTF-8").alias("v")))).alias("m"))
+    m = memo.delete(memo.insert(F.col("m"), F.lit(3), F.lit(b"new")), F.lit(5))
+    text = F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"].cast("string"), F.lit("="), F.decode(e["value"], "UTF-8"))), ",")
+    return built.select("region", text.alias("memo"), memo.children(m).alias("children"), memo.exists(m, F.lit(3)).alias("has_3"))
+
+
 @_query()
 def keccak_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _customers(spark, sf_dir).select("id", F.hex(keccak256(F.col("value"))).alias("digest"))
