@@ -22,8 +22,8 @@ from ._batches import bounded_arrow, blocks, mix, span_hashes, text_view, word_s
 
 #: At most about so many toxic rows, and CLEAN_RATIO times as many clean ones, are learned from: those of the smallest hash of their key.
 TRAIN_ROWS, CLEAN_RATIO = 5000, 4
-#: A learned lexicon entry is LIFT times as frequent in toxic rows as in clean ones, with EVIDENCE nats against chance.
-LIFT, EVIDENCE = 30.0, 12.0
+#: A learned lexicon entry has at most this share of its rows among clean ones, and EVIDENCE nats against chance.
+CLEAN_SHARE, EVIDENCE = 0.01, 12.0
 #: Word beginnings of these many bytes can be lexicon entries.
 PREFIXES = (4, 5, 6, 7, 8)
 #: How many words a negation or a target reaches.
@@ -39,8 +39,9 @@ SEED = {
 }
 #: Symbols that the composed machine writes: insult or threat as a plain, aimed, negated or reported match.
 OUTPUTS = ("plain insult", "aimed insult", "negated insult", "reported insult", "plain threat", "aimed threat", "negated threat", "reported threat")
-#: Weights to begin with: of OUTPUTS, of any insult or aimed threat at all, and the bias; training moves them as far as labels tell.
-PRIOR = np.array([3.0, 3.5, 0.5, 0.8, 0.6, 2.5, 0.1, 0.3, 0.5, -2.0])
+#: Weights to begin with: of OUTPUTS (the first is of all plain and aimed insults, the second of aimed ones on top), of any insult or
+#: aimed threat at all, and the bias; training moves them as far as labels tell.
+PRIOR = np.array([3.0, 0.5, 0.5, 0.8, 0.6, 2.5, 0.1, 0.3, 1.5, -2.0])
 
 
 class Transducer:
@@ -175,10 +176,12 @@ def match_counts(column: pa.Array, model: Model, machine: Transducer) -> np.ndar
 
 def _design(counts: np.ndarray) -> np.ndarray:
     strong = counts[:, [0, 1, 5]].sum(1, keepdims=True) > 0
+    counts = counts.copy()
+    counts[:, 0] += counts[:, 1]
     return np.concatenate([np.log1p(counts), strong, np.ones((len(counts), 1))], 1)
 
 
-def _fit(x: np.ndarray, y: np.ndarray, strength: float = 1.0) -> np.ndarray:
+def _fit(x: np.ndarray, y: np.ndarray, strength: float = 0.3) -> np.ndarray:
     """Logistic regression by Newton's method, drawn towards PRIOR."""
     w = PRIOR.copy()
     for _ in range(50):
@@ -250,9 +253,8 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
             clean = counted(sample.where("y = 0"), docs.sparkSession.sparkContext.broadcast(terms)).toPandas()
             both = toxic.merge(clean, on="term", how="left", suffixes=("", "_clean")).fillna(0)
             t, c = both["n"].to_numpy(float), both["n_clean"].to_numpy(float)
-            lift = ((t + 0.5) / n[1]) / ((c + 0.5) / n[0])
             evidence = t * np.log(t / ((t + c) * rate)) + np.where(c > 0, c * np.log(np.maximum(c, 1) / ((t + c) * (1 - rate))), 0)
-            model = Model.seeded(both["term"].to_numpy(np.int64)[(lift >= LIFT) & (evidence >= EVIDENCE)].view(np.uint64))
+            model = Model.seeded(both["term"].to_numpy(np.int64)[(c <= CLEAN_SHARE * (t + c)) & (evidence >= EVIDENCE)].view(np.uint64))
         handle = docs.sparkSession.sparkContext.broadcast(model)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
