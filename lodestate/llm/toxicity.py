@@ -89,13 +89,34 @@ def _to_the_end(trigger: str, change: dict[str, str]) -> Transducer:
     return Transducer({0: off, 1: on})
 
 
-def grammar() -> Transducer:
-    """Negation, then reported speech, then targets. a..d: insult outputs, e..h: threat outputs, in OUTPUTS' order."""
-    negation = _reaching("N", {"I": "c", "T": "g"}, REACH)
-    reported = _to_the_end("R", {"I": "d", "T": "h"})
+@dataclass
+class Grammar:
+    """Two machines: ``after`` reads a clause from its end and aims matches that a target follows, ``machine`` reads what
+    that wrote from its start: negation, then reported speech, then targets before the match.
+    """
+
+    after: Transducer
+    machine: Transducer
+
+    def read(self, clause: list[str]) -> list[str]:
+        state, marked = 0, []
+        for symbol in reversed(clause):
+            state, wrote = self.after.arcs[state][symbol]
+            marked.append(wrote)
+        state, out = 0, []
+        for symbol in reversed(marked):
+            state, wrote = self.machine.arcs[state][symbol]
+            out.append(wrote)
+        return out
+
+
+def grammar() -> Grammar:
+    """a..d: insult outputs, e..h: threat outputs, in OUTPUTS' order; I and T are written for plain matches."""
+    negation = _reaching("N", {"I": "c", "b": "c", "T": "g", "f": "g"}, REACH)
+    reported = _to_the_end("R", {"I": "d", "b": "d", "T": "h", "f": "h"})
     target = _reaching("G", {"I": "b", "T": "f"}, REACH)
-    symbols = "ITGNRO"
-    return negation.compose(reported, symbols).compose(target, symbols)
+    symbols = "ITGNRObf"
+    return Grammar(target, negation.compose(reported, symbols).compose(target, symbols))
 
 
 _LETTER = np.zeros(256, bool)
@@ -149,8 +170,8 @@ class Model:
         return np.where(self.table[at] == hashes, self.symbols[at], b"O")
 
 
-def match_counts(column: pa.Array, model: Model, machine: Transducer) -> np.ndarray:
-    """Rows x OUTPUTS: how often the machine writes each symbol in each text."""
+def match_counts(column: pa.Array, model: Model, rules: Grammar) -> np.ndarray:
+    """Rows x OUTPUTS: how often the grammar writes each symbol in each text."""
     words, n = _read(column), len(column)
     out = np.zeros((n, len(OUTPUTS)))
     if not len(words.hashes):
@@ -164,13 +185,12 @@ def match_counts(column: pa.Array, model: Model, machine: Transducer) -> np.ndar
     clauses = np.unique(words.clauses[strong])
     at = np.minimum(np.searchsorted(clauses, words.clauses), len(clauses) - 1)
     mine = np.nonzero(clauses[at] == words.clauses)[0]
-    state, clause = 0, -1
-    for symbol, own, row in zip(symbols[mine].tolist(), words.clauses[mine].tolist(), words.rows[mine].tolist(), strict=True):
-        if own != clause:
-            state, clause = 0, own
-        state, wrote = machine.arcs[state][symbol.decode()]
-        if wrote in "ITabcdefgh":
-            out[row, "abcdefgh".index({"I": "a", "T": "e"}.get(wrote, wrote))] += 1
+    read = symbols[mine].astype("U1").tolist()
+    first = np.nonzero(np.diff(words.clauses[mine], prepend=-1))[0].tolist()
+    for a, b in zip(first, [*first[1:], len(read)], strict=True):
+        for wrote in rules.read(read[a:b]):
+            if wrote not in "GNRO":
+                out[words.rows[mine[a]], "abcdefgh".index({"I": "a", "T": "e"}.get(wrote, wrote))] += 1
     return out
 
 

@@ -195,17 +195,11 @@ def test_chat_plan_is_native(spark):
 
 
 def test_grammar_composition():
-    machine = toxicity.grammar()
-
-    def run(symbols):
-        state, out = 0, ""
-        for s in symbols:
-            state, wrote = machine.arcs[state][s]
-            out += wrote
-        return out
-
+    rules = toxicity.grammar()
+    run = lambda symbols: "".join(rules.read(list(symbols)))
     assert run("I") == "I" and run("GOI")[-1] == "b" and run("NI")[-1] == "c" and run("ROOOOOI")[-1] == "d"
     assert run("NOOOOOI")[-1] == "I" and run("RT")[-1] == "h" and run("GT")[-1] == "f"
+    assert run("TG") == "fG" and run("NTG")[1] == "g" and run("ROIG")[2] == "d" and run("IOOOOOG")[0] == "I"
 
 
 def test_toxicity(spark):
