@@ -1,41 +1,69 @@
 """A training corpus from ``documents``, in stages. Each stage works on the whole table that the stage before it wrote.
 
-Every function takes (spark, docs, sf_dir); all but the last return the columns of documents.
+Every function takes (spark, docs, sf_dir); all but the last return the columns of documents. A stage's result is to be
+written before the next stage begins: that one deletes the intermediate tables of the one before.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestate.llm import bpe, decontam, langid, minhash, suffix_dedup
-from lodestate.llm._batches import stored
+from lodestate.llm._batches import WRITTEN, discard, stored
 from lodestate.llm.queries import language_model
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_left: list[str] = []
+
+
+def _stage(make: Stage) -> Stage:
+    """The stage, with the tables deleted that the stage before has left behind."""
+
+    @wraps(make)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(spark, _left)
+        _left.clear()
+        before = len(WRITTEN)
+        out = make(spark, docs, sf_dir)
+        _left.extend(WRITTEN[before:])
+        return out
+
+    return run
+
+
+@_stage
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents without any letter go."""
     return langid.keep_identified(docs.select(*COLUMNS), language_model(docs))
 
 
+@_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash: the document of the smallest id stays of each group."""
     return minhash.keep_one(docs.select(*COLUMNS))
 
 
+@_stage
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Suffix arrays: passages that an earlier document has are cut out of the texts. Halves of cut characters go too."""
     left = suffix_dedup.remove_repeats(docs.select(*COLUMNS))
     return left.select("row.doc_id", F.col("kept").alias("text"), "row.lang", "row.source", F.char_length("kept").cast("long").alias("n_chars"))
 
 
+@_stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Suffix arrays over words: documents with a benchmark window go."""
     return decontam.decontaminate(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """BPE: ids of the texts that are left, and whether they decode to the same text."""
     coded = bpe.encode(docs.select("doc_id", "text", "lang", "source"), decoded="decoded")

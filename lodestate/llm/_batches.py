@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -31,12 +33,35 @@ def shared_dir(spark: SparkSession) -> str:
     return (base or "file:///tmp/checkpoints/lodestate").rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
+#: Paths of the tables that ``stored`` has written in this process.
+WRITTEN: list[str] = []
+
+
+def stored(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    What made df is garbage then. release: collect it now, so that Spark's cleaner removes its shuffle files at once and
+    not when memory happens to run low on the driver; twice, as events of the job that has just ended hold it for a moment.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    WRITTEN.append(path)
+    schema = df.schema
+    if release:
+        del df
+        for _ in range(2):
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.5)
+    return spark.read.schema(schema).parquet(path)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for path in paths:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def text_view(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

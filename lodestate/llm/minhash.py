@@ -300,7 +300,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     # classes of equal sets: the smallest id stands for all; map-side minima keep a class of many copies cheap
     firsts = facts.where("set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     classes = stored(firsts.groupBy(F.col("class_id").alias("doc_id")).agg(F.max_by("n_shingles", "set_hash").alias("n_shingles"), F.max_by("sketch", "set_hash").alias("sketch")), "classes")
-    lists = stored(listed_values(classes, k=k, overlap=overlap), "lists")
+    lists = stored(listed_values(classes, k=k, overlap=overlap), "lists", release=True)
     nodes = classes.select("doc_id")
     links = stored(verified(stored(stars(lists), "stars"), plain, percent=percent), "links")
     parts = components(nodes, links)

@@ -102,8 +102,16 @@ def _unpacked(data: bytes, width: int) -> np.ndarray:
 _ANCHORS = "bucket int, h binary, c binary, at binary, docs binary"
 
 
-def _anchor_rows(texts: DataFrame, buckets: int) -> DataFrame:
+def _bucket_names(spark: SparkSession, partitions: int) -> list[int]:
+    """For each hash partition a number that repartition(partitions, column) deals to it, so that each gets one bucket."""
+    rows = spark.range(24 * partitions).select(F.col("id").cast("int").alias("name")).withColumn("p", F.pmod(F.hash("name"), F.lit(partitions)))
+    found = {r.p: r.name for r in rows.groupBy("p").agg(F.min("name").alias("name")).collect()}
+    return [found.get(p, 24 * partitions + p) for p in range(partitions)]
+
+
+def _anchor_rows(texts: DataFrame, names: list[int]) -> DataFrame:
     """Anchors in packed columns: for each block of texts and bucket one row. docs: documents, text hashes, first places."""
+    buckets = len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ._batches import span_hashes
@@ -125,7 +133,7 @@ def _anchor_rows(texts: DataFrame, buckets: int) -> DataFrame:
             for b in np.nonzero(np.diff(bounds))[0]:
                 own = order[bounds[b] : bounds[b + 1]]
                 rows = np.unique(row[own])
-                for column, value in zip(out, (int(b), _packed(h[own] >> U(24), 5), _packed(c[own], 5), _packed(at[own].astype(U), place), doc[rows].astype("<i8").tobytes() + mark[rows].astype("<i4").tobytes() + offsets[rows].astype("<i4").tobytes()), strict=True):
+                for column, value in zip(out, (names[b], _packed(h[own] >> U(24), 5), _packed(c[own], 5), _packed(at[own].astype(U), place), doc[rows].astype("<i8").tobytes() + mark[rows].astype("<i4").tobytes() + offsets[rows].astype("<i4").tobytes()), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], ["bucket", "h", "c", "at", "docs"])
 
@@ -231,11 +239,11 @@ def _valid(kept: bytes) -> bytes:
 
 
 def _fetch(sorted_rows: DataFrame, keep_text: bool) -> DataFrame:
-    """Documents without open contexts are done; others are handed on with their texts, and their open contexts as rows."""
+    """Documents without open contexts are done; others are handed on with their (compressed) texts, and their open contexts as rows."""
     row_kind = sorted_rows.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor()
+        expand, squeeze = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
         own, repeats, open_ = None, [], []
         for batch in batches:
             done: list[tuple] = []
@@ -255,7 +263,7 @@ def _fetch(sorted_rows: DataFrame, keep_text: bool) -> DataFrame:
                     places = np.concatenate(open_).astype(np.int64)
                     # a context inside one removed range has nothing left to decide, but others may repeat it
                     contexts += [(doc, mark, p, text[max(0, p - REACH) : p + ANCHOR + REACH], min(p, REACH)) for p in places.tolist()]
-                    done.append((doc, mark, text, spans.astype("<i8").tobytes(), None, None, None, None, None))
+                    done.append((doc, mark, squeeze.compress(text), spans.astype("<i8").tobytes(), None, None, None, None, None))
                 else:
                     size, removed, n, kept = _settled(text, spans)
                     done.append((doc, mark, _valid(kept) if keep_text else None, None, size, removed, n, hashlib.sha256(kept).hexdigest(), None))
@@ -360,6 +368,7 @@ def _finish(open_texts: DataFrame, marks: DataFrame, partitions: int, keep_text:
     found = marks.select("doc", "mark", "kind", F.col("data").alias("text"), F.lit(None).cast("binary").alias("spans"), F.lit(None).cast(row_type).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor()
         own, bits = None, []
         for batch in batches:
             done, at = [], []
@@ -370,6 +379,7 @@ def _finish(open_texts: DataFrame, marks: DataFrame, partitions: int, keep_text:
                 if kind != TEXT:
                     bits.append(np.frombuffer(data, "<i8"))
                     continue
+                data = expand.decompress(data)
                 spans = np.frombuffer(batch.column("spans")[i].as_py(), "<i8").reshape(-1, 2)
                 if bits:
                     place, set_ = np.stack(bits).T
@@ -402,8 +412,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     partitions = _partitions(spark)
     none = F.lit((1 << 63) - 1)
     texts = docs.select(F.coalesce(F.col(key).cast("long"), none).alias("doc"), F.hash(F.col(text)).cast("long").alias("mark"), F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row"))
-    found = _find(_anchor_rows(texts, partitions), partitions)
-    fetched = stored(_fetch(_by_document(texts, found, partitions), keep_text), "texts")
+    fetched = stored(_fetch(_by_document(texts, _find(_anchor_rows(texts, _bucket_names(spark, partitions)), partitions), partitions), keep_text), "texts", release=True)
     open_ = fetched.where("spans is not null")
     closed = fetched.where("spans is null and h is null")
     marks = _compare(fetched.where("h is not null"), partitions)
