@@ -4,7 +4,7 @@ A passage is a string of MATCH bytes. Each one holds an anchor: the ANCHOR bytes
 (content alone decides which), with at most REACH bytes of the passage on either side. So:
 
 1. Every text gives its anchors. They are dealt by hash as packed columns: hash, hash of the whole context (the anchor
-   and REACH bytes around it), document and place.
+   and REACH bytes around it, in full: 64 bits), document and place.
 2. An anchor that occurs in one document only is dropped. If a smaller document has the same context, all passages in
    it are repeats. What is left is the first context of each kind among several kinds with one anchor: at the
    borders of repeats.
@@ -133,7 +133,7 @@ def _anchor_rows(texts: DataFrame, names: list[int]) -> DataFrame:
             for b in np.nonzero(np.diff(bounds))[0]:
                 own = order[bounds[b] : bounds[b + 1]]
                 rows = np.unique(row[own])
-                for column, value in zip(out, (names[b], _packed(h[own] >> U(24), 5), _packed(c[own], 5), _packed(at[own].astype(U), place), doc[rows].astype("<i8").tobytes() + mark[rows].astype("<i4").tobytes() + offsets[rows].astype("<i4").tobytes()), strict=True):
+                for column, value in zip(out, (names[b], _packed(h[own] >> U(24), 5), _packed(c[own], 8), _packed(at[own].astype(U), place), doc[rows].astype("<i8").tobytes() + mark[rows].astype("<i4").tobytes() + offsets[rows].astype("<i4").tobytes()), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], ["bucket", "h", "c", "at", "docs"])
 
@@ -193,7 +193,7 @@ def _find(rows: DataFrame, partitions: int) -> DataFrame:
                 doc, (mark, start) = np.frombuffer(docs, "<i8", n), np.frombuffer(docs, "<i4", 2 * n, 8 * n).reshape(2, n).astype(np.int64)
                 place = _unpacked(at, len(at) // (len(h) // 5)).astype(np.int64)
                 row = np.searchsorted(start, place, "right") - 1
-                held.append((_unpacked(h, 5), _unpacked(c, 5), doc[row], mark[row], place - start[row]))
+                held.append((_unpacked(h, 5), _unpacked(c, 8), doc[row], mark[row], place - start[row]))
         yield from close()
 
     return rows.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _FOUND)

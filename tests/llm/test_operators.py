@@ -99,6 +99,13 @@ def test_repeated_rows_are_kept(spark):
     assert sorted((r.doc_id or 99, r.component_id or 99) for r in minhash.near_duplicates(docs.where("doc_id is not null")).collect()) == [(1, 1), (1, 1), (2, 1)]
 
 
+def test_contexts_of_one_short_digest_are_told_apart(spark):
+    """Two contexts of one anchor, whose digests have the same lower 40 bits, and no passage in common."""
+    rows = [(1, "ltbvfhidvhmjcyvvdxsgvqyximrelafyscduzdusfeccwgrfkrjohxfsdlnaldutxxgtdstlym"), (2, "hhmhvidmxkepoqpotfxgqwirimrelafyscduzdusfeccwgrfkrijhxtnfanymjswsibnwfmdbp")]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.row.doc_id, r.n_removed) for r in got.collect()) == [(1, 0), (2, 0)]
+
+
 ITEMS = [(1, prose(2, 60)[30:200]), (2, "never blue"), (3, None), (4, ""), (5, "Mountain!"), (6, prose(300, 30)), (7, prose(300, 30)), (8, "river stone light, under")]
 
 
