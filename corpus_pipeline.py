@@ -46,8 +46,8 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash: the document of the smallest id stays of each group."""
-    return minhash.keep_one(docs.select(*COLUMNS))
+    """MinHash: the document of the smallest id stays of each group. Documents of Jaccard 0.8 and up are near duplicates."""
+    return minhash.keep_one(docs.select(*COLUMNS), percent=80)
 
 
 @_stage

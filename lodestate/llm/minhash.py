@@ -3,7 +3,7 @@
 1. Every document's distinct word shingles are hashed once; documents with equal sets form a class with one
    representative. The k smallest hashes of a set are its sketch.
 2. Inverted lists of retained values generate overlaps. A sketch's values are ordered from rare to frequent, and only
-   its first values are listed: two sketches that share OVERLAP values must meet in these lists, and a passage that
+   its first values are listed: two sketches that share ``overlap`` values must meet in these lists, and a passage that
    many documents hold doesn't make lists of them.
 3. First, each document is paired with the most central member of the lists it is in, so a group of n copies costs
    about n pairs; exact Jaccard on the full sets verifies them. Documents that lists connect are a family. Where these
@@ -16,6 +16,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,8 @@ from ._batches import LOWER, U, blocks, bounded_arrow, map_blocks, mix, span_has
 SHINGLE = 5
 #: Retained values of a sketch.
 SKETCH = 64
-#: Two sets of Jaccard 0.85 share fewer than this many of the 64 smallest values of their union in fewer than one of a
-#: million cases (binomial tail: each of these is shared with probability 0.85).
-OVERLAP = 39
+#: Share of true pairs that sketches may miss.
+MISSED = 1e-6
 #: Links (16 bytes each) that one task may join.
 LOCAL_LINKS = 1_000_000
 #: Documents on either side of a block.
@@ -40,6 +40,19 @@ _SPACE = np.ones(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = False
 
 
+def overlap_of(percent: int, k: int = SKETCH) -> int:
+    """The most that two sets of Jaccard percent / 100 share of the k smallest values of their union in all but MISSED of cases.
+
+    Each of these is shared with that probability (binomial tail). Raises where even one value is too much to ask for.
+    """
+    p, tail, n = percent / 100, 0.0, 0
+    while n < k and (tail := tail + comb(k, n) * p**n * (1 - p) ** (k - n)) < MISSED:
+        n += 1
+    if not n:
+        raise ValueError(f"sketches of {k} values miss too many pairs of {percent} percent: use more")
+    return n
+
+
 def shingle_sets(column: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct shingle hashes of each text one after the other, their bounds)."""
     raw, offsets = text_view(column)
@@ -85,7 +98,7 @@ def sketches(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int
     return map_blocks(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), "text", make, "doc_id long, n_shingles long, set_hash string, sketch array<bigint>")
 
 
-def listed_values(classes: DataFrame, *, k: int = SKETCH, overlap: int = OVERLAP) -> DataFrame:
+def listed_values(classes: DataFrame, *, overlap: int, k: int = SKETCH) -> DataFrame:
     """(v, doc_id, n): the inverted lists' rows. Values that one sketch alone holds take their place but need no list."""
     each = classes.select("doc_id", F.col("n_shingles").alias("n"), F.explode("sketch").alias("v"))
     shared = each.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -197,8 +210,9 @@ def _with_sets(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.join(map_blocks(docs.join(ids, "doc_id", "left_semi"), "text", make, "doc_id long, values binary"), "doc_id")
 
 
-def residual_links(blocks_: DataFrame, docs: DataFrame, *, percent: int, k: int = SKETCH, overlap: int = OVERLAP) -> DataFrame:
+def residual_links(blocks_: DataFrame, docs: DataFrame, *, percent: int, k: int = SKETCH, overlap: int | None = None) -> DataFrame:
     """(a, b): true links between components of a family, found block by block on the full sets. No pair is emitted that isn't a link."""
+    overlap = overlap_of(percent, k) if overlap is None else overlap
     rows = _with_sets(blocks_, docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,13 +301,15 @@ def components(nodes: DataFrame, links: DataFrame, node: str = "doc_id", local_l
             return nodes.join(labels, F.col(node) == F.col("v"), "left").select(node, F.coalesce("c", node).alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = 85, k: int = SKETCH, overlap: int = OVERLAP) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = 85, k: int = SKETCH, overlap: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document: kept is the smallest id of each component.
 
     Documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of word shingles. Null, empty and wordless
     texts have no shingle and no link. Rows with equal ids and equal texts stay rows of their own; rows with one id and
-    different texts are linked through that id. Other columns aren't read.
+    different texts are linked through that id. Other columns aren't read. overlap: values that sketches of a link must
+    share; by default all that percent and k allow to ask for.
     """
+    overlap = overlap_of(percent, k) if overlap is None else overlap
     bounded_arrow(docs.sparkSession)
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     facts = stored(sketches(plain, k=k), "sketches")

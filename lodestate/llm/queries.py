@@ -134,7 +134,7 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,6 +85,41 @@ def test_residual_links_in_blocks(spark):
     assert got == [(d, c) for d, _, c, _ in brute.near_duplicates(rows)]
 
 
+def altered(percent, n):
+    """n pairs of texts of 400 words, of a Jaccard little above percent / 100."""
+    rows = []
+    for i in range(n):
+        w = [f"a{i}x{j}" for j in range(400)]
+        size = len(w) - 4
+        gone = int(size * (100 - percent) / (100 + percent))  # one changed word in the middle changes 5 shingles
+        changed = list(w)
+        for j in range(gone // 5):
+            changed[4 + 5 * j] = f"b{i}x{j}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(changed))]
+    return rows
+
+
+def test_overlap_follows_percent(spark):
+    assert [minhash.overlap_of(p) for p in (85, 80, 70)] == [39, 34, 26]
+    with pytest.raises(ValueError):
+        minhash.overlap_of(15)
+    rows = altered(70, 150)
+    want = brute.near_duplicates(rows, 70)
+    assert sum(not r[3] for r in want) == 150
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in minhash.near_duplicates(docs, percent=70).collect()) == want
+
+
+def test_pipeline_drops_documents_of_80_percent(spark):
+    import corpus_pipeline
+
+    rows = altered(81, 20)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert not any(not r[3] for r in brute.near_duplicates(rows, 85))
+    got = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert got == [r[0] for r in brute.near_duplicates(rows, 80) if r[3]] == list(range(0, 40, 2))
+
+
 def test_remove_repeats(docs):
     got = suffix_dedup.remove_repeats(docs)
     assert sorted((r.row.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == brute.remove_repeats(corpus())
