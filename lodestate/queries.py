@@ -441,8 +441,8 @@ def stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     events = _table(spark, sf_dir, "events")
-    adapters.event_ops(events, DESTROYS).where(F.col("op") == overlay.SET).withColumn("number", F.dayofyear(F.to_date("block_hash")).cast("long")).write.parquet(f"{path}/ops")
-    source = spark.readStream.schema(spark.read.parquet(f"{path}/ops").schema).parquet(f"{path}/ops")
+    adapters.event_ops(events, DESTROYS).where(F.col("op") == overlay.SET).withColumn("number", F.unix_date(F.to_date("block_hash")).cast("long")).repartition(4).write.parquet(f"{path}/ops")
+    source = spark.readStream.schema(spark.read.parquet(f"{path}/ops").schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/ops")
     store = SnapshotStore(spark, f"{path}/store", history=4)
     fold_stream(source, store, f"{path}/checkpoint").awaitTermination()
     return store.read_latest().select("account", "slot", _text().alias("value"))

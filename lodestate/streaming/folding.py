@@ -2,29 +2,73 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.overlay import fold
+from ..operators import overlay
+from ..operators.overlay import DESTROY, KEY, PERSISTENT, PREFIX_DELETE, SET
 from ..sources.snapshots import SnapshotStore
 
+_CARRIED = "number long, seq long, op int, type int, account string, slot string, value binary, entry_type int"
+
+
+def settled(ops: DataFrame) -> DataFrame:
+    """What ops that are still to come can depend on: each key's last persistent set, each account's last destroy, each prefix's last delete."""
+    ops = ops.where((F.col("op") != SET) | (F.col("entry_type") == PERSISTENT))
+    slot = F.when(F.col("op") == DESTROY, F.lit("")).otherwise(F.col("slot"))
+    type_ = F.when(F.col("op") == DESTROY, F.lit(0)).otherwise(F.col("type"))
+    last = ops.groupBy("op", "account", type_.alias("type"), slot.alias("slot")).agg(F.max_by(F.struct("number", "seq", "value", "entry_type"), F.when(F.col("op") == PREFIX_DELETE, F.col("number")).otherwise(F.col("seq"))).alias("l"))
+    return last.select("l.number", "l.seq", "op", "type", "account", "slot", "l.value", "l.entry_type")
+
+
+def live(ops: DataFrame) -> DataFrame:
+    """The snapshot of settled ops, in whatever order they came: a prefix delete hides the sets of blocks before its own."""
+    left = ops.where(F.col("op") != PREFIX_DELETE)
+    deletes = ops.where(F.col("op") == PREFIX_DELETE).select("account", F.col("slot").alias("prefix"), "type", "number")
+    numbers = [r[0] for r in deletes.select("number").distinct().collect()]
+    sets = left.where(F.col("op") == SET)
+    for number in sorted(numbers):
+        older = overlay.remove_prefixes(sets.where(F.col("number") < number), deletes.where(F.col("number") == number).drop("number"))
+        sets = sets.where(F.col("number") >= number).unionByName(older)
+    empty = ops.limit(0).select(*KEY, "value")
+    return overlay.fold(empty, sets.unionByName(left.where(F.col("op") == DESTROY)))
+
 
 def fold_stream(ops: DataFrame, store: SnapshotStore, checkpoint: str, *, trigger: dict | None = None, number: str = "number") -> StreamingQuery:
-    """Start folding a stream of ops (with a block ``number``) into the store.
+    """Start folding a stream of ops (with a block ``number`` that never falls along the chain) into the store.
 
-    Each micro-batch becomes one version, named by its highest block. Ops of blocks at or below the last folded one are
-    late or repeated and are ignored, so a batch that runs again after a failure changes nothing.
+    Each micro-batch becomes one version, named by the highest block so far, the stream and the micro-batch; one that runs
+    again after a failure finds its name and changes nothing. A block's ops may come in several micro-batches and blocks
+    in any order: seq orders the ops, and what late ones can depend on is carried along beside the version.
     """
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
-    def run(batch: DataFrame, _: int) -> None:
-        last = store.latest()
-        fresh = batch.where(F.col(number) > (last.block_number if last else -1))
-        top = fresh.agg(F.max(number)).first()[0]
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark, last = store.spark, store.latest()
+        done = re.fullmatch(rf"block--?\d+-stream-{stream}-batch-(\d+)", last.state_hash) if last else None
+        if done and int(done[1]) >= batch_id:
+            return
+        fresh = batch.select(*[F.col(number if c == "number" else c).cast(t).alias(c) for c, t in (x.split() for x in _CARRIED.split(", "))])
+        top = fresh.agg(F.max("number")).first()[0]
         if top is None:
             return
-        base = store.read_latest().select("account", "slot", "type", "value")
-        store.commit(fold(base, fresh), top, f"block-{top}")
+        carried = f"{store.path}/carried"
+        if last and "-stream-" in last.state_hash:
+            known = spark.read.schema(_CARRIED).parquet(f"{carried}/{last.state_hash}")
+        else:  # a version of another writer lies below all ops
+            low = F.lit(-(1 << 62))
+            known = store.read_latest().select(low.alias("number"), low.alias("seq"), F.lit(SET).alias("op"), "type", "account", "slot", "value", F.lit(PERSISTENT).alias("entry_type"))
+        top = max(top, last.block_number) if last else top
+        name = f"block-{top}-stream-{stream}-batch-{batch_id}"
+        settled(known.unionByName(fresh)).write.mode("overwrite").parquet(f"{carried}/{name}")
+        store.commit(live(spark.read.schema(_CARRIED).parquet(f"{carried}/{name}")), top, name)
+        if last:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{carried}/{last.state_hash}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return ops.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

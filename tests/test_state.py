@@ -133,3 +133,30 @@ def test_ancestors_by_query_equal_the_walk(spark):
     assert sorted(overlay.ancestors(blocks, "h7").collect()) == sorted(overlay.ancestors(blocks, "h7", walked=0).collect())
     with pytest.raises(KeyError):
         overlay.ancestors(blocks, str(uuid.uuid4()))
+
+
+def test_stream_of_several_batches(spark, tmp_path):
+    """Parts of a block, older blocks and ops before a destroy come late; the last batch runs again."""
+    from lodestate.streaming.folding import fold_stream
+
+    schema = "number long, block_hash string, seq long, op int, type int, account string, slot string, value binary, entry_type int"
+    op = lambda n, seq, kind, account, slot, value=None: (n, f"b{n}", seq, kind, 1, account, slot, value, 0)
+    batches = [
+        [op(5, 50, 0, K0, "AA", b"\x50"), op(5, 52, 0, K1, "AA", b"\x52")],
+        [op(5, 51, 0, K0, "BB", b"\x51"), op(5, 53, 0, K1, "CC", b"\x53")],
+        [op(3, 30, 0, K0, "AA", b"\x30"), op(3, 31, 0, K0, "CC", b"\x31"), op(4, 40, 0, K1, "CD", b"\x40")],
+        [op(5, 54, 1, K1, ""), op(4, 41, 2, K0, "C")],
+        [op(6, 60, 0, K1, "DD", b"\x60"), op(6, 61, 0, K0, "BB", b"")],
+    ]
+    store = SnapshotStore(spark, f"file://{tmp_path}/store", history=9)
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/ops")
+        source = spark.readStream.schema(schema).parquet(f"{tmp_path}/ops")
+        fold_stream(source, store, f"{tmp_path}/checkpoint").awaitTermination()
+    state = {(r.account, r.slot): bytes(r.value) for r in store.read_latest().collect()}
+    assert state == {(K0, "AA"): b"\x50", (K1, "DD"): b"\x60"}
+    assert len(store._rows()) == len(batches)
+    (tmp_path / "checkpoint" / "commits" / "4").unlink()
+    (tmp_path / "checkpoint" / "commits" / ".4.crc").unlink(missing_ok=True)
+    fold_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/ops"), store, f"{tmp_path}/checkpoint").awaitTermination()
+    assert len(store._rows()) == len(batches)
