@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
-import time
-import uuid
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard, shared_dir, stored, written  # noqa: F401  (for the operators)
+
 #: Bytes of text that one numpy pass works on (a single longer text is a pass of its own).
 BLOCK_BYTES = 2 << 20
 #: Bytes of rows that Spark hands to Python at once.
@@ -27,43 +27,6 @@ def bounded_arrow(spark: SparkSession) -> None:
             continue
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (local runs)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (base or "file:///tmp/checkpoints/lodestate").rstrip("/")
-
-
-#: Paths of the tables that ``stored`` has written in this process.
-WRITTEN: list[str] = []
-
-
-def stored(df: DataFrame, name: str, release: bool = False) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors.
-
-    What made df is garbage then. release: collect it now, so that Spark's cleaner removes its shuffle files at once and
-    not when memory happens to run low on the driver; twice, as events of the job that has just ended hold it for a moment.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    WRITTEN.append(path)
-    schema = df.schema
-    if release:
-        del df
-        for _ in range(2):
-            gc.collect()
-            spark.sparkContext._jvm.System.gc()
-            time.sleep(0.5)
-    return spark.read.schema(schema).parquet(path)
-
-
-def discard(spark: SparkSession, paths: list[str]) -> None:
-    """Delete stored tables that nothing reads any more."""
-    for path in paths:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def text_view(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all rows, offsets of n + 1 rows) of a string or binary column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -142,6 +105,35 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: tup
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
 
 
+def _chars(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The first 8 bytes of each range as one number, zero beyond its end."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    value = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[starts]).view("<u8").reshape(-1)
+    bits = np.minimum(ends - starts, 8).astype(U) * U(8)
+    return np.where(bits < 64, value & ((U(1) << (bits & U(63))) - U(1)), value)
+
+
+#: Words of fewer bytes are their own number.
+LONG_WORD = 8
+
+
+def word_numbers(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(numbers of the byte ranges, which of them are long, the bytes of these). Shorter ranges have equal numbers only if they are equal."""
+    size = ends - starts
+    numbers = _chars(raw, starts, ends) | (np.minimum(size, LONG_WORD).astype(U) << U(56))
+    long_ = np.nonzero(size >= LONG_WORD)[0]
+    data = raw.tobytes()
+    return numbers, long_, [data[s:e] for s, e in zip(starts[long_].tolist(), ends[long_].tolist(), strict=True)]
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words: one to one below LONG_WORD bytes, a cryptographic digest from there on."""
+    numbers, long_, words = word_numbers(raw, starts, ends)
+    known = {w: hashlib.blake2b(w, digest_size=8).digest() for w in set(words)}
+    numbers[long_] = np.frombuffer(b"".join([known[w] for w in words]), "<u8")
+    return mix(numbers)
+
+
 #: A-Z to a-z, all other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

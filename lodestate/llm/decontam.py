@@ -2,8 +2,9 @@
 
 Each block of training documents gets a (sparse) suffix array over its words: the suffixes that begin with the
 first words of some benchmark window, in the order of their first WINDOW words. Every benchmark window (a test
-suffix cut at WINDOW words) is then binary-searched in every block's array; the range it finds holds all verbatim
-matches with their locations. Joined locations are the longest verbatim matches, and documents with any are
+suffix cut at WINDOW words) that begins like one of these is then binary-searched in the block's array; the range it
+finds holds all verbatim matches with their locations. Words are symbols, one for each different word, not hashes.
+Joined locations are the longest verbatim matches, and documents with any are
 affected. The suffixes left out begin with words that no benchmark window begins with, so no search can end on them.
 """
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._batches import LOWER, bounded_arrow, blocks, span_hashes, stored, text_view, total_bytes, word_spans
+from ._batches import LOWER, bounded_arrow, blocks, stored, text_view, total_bytes, word_numbers, word_spans
 
 #: Words of a benchmark window.
 WINDOW = 10
@@ -29,11 +30,11 @@ _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
 
 
-def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word hashes, row of each) of lower-cased texts."""
+def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """(word numbers, which words are long, these words, row of each word) of lower-cased texts."""
     low = LOWER[raw]
     starts, ends, rows = word_spans(_WORD[low], offsets)
-    return span_hashes(low, starts, ends), rows
+    return *word_numbers(low, starts, ends), rows
 
 
 def _lookup(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -56,20 +57,31 @@ def _head_keys(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 class TestSuffixes:
     """Distinct benchmark windows as sorted rows of word numbers (0 beyond a window's end), with their items."""
 
-    vocabulary: np.ndarray  # sorted word hashes; word number = index + 1
+    vocabulary: np.ndarray  # sorted numbers of short words; such a word's symbol is its index + 1
+    long_words: dict[bytes, int]  # symbols of the long ones
     windows: np.ndarray  # m x WINDOW
     lengths: np.ndarray  # m
     item_start: np.ndarray  # m + 1, into items
     items: np.ndarray  # indices into item_ids
     item_ids: list[str]
-    heads: dict[int, np.ndarray]  # sorted keys of the first words, by their number
+    heads: dict[int, tuple[np.ndarray, np.ndarray]]  # by the number of first words: their sorted keys, the windows in that order
+
+    def symbols(self, numbers: np.ndarray, long_: np.ndarray, words: list[bytes]) -> np.ndarray:
+        """The words' symbols, 0 for those that the benchmark doesn't have. Words are compared as they are, not by a hash."""
+        out = _lookup(self.vocabulary, numbers) + 1
+        out[long_] = [self.long_words.get(w, 0) for w in words]
+        return out
 
     @classmethod
     def build(cls, item_ids: list[str], texts: list[str | None], window: int = WINDOW) -> TestSuffixes:
         raw, offsets = text_view(pa.array(texts, pa.string()))
-        hashes, rows = _words(raw, offsets)
-        vocabulary = np.unique(hashes)
-        number = np.searchsorted(vocabulary, hashes) + 1
+        numbers, long_, words, rows = _words(raw, offsets)
+        short = np.ones(len(numbers), bool)
+        short[long_] = False
+        vocabulary = np.unique(numbers[short])
+        long_words = {w: len(vocabulary) + 1 + i for i, w in enumerate(sorted(set(words)))}
+        number = np.searchsorted(vocabulary, numbers) + 1
+        number[long_] = [long_words[w] for w in words]
         bounds = np.searchsorted(rows, np.arange(len(texts) + 1))
         found, owner = [], []
         for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
@@ -80,7 +92,7 @@ class TestSuffixes:
                 owner.append(np.full(len(view), i))
         if not found:
             empty = np.zeros(0, np.int64)
-            return cls(vocabulary, np.zeros((0, window), np.int64), empty, np.zeros(1, np.int64), empty, item_ids, {})
+            return cls(vocabulary, long_words, np.zeros((0, window), np.int64), empty, np.zeros(1, np.int64), empty, item_ids, {})
         windows, which = np.unique(np.concatenate(found), axis=0, return_inverse=True)
         pairs = np.unique(np.stack([which.reshape(-1), np.concatenate(owner)], 1), axis=0)
         lengths = (windows > 0).sum(1)
@@ -88,15 +100,22 @@ class TestSuffixes:
         for n in range(1, HEAD + 1):
             own = np.nonzero(lengths == n if n < HEAD else lengths >= n)[0]
             if len(own):
-                heads[n] = np.unique(_head_keys(windows.reshape(-1), own * window, n))
-        return cls(vocabulary, windows, lengths, np.searchsorted(pairs[:, 0], np.arange(len(windows) + 1)), pairs[:, 1], item_ids, heads)
+                keys = _head_keys(windows.reshape(-1), own * window, n)
+                order = np.argsort(keys, kind="stable")
+                heads[n] = keys[order], own[order]
+        return cls(vocabulary, long_words, windows, lengths, np.searchsorted(pairs[:, 0], np.arange(len(windows) + 1)), pairs[:, 1], item_ids, heads)
+
 
+def suffix_array(words: np.ndarray, rows: np.ndarray, test: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places in suffix order, their first words, the test suffixes to search for).
 
-def suffix_array(words: np.ndarray, rows: np.ndarray, test: TestSuffixes) -> tuple[np.ndarray, np.ndarray]:
-    """(places in suffix order, their first words): suffixes of training words that begin like some test suffix."""
+    The array has the suffixes of training words that begin like some test suffix; test suffixes that begin like none of
+    them have no match here and need no search.
+    """
     n, width = len(words), test.windows.shape[1]
     keep = np.zeros(n, bool)
-    for head, keys in test.heads.items():
+    asked = [np.zeros(0, np.int64)]
+    for head, (keys, windows) in test.heads.items():
         if n < head:
             continue
         whole = words > 0
@@ -105,14 +124,19 @@ def suffix_array(words: np.ndarray, rows: np.ndarray, test: TestSuffixes) -> tup
             start &= whole[i : n - head + 1 + i]
         start &= rows[: n - head + 1] == rows[head - 1 :]
         at = np.nonzero(start)[0]
-        keep[at[_lookup(keys, _head_keys(words, at, head)) >= 0]] = True
+        own = _head_keys(words, at, head)
+        found = _lookup(keys, own) >= 0
+        keep[at[found]] = True
+        present = np.unique(own[found])
+        low, high = np.searchsorted(keys, present, "left"), np.searchsorted(keys, present, "right")
+        asked.append(windows[np.repeat(low - np.cumsum(high - low) + (high - low), high - low) + np.arange((high - low).sum())])
     places = np.nonzero(keep)[0]
     padded = np.concatenate([words, np.zeros(width, words.dtype)])
     ends = np.searchsorted(rows, rows[places], "right")
     column = places[:, None] + np.arange(width)
     first = np.where(column < ends[:, None], padded[column], 0)
     order = np.lexsort(first.T[::-1])
-    return places[order], first[order]
+    return places[order], first[order], np.concatenate(asked)
 
 
 def _bound(array: np.ndarray, queries: np.ndarray, lengths: np.ndarray, upper: bool) -> np.ndarray:
@@ -134,18 +158,18 @@ def _search(block: pa.RecordBatch, test: TestSuffixes) -> tuple[np.ndarray, list
     """(words of each document, its hit word ranges, ids of the items found in it)."""
     raw, offsets = text_view(block.column("text"))
     n = block.num_rows
-    hashes, rows = _words(raw, offsets)
+    numbers, long_, long_words, rows = _words(raw, offsets)
     first = np.searchsorted(rows, np.arange(n + 1))
     spans: list[list[tuple[int, int]]] = [[] for _ in range(n)]
     items: list[list[str]] = [[] for _ in range(n)]
-    if len(test.windows) and len(hashes):
-        words = _lookup(test.vocabulary, hashes) + 1
-        places, array = suffix_array(words, rows, test)
-        low, high = _bound(array, test.windows, test.lengths, False), _bound(array, test.windows, test.lengths, True)
+    if len(test.windows) and len(numbers):
+        words = test.symbols(numbers, long_, long_words)
+        places, array, asked = suffix_array(words, rows, test)
+        low, high = (_bound(array, test.windows[asked], test.lengths[asked], upper) for upper in (False, True))
         found = np.nonzero(high > low)[0]
         if len(found):
             count = high[found] - low[found]
-            match = np.repeat(found, count)
+            match = np.repeat(asked[found], count)
             at = places[np.repeat(low[found] - np.cumsum(count) + count, count) + np.arange(count.sum())]
             edge = np.zeros(len(words) + 1, np.int32)
             np.add.at(edge, at, 1)
@@ -181,7 +205,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     bounded_arrow(spark)
     _, size = total_bytes(benchmark, item_text)
     parts = max(1, -(-size // block_bytes))
-    bench = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("item_text"))
+    bench = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("item_text")).distinct()
     state = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<s:int,e:int>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("item_ids"))
     for part in range(parts):
         mine = bench if parts == 1 else bench.where(F.pmod(F.xxhash64("item", "item_text"), F.lit(parts)) == part)

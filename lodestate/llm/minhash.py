@@ -1,29 +1,35 @@
 """Near-duplicate documents by bottom-k MinHash sketches from one hash function.
 
-1. Every document's distinct word shingles are hashed once; documents with equal sets form a class with one
+1. Every document's distinct word shingles are hashed once; documents with equal words form a class with one
    representative. The k smallest hashes of a set are its sketch.
 2. Inverted lists of retained values generate overlaps. A sketch's values are ordered from rare to frequent, and only
    its first values are listed: two sketches that share ``overlap`` values must meet in these lists, and a passage that
    many documents hold doesn't make lists of them.
 3. First, each document is paired with the most central member of the lists it is in, so a group of n copies costs
-   about n pairs; exact Jaccard on the full sets verifies them. Documents that lists connect are a family. Where these
-   links leave a family in several components, the documents outside its largest one meet the family in blocks: the
+   about n pairs; exact Jaccard on the words verifies them. Documents that lists connect are a family. Where these
+   links leave a family in several components, its documents are listed once more with sketches of FINE values (for most
+   texts, that is their whole sets): documents that have a page layout in common, but no more, meet in no list then.
+   In what these lists still connect, the documents outside the largest component meet the others in blocks: the
    union-sketch estimate filters a block's pairs, exact Jaccard verifies the others, and a block emits only links that
    join components.
 4. Components: label propagation over links, with written tables between rounds.
+
+Hashes only choose candidates. Links are confirmed on the words themselves.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from math import comb
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._batches import LOWER, U, blocks, bounded_arrow, map_blocks, mix, span_hashes, stored, text_view, word_spans
+from ._batches import LOWER, U, bounded_arrow, map_blocks, mix, stored, text_view, word_hashes, word_spans
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -33,8 +39,12 @@ SKETCH = 64
 MISSED = 1e-6
 #: Links (16 bytes each) that one task may join.
 LOCAL_LINKS = 1_000_000
-#: Documents on either side of a block.
-BLOCK = 512
+#: Values of the sketches by which families of several components are listed once more.
+FINE = 1024
+#: Documents on either side of a block, and their shingles together (a document of more is a side of its own).
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
+#: Parts that the rows of one family are dealt into when facts of the family are joined to them.
+SALTS = 32
 
 _SPACE = np.ones(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = False
@@ -58,7 +68,7 @@ def shingle_sets(column: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray,
     raw, offsets = text_view(column)
     low, n = LOWER[raw], len(column)
     starts, ends, rows = word_spans(_SPACE[low], offsets)
-    words = span_hashes(low, starts, ends)
+    words = word_hashes(low, starts, ends)
     first = np.searchsorted(rows, np.arange(n + 1))
     size = np.diff(first)
     value = np.zeros(len(words), U)
@@ -79,34 +89,41 @@ def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64)))
 
 
+def normal_words(raw: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
+    """Each text's words, lower-cased, with a space between."""
+    data = raw.tobytes()
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        yield b" ".join(data[a:b].lower().split())
+
+
 def sketches(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = SKETCH) -> DataFrame:
-    """(doc_id, n_shingles, set_hash, sketch): the set's size, a 128-bit hash of the set (null if empty), its k smallest values."""
+    """(doc_id, n_shingles, digest, sketch): the set's size, a 128-bit digest of the words (null if there are none), the k smallest values."""
 
     def make(block: pa.RecordBatch) -> pa.RecordBatch:
         values, bounds = shingle_sets(block.column("text"))
         size = np.diff(bounds)
-        total = np.zeros((2, len(values) + 1), U)
-        np.cumsum(mix(values), out=total[0, 1:])
-        np.cumsum(mix(values ^ U(0x5851F42D4C957F2D)), out=total[1, 1:])
-        sums = (total[:, bounds[1:]] - total[:, bounds[:-1]]) + size.astype(U)
-        text_ = [f"{a:016x}{b:016x}" if n else None for a, b, n in zip(*sums.tolist(), size.tolist(), strict=True)]
+        digests = [hashlib.blake2b(w, digest_size=16).digest() if w else None for w in normal_words(*text_view(block.column("text")))]
         # values are uniform 64-bit hashes in unsigned order, so the first k are the bottom-k sketch
         take = np.minimum(size, k)
         at = np.repeat(bounds[:-1] - np.cumsum(take) + take, take) + np.arange(take.sum())
-        return pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(size, pa.int64()), pa.array(text_, pa.string()), _lists(values[at], np.concatenate([[0], np.cumsum(take)]))], ["doc_id", "n_shingles", "set_hash", "sketch"])
+        return pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(size, pa.int64()), pa.array(digests, pa.binary()), _lists(values[at], np.concatenate([[0], np.cumsum(take)]))], ["doc_id", "n_shingles", "digest", "sketch"])
 
-    return map_blocks(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), "text", make, "doc_id long, n_shingles long, set_hash string, sketch array<bigint>")
+    return map_blocks(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), "text", make, "doc_id long, n_shingles long, digest binary, sketch array<bigint>")
 
 
-def listed_values(classes: DataFrame, *, overlap: int, k: int = SKETCH) -> DataFrame:
-    """(v, doc_id, n): the inverted lists' rows. Values that one sketch alone holds take their place but need no list."""
-    each = classes.select("doc_id", F.col("n_shingles").alias("n"), F.explode("sketch").alias("v"))
+def listed_values(classes: DataFrame, *, percent: int, overlap: int, k: int = SKETCH) -> DataFrame:
+    """(v, doc_id, n, df): the inverted lists' rows, of classes (doc_id, tag, n_shingles, sketch). df: sketches that hold v.
+
+    Values that one sketch alone holds take their place but need no list. tag tells sketches of one doc_id apart.
+    """
+    each = classes.select("doc_id", "tag", F.col("n_shingles").alias("n"), F.explode("sketch").alias("v"))
     shared = each.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     rows = each.join(shared, "v")
-    # a set that is smaller than k is its own sketch; two such sets of similarity s share s / (1 + s) of their sizes' sum
-    own = rows.groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("shared"))
+    own = rows.groupBy("doc_id", "tag", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("shared"))
     held = F.least("n", F.lit(k))
-    needed = F.when(F.col("n") < k, F.ceil(F.col("n") * overlap / k)).otherwise(F.lit(overlap))
+    # of a set so small that its partners are no larger than k either, sketches are whole sets: a partner has percent of it
+    whole = F.ceil(F.col("n") * percent / 100)
+    needed = F.when(F.col("n") * 100 <= k * percent, whole).when(F.col("n") < k, F.ceil(F.col("n") * overlap / k)).otherwise(F.lit(overlap))
     prefix = held - needed + 1 - (held - F.size("shared"))
     return own.withColumn("take", prefix.cast("int")).where("take > 0").select("doc_id", "n", F.explode(F.slice("shared", 1, F.col("take"))).alias("s")).select(F.col("s.v").alias("v"), "doc_id", "n", F.col("s.df").alias("df"))
 
@@ -129,23 +146,52 @@ def families(lists: DataFrame, nodes: DataFrame) -> DataFrame:
     return components(nodes, stored(edges, "edges")).withColumnRenamed("component_id", "family")
 
 
-def open_blocks(members: DataFrame, parts: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(family, i, j, x, doc_id, component_id): what is left to compare in families of several components.
+def open_families(members: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members of families of several components: doc_id, n, family, component_id; those families' facts), both stored.
 
-    x is true for the documents outside a family's largest component: they meet all of the family. Both sides are dealt
-    into blocks, and each pair of blocks is a task's work; a family of n with r outside makes about n * r / block rows.
+    The facts: main (the largest component), and documents and shingles of the family (n, size) and outside of main.
     """
     rows = members.join(parts, "doc_id")
-    counts = rows.groupBy("family", "component_id").agg(F.count(F.lit(1)).alias("m"))
-    sizes = counts.groupBy("family").agg(F.max_by("component_id", F.struct("m", "component_id")).alias("main"), F.sum("m").alias("n"), F.max("m").alias("most")).where("n > most")
-    blocks_of = lambda n: F.ceil(n / block).cast("int")
-    placed = rows.join(sizes.select("family", "main", blocks_of(F.col("n") - F.col("most")).alias("ni"), blocks_of(F.col("n")).alias("nj")), "family")
+    counts = rows.groupBy("family", "component_id").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
+    facts = stored(
+        counts.groupBy("family")
+        .agg(F.max_by(F.struct("component_id", "m", "s"), F.struct("m", "component_id")).alias("main"), F.sum("m").alias("n"), F.sum("s").alias("size"))
+        .where("n > main.m")
+        .select("family", F.col("main.component_id").alias("main"), "n", "size", (F.col("n") - F.col("main.m")).alias("n_out"), (F.col("size") - F.col("main.s")).alias("size_out")),
+        "families",
+    )
+    return stored(_with_family(rows, facts.select("family")), "open"), facts
+
+
+def _with_family(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """rows with their family's facts; the rows of one family are dealt into SALTS parts for it."""
+    salted = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["family", "_salt"]).drop("_salt")
+
+
+def open_blocks(members: DataFrame, parts: DataFrame, block: int = BLOCK, shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """(family, i, j, x, doc_id, component_id): what is left to compare in families of several components.
+
+    members: (doc_id, n, family), n: size of the set. x is true for the documents outside a family's largest component:
+    they meet all of the family. Both sides are dealt into blocks of about so many documents and shingles, and each
+    pair of blocks is a task's work; a family of n with r outside makes about n * r / block rows.
+    """
+    rows, facts = open_families(members, parts)
+    blocks_of = lambda n, size: F.greatest(F.ceil(n / block), F.ceil(size / shingles)).cast("int")
+    placed = _with_family(rows, facts.select("family", "main", blocks_of(F.col("n_out"), F.col("size_out")).alias("ni"), blocks_of(F.col("n"), F.col("size")).alias("nj")))
     of = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     outside = placed.where("component_id != main").select("family", of("ni").alias("i"), every("nj").alias("j"), F.lit(True).alias("x"), "doc_id", "component_id")
     return outside.unionByName(placed.select("family", every("ni").alias("i"), of("nj").alias("j"), F.lit(False).alias("x"), "doc_id", "component_id"))
 
 
+def fine_lists(docs: DataFrame, ids: DataFrame, *, percent: int, k: int = FINE) -> DataFrame:
+    """The lists of ``listed_values`` from sketches of k values, of the documents in ids (doc_id) alone."""
+    made = sketches(docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi"), k=k).where("digest is not null")
+    one = made.withColumn("tag", F.hash("digest")).dropDuplicates(["doc_id", "digest"]).drop("digest")
+    return listed_values(stored(one, "fine"), percent=percent, overlap=overlap_of(percent, k), k=k)
+
+
 def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     """Numbers of common values of all sets in x and in y."""
     xs, ys = np.repeat(np.arange(len(x)), [len(v) for v in x]), np.repeat(np.arange(len(y)), [len(v) for v in y])
@@ -207,7 +253,7 @@ def _with_sets(rows: DataFrame, docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "values"])
 
     ids = rows.select("doc_id").distinct()
-    return rows.join(map_blocks(docs.join(ids, "doc_id", "left_semi"), "text", make, "doc_id long, values binary"), "doc_id")
+    return rows.join(map_blocks(docs.join(ids, "doc_id", "left_semi"), "text", make, "doc_id long, values binary").distinct(), "doc_id")
 
 
 def residual_links(blocks_: DataFrame, docs: DataFrame, *, percent: int, k: int = SKETCH, overlap: int | None = None) -> DataFrame:
@@ -238,20 +284,52 @@ def residual_links(blocks_: DataFrame, docs: DataFrame, *, percent: int, k: int
     return rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(run, "a long, b long")
 
 
+def shared_shingles(x: bytes, y: bytes, shingle: int = SHINGLE) -> tuple[int, int]:
+    """(shingles that both texts have, that any of them has). Words are told apart by their bytes; nothing is hashed to fewer bits."""
+    words = [t.split(b" ") if t else [] for t in (x, y)]
+    known: dict[bytes, int] = {}
+    number = np.array([known.setdefault(w, len(known)) for own in words for w in own], np.int64)
+    found = []
+    first = 0
+    # pairs of numbers become numbers again: of 2, 4, ... words, and at last of a whole shingle
+    sizes = [len(own) for own in words]
+    if min(sizes) < shingle:
+        sets = [{tuple(own[i : i + shingle]) for i in range(max(1, len(own) - shingle + 1))} if own else set() for own in words]
+        return len(sets[0] & sets[1]), len(sets[0] | sets[1])
+    pairs = lambda a, b: np.unique(a << 32 | b, return_inverse=True)[1].reshape(-1)
+    done, width = number, 1
+    while width < shingle:
+        step = min(width, shingle - width)
+        done, width = pairs(done[:-step], done[step:]), width + step
+    for n in sizes:
+        found.append(np.unique(done[first : first + n - shingle + 1]))
+        first += n
+    merged = np.concatenate(found)
+    union = len(np.unique(merged))
+    return len(merged) - union, union
+
+
 def verified(pairs: DataFrame, docs: DataFrame, *, percent: int) -> DataFrame:
-    """Those (a, b) with 100 * |A & B| >= percent * |A | B|, on the full shingle sets."""
+    """Those (a, b) with 100 * |A & B| >= percent * |A | B|, on the full sets of shingles, by their words.
+
+    Ids that have several texts are linked if any of these are.
+    """
+
+    def make(block: pa.RecordBatch) -> pa.RecordBatch:
+        squeeze = zstandard.ZstdCompressor(level=1)
+        return pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array([squeeze.compress(w) for w in normal_words(*text_view(block.column("text")))], pa.binary())], ["doc_id", "words"])
+
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = _with_sets(ids, docs)
-    both = pairs.join(sets.withColumnsRenamed({"doc_id": "a", "values": "x"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "values": "y"}), "b")
+    texts = map_blocks(docs.join(ids, "doc_id", "left_semi"), "text", make, "doc_id long, words binary").distinct()
+    both = pairs.join(texts.withColumnsRenamed({"doc_id": "b", "words": "y"}), "b").join(texts.withColumnsRenamed({"doc_id": "a", "words": "x"}), "a")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor()
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                merged = np.concatenate([np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)])
-                merged.sort()
-                common = int((merged[1:] == merged[:-1]).sum())
-                keep.append(100 * common >= percent * (len(merged) - common))
+                common, union = shared_shingles(expand.decompress(x.as_py()), expand.decompress(y.as_py()))
+                keep.append(union > 0 and 100 * common >= percent * union)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(keep, pa.bool_())], ["a", "b", "ok"])
 
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, ok boolean").where("ok").select("a", "b")
@@ -283,7 +361,8 @@ def components(nodes: DataFrame, links: DataFrame, node: str = "doc_id", local_l
     """(doc_id, component_id): the smallest node that each can reach. links must be a stored table.
 
     Up to local_links links (they are counted first) are joined by one task. More go through rounds of neighbours' minima
-    and pointer jumps with stored labels; hot nodes are harmless there, as a round aggregates minima before its shuffle.
+    and pointer jumps with stored labels. A round aggregates minima before its shuffle; a jump joins the labels of roots
+    alone, SALTS times, so that the nodes of one giant component are dealt over as many parts.
     """
     if links.count() <= local_links:
         labels = links.select("a", "b").coalesce(1).mapInArrow(_joined, "v long, c long")
@@ -293,8 +372,11 @@ def components(nodes: DataFrame, links: DataFrame, node: str = "doc_id", local_l
     while True:
         near = edges.join(labels, F.col("b") == F.col("v")).groupBy(F.col("a").alias("v")).agg(F.min("c").alias("m"))
         lower = labels.join(near, "v").select("v", F.col("c").alias("old"), F.least("c", "m").alias("c"))
-        up = lower.select(F.col("v").alias("root"), F.col("c").alias("top"))
-        after = stored(lower.join(up, F.col("c") == F.col("root"), "left").select("v", "old", F.least("c", F.coalesce("top", "c")).alias("c")), "labels")
+        lower = stored(lower, "lower")
+        tops = lower.select(F.col("c").alias("root")).distinct().join(lower.select(F.col("v").alias("root"), F.col("c").alias("top")), "root")
+        up = tops.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = lower.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+        after = stored(dealt.join(up, (dealt["c"] == up["root"]) & (dealt["s"] == up["s"]), "left").select("v", "old", F.least("c", F.coalesce("top", "c")).alias("c")), "labels")
         changed = after.where("c != old").limit(1).count()
         labels = after.select("v", "c")
         if not changed:
@@ -306,28 +388,39 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     Documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of word shingles. Null, empty and wordless
     texts have no shingle and no link. Rows with equal ids and equal texts stay rows of their own; rows with one id and
-    different texts are linked through that id. Other columns aren't read. overlap: values that sketches of a link must
-    share; by default all that percent and k allow to ask for.
+    different texts are linked through that id. A row without an id has no link and no component. Texts of any length
+    are taken whole; other columns aren't read. overlap: values that sketches of a link must share; by default all that
+    percent and k allow to ask for.
     """
     overlap = overlap_of(percent, k) if overlap is None else overlap
     bounded_arrow(docs.sparkSession)
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     facts = stored(sketches(plain, k=k), "sketches")
-    # classes of equal sets: the smallest id stands for all; map-side minima keep a class of many copies cheap
-    firsts = facts.where("set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    classes = stored(firsts.groupBy(F.col("class_id").alias("doc_id")).agg(F.max_by("n_shingles", "set_hash").alias("n_shingles"), F.max_by("sketch", "set_hash").alias("sketch")), "classes")
-    lists = stored(listed_values(classes, k=k, overlap=overlap), "lists", release=True)
-    nodes = classes.select("doc_id")
+    # classes of equal words: the smallest id stands for all; map-side minima keep a class of many copies cheap
+    firsts = facts.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    classes = stored(firsts.where("doc_id is not null").withColumn("tag", F.hash("digest")), "classes")
+    lists = stored(listed_values(classes, percent=percent, k=k, overlap=overlap), "lists", release=True)
+    nodes = classes.select("doc_id").distinct()
     links = stored(verified(stored(stars(lists), "stars"), plain, percent=percent), "links")
-    parts = components(nodes, links)
-    listed = stored(lists.select("doc_id").distinct(), "listed")
-    blocks_ = stored(open_blocks(families(lists, listed), parts), "blocks")
-    whole = components(nodes, links.union(stored(residual_links(blocks_, plain, percent=percent, k=k, overlap=overlap), "links")))
-    ids = firsts.select("set_hash", F.col("class_id")).join(whole.withColumnRenamed("doc_id", "class_id"), "class_id")
-    return facts.join(ids, "set_hash", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    parts = stored(components(nodes, links), "parts")
+    sizes = lists.groupBy("doc_id").agg(F.max("n").alias("n"))
+    open_, _ = open_families(families(lists, sizes.select("doc_id")).join(sizes, "doc_id"), parts)
+    again = stored(fine_lists(plain, open_, percent=percent), "lists", release=True)
+    sizes = again.groupBy("doc_id").agg(F.max("n").alias("n"))
+    blocks_ = stored(open_blocks(families(again, sizes.select("doc_id")).join(sizes, "doc_id"), parts), "blocks")
+    more = stored(residual_links(blocks_, plain, percent=percent, k=k, overlap=overlap), "links")
+    # ids whose rows have several texts join what each of these is in
+    same = facts.where("digest is not null and doc_id is not null").select("doc_id", "digest").distinct().join(classes.select("digest", F.col("doc_id").alias("class_id")), "digest").groupBy("doc_id").agg(F.min("class_id").alias("a"), F.collect_set("class_id").alias("bs")).where("size(bs) > 1")
+    whole = components(nodes, stored(links.union(verified(more, plain, percent=percent)).union(same.select("a", F.explode("bs").alias("b")).where("a != b")), "links"))
+    ids = classes.select("digest", F.col("doc_id").alias("class_id")).join(whole.withColumnRenamed("doc_id", "class_id"), "class_id")
+    found = facts.join(ids, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
-    """docs without the documents that aren't the first of their component; columns as they are."""
+    """docs without the documents that aren't the first of their component; columns as they are.
+
+    Rows of one id stay or go together; rows without an id stay.
+    """
     gone = near_duplicates(docs, key=key, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col(key).cast("long") == F.col("_gone"), "left_anti")

@@ -151,13 +151,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("row.doc_id").alias("doc_id"), (_fold("row.doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def language_model(docs: DataFrame) -> langid.Model:
-    return langid.train(docs.where(_fold("doc_id", 4) != 2))
-
-
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    found = langid.predict(docs.select("doc_id", "text"), language_model(docs))
+    found = langid.predict(docs.select("doc_id", "text"), langid.language_model(docs))
     return found.select(F.col("row.doc_id").alias("doc_id"), (_fold("row.doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 

@@ -78,13 +78,57 @@ def test_residual_links_in_blocks(spark):
     base = prose(11, 120)
     rows = [(i, edited(base, i, 2 + i % 9)) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    members = docs.select("doc_id", F.lit(0).cast("long").alias("family"))
+    members = docs.select("doc_id", F.lit(116).cast("long").alias("n"), F.lit(0).cast("long").alias("family"))
     parts = docs.select("doc_id", F.col("doc_id").alias("component_id"))
     links = stored(minhash.residual_links(minhash.open_blocks(members, parts, block=16), docs, percent=85), "test")
     got = sorted(tuple(r) for r in minhash.components(docs.select("doc_id"), links).collect())
     assert got == [(d, c) for d, _, c, _ in brute.near_duplicates(rows)]
 
 
+def thue_morse(a, b, size=2048):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(size))
+
+
+def test_words_of_equal_polynomial_hash_are_told_apart(spark):
+    """Words whose polynomial hashes modulo 2**64 are equal for any multiplier share nothing."""
+    x, y = thue_morse("a", "b"), thue_morse("b", "a")
+    rows = [(1, " ".join([x] * 9)), (2, " ".join([y] * 9)), (3, f"{x} {y} {x} {x} {y}"), (4, f"{y} {x} {y} {y} {x}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in minhash.near_duplicates(docs).collect()) == brute.near_duplicates(rows)
+    found = decontam.contamination(docs, spark.createDataFrame([(7, " ".join([y] * 10)), (8, f"{x} {y}")], "item_id int, text string"))
+    assert sorted((r.row.doc_id, r.n_hit, sorted(r.item_ids)) for r in found.collect()) == [(1, 0, []), (2, 0, []), (3, 4, ["8"]), (4, 2, ["8"])]
+
+
+def test_one_layout_makes_no_blocks(spark):
+    """Documents that share three quarters of their text and no link: what is compared grows in proportion."""
+    layout = prose(77, 300).split()
+
+    def page(i):
+        r = random.Random(i)
+        return " ".join(layout[:150] + [f"w{r.randrange(10**9)}" for _ in range(100)] + layout[150:])
+
+    docs = spark.createDataFrame([(i, page(i)) for i in range(400)], "doc_id long, text string")
+    lists = minhash.fine_lists(docs, docs, percent=85)
+    assert lists.count() == 0
+    assert minhash.near_duplicates(docs).where("not kept").count() == 0
+
+
+def test_repeated_and_missing_ids(spark):
+    a, b, c = prose(31, 80), prose(32, 80), prose(33, 80)
+    rows = [(1, a), (2, b), (5, a), (5, b), (5, b), (6, c), (None, c), (None, None), (7, None)]
+    got = sorted(((r.doc_id or 99), r.component_id or 99, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1, True), (2, 1, False), (5, 1, False), (5, 1, False), (5, 1, False), (6, 6, True), (7, 7, True), (99, 99, True), (99, 99, True)]
+
+
+def test_shared_shingles_by_words():
+    r = random.Random(8)
+    for n in (*range(8), 30, 200):
+        x, y = ([r.choice("abcd") for _ in range(n)] for _ in range(2))
+        x = x[: r.randrange(n + 1)] if n % 3 == 0 else x
+        sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (x, y)]
+        assert minhash.shared_shingles(" ".join(x).encode(), " ".join(y).encode()) == (len(sets[0] & sets[1]), len(sets[0] | sets[1]))
+
+
 def altered(percent, n):
     """n pairs of texts of 400 words, of a Jaccard little above percent / 100."""
     rows = []
