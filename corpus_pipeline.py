@@ -6,6 +6,7 @@ written before the next stage begins: that one deletes the intermediate tables o
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from functools import wraps
 
@@ -13,26 +14,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestate.llm import bpe, decontam, langid, minhash, suffix_dedup
-from lodestate.llm._batches import WRITTEN, discard, stored
-from lodestate.llm.queries import language_model
+from lodestate.llm.langid import language_model
+from lodestate.sources.shared import discard, stored, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_left: list[str] = []
+_LEFT = threading.local()
 
 
 def _stage(make: Stage) -> Stage:
-    """The stage, with the tables deleted that the stage before has left behind."""
+    """The stage, with the tables deleted that the stage before has left behind in this thread."""
 
     @wraps(make)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        discard(spark, _left)
-        _left.clear()
-        before = len(WRITTEN)
+        discard(spark, getattr(_LEFT, "paths", []))
+        before = len(written())
         out = make(spark, docs, sf_dir)
-        _left.extend(WRITTEN[before:])
+        _LEFT.paths = written()[before:]
         return out
 
     return run
