@@ -3,14 +3,16 @@
 A passage is a string of MATCH bytes. Each one holds an anchor: the ANCHOR bytes of the smallest rolling hash in it
 (content alone decides which), with at most REACH bytes of the passage on either side. So:
 
-1. Every text gives its anchors. They are dealt by hash as packed columns: hash, hash of the whole context (the anchor
-   and REACH bytes around it, in full: 64 bits), document and place.
+1. Every text gives its anchors, each with a 128-bit keyed digest of its whole context (the anchor and REACH bytes
+   around it). Of equal contexts in one block of texts, only the smallest document's is sent on: the others are repeats
+   whatever else there is. The rest is dealt by the anchor's hash as packed columns.
 2. An anchor that occurs in one document only is dropped. If a smaller document has the same context, all passages in
    it are repeats. What is left is the first context of each kind among several kinds with one anchor: at the
    borders of repeats.
 3. These contexts are fetched from the texts and dealt by anchor. For each part, two suffix arrays (of the bytes behind
    the anchors, and of the bytes before them backwards, read in blocks of eight bytes) bring equal passages together;
-   common prefixes of neighbours give the passages' classes, and each class its smallest document.
+   common prefixes of neighbours give the passages' classes, and each class its smallest document. An anchor with very
+   many contexts isn't one task's work: its passages are grouped by their bytes instead.
 4. Repeated passages are cut out of the texts.
 
 The suffix arrays are built by the linear grouping of ``lyndon``.
@@ -27,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._batches import BYTE_KEY, U, blocks, bounded_arrow, mix, stored, text_view
+from ._batches import BYTE_KEY, STEP, U, blocks, bounded_arrow, mix, stored, text_view, total_bytes
 from .lyndon import suffix_array
 
 #: Bytes of a passage; of its anchor; and how far a passage reaches on either side of its anchor.
@@ -35,8 +37,15 @@ MATCH, ANCHOR = 50, 26
 REACH = MATCH - ANCHOR
 #: Text of one pass over anchors.
 ANCHOR_BLOCK = 3 << 20
-#: Contexts of one pair of suffix arrays (the contexts of one anchor are never parted).
+#: Contexts of one pair of suffix arrays, about.
 PART = 20_000
+#: An anchor of more contexts than this has its passages grouped by Spark.
+HOT = 2_000
+#: Bytes of text whose anchors one bucket holds at once (some six times as many bytes of columns), about.
+BUCKET_TEXT = 48 << 20
+#: Anchors of one hash that a bucket may get from all blocks. Where a block alone has more contexts of one anchor than its
+#: share, these are dealt by their digests instead.
+BUCKET_ROWS = 2_000_000
 
 
 def rolling(raw: np.ndarray, width: int = ANCHOR) -> np.ndarray:
@@ -79,27 +88,90 @@ def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     best = _slide(np.concatenate([edge, low, edge]), width, False)
     at = np.nonzero((best == h) & (h > 0))[0]
     at = at[row[at] == row[at + ANCHOR - 1]]
+    at = at[_needed(at, h[at])]
     return at, h[at]
 
 
+def _needed(at: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which anchors are needed: in periodic text (one hash again and again at one small distance) not all are.
+
+    Those near the ends of a period's run stand for every passage there is in it; further inside, each passage needs
+    just one anchor of its own.
+    """
+    n = len(at)
+    if n < 3:
+        return np.ones(n, bool)
+    gap = np.diff(at)
+    same = (h[1:] == h[:-1]) & (gap <= REACH)
+    inner = np.zeros(n, bool)
+    inner[1:-1] = same[1:] & same[:-1] & (gap[1:] == gap[:-1])
+    if not inner.any():
+        return np.ones(n, bool)
+    place = np.arange(n)
+    first = at[np.maximum.accumulate(np.where(inner, 0, place))]
+    last = at[np.minimum.accumulate(np.where(inner, n - 1, place)[::-1])[::-1]]
+    step = np.append(gap, 1)
+    edge = REACH + 1 + step
+    spread = ((at - first) // step) % np.maximum(1, (REACH + 1) // step) == 0
+    return ~inner | (at - first < edge) | (last - at < edge) | spread
+
+
 def _context_bounds(at: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     row = np.searchsorted(offsets, at, "right") - 1
     return row, np.maximum(offsets[row], at - REACH), np.minimum(offsets[row + 1], at + ANCHOR + REACH)
 
 
-def _packed(values: np.ndarray, width: int) -> bytes:
-    """Little-endian integers of so many bytes, one plane behind the other."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+#: Bytes of a context and its two lengths, in 32-bit numbers.
+_WIDTH = (ANCHOR + 2 * REACH + 5) // 4
+#: Keys of the four multilinear hashes that make up a digest.
+_KEYS = mix(np.arange(1, 4 * (_WIDTH + 1) + 1, dtype=U) * STEP).reshape(_WIDTH + 1, 4)
 
 
-def _unpacked(data: bytes, width: int) -> np.ndarray:
+def context_digests(raw: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """n x 2: 128-bit digests of the contexts raw[left:right] around the anchors at.
+
+    Four multilinear hashes (a key for each 32 bits and each place, the upper half of the sum): two different contexts
+    agree in one of them with a chance of 2**-32, and in all with 2**-128.
+    """
+    size = ANCHOR + 2 * REACH
+    padded = np.concatenate([np.zeros(REACH, np.uint8), raw, np.zeros(4 * _WIDTH, np.uint8)])
+    windows = np.lib.stride_tricks.sliding_window_view(padded, 4 * _WIDTH)
+    out = np.empty((len(at), 2), U)
+    for i in range(0, len(at), 1 << 15):
+        own = slice(i, i + (1 << 15))
+        before, behind = at[own] - left[own], right[own] - at[own] - ANCHOR
+        rows = windows[at[own]]
+        cut = np.nonzero((before < REACH) | (behind < REACH))[0]
+        if len(cut):
+            place = np.arange(4 * _WIDTH)
+            rows[cut] = np.where((place >= REACH - before[cut, None]) & (place < REACH + ANCHOR + behind[cut, None]), rows[cut], 0)
+        rows[:, size], rows[:, size + 1], rows[:, size + 2 :] = before, behind, 0
+        sums = rows.view("<u4").astype(U) @ _KEYS[:-1] + _KEYS[-1]
+        out[own] = (sums[:, ::2] & U(0xFFFFFFFF00000000)) | (sums[:, 1::2] >> U(32))
+    return out
+
+
+def _packed(values: np.ndarray, width: int | None = None) -> bytes:
+    """Non-negative integers of so many bytes (as few as they need, named in front, without width), one plane behind the other."""
+    head = b""
+    if width is None:
+        width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+        head = bytes([width])
+    return head + np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _unpacked(data: bytes, width: int | None = None) -> np.ndarray:
+    if width is None:
+        width, data = data[0], data[1:]
     n = len(data) // width
     out = np.zeros((n, 8), np.uint8)
     out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, n).T
     return out.reshape(-1).view("<u8")
 
 
-_ANCHORS = "bucket int, h binary, c binary, at binary, docs binary"
+#: kind: ANCHORS in columns; LOCAL: places that are repeats already. counts: anchors of each document; base: the least document.
+_ANCHORS = "bucket int, kind int, h binary, c binary, at binary, base long, docs binary, marks binary, counts binary"
+ANCHORS, BEACON, BY_DIGEST, LOCAL = 0, 1, 2, 3
 
 
 def _bucket_names(spark: SparkSession, partitions: int) -> list[int]:
@@ -109,94 +181,134 @@ def _bucket_names(spark: SparkSession, partitions: int) -> list[int]:
     return [found.get(p, 24 * partitions + p) for p in range(partitions)]
 
 
-def _anchor_rows(texts: DataFrame, names: list[int]) -> DataFrame:
-    """Anchors in packed columns: for each block of texts and bucket one row. docs: documents, text hashes, first places."""
+def _anchor_rows(texts: DataFrame, names: list[int], crowd: int) -> DataFrame:
+    """Anchors in packed columns: for each block of texts and bucket one row of each kind.
+
+    crowd: contexts of one anchor in one block from which on they are dealt by their digests; its hash's bucket is told so
+    by a BEACON, as contexts of the same anchor from other blocks may lie there.
+    """
     buckets = len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from ._batches import span_hashes
-
         for block in blocks(batches, "text", ANCHOR_BLOCK):
             raw, offsets = text_view(block.column("text"))
             at, h = anchors(raw, offsets)
             if not len(at):
                 continue
             row, left, right = _context_bounds(at, offsets)
-            c = span_hashes(raw, left, right)
-            c ^= mix((at - left).astype(U) * U(257) + (right - at).astype(U))
-            doc, mark = (np.array(block.column(x)) for x in ("doc", "mark"))
-            bucket = (h % U(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            place = 3 if len(raw) < 1 << 24 else 4
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for b in np.nonzero(np.diff(bounds))[0]:
-                own = order[bounds[b] : bounds[b + 1]]
-                rows = np.unique(row[own])
-                for column, value in zip(out, (names[b], _packed(h[own] >> U(24), 5), _packed(c[own], 8), _packed(at[own].astype(U), place), doc[rows].astype("<i8").tobytes() + mark[rows].astype("<i4").tobytes() + offsets[rows].astype("<i4").tobytes()), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], ["bucket", "h", "c", "at", "docs"])
+            c = context_digests(raw, at, left, right)
+            docs, marks = (np.array(block.column(x)) for x in ("doc", "mark"))
+            place, doc = at - offsets[row], docs[row]
+            # of equal contexts in this block, the smallest document's are sent on
+            order = np.lexsort((doc, c[:, 1], c[:, 0]))
+            kind = np.ones(len(order), bool)
+            kind[1:] = (c[order[1:]] != c[order[:-1]]).any(1)
+            least = np.empty(len(order), np.int64)
+            least[order] = doc[order][np.nonzero(kind)[0]][np.cumsum(kind) - 1]
+            local = doc > least
+            of_hash, inverse = np.unique(h, return_inverse=True)
+            contexts = np.bincount(inverse, np.bincount(order[kind], minlength=len(h)), len(of_hash))
+            crowded = (contexts > crowd)[inverse]
+            kinds = np.where(local, LOCAL, np.where(crowded, BY_DIGEST, ANCHORS))
+            bucket = (np.where(kinds == ANCHORS, h, np.where(kinds == LOCAL, mix(doc.astype(U)), c[:, 0])) % U(buckets)).astype(np.int64)
+            out: list[tuple] = []
+            order = np.lexsort((row, bucket, kinds))  # stable: places of a document stay in order
+            key = kinds[order] * buckets + bucket[order]
+            bounds = np.append(np.nonzero(np.append(True, key[1:] != key[:-1]))[0], len(key))
+            for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                own = order[first:last]
+                rows, counts = np.unique(row[own], return_counts=True)
+                base, k = int(docs[rows].min()), int(kinds[own[0]])
+                who = base, _packed(docs[rows].astype(U) - np.array(base).astype(U)), marks[rows].astype("<i4").tobytes(), _packed(counts)
+                what = (None, None) if k == LOCAL else ((h[own] >> U(32)).astype("<u4").tobytes(), c[own].astype("<u8").tobytes())
+                out.append((names[bucket[own[0]]], k, *what, _packed(place[own]), *who))
+            if crowded.any():
+                beacons = np.unique(h[crowded])
+                deal = (beacons % U(buckets)).astype(np.int64)
+                for b in np.unique(deal):
+                    out.append((names[b], BEACON, (beacons[deal == b] >> U(32)).astype("<u4").tobytes(), None, None, 0, None, None, None))
+            kinds_ = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds_, strict=True)], [x.split()[0] for x in _ANCHORS.split(", ")])
 
     return texts.select("doc", "mark", "text").mapInArrow(run, _ANCHORS)
 
 
 _FOUND = "doc long, mark long, kind int, data binary"
-REPEAT, OPEN, TEXT = 1, 2, 9
+REPEAT, OPEN, CROWDED, TEXT = 1, 2, 3, 9
+
+
+def _marks(doc: np.ndarray, mark: np.ndarray, kind: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Places by document and kind."""
+    order = np.lexsort((at, kind, mark, doc))
+    doc, mark, kind, at = doc[order], mark[order], kind[order], at[order]
+    first = np.nonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1]) | (kind[1:] != kind[:-1])]))[0]
+    places = at.astype("<u4").tobytes()
+    ends = np.append(first[1:], len(at)) * 4
+    data = [places[a:b] for a, b in zip((first * 4).tolist(), ends.tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(mark[first]), pa.array(kind[first], pa.int32()), pa.array(data, pa.binary())], ["doc", "mark", "kind", "data"])
 
 
-def _judge(h: np.ndarray, c: np.ndarray, doc: np.ndarray, mark: np.ndarray, at: np.ndarray) -> pa.RecordBatch | None:
-    """Of one bucket's anchors: places whose whole context is a repeat, and the first contexts of each kind where kinds differ."""
-    order = np.lexsort((doc, c, h))
+def _judge(h: np.ndarray, c: np.ndarray, doc: np.ndarray, mark: np.ndarray, at: np.ndarray, known: np.ndarray | None, hot: int) -> pa.RecordBatch | None:
+    """Of one bucket's anchors: places whose whole context is a repeat, and the first contexts of each kind where kinds differ.
+
+    known: hashes of anchors that are known to have many contexts in other buckets, too; None: all are.
+    """
+    order = np.lexsort((doc, c[:, 1], c[:, 0], h))
     h, c, doc, mark, at = h[order], c[order], doc[order], mark[order], at[order]
     new_h = np.concatenate([[True], h[1:] != h[:-1]])
-    new_c = new_h | np.concatenate([[True], c[1:] != c[:-1]])
+    new_c = new_h | np.concatenate([[True], (c[1:] != c[:-1]).any(1)])
     first_h, kind = np.nonzero(new_h)[0], np.cumsum(new_c) - 1
     low, high = np.minimum.reduceat(doc, first_h), np.maximum.reduceat(doc, first_h)
     anchor = np.cumsum(new_h) - 1
     kinds = np.add.reduceat(new_c.astype(np.int64), first_h)
-    shared = (low < high)[anchor]
-    repeat = shared & (doc > doc[np.nonzero(new_c)[0]][kind])
-    open_ = shared & ~repeat & (kinds > 1)[anchor]
+    elsewhere = np.ones(len(first_h), bool) if known is None else np.isin(h[first_h], known)
+    repeat = doc > doc[np.nonzero(new_c)[0]][kind]
+    open_ = ~repeat & (elsewhere | ((low < high) & (kinds > 1)))[anchor]
     chosen = np.nonzero(repeat | open_)[0]
     if not len(chosen):
         return None
-    chosen = chosen[np.lexsort((at[chosen], open_[chosen], mark[chosen], doc[chosen]))]
-    d, m, o = doc[chosen], mark[chosen], open_[chosen]
-    first = np.nonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (m[1:] != m[:-1]) | (o[1:] != o[:-1])]))[0]
-    places = at[chosen].astype("<u4").tobytes()
-    ends = np.append(first[1:], len(chosen)) * 4
-    data = [places[a:b] for a, b in zip((first * 4).tolist(), ends.tolist(), strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(d[first]), pa.array(m[first]), pa.array(np.where(o[first], OPEN, REPEAT), pa.int32()), pa.array(data, pa.binary())], ["doc", "mark", "kind", "data"])
+    crowded = (elsewhere | (kinds > hot))[anchor[chosen]]
+    return _marks(doc[chosen], mark[chosen], np.where(repeat[chosen], REPEAT, np.where(crowded, CROWDED, OPEN)), at[chosen])
 
 
-def _find(rows: DataFrame, partitions: int) -> DataFrame:
+def _find(rows: DataFrame, partitions: int, hot: int) -> DataFrame:
     """Judged anchors, bucket by bucket: (document, text hash, kind, packed places)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-        bucket = None
+        beacons: list[np.ndarray] = []
+        at_hand = None
 
         def close() -> Iterator[pa.RecordBatch]:
             if held:
-                found = _judge(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                known = None if at_hand[1] == BY_DIGEST else np.concatenate(beacons) if beacons else np.zeros(0, np.uint32)
+                found = _judge(*(np.concatenate(x) for x in zip(*held, strict=True)), known, hot)
                 held.clear()
                 if found is not None:
                     yield found
 
         for batch in batches:
-            for i, own in enumerate(batch.column("bucket").to_pylist()):
-                if own != bucket:
+            for i, (bucket, kind) in enumerate(zip(batch.column("bucket").to_pylist(), batch.column("kind").to_pylist(), strict=True)):
+                own = bucket, BY_DIGEST if kind == BY_DIGEST else ANCHORS
+                if own != at_hand and kind != LOCAL:
                     yield from close()
-                    bucket = own
-                h, c, at, docs = (batch.column(x)[i].as_py() for x in ("h", "c", "at", "docs"))
-                n = len(docs) // 16
-                doc, (mark, start) = np.frombuffer(docs, "<i8", n), np.frombuffer(docs, "<i4", 2 * n, 8 * n).reshape(2, n).astype(np.int64)
-                place = _unpacked(at, len(at) // (len(h) // 5)).astype(np.int64)
-                row = np.searchsorted(start, place, "right") - 1
-                held.append((_unpacked(h, 5), _unpacked(c, 8), doc[row], mark[row], place - start[row]))
+                    if at_hand is not None and at_hand[0] != bucket:
+                        beacons.clear()
+                    at_hand = own
+                h, c, at, docs, marks, counts = (batch.column(x)[i].as_py() for x in ("h", "c", "at", "docs", "marks", "counts"))
+                if kind == BEACON:
+                    beacons.append(np.frombuffer(h, "<u4"))
+                    continue
+                doc = (_unpacked(docs) + np.array(batch.column("base")[i].as_py()).astype(U)).astype(np.int64)
+                times = _unpacked(counts).astype(np.int64)
+                who = np.repeat(doc, times), np.repeat(np.frombuffer(marks, "<i4").astype(np.int64), times), _unpacked(at).astype(np.int64)
+                if kind == LOCAL:
+                    yield _marks(who[0], who[1], np.full(len(who[0]), REPEAT), who[2])
+                else:
+                    held.append((np.frombuffer(h, "<u4"), np.frombuffer(c, "<u8").reshape(-1, 2), *who))
         yield from close()
 
-    return rows.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _FOUND)
+    return rows.repartition(partitions, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, _FOUND)
 
 
 def _by_document(texts: DataFrame, marks: DataFrame, partitions: int) -> DataFrame:
@@ -245,6 +357,7 @@ def _fetch(sorted_rows: DataFrame, keep_text: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand, squeeze = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
         own, repeats, open_ = None, [], []
+        nobody = [None] * 20_000
         for batch in batches:
             done: list[tuple] = []
             done_at: list[int] = []
@@ -253,16 +366,19 @@ def _fetch(sorted_rows: DataFrame, keep_text: bool) -> DataFrame:
                 if (doc, mark) != own:
                     own, repeats, open_ = (doc, mark), [], []
                 if kind != TEXT:
-                    (repeats if kind == REPEAT else open_).append(np.frombuffer(batch.column("data")[i].as_py(), "<u4"))
+                    places = np.frombuffer(batch.column("data")[i].as_py(), "<u4")
+                    if kind == REPEAT:
+                        repeats.append(places)
+                    else:
+                        open_.append((kind, places))
                     continue
                 text = expand.decompress(batch.column("data")[i].as_py())
                 at = np.concatenate(repeats).astype(np.int64) if repeats else np.zeros(0, np.int64)
                 spans = _cover(len(text), at - REACH, at + ANCHOR + REACH)
                 done_at.append(i)
                 if open_:
-                    places = np.concatenate(open_).astype(np.int64)
                     # a context inside one removed range has nothing left to decide, but others may repeat it
-                    contexts += [(doc, mark, p, text[max(0, p - REACH) : p + ANCHOR + REACH], min(p, REACH)) for p in places.tolist()]
+                    contexts += [(doc, mark, text[max(0, p - REACH) : p] + text[p + ANCHOR : p + ANCHOR + REACH], p, min(p, REACH), k, text[p : p + ANCHOR]) for k, places in open_ for p in places.tolist()]
                     done.append((doc, mark, squeeze.compress(text), spans.astype("<i8").tobytes(), None, None, None, None, None))
                 else:
                     size, removed, n, kept = _settled(text, spans)
@@ -271,20 +387,16 @@ def _fetch(sorted_rows: DataFrame, keep_text: bool) -> DataFrame:
                 yield _fetched(done, batch.column("row").take(pa.array(done_at)))
             for i in range(0, len(contexts), 20_000):
                 part = contexts[i : i + 20_000]
-                doc, mark, at, text, left = zip(*part, strict=True)
-                nothing = [None] * len(part)
-                yield _fetched(list(zip(doc, mark, text, nothing, at, left, nothing, nothing, [_anchor_hash(t, n) for t, n in zip(text, left, strict=True)], strict=True)), pa.nulls(len(part), batch.column("row").type))
-
-    return sorted_rows.mapInArrow(run, f"doc long, mark long, text binary, spans binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, h long, row {row_kind}")
-
+                doc, mark, text, at, left, kind, anchor = zip(*part, strict=True)
+                none = nobody[: len(part)]
+                yield _fetched(list(zip(doc, mark, text, none, at, left, kind, none, anchor, strict=True)), pa.nulls(len(part), batch.column("row").type))
 
-def _anchor_hash(context: bytes, left: int) -> int:
-    return int.from_bytes(hashlib.blake2b(context[left : left + ANCHOR], digest_size=8).digest(), "little", signed=True)
+    return sorted_rows.mapInArrow(run, f"doc long, mark long, text binary, spans binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, anchor binary, row {row_kind}")
 
 
 def _fetched(rows: list[tuple], row: pa.Array) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
-    names = ["doc", "mark", "text", "spans", "n_bytes", "n_removed", "n_spans", "kept_sha256", "h", "row"]
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+    names = ["doc", "mark", "text", "spans", "n_bytes", "n_removed", "n_spans", "kept_sha256", "anchor", "row"]
     return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)), row], names)
 
 
@@ -306,15 +418,19 @@ def _ranked(h: np.ndarray, blocks_: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return rows, common
 
 
-def _classes(h: np.ndarray, texts: list[bytes], left: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For each context a bit set: bit a is on if the passage that begins a bytes before the anchor has a smaller document."""
-    n, pad = len(h), bytes(REACH)
-    size = np.array([len(x) for x in texts])
-    right = size - left - ANCHOR
-    after = np.frombuffer(b"".join([(x[k + ANCHOR :] + pad)[:REACH] for x, k in zip(texts, left.tolist(), strict=True)]), ">u8").reshape(n, -1).astype(U)
-    before = np.frombuffer(b"".join([(x[:k][::-1] + pad)[:REACH] for x, k in zip(texts, left.tolist(), strict=True)]), ">u8").reshape(n, -1).astype(U)
-    behind, behind_common = _ranked(h.view(U), after)
-    ahead, ahead_common = _ranked(h.view(U), before)
+def _classes(anchors_: list[bytes], sides: list[bytes], left: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each context (an anchor, the bytes on both sides of it, how many are before it) a bit set.
+
+    Bit a is on if the passage that begins a bytes before the anchor has a smaller document.
+    """
+    n, pad = len(sides), bytes(REACH)
+    known: dict[bytes, int] = {}
+    h = np.array([known.setdefault(x, len(known)) for x in anchors_], U)
+    right = np.array([len(x) for x in sides]) - left
+    after = np.frombuffer(b"".join([(x[k:] + pad)[:REACH] for x, k in zip(sides, left.tolist(), strict=True)]), ">u8").reshape(n, -1).astype(U)
+    before = np.frombuffer(b"".join([(x[:k][::-1] + pad)[:REACH] for x, k in zip(sides, left.tolist(), strict=True)]), ">u8").reshape(n, -1).astype(U)
+    behind, behind_common = _ranked(h, after)
+    ahead, ahead_common = _ranked(h, before)
     bits = np.zeros(n, np.int64)
     by_right, by_left = np.empty(n, np.int64), np.empty(n, np.int64)
     for a in range(REACH + 1):
@@ -332,23 +448,24 @@ def _classes(h: np.ndarray, texts: list[bytes], left: np.ndarray, doc: np.ndarra
     return bits
 
 
+def _as_marks(doc: list, mark: list, at: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+    pairs = np.stack([at, bits], 1).astype("<i8")
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(mark, pa.int64()), pa.array([OPEN] * len(doc), pa.int32()), pa.array([x.tobytes() for x in pairs], pa.binary())], ["doc", "mark", "kind", "data"])
+
+
 def _compare(contexts: DataFrame, partitions: int) -> DataFrame:
-    """Marks for the open contexts: (document, text hash, REPEAT, packed (place, bits))."""
+    """Marks for the open contexts: (document, text hash, OPEN, packed (place, bits)). The contexts of one anchor meet in one part."""
 
     def judge(held: list[tuple]) -> pa.RecordBatch | None:
-        h, text, left, doc, mark, at = zip(*held, strict=True)
-        doc, at = np.array(doc), np.array(at)
-        bits = _classes(np.array(h), list(text), np.array(left), doc)
+        anchor, sides, left, doc, mark, at = zip(*held, strict=True)
+        bits = _classes(list(anchor), list(sides), np.array(left), np.array(doc))
         hit = np.nonzero(bits)[0]
-        if not len(hit):
-            return None
-        pairs = np.stack([at[hit], bits[hit]], 1).astype("<i8")
-        return pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(np.array(mark)[hit]), pa.array([OPEN] * len(hit), pa.int32()), pa.array([x.tobytes() for x in pairs], pa.binary())], ["doc", "mark", "kind", "data"])
+        return _as_marks([doc[i] for i in hit], [mark[i] for i in hit], np.array(at)[hit], bits[hit]) if len(hit) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(x).to_pylist() for x in ("h", "text", "left", "doc", "mark", "at")), strict=True):
+            for row in zip(*(batch.column(x).to_pylist() for x in ("anchor", "sides", "left", "doc", "mark", "at")), strict=True):
                 if len(held) >= PART and row[0] != held[-1][0]:
                     if (found := judge(held)) is not None:
                         yield found
@@ -357,8 +474,31 @@ def _compare(contexts: DataFrame, partitions: int) -> DataFrame:
         if held and (found := judge(held)) is not None:
             yield found
 
-    rows = contexts.select("h", "text", F.col("n_removed").alias("left"), "doc", "mark", F.col("n_bytes").alias("at"))
-    return rows.repartition(partitions, "h").sortWithinPartitions("h").mapInArrow(run, _FOUND)
+    return contexts.repartition(partitions, "anchor").sortWithinPartitions("anchor").mapInArrow(run, _FOUND)
+
+
+def _compare_crowded(contexts: DataFrame) -> DataFrame:
+    """The same for contexts of anchors that have very many: their passages are grouped by their bytes, with minima before the shuffle."""
+
+    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for anchor, sides, left, doc, mark, at in zip(*(batch.column(x).to_pylist() for x in ("anchor", "sides", "left", "doc", "mark", "at")), strict=True):
+                text = sides[:left] + anchor + sides[left:]
+                out += [(text[left - a : left - a + MATCH], doc, mark, at, 1 << a) for a in range(max(0, left + MATCH - len(text)), left + 1)]
+            if out:
+                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["passage", "doc", "mark", "at", "bit"])
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield _as_marks(batch.column("doc").to_pylist(), batch.column("mark").to_pylist(), np.array(batch.column("at")), np.array(batch.column("bits")))
+
+    every = stored(contexts.mapInArrow(passages, "passage binary, doc long, mark long, at long, bit long"), "passages")
+    least = every.groupBy("passage").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
+    hits = every.join(least, "passage").where("doc > least").groupBy("doc", "mark", "at").agg(F.bit_or("bit").alias("bits"))
+    return hits.mapInArrow(marks, _FOUND)
 
 
 def _finish(open_texts: DataFrame, marks: DataFrame, partitions: int, keep_text: bool) -> DataFrame:
@@ -399,22 +539,28 @@ def _partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", keep_text: bool = True, hot: int = HOT, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Cut every byte that lies in a MATCH-byte string which also begins in a document with a smaller key.
 
     Returns the columns of docs but for the text inside ``row``, n_bytes, n_removed, n_spans (joined removed ranges),
     kept_sha256 (of the bytes left) and ``kept`` (these as text, without halves of cut characters; null with keep_text=False). Texts are whole UTF-8 byte strings; null
     counts as empty; strings never cross documents and are judged on the input. Rows with equal keys don't remove each
-    other's bytes, nor do repeats within one text. A null key counts as larger than any other.
+    other's bytes, nor do repeats within one text. A null key counts as larger than any other. Names of columns don't
+    matter, as they stay inside ``row``. hot, bucket_rows: as HOT and BUCKET_ROWS; they change the way, not the result.
     """
     spark = docs.sparkSession
     bounded_arrow(spark)
     partitions = _partitions(spark)
+    _, size = total_bytes(docs, text)
+    wanted = -(-size // BUCKET_TEXT)
+    names = _bucket_names(spark, partitions) if wanted <= partitions else list(range(wanted))
+    crowd = max(2, bucket_rows // (size // ANCHOR_BLOCK + 1))
     none = F.lit((1 << 63) - 1)
     texts = docs.select(F.coalesce(F.col(key).cast("long"), none).alias("doc"), F.hash(F.col(text)).cast("long").alias("mark"), F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row"))
-    fetched = stored(_fetch(_by_document(texts, _find(_anchor_rows(texts, _bucket_names(spark, partitions)), partitions), partitions), keep_text), "texts", release=True)
+    fetched = stored(_fetch(_by_document(texts, _find(_anchor_rows(texts, names, crowd), partitions, hot), partitions), keep_text), "texts", release=True)
     open_ = fetched.where("spans is not null")
-    closed = fetched.where("spans is null and h is null")
-    marks = _compare(fetched.where("h is not null"), partitions)
+    closed = fetched.where("spans is null and anchor is null")
+    contexts = fetched.where("anchor is not null").select("anchor", F.col("text").alias("sides"), F.col("n_removed").alias("left"), "doc", "mark", F.col("n_bytes").alias("at"), F.col("n_spans").alias("kind"))
+    marks = _compare(contexts.where(F.col("kind") == OPEN), partitions).unionByName(_compare_crowded(contexts.where(F.col("kind") == CROWDED)))
     whole = closed.unionByName(_finish(open_, marks, partitions, keep_text))
     return whole.select("row", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("text").cast("string").alias("kept"))

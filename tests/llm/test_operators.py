@@ -178,11 +178,29 @@ def test_repeated_rows_are_kept(spark):
     assert sorted((r.doc_id or 99, r.component_id or 99) for r in minhash.near_duplicates(docs.where("doc_id is not null")).collect()) == [(1, 1), (1, 1), (2, 1)]
 
 
-def test_contexts_of_one_short_digest_are_told_apart(spark):
-    """Two contexts of one anchor, whose digests have the same lower 40 bits, and no passage in common."""
-    rows = [(1, "ltbvfhidvhmjcyvvdxsgvqyximrelafyscduzdusfeccwgrfkrjohxfsdlnaldutxxgtdstlym"), (2, "hhmhvidmxkepoqpotfxgqwirimrelafyscduzdusfeccwgrfkrijhxtnfanymjswsibnwfmdbp")]
-    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted((r.row.doc_id, r.n_removed) for r in got.collect()) == [(1, 0), (2, 0)]
+def removed(spark, rows, **options):
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), **options)
+    return sorted((r.row.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect())
+
+
+def test_context_digests_tell_contexts_apart():
+    r = random.Random(3)
+    texts = [bytes(r.choice(b"ab") for _ in range(200)) for _ in range(40)] + [b"x" * 200, b"x" * 60]
+    raw, offsets = text_view(pa.array([t.decode() for t in texts]))
+    at = np.concatenate([np.arange(a, b - suffix_dedup.ANCHOR + 1) for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+    _, left, right = suffix_dedup._context_bounds(at, offsets)
+    digests = suffix_dedup.context_digests(raw, at, left, right)
+    whole = [(raw[a:b].tobytes(), int(p - a)) for p, a, b in zip(at, left, right, strict=True)]
+    assert len({tuple(x) for x in digests.tolist()}) == len(set(whole)) == len(dict(zip(whole, map(tuple, digests.tolist()), strict=True)))
+
+
+def test_crowded_anchors_and_periods(spark):
+    """Every way that contexts can take, and periodic texts, of which few anchors are kept."""
+    rows = corpus() + [(100 + i, ("ab" * (i * 17 + 3) + prose(i, 5) + "-" * (40 * i)) * 2) for i in range(8)] + [(120, "abc" * 500), (121, "cab" * 30), (122, "=" * 3000 + "end"), (123, "new" + "=" * 300)]
+    want = brute.remove_repeats(rows)
+    assert removed(spark, rows) == removed(spark, rows, hot=1) == removed(spark, rows, bucket_rows=1) == want
+    raw, offsets = text_view(pa.array(["=" * 100_000]))
+    assert len(suffix_dedup.anchors(raw, offsets)[0]) < 5000
 
 
 ITEMS = [(1, prose(2, 60)[30:200]), (2, "never blue"), (3, None), (4, ""), (5, "Mountain!"), (6, prose(300, 30)), (7, prose(300, 30)), (8, "river stone light, under")]
