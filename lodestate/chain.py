@@ -8,6 +8,7 @@ come in as DataFrames through ``apply``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -168,27 +169,37 @@ class Chain:
         path = self.ancestors(state_hash)
         root = self.blocks[path[-1][0]][0] if path else state_hash
         state = self.store.read(root) if root != EMPTY else self.spark.createDataFrame([], "account string, slot string, type int, value binary")
+        return View(self._folded(state, path), state_hash)
+
+    def _folded(self, state: DataFrame, path: list[tuple[str, int]]) -> DataFrame:
+        """The state with the blocks of a path over it, all in one fold."""
         state = state.select("account", "slot", "type", "value")
-        for block, _ in reversed(path):
-            state = overlay.fold(state, self.blocks[block][2])
-        return View(state, state_hash)
+        if not path:
+            return state
+        parts = [self.blocks[block][2].withColumn("number", F.lit(number).cast("long")) for block, number in path]
+        return overlay.fold(state, reduce(DataFrame.unionByName, parts))
 
     def latest(self) -> View:
         return View(self.store.read_latest().select("account", "slot", "type", "value"), self.finalized[0])
 
     def finalize(self, state_hash: str) -> bool:
-        """Fold the block and those below it into snapshots, oldest first. At or below the last finalized: nothing to do."""
+        """Fold the block and those below it into snapshots, oldest first. At or below the last finalized: nothing to do.
+
+        Blocks that the store's history wouldn't keep have no version of their own: they are folded together with the next.
+        """
         if state_hash not in self.blocks:
             if state_hash == self.finalized[0] or self.store.has_state(state_hash):
                 return True
             raise StateGone(state_hash)
         if self.blocks[state_hash][1] <= self.finalized[1]:
             return True
-        for block, number in reversed(self.ancestors(state_hash)):
-            parent, _, ops = self.blocks[block]
-            base = self.store.read(parent) if parent != EMPTY else self.store.spark.createDataFrame([], "account string, slot string, type int, value binary")
-            self.store.commit(overlay.fold(base.select("account", "slot", "type", "value"), ops), number, block, flush=False)
-            self.store.flush()
+        path = list(reversed(self.ancestors(state_hash)))  # oldest first
+        versions = [path[: max(1, len(path) - self.store.history + 1)], *([x] for x in path[max(1, len(path) - self.store.history + 1) :])]
+        for part in versions:
+            block, number = part[-1]
+            parent = self.blocks[part[0][0]][0]
+            base = self.store.read(parent) if parent != EMPTY else self.spark.createDataFrame([], "account string, slot string, type int, value binary")
+            self.store.commit(self._folded(base, part), number, block)
             self.finalized = block, number
             self.blocks = {h: b for h, b in self.blocks.items() if b[1] > number}  # forks of the same height go as well
         return True

@@ -10,7 +10,7 @@ what the same block sets after it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import ACCOUNT
@@ -56,49 +56,105 @@ def ancestors(blocks: DataFrame, head: str, walked: int = WALKED) -> DataFrame:
     )
 
 
-def settle(ops: DataFrame, by: str = "block_hash") -> tuple[DataFrame, DataFrame]:
-    """(sets, barriers) of each block: the last set per key after the block's last destroy of its account, and the destroys.
+#: Parts that the rows of one account (or prefix) are dealt into when facts about it are joined to them.
+SALTS = 16
+#: The layer of a folded snapshot: below all blocks.
+BELOW = -(1 << 62)
 
-    One shuffle by account serves the barrier's window and, within it, the keys.
+
+def _with_facts(rows: DataFrame, facts: DataFrame, on: dict[str, Column]) -> DataFrame:
+    """rows left-joined with facts (unique by their columns named in on). Facts are repeated SALTS times, so that no key's rows are one task's."""
+    salted = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumns({"_salt": F.pmod(F.xxhash64("account", "slot"), F.lit(SALTS)).cast("int"), **{f"_on_{k}": v for k, v in on.items()}})
+    met = dealt.join(salted.withColumnsRenamed({k: f"_on_{k}" for k in on}), [*(f"_on_{k}" for k in on), "_salt"], "left")
+    return met.drop("_salt", *(f"_on_{k}" for k in on))
+
+
+def _owner() -> Column:
+    return F.when(F.col("type") == ACCOUNT, F.lit("")).otherwise(F.col("account"))
+
+
+def _visible(sets: DataFrame, ops: DataFrame) -> DataFrame:
+    """(account, type, slot, value, layer) of the keys whose last set nothing hides.
+
+    sets: KEY, value, layer, seq; ops: destroys and prefix deletes with their layer (blocks from old to new) and seq. A
+    destroy hides what is older in its account, by layer and seq; a prefix delete what lower layers have under it. What
+    hides a key's last set hides all its sets, so that one aggregation by key goes before all joins.
     """
-    barrier = F.max(F.when(F.col("op") == DESTROY, F.col("seq"))).over(Window.partitionBy(by, "account"))
-    alive = ops.where(F.col("op").isin(SET, DESTROY)).withColumn("_destroyed", barrier)
-    sets = (
-        alive.where((F.col("op") == SET) & (F.col("_destroyed").isNull() | (F.col("seq") > F.col("_destroyed"))))
-        .groupBy(by, *KEY)
-        .agg(F.max_by("value", "seq").alias("value"), F.max_by("entry_type", "seq").alias("entry_type"), F.max("seq").alias("seq"))
-    )
-    barriers = ops.where(F.col("op") == DESTROY).select(by, "account").distinct()
-    return sets, barriers
+    last = sets.groupBy(*KEY).agg(F.max(F.struct("layer", "seq", "value")).alias("_top"))
+    destroys = ops.where(F.col("op") == DESTROY).groupBy("account").agg(F.max(F.struct("layer", "seq")).alias("_destroyed"))
+    last = _with_facts(last, destroys.withColumnRenamed("account", "of"), {"of": F.col("account")})
+    left = last.where(F.col("_destroyed").isNull() | (F.struct("_top.layer", "_top.seq") > F.col("_destroyed"))).drop("_destroyed")
+    deletes = ops.where(F.col("op") == PREFIX_DELETE).select(_owner().alias("of"), F.col("slot").alias("prefix"), F.col("type").alias("kind"), "layer")
+    deletes = deletes.groupBy("of", "prefix", "kind").agg(F.max("layer").alias("_deleted"))
+    path = F.when(F.col("type") == ACCOUNT, F.col("account")).otherwise(F.col("slot"))
+    for n in _lengths(deletes):
+        own = deletes.where(F.length("prefix") == n)
+        met = _with_facts(left, own, {"of": _owner(), "prefix": F.substr(path, F.lit(1), F.lit(n)), "kind": F.col("type")})
+        left = met.where(F.col("_deleted").isNull() | (F.col("_top.layer") >= F.col("_deleted"))).drop("_deleted")
+    return left.select(*KEY, F.col("_top.value").alias("value"), F.col("_top.layer").alias("layer"))
+
+
+def _lengths(prefixes: DataFrame) -> list[int]:
+    """The lengths of the prefixes: at most 65 of them reach the driver."""
+    return sorted(r[0] for r in prefixes.select(F.length("prefix")).distinct().collect())
 
 
 def overlay(ops: DataFrame, chain: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """Visible (account, type, slot, value, depth) at the chain's head: the nearest block that sets a key wins.
 
-    chain: (state_hash, depth), broadcast by Spark as it is small. base, if given, lies below all blocks. Tombstones of
-    storage and accounts are left out of the result.
+    chain: (state_hash, depth), broadcast by Spark as it is small. base, if given, lies below all blocks. Destroys and
+    prefix deletes hide what lies below them. Tombstones of storage and accounts are left out of the result.
     """
-    sets, barriers = settle(ops)
-    depth = chain.select(F.col("state_hash").alias("block_hash"), "depth")
-    layers = sets.join(depth, "block_hash").select(*KEY, "value", F.col("depth").cast("long").alias("depth"))
+    depth = chain.select(F.col("state_hash").alias("block_hash"), (-F.col("depth").cast("long")).alias("layer"))
+    placed = ops.join(depth, "block_hash")
+    sets = placed.where(F.col("op") == SET).select(*KEY, "value", "layer", F.col("seq").cast("long").alias("seq"))
     if base is not None:
-        layers = layers.unionByName(base.select(*KEY, "value", F.lit((1 << 62)).alias("depth")))
-    nearest = barriers.join(depth, "block_hash").groupBy("account").agg(F.min("depth").cast("long").alias("barrier"))
-    seen = layers.join(nearest, "account", "left").where(F.col("barrier").isNull() | (F.col("depth") <= F.col("barrier")))
-    return seen.groupBy(*KEY).agg(F.min_by("value", "depth").alias("value"), F.min("depth").alias("depth")).where(F.octet_length("value") > 0)
+        sets = sets.unionByName(base.select(*KEY, "value", F.lit(BELOW).alias("layer"), F.lit(0).cast("long").alias("seq")))
+    seen = _visible(sets, placed.withColumn("seq", F.col("seq").cast("long")))
+    return seen.where(F.octet_length("value") > 0).select(*KEY, "value", (-F.col("layer")).alias("depth"))
 
 
 def fold(base: DataFrame, ops: DataFrame) -> DataFrame:
-    """The next snapshot: prefix deletes, then destroys, then the last persistent sets; only live keys stay.
+    """The next snapshot: prefix deletes, destroys and the last persistent sets over a base; only live keys stay.
 
-    ops of several blocks need ``seq`` to order them all. Base and sets meet in one aggregation by key.
+    ops of several blocks have a ``number`` that orders the blocks, and seq orders the ops of a block; folding them at once
+    gives what folding block by block does. Base and sets meet in one aggregation by key.
     """
-    kept = remove_prefixes(base, ops.where(F.col("op") == PREFIX_DELETE).select("account", F.col("slot").alias("prefix"), "type"))
-    sets, barriers = settle(ops.withColumn("_all", F.lit(0)), by="_all")
-    sets = sets.where(F.col("entry_type") == PERSISTENT)
-    old = kept.join(barriers.select("account"), "account", "left_anti").select(*KEY, "value", F.lit(0).alias("layer"))
-    both = old.unionByName(sets.select(*KEY, "value", F.lit(1).alias("layer")))
-    return both.groupBy(*KEY).agg(F.max_by("value", "layer").alias("value")).where(F.octet_length("value") > 0)
+    number = F.col("number").cast("long") if "number" in ops.columns else F.lit(0).cast("long")
+    placed = ops.withColumns({"layer": number, "seq": F.col("seq").cast("long")})
+    sets = placed.where((F.col("op") == SET) & (F.col("entry_type") == PERSISTENT)).select(*KEY, "value", "layer", "seq")
+    below = base.select(*KEY, "value", F.lit(BELOW).alias("layer"), F.lit(BELOW).alias("seq"))
+    return _visible(sets.unionByName(below), placed).where(F.octet_length("value") > 0).select(*KEY, "value")
+
+
+def discard(state: DataFrame, keys: DataFrame) -> DataFrame:
+    """A block's entries without the given (account, type, slot): removed as if never set, not as tombstones."""
+    return remove_keys(state, keys, KEY)
+
+
+def merged(target: DataFrame, entries: DataFrame, entry_types: tuple[int, ...] = (PERSISTENT,)) -> DataFrame:
+    """target (account, type, slot, value, entry_type) with the entries of the given types laid over it."""
+    over = entries.where(F.col("entry_type").isin(*entry_types))
+    both = target.select(*KEY, "value", "entry_type", F.lit(0).alias("layer")).unionByName(over.select(*KEY, "value", "entry_type", F.lit(1).alias("layer")))
+    return both.groupBy(*KEY).agg(F.max(F.struct("layer", "value", "entry_type")).alias("t")).select(*KEY, "t.value", "t.entry_type")
+
+
+def may_lie_in(keys: DataFrame, ops: DataFrame, bits: int = 1 << 22) -> DataFrame:
+    """keys (account, slot) with ``may_contain``: whether blocks may set them or destroy their account. False means no block needs a look."""
+    from . import filters
+
+    own, account = F.xxhash64("account", "slot"), F.xxhash64("account")
+    added = ops.select(F.when(F.col("op") == SET, own).otherwise(account).alias("_h"))
+    return filters.may_contain(keys, filters.build(added, F.col("_h"), bits), own, account, bits=bits)
+
+
+def fell_through(keys: DataFrame, ops: DataFrame) -> DataFrame:
+    """One row (reads, to_base): how many of the asked keys (account, slot) no block answers, so that the snapshot is read."""
+    sets = ops.where(F.col("op") == SET).select("account", "slot").distinct().withColumn("_set", F.lit(True))
+    gone = ops.where(F.col("op") == DESTROY).select("account").distinct().withColumn("_gone", F.lit(True))
+    asked = keys.join(sets, ["account", "slot"], "left").join(gone, "account", "left")
+    return asked.agg(F.count(F.lit(1)).alias("reads"), F.count_if(F.col("_set").isNull() & F.col("_gone").isNull()).alias("to_base"))
 
 
 def remove_prefixes(state: DataFrame, prefixes: DataFrame) -> DataFrame:
@@ -107,16 +163,11 @@ def remove_prefixes(state: DataFrame, prefixes: DataFrame) -> DataFrame:
     A theta join in equi-join form: the prefixes' few lengths are gathered (there are at most 65), and each key offers
     its beginnings of these lengths.
     """
-    lengths = [r[0] for r in prefixes.select(F.length("prefix")).distinct().collect()]
-    if not lengths:
-        return state
-    is_account = F.col("type") == ACCOUNT
-    path = F.when(is_account, F.col("account")).otherwise(F.col("slot"))
-    owner = F.when(is_account, F.lit("")).otherwise(F.col("account"))
-    gone = prefixes.select(F.when(is_account, F.lit("")).otherwise(F.col("account")).alias("_o"), F.col("prefix").alias("_p"), F.col("type").alias("_t")).distinct()
-    for n in lengths:
+    path = F.when(F.col("type") == ACCOUNT, F.col("account")).otherwise(F.col("slot"))
+    gone = prefixes.select(_owner().alias("_o"), F.col("prefix").alias("_p"), F.col("type").alias("_t")).distinct()
+    for n in _lengths(prefixes):
         own = gone.where(F.length("_p") == n)
-        state = state.join(own, (owner == F.col("_o")) & (F.substr(path, F.lit(1), F.lit(n)) == F.col("_p")) & (F.col("type") == F.col("_t")), "left_anti")
+        state = state.join(own, (_owner() == F.col("_o")) & (F.substr(path, F.lit(1), F.lit(n)) == F.col("_p")) & (F.col("type") == F.col("_t")), "left_anti")
     return state
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import overlay
-from ..operators.overlay import DESTROY, KEY, PERSISTENT, PREFIX_DELETE, SET
+from ..operators.overlay import DESTROY, KEY, PERSISTENT, SET
 from ..sources.snapshots import SnapshotStore
 
 _CARRIED = "number long, seq long, op int, type int, account string, slot string, value binary, entry_type int"
@@ -21,21 +21,13 @@ def settled(ops: DataFrame) -> DataFrame:
     ops = ops.where((F.col("op") != SET) | (F.col("entry_type") == PERSISTENT))
     slot = F.when(F.col("op") == DESTROY, F.lit("")).otherwise(F.col("slot"))
     type_ = F.when(F.col("op") == DESTROY, F.lit(0)).otherwise(F.col("type"))
-    last = ops.groupBy("op", "account", type_.alias("type"), slot.alias("slot")).agg(F.max_by(F.struct("number", "seq", "value", "entry_type"), F.when(F.col("op") == PREFIX_DELETE, F.col("number")).otherwise(F.col("seq"))).alias("l"))
+    last = ops.groupBy("op", "account", type_.alias("type"), slot.alias("slot")).agg(F.max(F.struct("number", "seq", "value", "entry_type")).alias("l"))
     return last.select("l.number", "l.seq", "op", "type", "account", "slot", "l.value", "l.entry_type")
 
 
 def live(ops: DataFrame) -> DataFrame:
-    """The snapshot of settled ops, in whatever order they came: a prefix delete hides the sets of blocks before its own."""
-    left = ops.where(F.col("op") != PREFIX_DELETE)
-    deletes = ops.where(F.col("op") == PREFIX_DELETE).select("account", F.col("slot").alias("prefix"), "type", "number")
-    numbers = [r[0] for r in deletes.select("number").distinct().collect()]
-    sets = left.where(F.col("op") == SET)
-    for number in sorted(numbers):
-        older = overlay.remove_prefixes(sets.where(F.col("number") < number), deletes.where(F.col("number") == number).drop("number"))
-        sets = sets.where(F.col("number") >= number).unionByName(older)
-    empty = ops.limit(0).select(*KEY, "value")
-    return overlay.fold(empty, sets.unionByName(left.where(F.col("op") == DESTROY)))
+    """The snapshot of settled ops, in whatever order they came."""
+    return overlay.fold(ops.limit(0).select(*KEY, "value"), ops)
 
 
 def fold_stream(ops: DataFrame, store: SnapshotStore, checkpoint: str, *, trigger: dict | None = None, number: str = "number") -> StreamingQuery:
@@ -43,7 +35,7 @@ def fold_stream(ops: DataFrame, store: SnapshotStore, checkpoint: str, *, trigge
 
     Each micro-batch becomes one version, named by the highest block so far, the stream and the micro-batch; one that runs
     again after a failure finds its name and changes nothing. A block's ops may come in several micro-batches and blocks
-    in any order: seq orders the ops, and what late ones can depend on is carried along beside the version.
+    in any order: number and seq order the ops, and what late ones can depend on is carried along beside the version.
     """
     stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 

@@ -160,3 +160,59 @@ def test_stream_of_several_batches(spark, tmp_path):
     (tmp_path / "checkpoint" / "commits" / ".4.crc").unlink(missing_ok=True)
     fold_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/ops"), store, f"{tmp_path}/checkpoint").awaitTermination()
     assert len(store._rows()) == len(batches)
+
+
+OPS = "number long, block_hash string, seq long, op int, type int, account string, slot string, value binary, entry_type int"
+
+
+def op(n, seq, kind, account, slot="", value=None, entry=0, type_=1):
+    return n, f"b{n}", seq, kind, type_, account, slot, value, entry
+
+
+def test_folding_blocks_at_once_equals_block_by_block(spark):
+    import random
+
+    r = random.Random(4)
+    rows = []
+    for n in range(1, 9):
+        for seq in range(12):
+            kind = r.choice([0, 0, 0, 0, 1, 2])
+            account, slot = r.choice([K0, K1, K2]), r.choice(["AA", "AB", "B0", "BB"])
+            if kind == 0:
+                rows.append(op(n, n * 100 + seq, 0, account, slot, bytes([n, seq]) if r.random() < 0.8 else b"", r.choice([0, 0, 0, 1])))
+            elif kind == 1:
+                rows.append(op(n, n * 100 + seq, 1, account))
+            else:
+                rows.append(op(n, n * 100 + seq, 2, account, r.choice(["A", "B", "AA", ""])))
+    ops = spark.createDataFrame(rows, OPS)
+    state = ops.limit(0).select(*overlay.KEY, "value")
+    for n in range(1, 9):
+        state = spark.createDataFrame(overlay.fold(state, ops.where(F.col("number") == n).drop("number")).collect(), state.schema)
+    once = overlay.fold(ops.limit(0).select(*overlay.KEY, "value"), ops)
+    found = lambda df: sorted((x.account, x.slot, bytes(x.value)) for x in df.collect())
+    assert found(state) == found(once) and found(once)
+    chain = spark.createDataFrame([(f"b{n}", 8 - n) for n in range(1, 9)], "state_hash string, depth int")
+    assert found(overlay.overlay(ops.where("entry_type = 0"), chain)) == found(once)
+
+
+def test_overlay_honours_prefix_deletes(spark):
+    ops = spark.createDataFrame([op(1, 1, 0, K0, "AA", b"\x01"), op(1, 2, 0, K0, "BA", b"\x02"), op(2, 3, 2, K0, "A"), op(2, 4, 0, K0, "AB", b"\x03")], OPS)
+    base = spark.createDataFrame([(K0, 1, "AC", b"\x09"), (K1, 1, "AC", b"\x08")], "account string, type int, slot string, value binary")
+    chain = spark.createDataFrame([("b2", 0), ("b1", 1)], "state_hash string, depth int")
+    assert sorted((r.account, r.slot) for r in overlay.overlay(ops, chain, base).collect()) == [(K0, "AB"), (K0, "BA"), (K1, "AC")]
+
+
+def test_reads_that_reach_the_snapshot(spark):
+    ops = spark.createDataFrame([op(1, 1, 0, K0, "AA", b"\x01"), op(1, 2, 1, K1)], OPS)
+    keys = spark.createDataFrame([(K0, "AA"), (K0, "AB"), (K1, "AA"), (K2, "AA")], "account string, slot string")
+    assert tuple(overlay.fell_through(keys, ops).first()) == (4, 2)
+    assert {(r.account, r.slot) for r in overlay.may_lie_in(keys, ops).where("may_contain").collect()} >= {(K0, "AA"), (K1, "AA")}
+
+
+def test_merge_by_entry_type_and_hard_removal(spark):
+    entry = "account string, type int, slot string, value binary, entry_type int"
+    target = spark.createDataFrame([(K0, 1, "AA", b"\x01", 0), (K0, 1, "AB", b"\x02", 0)], entry)
+    new = spark.createDataFrame([(K0, 1, "AA", b"\x03", 2), (K0, 1, "AC", b"\x04", 1), (K0, 1, "AB", b"", 0)], entry)
+    state = {r.slot: bytes(r.value) for r in overlay.merged(target, new, (overlay.PERSISTENT, overlay.CACHED)).collect()}
+    assert state == {"AA": b"\x01", "AB": b"", "AC": b"\x04"}
+    assert [r.slot for r in overlay.discard(target, new.where("slot = 'AB'")).collect()] == ["AA"]
