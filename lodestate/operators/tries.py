@@ -1,18 +1,23 @@
 """Merkle-Patricia tries as set computations.
 
-A trie is a function of its live keys, so nothing is inserted or collapsed: windows over sorted keys give every key's
-common prefix with its neighbours, and these give branches, extensions and leaves. Hashes go bottom up, one grouped
-join-free step for each depth at which some branch stands; all tries (the state's and every account's storage) go
-through the same steps together, and no group has more than sixteen rows.
+A trie is a function of its live keys, so nothing is inserted or collapsed: common prefixes of sorted neighbours give
+branches, extensions and leaves. Leaves are dealt by trie and leading nibbles into whole sub-tries of bounded size; each
+becomes one item (a leaf or a branch with its hash), and the items of the deepest parts are what the parts above work on.
+All tries (the state's and every account's storage) go through the same few shuffles together.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rlp
-from ..functions.keccak import EMPTY_TREE, keccak256
+from ..functions.keccak import EMPTY_TREE, keccak256_many
 from ..functions.paths import common_prefix
 from ..sources.shared import stored
 
@@ -42,62 +47,207 @@ def neighbours(keys: DataFrame, trie: str = "trie", path: str = "path", bucket_n
     return rows.withColumn("left", lcp("_before")).withColumn("right", lcp("_after")).select(*keys.columns, "left", "right")
 
 
+#: Leaves of one trie that one task reduces at once. Larger tries are dealt by leading nibbles, so deep that no part has more.
+SUBTRIE = 1 << 15
+#: Nibbles by which a part that is too large is dealt further.
+STEP = 2
+#: Rows that a task holds before it works on the whole parts among them.
+HELD = 20_000
+
+_ITEM = "trie string, path string, leaf boolean, node binary, kind string, node_path string, children int, ref binary"
+
+
+def _lengths(data: int, short: int, long_: int) -> bytes:
+    """RLP header for so many bytes."""
+    if data < 56:
+        return bytes([short + data])
+    size = data.to_bytes((data.bit_length() + 7) // 8, "big")
+    return bytes([long_ + len(size)]) + size
+
+
+def _string(data: bytes) -> bytes:
+    return data if len(data) == 1 and data[0] < 0x80 else _lengths(len(data), 0x80, 0xB7) + data
+
+
+def _path_node(path: str, flags: int, content: bytes) -> bytes:
+    """RLP of (hex-prefix path, content); flags: 2 for a leaf, 0 for an extension."""
+    compact = bytes.fromhex(f"{flags + 1}{path}" if len(path) % 2 else f"{flags}0{path}")
+    body = _string(compact) + content
+    return _lengths(len(body), 0xC0, 0xF7) + body
+
+
+def _references(nodes: list[bytes]) -> list[bytes]:
+    """How parents hold these nodes: themselves below 32 bytes, else their hash."""
+    long_ = [i for i, x in enumerate(nodes) if len(x) >= 32]
+    out = list(nodes)
+    for i, digest in zip(long_, keccak256_many([nodes[i] for i in long_]), strict=True):
+        out[i] = b"\xa0" + digest
+    return out
+
+
+class _Part:
+    """Whole sub-tries as sorted items (leaves, and branches that were made before), worked on together from the deepest fork up.
+
+    hashes: False leaves all hashes out, for the structure alone. keep: collect rows for every node that is made.
+    """
+
+    def __init__(self, hashes: bool, keep: bool) -> None:
+        self.hashes, self.keep = hashes, keep
+        self.rows: list[tuple] = []
+
+    def _as_children(self, trie: list[str], path: list[str], leaf: list[bool], node: list[bytes], at: list[int]) -> list[bytes]:
+        """References of items as children of branches at depths at - 1 (their own path begins at ``at``)."""
+        tails = [p[a:] for p, a in zip(path, at, strict=True)]
+        if self.hashes:
+            first = [_path_node(t, 2, _string(n)) if is_leaf else n for t, n, is_leaf in zip(tails, node, leaf, strict=True)]
+            refs = _references(first)
+            longer = [i for i, (t, is_leaf) in enumerate(zip(tails, leaf, strict=True)) if t and not is_leaf]
+            extended = _references([_path_node(tails[i], 0, refs[i]) for i in longer])
+        else:
+            refs, longer = [b""] * len(path), [i for i, (t, is_leaf) in enumerate(zip(tails, leaf, strict=True)) if t and not is_leaf]
+            extended = [b""] * len(longer)
+        if self.keep:
+            for i, is_leaf in enumerate(leaf):
+                if is_leaf:
+                    self.rows.append((trie[i], path[i][: at[i]], True, None, "leaf", tails[i], 0, refs[i]))
+            for i, ref in zip(longer, extended, strict=True):
+                self.rows.append((trie[i], path[i][: at[i]], False, None, "extension", tails[i], 0, ref))
+        for i, ref in zip(longer, extended, strict=True):
+            refs[i] = ref
+        return refs
+
+    def reduce(self, group: np.ndarray, trie: list[str], path: list[str], leaf: list[bool], node: list[bytes]) -> list[tuple]:
+        """One item for each group: a leaf, or the group's topmost branch."""
+        n = len(path)
+        trie_, path_, leaf_, node_ = (np.array(x, object) for x in (trie, path, leaf, node))
+        width = max(map(len, path), default=0)
+        chars = np.frombuffer("".join([p.ljust(width, "-") for p in path]).encode(), np.uint8).reshape(n, width) if width else np.zeros((n, 0), np.uint8)
+        size = np.array([len(p) for p in path])
+        equal = np.concatenate([chars[1:] == chars[:-1], np.zeros((max(0, n - 1), 1), bool)], 1)
+        shared = np.where(group[1:] == group[:-1], np.minimum(equal.argmin(1), np.minimum(size[1:], size[:-1])), -1)
+        left, right = np.concatenate([[-1], shared]), np.concatenate([shared, [-1]])
+        alive = np.arange(n)
+        while len(alive) and (depth := max(left[alive].max(), right[alive].max())) >= 0:
+            joined = right[alive] == depth  # with the item after it
+            mine = joined | (left[alive] == depth)
+            first = np.nonzero(mine & (left[alive] != depth))[0]
+            ends = np.nonzero(mine & ~joined)[0]
+            own = alive[mine]
+            refs = self._as_children(trie_[own].tolist(), path_[own].tolist(), leaf_[own].tolist(), node_[own].tolist(), [depth + 1] * len(own))
+            nibbles = [int(p[depth], 16) for p in path_[own].tolist()]
+            bounds = np.cumsum(ends - first + 1).tolist()
+            made, masks = [], []
+            for low, high in zip([0, *bounds[:-1]], bounds, strict=True):
+                masks.append(sum(1 << k for k in nibbles[low:high]))
+                if self.hashes:
+                    items = [b"\x80"] * 17
+                    for k, ref in zip(nibbles[low:high], refs[low:high], strict=True):
+                        items[k] = ref
+                    body = b"".join(items)
+                    made.append(_lengths(len(body), 0xC0, 0xF7) + body)
+                else:
+                    made.append(b"")
+            at = alive[first]
+            prefixes = [p[:depth] for p in path_[at].tolist()]
+            if self.keep:
+                own_refs = _references(made) if self.hashes else made
+                self.rows += [(t, p, False, None, "branch", "", m, r) for t, p, m, r in zip(trie_[at].tolist(), prefixes, masks, own_refs, strict=True)]
+            path_[at], node_[at], leaf_[at] = prefixes, made, False
+            right[at] = right[alive[ends]]
+            gone = mine.copy()
+            gone[first] = False
+            alive = alive[~gone]
+        return [(trie_[i], path_[i], bool(leaf_[i]), node_[i], None, None, None, None) for i in alive]
+
+    def tops(self, trie: list[str], path: list[str], leaf: list[bool], node: list[bytes]) -> list[tuple]:
+        """Rows of kind ``root``: the hash of each whole trie."""
+        refs = self._as_children(trie, path, leaf, node, [0] * len(path))
+        if not self.hashes:
+            return []
+        whole = [_path_node(p, 2, _string(x)) if is_leaf else x if not p else _path_node(p, 0, r) for p, is_leaf, x, r in zip(path, leaf, node, _references([b"" if is_leaf else x for is_leaf, x in zip(leaf, node, strict=True)]), strict=True)]
+        return [(t, "", False, None, "root", "", 0, d) for t, d in zip(trie, keccak256_many(whole), strict=True)] if refs else []
+
+
+def _reduced(items: DataFrame, level: int, hashes: bool, keep: bool) -> DataFrame:
+    """items (trie, path, leaf, node) reduced to one for each (trie, first ``level`` nibbles); at level 0, to roots. keep: nodes as rows, too."""
+    prefix = F.substr(F.col("path"), F.lit(1), F.lit(level))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[str, str, bool, bytes]] = []
+
+        def work(rows: list[tuple[str, str, bool, bytes]]) -> pa.RecordBatch:
+            trie, path, leaf, node = (list(x) for x in zip(*rows, strict=True))
+            part = _Part(hashes, keep)
+            new = [i == 0 or trie[i] != trie[i - 1] or path[i][:level] != path[i - 1][:level] for i in range(len(rows))]
+            out = part.reduce(np.cumsum(new), trie, path, leaf, node)
+            if level == 0:
+                trie, path, leaf, node = (list(x) for x in zip(*[x[:4] for x in out], strict=True))
+                out = part.tops(trie, path, leaf, node)
+            kinds = (pa.string(), pa.string(), pa.bool_(), pa.binary(), pa.string(), pa.string(), pa.int32(), pa.binary())
+            rows = out + part.rows
+            columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in _ITEM.split(", ")])
+
+        for batch in batches:
+            held += zip(*(batch.column(c).to_pylist() for c in ("trie", "path", "leaf", "node")), strict=True)
+            if len(held) >= HELD:
+                key = held[-1][0], held[-1][1][:level]
+                at = len(held)
+                while at and (held[at - 1][0], held[at - 1][1][:level]) == key:
+                    at -= 1
+                if at:
+                    yield work(held[:at])
+                    held = held[at:]
+        if held:
+            yield work(held)
+
+    dealt = items.select("trie", "path", "leaf", "node").repartition(F.col("trie"), prefix).sortWithinPartitions("trie", "path")
+    return dealt.mapInArrow(run, _ITEM)
+
+
+def _levels(leaves: DataFrame, subtrie: int) -> dict[int, DataFrame]:
+    """The leaves by the number of nibbles by which each is dealt: so many that no part has more than subtrie leaves."""
+    found: dict[int, DataFrame] = {}
+    rest, level = leaves, 0
+    while True:
+        prefix = F.substr(F.col("path"), F.lit(1), F.lit(level))
+        large = stored(rest.groupBy("trie", prefix.alias("_p")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > subtrie).select("trie", "_p"), "large")
+        if large.limit(1).count() == 0:
+            return found | {level: rest}
+        salted = large.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(15))))
+        keyed = rest.withColumn("_p", prefix).withColumn("_s", F.pmod(F.xxhash64("path"), F.lit(16)).cast("int"))
+        found[level] = keyed.join(salted, ["trie", "_p", "_s"], "left_anti").select(leaves.columns)
+        rest = stored(keyed.join(salted, ["trie", "_p", "_s"], "left_semi").select(leaves.columns), "rest")
+        level += STEP
+
+
+def reduced(leaves: DataFrame, *, hashes: bool = True, keep: bool = False, subtrie: int = SUBTRIE) -> tuple[DataFrame, DataFrame | None]:
+    """((trie, root), nodes) of all tries among leaves (trie, path, value: the encoded leaf value), both stored.
+
+    A task turns whole sub-tries of bounded size into one item each; the deepest parts go first, and theirs are items of
+    the parts above. Most tries are one part. nodes: (trie, path, kind, node_path, children, ref), with keep. Of one
+    (trie, path), leaves must have one row. Tries without leaves have no row.
+    """
+    dealt = _levels(stored(leaves.select("trie", "path", F.lit(True).alias("leaf"), F.col("value").alias("node")), "leaves"), subtrie)
+    made: list[DataFrame] = []
+    for level in range(max(dealt), -1, -STEP):
+        pool = dealt[level]
+        if made:
+            pool = pool.unionByName(made[-1].where("kind is null").select(pool.columns))
+        made.append(stored(_reduced(pool, level, hashes, keep), "nodes"))
+    tops = made[-1].where("kind = 'root'").select("trie", F.col("ref").alias("root"))
+    nodes = reduce(DataFrame.unionByName, made).where("kind is not null and kind != 'root'").select("trie", "path", "kind", "node_path", "children", "ref") if keep else None
+    return tops, nodes
+
+
 def structure(keys: DataFrame, trie: str = "trie", path: str = "path") -> DataFrame:
     """(trie, path, kind, node_path, children) of all nodes. children: mask of a branch's nibbles.
 
     A leaf hangs one nibble below its deepest branch; a branch that is more than one nibble below the branch above it
     has an extension in between.
     """
-    rows = neighbours(keys.select(trie, path).distinct(), trie, path)
-    depth = F.greatest("left", "right")
-    leaves = rows.select(trie, F.substr(F.col(path), F.lit(1), depth + 1).alias("path"), F.lit("leaf").alias("kind"), F.substr(F.col(path), depth + 2).alias("node_path"), F.lit(0).alias("children"))
-    firsts = rows.where("left >= 0").select(trie, F.substr(F.col(path), F.lit(1), F.col("left")).alias("path")).distinct()
-    # each leaf or branch is a child of the branch right above it; a branch's depth above follows from its outer keys
-    outer = rows.select(trie, F.col(path).alias("key"), "left", "right")
-    prefixes = outer.select(trie, "key", "left", "right", F.explode(F.array_distinct(F.filter(F.array("left", "right"), lambda x: x >= 0))).alias("d"))
-    inside = prefixes.select(trie, F.substr(F.col("key"), F.lit(1), F.col("d")).alias("path"), F.substr(F.col("key"), F.col("d") + 1, F.lit(1)).alias("nibble")).distinct()
-    masks = inside.groupBy(trie, "path").agg(F.sum(F.pow(F.lit(2), F.conv("nibble", 16, 10).cast("int"))).cast("int").alias("children"))
-    branches = firsts.join(masks, [trie, "path"])
-    above = _depth_above(branches.select(trie, "path"), trie)
-    branch_rows = branches.select(trie, "path", F.lit("branch").alias("kind"), F.lit("").alias("node_path"), "children")
-    extensions = above.where(F.length("path") > F.col("above") + 1).select(trie, F.substr(F.col("path"), F.lit(1), F.col("above") + 1).alias("path"), F.lit("extension").alias("kind"), F.substr(F.col("path"), F.col("above") + 2).alias("node_path"), F.lit(0).alias("children"))
-    return leaves.unionByName(branch_rows).unionByName(extensions)
-
-
-def _depth_above(branches: DataFrame, trie: str) -> DataFrame:
-    """branches with ``above``: depth of the next branch on the way up, -1 for the topmost. Their beginnings are joined by key."""
-    beginnings = branches.select(trie, "path", F.explode(F.expr("if(length(path) > 0, sequence(0, length(path) - 1), cast(array() as array<int>))")).alias("d"))
-    beginnings = beginnings.select(trie, "path", F.substr(F.col("path"), F.lit(1), F.col("d")).alias("up"), "d")
-    up = branches.select(F.col(trie).alias("_t"), F.col("path").alias("_up"))
-    found = beginnings.join(up, (F.col(trie) == F.col("_t")) & (F.col("up") == F.col("_up"))).groupBy(trie, "path").agg(F.max("d").alias("above"))
-    return branches.join(found, [trie, "path"], "left").withColumn("above", F.coalesce("above", F.lit(-1)))
-
-
-def _reference(node: Column) -> Column:
-    """How a parent holds a node: itself below 32 bytes, else its hash."""
-    return F.when(F.octet_length(node) < 32, node).otherwise(F.concat(F.lit(b"\xa0"), keccak256(node)))
-
-
-def _node(rows: DataFrame, out: str, flags: bool, path: str, content: Column) -> DataFrame:
-    """rows with the leaf (flags True) or extension node of a path and its content.
-
-    Each part is a column of its own, so that no expression is written out several times over.
-    """
-    rows = rows.withColumn("_hp", rlp.hex_prefix(F.col(path), flags))
-    rows = rows.withColumn("_items", F.concat(rlp.byte_string(F.col("_hp")), content))
-    return rows.withColumn(out, rlp.list_of(F.col("_items"))).drop("_hp", "_items")
-
-
-def _as_child(rows: DataFrame, at: Column) -> DataFrame:
-    """rows with ``ref`` and ``node``, as seen from the depth at (the first nibble of their path below their parent)."""
-    rows = rows.withColumn("_tail", F.substr(F.col("path"), at + 1, F.col("depth") - at))
-    kept = [c for c in rows.columns if c != "_tail"]
-    leaves = _node(rows.where("leaf"), "node", True, "_tail", rlp.byte_string(F.col("node")))
-    inner = rows.where("not leaf")
-    short = inner.where(F.length("_tail") == 0)
-    longer = _node(inner.where(F.length("_tail") > 0).withColumn("_child", _reference(F.col("node"))), "node", False, "_tail", F.col("_child"))
-    every = leaves.select(kept).unionByName(short.select(kept)).unionByName(longer.select(kept))
-    return every.withColumn("ref", _reference(F.col("node")))
+    leaves = keys.select(F.col(trie).alias("trie"), F.col(path).alias("path")).distinct().withColumn("value", F.lit(b""))
+    return reduced(leaves, hashes=False, keep=True)[1].drop("ref").withColumnRenamed("trie", trie)
 
 
 def roots(leaves: DataFrame, with_nodes: bool = False) -> tuple[DataFrame, DataFrame | None]:
@@ -105,28 +255,54 @@ def roots(leaves: DataFrame, with_nodes: bool = False) -> tuple[DataFrame, DataF
 
     with_nodes: also a table (trie, path, ref) of every branch's reference. Tries without leaves have no row.
     """
-    rows = neighbours(stored(leaves.select("trie", "path", "value"), "leaves"))
-    live = stored(rows.select("trie", "path", F.length("path").alias("depth"), F.lit(True).alias("leaf"), F.col("value").alias("node"), "left", "right", F.greatest("left", "right").alias("up")), "placed")
-    depths = sorted((r[0] for r in live.select("up").union(live.select("left")).where("up >= 0").distinct().collect()), reverse=True)
-    made: list[DataFrame] = []
-    for d in depths:
-        pool = live
-        for more in made:
-            pool = pool.unionByName(more)
-        children = _as_child(pool.where(F.col("up") == d), F.lit(d + 1)).withColumn("nibble", F.substr(F.col("path"), F.lit(d + 1), F.lit(1)))
-        prefix = F.substr(F.col("path"), F.lit(1), F.lit(d))
-        grouped = children.groupBy("trie", prefix.alias("prefix")).agg(F.map_from_entries(F.collect_list(F.struct("nibble", "ref"))).alias("refs"), F.min_by("left", "nibble").alias("left"), F.max_by("right", "nibble").alias("right"))
-        each = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.coalesce(F.hex(F.try_element_at("refs", F.hex(i))), F.lit("80")))
-        grouped = grouped.withColumn("_items", F.unhex(F.concat(F.array_join(each, ""), F.lit("80"))))
-        made.append(stored(grouped.select("trie", F.col("prefix").alias("path"), F.lit(d).alias("depth"), F.lit(False).alias("leaf"), rlp.list_of(F.col("_items")).alias("node"), "left", "right", F.greatest("left", "right").alias("up")), "branches"))
-    pool = live
-    for more in made:
-        pool = pool.unionByName(more)
-    tops = _as_child(pool.where("up < 0"), F.lit(0)).select("trie", keccak256(F.col("node")).alias("root"))
-    nodes = None
-    if with_nodes:
-        nodes = pool.where("not leaf").select("trie", "path", _reference(F.col("node")).alias("ref"))
-    return tops, nodes
+    tops, nodes = reduced(leaves, keep=with_nodes)
+    return tops, nodes.where("kind = 'branch'").select("trie", "path", "ref") if with_nodes else None
+
+
+def visit(accounts: DataFrame, storage: DataFrame | None = None) -> DataFrame:
+    """Every node of the state's trie and of all storage tries, with what a visitor of the tries sees.
+
+    (is_storage, account: of a storage trie, path, level: branches and extensions above it, kind, node_path, children,
+    hash: null where a parent holds the node itself, encoded: the node where it does).
+    """
+    storage_roots, inner = reduced(storage_leaves(storage), keep=True) if storage is not None else (None, None)
+    nodes = reduced(account_leaves(accounts, storage_roots), keep=True)[1]
+    nodes = nodes if inner is None else nodes.unionByName(inner)
+    hashed = (F.octet_length("ref") == 33) & F.hex("ref").startswith("A0")
+    forks = nodes.where("kind != 'leaf'").select(F.col("trie").alias("_t"), F.col("path").alias("_up"))
+    return _leveled(nodes, forks).select(
+        (F.col("trie") != "").alias("is_storage"), F.col("trie").alias("account"), "path", "level", "kind", "node_path", "children",
+        F.when(hashed, F.substr("ref", F.lit(2))).alias("hash"), F.when(~hashed, F.col("ref")).alias("encoded"),
+    )
+
+
+def _leveled(nodes: DataFrame, forks: DataFrame) -> DataFrame:
+    """nodes with ``level``: forks (_t, _up) on the way from the root. An extension lies above the branch it leads to, and at its own path below the branch above."""
+    begins = nodes.select("trie", "path", "kind", F.explode(F.sequence(F.lit(0), F.length("path"))).alias("_n"))
+    begins = begins.select("trie", "path", "kind", F.substr(F.col("path"), F.lit(1), F.col("_n")).alias("_at"))
+    above = begins.join(forks, (F.col("trie") == F.col("_t")) & (F.col("_at") == F.col("_up"))).groupBy("trie", "path", "kind").agg(F.count(F.lit(1)).alias("_above"))
+    # nodes at the same path: a branch counts itself, an extension only itself, as its branch is deeper
+    own = F.when(F.col("kind") == "leaf", F.lit(0)).otherwise(F.lit(1))
+    return nodes.join(above, ["trie", "path", "kind"], "left").withColumn("level", F.coalesce("_above", F.lit(0)).cast("int") - own).drop("_above")
+
+
+def reduced_parts(leaves: DataFrame, level: int = STEP) -> DataFrame:
+    """(trie, prefix, path, leaf, node): one stored item for each (trie, first nibbles). What ``updated_parts`` and ``roots_of_parts`` start from."""
+    found = _reduced(leaves.select("trie", "path", F.lit(True).alias("leaf"), F.col("value").alias("node")), level, True, False)
+    return stored(found.select("trie", F.substr(F.col("path"), F.lit(1), F.lit(level)).alias("prefix"), "path", "leaf", "node"), "parts")
+
+
+def updated_parts(parts: DataFrame, leaves: DataFrame, changed: DataFrame, level: int = STEP) -> DataFrame:
+    """parts after keys (trie, path) have changed, been added or deleted. leaves: all that live now; only those of changed parts are read and hashed."""
+    prefix = F.substr(F.col("path"), F.lit(1), F.lit(level))
+    touched = stored(changed.select("trie", prefix.alias("prefix")).distinct(), "touched")
+    own = leaves.withColumn("prefix", prefix).join(touched, ["trie", "prefix"], "left_semi").drop("prefix")
+    return stored(parts.join(touched, ["trie", "prefix"], "left_anti").unionByName(reduced_parts(own, level)), "parts")
+
+
+def roots_of_parts(parts: DataFrame) -> DataFrame:
+    """(trie, root) from parts."""
+    return stored(_reduced(parts, 0, True, False), "roots").where("kind = 'root'").select("trie", F.col("ref").alias("root"))
 
 
 def storage_leaves(storage: DataFrame) -> DataFrame:

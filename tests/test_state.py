@@ -216,3 +216,73 @@ def test_merge_by_entry_type_and_hard_removal(spark):
     state = {r.slot: bytes(r.value) for r in overlay.merged(target, new, (overlay.PERSISTENT, overlay.CACHED)).collect()}
     assert state == {"AA": b"\x01", "AB": b"", "AC": b"\x04"}
     assert [r.slot for r in overlay.discard(target, new.where("slot = 'AB'")).collect()] == ["AA"]
+
+
+def plain_root(leaves):
+    """Root of (path, encoded value) rows by the recursive definition, with nothing of the library's trie code."""
+    from lodestate.functions.keccak import keccak256_many
+
+    keccak = lambda x: keccak256_many([x])[0]
+
+    def head(n, short):
+        if n < 56:
+            return bytes([short + n])
+        size = n.to_bytes((n.bit_length() + 7) // 8, "big")
+        return bytes([short + 55 + len(size)]) + size
+
+    text = lambda x: x if len(x) == 1 and x[0] < 128 else head(len(x), 0x80) + x
+    pack = lambda x: head(len(x), 0xC0) + x
+    ref = lambda x: x if len(x) < 32 else text(keccak(x))
+    compact = lambda p, leaf: bytes.fromhex((("3" if leaf else "1") + p) if len(p) % 2 else (("20" if leaf else "00") + p))
+
+    def node(rows, depth):
+        if len(rows) == 1:
+            return pack(text(compact(rows[0][0][depth:], True)) + text(rows[0][1]))
+        n = depth
+        while len({p[n] for p, _ in rows}) == 1:
+            n += 1
+        kids = [[r for r in rows if r[0][n] == c] for c in "0123456789ABCDEF"]
+        branch = pack(b"".join(ref(node(k, n + 1)) if k else b"\x80" for k in kids) + b"\x80")
+        return branch if n == depth else pack(text(compact(rows[0][0][depth:n], False)) + ref(branch))
+
+    return keccak(node(sorted(leaves), 0))
+
+
+@pytest.fixture(scope="module")
+def leaves():
+    import random
+
+    r = random.Random(12)
+    key = lambda: "".join(r.choice("0123456789ABCDEF") for _ in range(64))
+    rows = [("a", key(), bytes([r.randrange(1, 256)] * r.randrange(1, 40))) for _ in range(400)]
+    rows += [("b", "AB" * 10 + key()[:44], bytes([i + 1])) for i in range(40)] + [("c", key(), b"\x07")] + [("d", "0" * 63 + c, b"\x09") for c in "12F"]
+    return rows
+
+
+def test_roots_by_parts_equal_the_definition(spark, leaves):
+    table = spark.createDataFrame(leaves, "trie string, path string, value binary").repartition(3)
+    want = {t: plain_root([(p, v) for u, p, v in leaves if u == t]) for t in "abcd"}
+    for subtrie in (1 << 15, 30, 3):
+        assert {r.trie: bytes(r.root) for r in tries.reduced(table, subtrie=subtrie)[0].collect()} == want
+    nodes = [sorted(tuple(r) for r in tries.reduced(table, keep=True, subtrie=n)[1].collect()) for n in (1 << 15, 5)]
+    assert nodes[0] == nodes[1]
+    plain = sorted(tuple(r) for r in tries.structure(table).collect())
+    assert plain == [x[:5] for x in nodes[0]]
+
+
+def test_roots_after_changes(spark, leaves):
+    schema = "trie string, path string, value binary"
+    parts = tries.reduced_parts(spark.createDataFrame(leaves, schema))
+    later = [(t, p, b"\x55" if i % 50 == 0 else v) for i, (t, p, v) in enumerate(leaves) if i % 71] + [("e", "1" * 64, b"\x01")]
+    changed = {(t, p) for t, p, _ in set(leaves) ^ set(later)}
+    parts = tries.updated_parts(parts, spark.createDataFrame(later, schema), spark.createDataFrame(sorted(changed), "trie string, path string"))
+    assert {r.trie: bytes(r.root) for r in tries.roots_of_parts(parts).collect()} == {t: plain_root([(p, v) for u, p, v in later if u == t]) for t in "abcde"}
+
+
+def test_visited_nodes(spark):
+    slots = spark.createDataFrame([(K0, "C" * 60 + "EEB1", bytes([1, 2, 3])), (K0, "C" * 60 + "EEB2", bytes([10, 20, 30]))], "account string, slot string, value binary")
+    seen = {(r.is_storage, r.path, r.kind): (r.level, r.hash is None) for r in tries.visit(accounts(spark, (K0, 0, 1), (K1, 1, 1)), slots).collect()}
+    assert seen == {
+        (False, "", "extension"): (0, False), (False, "0", "branch"): (1, False), (False, "00", "leaf"): (2, False), (False, "01", "leaf"): (2, False),
+        (True, "", "extension"): (0, False), (True, "C" * 60 + "EEB", "branch"): (1, True), (True, "C" * 60 + "EEB1", "leaf"): (2, True), (True, "C" * 60 + "EEB2", "leaf"): (2, True),
+    }
