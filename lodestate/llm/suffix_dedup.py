@@ -3,7 +3,7 @@
 A passage is a string of MATCH bytes. Each one holds an anchor: the ANCHOR bytes of the smallest rolling hash in it
 (content alone decides which), with at most REACH bytes of the passage on either side. So:
 
-1. Every text gives its anchors, each with a 128-bit keyed digest of its whole context (the anchor and REACH bytes
+1. Every text gives its anchors, each with a 96-bit keyed digest of its whole context (the anchor and REACH bytes
    around it). Of equal contexts in one block of texts, only the smallest document's is sent on: the others are repeats
    whatever else there is. The rest is dealt by the anchor's hash as packed columns.
 2. An anchor that occurs in one document only is dropped. If a smaller document has the same context, all passages in
@@ -123,20 +123,21 @@ def _context_bounds(at: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 
 #: Bytes of a context and its two lengths, in 32-bit numbers.
 _WIDTH = (ANCHOR + 2 * REACH + 5) // 4
-#: Keys of the four multilinear hashes that make up a digest.
-_KEYS = mix(np.arange(1, 4 * (_WIDTH + 1) + 1, dtype=U) * STEP).reshape(_WIDTH + 1, 4)
+#: Multilinear hashes that make up a digest, and their keys.
+_HASHES = 3
+_KEYS = mix(np.arange(1, _HASHES * (_WIDTH + 1) + 1, dtype=U) * STEP).reshape(_WIDTH + 1, _HASHES)
 
 
-def context_digests(raw: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """n x 2: 128-bit digests of the contexts raw[left:right] around the anchors at.
+def context_digests(raw: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """96-bit digests, as 64 and 32 bits, of the contexts raw[left:right] around the anchors at.
 
-    Four multilinear hashes (a key for each 32 bits and each place, the upper half of the sum): two different contexts
-    agree in one of them with a chance of 2**-32, and in all with 2**-128.
+    Three multilinear hashes (a key for each 32 bits and each place, the upper half of the sum): two different contexts
+    agree in one of them with a chance of 2**-32, and in all with 2**-96.
     """
     size = ANCHOR + 2 * REACH
     padded = np.concatenate([np.zeros(REACH, np.uint8), raw, np.zeros(4 * _WIDTH, np.uint8)])
     windows = np.lib.stride_tricks.sliding_window_view(padded, 4 * _WIDTH)
-    out = np.empty((len(at), 2), U)
+    out = np.empty((len(at), _HASHES), U)
     for i in range(0, len(at), 1 << 15):
         own = slice(i, i + (1 << 15))
         before, behind = at[own] - left[own], right[own] - at[own] - ANCHOR
@@ -146,9 +147,8 @@ def context_digests(raw: np.ndarray, at: np.ndarray, left: np.ndarray, right: np
             place = np.arange(4 * _WIDTH)
             rows[cut] = np.where((place >= REACH - before[cut, None]) & (place < REACH + ANCHOR + behind[cut, None]), rows[cut], 0)
         rows[:, size], rows[:, size + 1], rows[:, size + 2 :] = before, behind, 0
-        sums = rows.view("<u4").astype(U) @ _KEYS[:-1] + _KEYS[-1]
-        out[own] = (sums[:, ::2] & U(0xFFFFFFFF00000000)) | (sums[:, 1::2] >> U(32))
-    return out
+        out[own] = (rows.view("<u4").astype(U) @ _KEYS[:-1] + _KEYS[-1]) >> U(32)
+    return out[:, 0] << U(32) | out[:, 1], out[:, 2].astype(np.uint32)
 
 
 def _packed(values: np.ndarray, width: int | None = None) -> bytes:
@@ -196,13 +196,13 @@ def _anchor_rows(texts: DataFrame, names: list[int], crowd: int) -> DataFrame:
             if not len(at):
                 continue
             row, left, right = _context_bounds(at, offsets)
-            c = context_digests(raw, at, left, right)
+            c, c2 = context_digests(raw, at, left, right)
             docs, marks = (np.array(block.column(x)) for x in ("doc", "mark"))
             place, doc = at - offsets[row], docs[row]
             # of equal contexts in this block, the smallest document's are sent on
-            order = np.lexsort((doc, c[:, 1], c[:, 0]))
+            order = np.lexsort((doc, c2, c))
             kind = np.ones(len(order), bool)
-            kind[1:] = (c[order[1:]] != c[order[:-1]]).any(1)
+            kind[1:] = (c[order[1:]] != c[order[:-1]]) | (c2[order[1:]] != c2[order[:-1]])
             least = np.empty(len(order), np.int64)
             least[order] = doc[order][np.nonzero(kind)[0]][np.cumsum(kind) - 1]
             local = doc > least
@@ -210,7 +210,7 @@ def _anchor_rows(texts: DataFrame, names: list[int], crowd: int) -> DataFrame:
             contexts = np.bincount(inverse, np.bincount(order[kind], minlength=len(h)), len(of_hash))
             crowded = (contexts > crowd)[inverse]
             kinds = np.where(local, LOCAL, np.where(crowded, BY_DIGEST, ANCHORS))
-            bucket = (np.where(kinds == ANCHORS, h, np.where(kinds == LOCAL, mix(doc.astype(U)), c[:, 0])) % U(buckets)).astype(np.int64)
+            bucket = (np.where(kinds == ANCHORS, h, np.where(kinds == LOCAL, mix(doc.astype(U)), c)) % U(buckets)).astype(np.int64)
             out: list[tuple] = []
             order = np.lexsort((row, bucket, kinds))  # stable: places of a document stay in order
             key = kinds[order] * buckets + bucket[order]
@@ -220,7 +220,7 @@ def _anchor_rows(texts: DataFrame, names: list[int], crowd: int) -> DataFrame:
                 rows, counts = np.unique(row[own], return_counts=True)
                 base, k = int(docs[rows].min()), int(kinds[own[0]])
                 who = base, _packed(docs[rows].astype(U) - np.array(base).astype(U)), marks[rows].astype("<i4").tobytes(), _packed(counts)
-                what = (None, None) if k == LOCAL else ((h[own] >> U(32)).astype("<u4").tobytes(), c[own].astype("<u8").tobytes())
+                what = (None, None) if k == LOCAL else ((h[own] >> U(32)).astype("<u4").tobytes(), c[own].astype("<u8").tobytes() + c2[own].astype("<u4").tobytes())
                 out.append((names[bucket[own[0]]], k, *what, _packed(place[own]), *who))
             if crowded.any():
                 beacons = np.unique(h[crowded])
@@ -234,7 +234,7 @@ def _anchor_rows(texts: DataFrame, names: list[int], crowd: int) -> DataFrame:
 
 
 _FOUND = "doc long, mark long, kind int, data binary"
-REPEAT, OPEN, CROWDED, TEXT = 1, 2, 3, 9
+REPEAT, OPEN, CROWDED, SPANS, TEXT = 1, 2, 3, 4, 9
 
 
 def _marks(doc: np.ndarray, mark: np.ndarray, kind: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
@@ -248,15 +248,15 @@ def _marks(doc: np.ndarray, mark: np.ndarray, kind: np.ndarray, at: np.ndarray)
     return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(mark[first]), pa.array(kind[first], pa.int32()), pa.array(data, pa.binary())], ["doc", "mark", "kind", "data"])
 
 
-def _judge(h: np.ndarray, c: np.ndarray, doc: np.ndarray, mark: np.ndarray, at: np.ndarray, known: np.ndarray | None, hot: int) -> pa.RecordBatch | None:
+def _judge(h: np.ndarray, c: np.ndarray, c2: np.ndarray, doc: np.ndarray, mark: np.ndarray, at: np.ndarray, known: np.ndarray | None, hot: int) -> pa.RecordBatch | None:
     """Of one bucket's anchors: places whose whole context is a repeat, and the first contexts of each kind where kinds differ.
 
     known: hashes of anchors that are known to have many contexts in other buckets, too; None: all are.
     """
-    order = np.lexsort((doc, c[:, 1], c[:, 0], h))
-    h, c, doc, mark, at = h[order], c[order], doc[order], mark[order], at[order]
+    order = np.lexsort((doc, c2, c, h))
+    h, c, c2, doc, mark, at = h[order], c[order], c2[order], doc[order], mark[order], at[order]
     new_h = np.concatenate([[True], h[1:] != h[:-1]])
-    new_c = new_h | np.concatenate([[True], (c[1:] != c[:-1]).any(1)])
+    new_c = new_h | np.concatenate([[True], (c[1:] != c[:-1]) | (c2[1:] != c2[:-1])])
     first_h, kind = np.nonzero(new_h)[0], np.cumsum(new_c) - 1
     low, high = np.minimum.reduceat(doc, first_h), np.maximum.reduceat(doc, first_h)
     anchor = np.cumsum(new_h) - 1
@@ -305,7 +305,8 @@ def _find(rows: DataFrame, partitions: int, hot: int) -> DataFrame:
                 if kind == LOCAL:
                     yield _marks(who[0], who[1], np.full(len(who[0]), REPEAT), who[2])
                 else:
-                    held.append((np.frombuffer(h, "<u4"), np.frombuffer(c, "<u8").reshape(-1, 2), *who))
+                    n = len(h) // 4
+                    held.append((np.frombuffer(h, "<u4"), np.frombuffer(c, "<u8", n), np.frombuffer(c, "<u4", n, 8 * n), *who))
         yield from close()
 
     return rows.repartition(partitions, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, _FOUND)
@@ -351,16 +352,16 @@ def _valid(kept: bytes) -> bytes:
 
 
 def _fetch(sorted_rows: DataFrame, keep_text: bool) -> DataFrame:
-    """Documents without open contexts are done; others are handed on with their (compressed) texts, and their open contexts as rows."""
+    """Documents without open contexts are done; of others, the spans found so far and the open contexts are handed on as rows."""
     row_kind = sorted_rows.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand, squeeze = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        expand = zstandard.ZstdDecompressor()
         own, repeats, open_ = None, [], []
         nobody = [None] * 20_000
         for batch in batches:
             done: list[tuple] = []
-            done_at: list[int] = []
+            done_at: list[int | None] = []
             contexts: list[tuple] = []
             for i, (doc, mark, kind) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("doc", "mark", "kind")), strict=True)):
                 if (doc, mark) != own:
@@ -375,16 +376,16 @@ def _fetch(sorted_rows: DataFrame, keep_text: bool) -> DataFrame:
                 text = expand.decompress(batch.column("data")[i].as_py())
                 at = np.concatenate(repeats).astype(np.int64) if repeats else np.zeros(0, np.int64)
                 spans = _cover(len(text), at - REACH, at + ANCHOR + REACH)
-                done_at.append(i)
+                done_at.append(None if open_ else i)
                 if open_:
                     # a context inside one removed range has nothing left to decide, but others may repeat it
                     contexts += [(doc, mark, text[max(0, p - REACH) : p] + text[p + ANCHOR : p + ANCHOR + REACH], p, min(p, REACH), k, text[p : p + ANCHOR]) for k, places in open_ for p in places.tolist()]
-                    done.append((doc, mark, squeeze.compress(text), spans.astype("<i8").tobytes(), None, None, None, None, None))
+                    done.append((doc, mark, None, spans.astype("<i8").tobytes(), None, None, None, None, None))
                 else:
                     size, removed, n, kept = _settled(text, spans)
                     done.append((doc, mark, _valid(kept) if keep_text else None, None, size, removed, n, hashlib.sha256(kept).hexdigest(), None))
             if done:
-                yield _fetched(done, batch.column("row").take(pa.array(done_at)))
+                yield _fetched(done, batch.column("row").take(pa.array(done_at, pa.int64())))
             for i in range(0, len(contexts), 20_000):
                 part = contexts[i : i + 20_000]
                 doc, mark, text, at, left, kind, anchor = zip(*part, strict=True)
@@ -501,38 +502,37 @@ def _compare_crowded(contexts: DataFrame) -> DataFrame:
     return hits.mapInArrow(marks, _FOUND)
 
 
-def _finish(open_texts: DataFrame, marks: DataFrame, partitions: int, keep_text: bool) -> DataFrame:
-    """The documents with open contexts, settled with what the suffix arrays found."""
-    row_type = open_texts.schema["row"].dataType
-    texts = open_texts.select("doc", "mark", F.lit(TEXT).alias("kind"), "text", "spans", "row")
-    found = marks.select("doc", "mark", "kind", F.col("data").alias("text"), F.lit(None).cast("binary").alias("spans"), F.lit(None).cast(row_type).alias("row"))
+def _finish(sorted_rows: DataFrame, keep_text: bool, schema) -> DataFrame:
+    """The documents with open contexts (those that have SPANS), settled with what the comparison found as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
-        own, bits = None, []
+        own, bits, spans = None, [], None
         for batch in batches:
             done, at = [], []
             for i, (doc, mark, kind) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("doc", "mark", "kind")), strict=True)):
                 if (doc, mark) != own:
-                    own, bits = (doc, mark), []
-                data = batch.column("text")[i].as_py()
-                if kind != TEXT:
+                    own, bits, spans = (doc, mark), [], None
+                data = batch.column("data")[i].as_py()
+                if kind == OPEN:
                     bits.append(np.frombuffer(data, "<i8"))
-                    continue
-                data = expand.decompress(data)
-                spans = np.frombuffer(batch.column("spans")[i].as_py(), "<i8").reshape(-1, 2)
-                if bits:
-                    place, set_ = np.stack(bits).T
-                    which, a = np.nonzero((set_[:, None] >> np.arange(REACH + 1)) & 1)
-                    start = place[which] - a
-                    spans = _cover(len(data), np.concatenate([spans[:, 0], start]), np.concatenate([spans[:, 1], start + MATCH]))
-                size, removed, n, kept = _settled(data, spans)
-                done.append((doc, mark, _valid(kept) if keep_text else None, None, size, removed, n, hashlib.sha256(kept).hexdigest(), None))
-                at.append(i)
+                elif kind == SPANS:
+                    spans = np.frombuffer(data, "<i8").reshape(-1, 2)
+                elif spans is not None:
+                    data = expand.decompress(data)
+                    cut = spans
+                    if bits:
+                        place, set_ = np.stack(bits).T
+                        which, a = np.nonzero((set_[:, None] >> np.arange(REACH + 1)) & 1)
+                        start = place[which] - a
+                        cut = _cover(len(data), np.concatenate([spans[:, 0], start]), np.concatenate([spans[:, 1], start + MATCH]))
+                    size, removed, n, kept = _settled(data, cut)
+                    done.append((doc, mark, _valid(kept) if keep_text else None, None, size, removed, n, hashlib.sha256(kept).hexdigest(), None))
+                    at.append(i)
             if done:
                 yield _fetched(done, batch.column("row").take(pa.array(at)))
 
-    return texts.unionByName(found).repartition(partitions, "doc", "mark").sortWithinPartitions("doc", "mark", "kind").mapInArrow(run, open_texts.schema)
+    return sorted_rows.mapInArrow(run, schema)
 
 
 def _partitions(spark: SparkSession) -> int:
@@ -558,9 +558,9 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     none = F.lit((1 << 63) - 1)
     texts = docs.select(F.coalesce(F.col(key).cast("long"), none).alias("doc"), F.hash(F.col(text)).cast("long").alias("mark"), F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row"))
     fetched = stored(_fetch(_by_document(texts, _find(_anchor_rows(texts, names, crowd), partitions, hot), partitions), keep_text), "texts", release=True)
-    open_ = fetched.where("spans is not null")
     closed = fetched.where("spans is null and anchor is null")
+    spans = fetched.where("spans is not null").select("doc", "mark", F.lit(SPANS).alias("kind"), F.col("spans").alias("data"))
     contexts = fetched.where("anchor is not null").select("anchor", F.col("text").alias("sides"), F.col("n_removed").alias("left"), "doc", "mark", F.col("n_bytes").alias("at"), F.col("n_spans").alias("kind"))
     marks = _compare(contexts.where(F.col("kind") == OPEN), partitions).unionByName(_compare_crowded(contexts.where(F.col("kind") == CROWDED)))
-    whole = closed.unionByName(_finish(open_, marks, partitions, keep_text))
+    whole = closed.unionByName(_finish(_by_document(texts, marks.unionByName(spans), partitions), keep_text, fetched.schema))
     return whole.select("row", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("text").cast("string").alias("kept"))

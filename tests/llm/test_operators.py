@@ -189,7 +189,7 @@ def test_context_digests_tell_contexts_apart():
     raw, offsets = text_view(pa.array([t.decode() for t in texts]))
     at = np.concatenate([np.arange(a, b - suffix_dedup.ANCHOR + 1) for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
     _, left, right = suffix_dedup._context_bounds(at, offsets)
-    digests = suffix_dedup.context_digests(raw, at, left, right)
+    digests = np.stack(suffix_dedup.context_digests(raw, at, left, right), 1)
     whole = [(raw[a:b].tobytes(), int(p - a)) for p, a, b in zip(at, left, right, strict=True)]
     assert len({tuple(x) for x in digests.tolist()}) == len(set(whole)) == len(dict(zip(whole, map(tuple, digests.tolist()), strict=True)))
 
