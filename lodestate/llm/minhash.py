@@ -26,7 +26,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._batches import LOWER, U, bounded_arrow, map_blocks, mix, stored, text_view, word_hashes, word_spans
@@ -128,21 +128,35 @@ def listed_values(classes: DataFrame, *, percent: int, overlap: int, k: int = SK
     return own.withColumn("take", prefix.cast("int")).where("take > 0").select("doc_id", "n", F.explode(F.slice("shared", 1, F.col("take"))).alias("s")).select(F.col("s.v").alias("v"), "doc_id", "n", F.col("s.df").alias("df"))
 
 
+#: Lists of more documents are dealt into SALTS parts when facts of the list are joined to its rows.
+LONG_LIST = 500
+
+
+def _parts_of_lists(df: Column) -> Column:
+    return F.when(df > LONG_LIST, F.lit(SALTS)).otherwise(F.lit(1))
+
+
+def _with_list(lists: DataFrame, facts: DataFrame) -> DataFrame:
+    """lists' rows with facts (v, df, ...), one row of which stands for each list."""
+    salted = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), _parts_of_lists(F.col("df")) - 1))).drop("df")
+    return lists.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), _parts_of_lists(F.col("df"))).cast("int")).join(salted, ["v", "_salt"])
+
+
 def stars(lists: DataFrame) -> DataFrame:
     """(a, b): each document b and the most central member a of its lists, the one that most of its lists have.
 
     Central is who shares most: the sum of its listed values' frequencies.
     """
     centrality = lists.groupBy("doc_id").agg(F.sum("df").alias("shared"))
-    hubs = lists.join(centrality, "doc_id").groupBy("v").agg(F.max_by("doc_id", F.struct("shared", -F.col("doc_id"))).alias("a"))
-    votes = lists.join(hubs, "v").where("a != doc_id").groupBy("doc_id", "a").agg(F.count(F.lit(1)).alias("votes"))
+    hubs = lists.join(centrality, "doc_id").groupBy("v").agg(F.max_by("doc_id", F.struct("shared", -F.col("doc_id"))).alias("a"), F.max("df").alias("df"))
+    votes = _with_list(lists, hubs).where("a != doc_id").groupBy("doc_id", "a").agg(F.count(F.lit(1)).alias("votes"))
     return votes.groupBy("doc_id").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a")).select("a", F.col("doc_id").alias("b"))
 
 
 def families(lists: DataFrame, nodes: DataFrame) -> DataFrame:
     """(doc_id, family): documents that lists connect, verified or not. Every link lies within a family."""
-    least = lists.groupBy("v").agg(F.min("doc_id").alias("a"))
-    edges = lists.join(least, "v").where("a != doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    least = lists.groupBy("v").agg(F.min("doc_id").alias("a"), F.max("df").alias("df"))
+    edges = _with_list(lists, least).where("a != doc_id").select("a", F.col("doc_id").alias("b")).distinct()
     return components(nodes, stored(edges, "edges")).withColumnRenamed("component_id", "family")
 
 
