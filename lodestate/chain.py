@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import bits, rlp
@@ -48,12 +48,27 @@ class View:
         return rows if keys is None else overlay.lookup(rows, keys, ["account", "slot"])
 
     def get_account(self, account: str) -> tuple[int, int]:
-        row = self.accounts(self.state.sparkSession.createDataFrame([(account,)], "account string")).first()
-        return int.from_bytes(row.balance, "big"), int.from_bytes(row.nonce, "big")
+        """(balance, nonce) of one account: literal predicates reach the snapshot's folders and files."""
+        row = self.state.where((F.col("account") == account.upper()) & (F.col("type") == ACCOUNT)).select(rlp.account_from_bytes(F.col("value")).alias("a")).first()
+        return (int.from_bytes(row.a.balance, "big"), int.from_bytes(row.a.nonce, "big")) if row else (0, 0)
 
     def get_storage(self, account: str, slot: str) -> bytes:
-        row = self.storage(self.state.sparkSession.createDataFrame([(account, slot)], "account string, slot string")).first()
-        return bytes(row.value)
+        row = self.state.where((F.col("account") == account.upper()) & (F.col("slot") == slot.upper()) & (F.col("type") == STORAGE)).select("value").first()
+        return bytes(row.value) if row else b""
+
+    def storage_root(self, account: str) -> str:
+        """Root hash of one account's storage."""
+        row = tries.storage_root(self.storage(), account).first()
+        return bytes(row.root).hex().upper() if row else EMPTY
+
+    def subtrie_hash(self, prefix: str, account: str | None = None) -> str:
+        """Hash of what lies under a path of the state (its accounts with their stored roots), or of one account's storage."""
+        if account is not None:
+            row = tries.storage_subtrie_root(self.storage(), account, prefix).first()
+        else:
+            own = self.accounts()
+            row = tries.subtrie_root(tries.account_leaves(own, own.select(F.col("account").alias("trie"), F.col("storage_root").alias("root"))), prefix).first()
+        return bytes(row.root).hex().upper() if row else EMPTY
 
     def root(self) -> str:
         """Root hash of the state, with all storage roots computed anew."""
@@ -98,6 +113,18 @@ class Block:
         self._tables.append(ops.select(F.lit("").alias("block_hash"), (F.col("seq") + self._seq).alias("seq"), "op", "type", "account", "slot", "value", "entry_type"))
         self._seq += 1 << 40
 
+    def setter(self, account: str) -> Callable[[str, bytes], None]:
+        """A function that sets slots of one account."""
+        return lambda slot, value: self.set_storage(account, slot, value)
+
+    def describe(self, predicate: Column | None = None) -> DataFrame:
+        """The keys that the block changes, of those a predicate over (type, account, slot, value, entry_type) admits."""
+        return overlay.describe(self.ops(), predicate)
+
+    def visit(self, kind: int) -> DataFrame:
+        """The changes of one type of keys: what a hook before the commit may ask for."""
+        return overlay.visit(self.ops(), kind)
+
     def reset(self) -> None:
         self._rows, self._tables, self._seq = [], [], 0
 
@@ -128,6 +155,105 @@ class Block:
         return state_hash
 
 
+class Raw(Block):
+    """A state under synchronisation: nodes may be known by hashes alone, and commits need no root.
+
+    ``nodes`` are the trie nodes put in so far: (account, path, kind, node_path, children, memo, ref, persist).
+    """
+
+    def __init__(self, chain: Chain, parent: str) -> None:
+        super().__init__(chain, parent)
+        self.nodes = tries.synced_leaves(chain.spark.createDataFrame([], "account string, path string, node_path string"))
+        self.hash = parent
+
+    def create_branch(self, account: str, path: str, children: dict[str, bytes], persist: bool = True) -> None:
+        rows = self.chain.spark.createDataFrame([(account, path, [{"nibble": k, "hash": v} for k, v in children.items()], persist)], "account string, path string, children array<struct<nibble:string,hash:binary>>, persist boolean")
+        self.nodes = self.nodes.unionByName(tries.synced_branches(rows))
+
+    def create_extension(self, account: str, path: str, node_path: str, child: bytes, persist: bool = True) -> None:
+        rows = self.chain.spark.createDataFrame([(account, path, node_path, child, persist)], "account string, path string, node_path string, child binary, persist boolean")
+        self.nodes = self.nodes.unionByName(tries.synced_extensions(rows))
+
+    def create_leaf(self, account: str, path: str, node_path: str) -> None:
+        self.nodes = self.nodes.unionByName(tries.synced_leaves(self.chain.spark.createDataFrame([(account, path, node_path)], "account string, path string, node_path string")))
+
+    def is_persisted(self, account: str, path: str, hash_: bytes | None = None) -> bool:
+        keys = self.chain.spark.createDataFrame([(account, path, hash_)], "account string, path string, hash binary")
+        return tries.persisted(keys, self.nodes).first().persisted
+
+    def process_proofs(self, account: str = "") -> list[str]:
+        """Paths of the account's proof branches that now have all their children, and so persist from here on."""
+        own = self.nodes.where(F.col("account") == account)
+        kids = F.transform(F.map_entries("memo"), lambda e: F.struct(F.hex(e["key"].cast("long")).alias("nibble"), e["value"].alias("hash")))
+        proofs = own.where("not persist and kind = 'branch'").select("path", F.col("ref").alias("hash"), kids.alias("children"))
+        done = [r.path for r in tries.promote_proofs(proofs, own.where("persist").select("path", F.col("ref").alias("hash"))).collect()]
+        self.nodes = self.nodes.withColumn("persist", F.col("persist") | ((F.col("account") == account) & F.col("path").isin(done)))
+        return done
+
+    def commit(self, number: int = 0, state_hash: str | None = None, ensure_hash: bool = True, keep_open: bool = False) -> str:
+        """Make the changes part of the raw state. Without ensure_hash no root is computed; keep_open lets more changes follow."""
+        if ensure_hash and state_hash is None:
+            self.hash = self.view().root()
+        else:
+            self.hash = state_hash or self.hash
+        self._open = keep_open
+        return self.hash
+
+    def seal(self, number: int, state_hash: str | None = None) -> str:
+        """Write the state as a version, with its root (or a given name) and block number."""
+        self.hash = state_hash or self.view().root()
+        self.chain.store.commit(self.view().state, number, self.hash)
+        self.chain.finalized = self.hash, number
+        return self.hash
+
+
+class Accessor:
+    """Reads at any known state by its hash; an unknown hash reads as an empty state.
+
+    Known are the store's retained versions and the blocks above them: as blocks become versions, forks go and old
+    versions leave the history, the accessor follows. Asked hashes are few; keys are a table.
+    """
+
+    def __init__(self, chain: Chain) -> None:
+        self.chain = chain
+
+    def hashes(self) -> list[str]:
+        return [*self.chain.blocks, *(r.state_hash for r in self.chain.store._rows())]
+
+    def has_state(self, state_hash: str) -> bool:
+        return state_hash in self.hashes()
+
+    def view(self, state_hash: str) -> View:
+        if not self.has_state(state_hash):
+            return View(self.chain.spark.createDataFrame([], "account string, slot string, type int, value binary"), state_hash)
+        return self.chain.view(state_hash)
+
+    def get_account(self, state_hash: str, account: str) -> tuple[int, int]:
+        return self.view(state_hash).get_account(account)
+
+    def get_storage(self, state_hash: str, account: str, slot: str) -> bytes:
+        return self.view(state_hash).get_storage(account, slot)
+
+    def _read(self, keys: DataFrame, on: list[str], rows: Callable[[View], DataFrame]) -> DataFrame:
+        """keys left-joined, by state hash and on, with the rows of the states they ask for."""
+        known = set(self.hashes())
+        asked = [r[0] for r in keys.select("state_hash").distinct().where(F.col("state_hash").isin(*known)).collect()] if known else []
+        if not asked:
+            return keys.withColumn("value", F.lit(None).cast("binary"))
+        every = reduce(DataFrame.unionByName, [rows(self.chain.view(h)).withColumn("state_hash", F.lit(h)) for h in asked])
+        return keys.join(every, ["state_hash", *on], "left")
+
+    def accounts(self, keys: DataFrame) -> DataFrame:
+        """keys (state_hash, account) with balance, nonce, code_hash and storage_root; unknown ones read as the empty account."""
+        met = self._read(keys, ["account"], lambda v: v.state.where(F.col("type") == ACCOUNT).select("account", "value"))
+        return met.select(*keys.columns, rlp.account_from_bytes(F.col("value")).alias("a")).select(*keys.columns, "a.*")
+
+    def storage(self, keys: DataFrame) -> DataFrame:
+        """keys (state_hash, account, slot) with their value; unknown ones read as empty."""
+        met = self._read(keys, ["account", "slot"], lambda v: v.state.where(F.col("type") == STORAGE).select("account", "slot", "value"))
+        return met.withColumn("value", F.coalesce("value", F.lit(b"")))
+
+
 class Chain:
     """Fork-aware blocks above a snapshot store. finality: blocks below the head by that much finalize by themselves."""
 
@@ -142,6 +268,29 @@ class Chain:
             raise StateGone(parent)
         return Block(self, parent, hooks)
 
+    def start_raw(self, parent: str | None = None) -> Raw:
+        """A raw state on the last version."""
+        return Raw(self, self.finalized[0] if parent is None else parent)
+
+    def accessor(self) -> Accessor:
+        return Accessor(self)
+
+    def import_blocks(self, ops: DataFrame, per_block: int, lag: int = 4, name: str = "import") -> int:
+        """Bulk load: ops in the order of seq, per_block of them a block; all but the last ``lag`` blocks are finalized.
+
+        What gets final is one fold, however many blocks it is; returns the number of blocks. seq counts from 0 without gaps.
+        """
+        placed = stored(ops.withColumn("number", (F.floor(F.col("seq") / per_block) + 1).cast("long")).withColumn("block_hash", F.concat(F.lit(f"{name}-"), "number")), "import")
+        top = placed.agg(F.max("number")).first()[0] or 0
+        final, first = max(0, top - lag), self.finalized[1]
+        if final:
+            base = self.store.read_latest().select("account", "slot", "type", "value")
+            self.store.commit(overlay.fold(base, placed.where(F.col("number") <= final)), first + final, f"{name}-{final}")
+            self.finalized = f"{name}-{final}", first + final
+        for n in range(final + 1, top + 1):
+            self._publish(f"{name}-{n}", f"{name}-{n - 1}" if n > 1 else self.finalized[0], first + n, placed.where(F.col("number") == n).select([x.split()[0] for x in OPS.split(", ")]))
+        return top
+
     def has_state(self, state_hash: str) -> bool:
         return state_hash == EMPTY or state_hash in self.blocks or self.store.has_state(state_hash)
 

@@ -31,3 +31,17 @@ def exists(memo: Column, nibble: Column) -> Column:
 def children(memo: Column) -> Column:
     """Mask of the nibbles that have a place."""
     return F.aggregate(F.map_keys(memo), F.lit(0), lambda mask, k: mask.bitwiseOR(F.pow(F.lit(2), k).cast("int")))
+
+
+#: Branches of the state above this depth keep no memo.
+TOP_LEVELS = 2
+
+
+def stripped(memo: Column, path: Column, storage_path: Column) -> Column:
+    """The memo as a snapshot keeps it: none for the topmost branches, nor for branches of two children at even depths.
+
+    path is the account's for storage branches (and then as long as a key). Recomputing such branches is cheap.
+    """
+    depth = F.length(path) + F.length(storage_path)
+    cheap = (F.length(path) < TOP_LEVELS) | ((F.size(memo) == 2) & (depth % 2 == 0))
+    return F.when(cheap, F.transform_values(memo, lambda _, v: F.nullif(v, v))).otherwise(memo)

@@ -79,3 +79,25 @@ SELECTORS = {"all": (0, 15), "half_low": (0, 7), "half_high": (8, 15), "q0": (0,
 def selected(path: Column, selector: str) -> Column:
     low, high = SELECTORS[selector]
     return nibble_at(path, 0).between(low, high)
+
+
+def part_of(path: Column, parts: int) -> Column:
+    """Which of 1, 2, 4 or 8 parts a key belongs to, by the low bits of its first nibble; null for an empty path."""
+    if parts not in (1, 2, 4, 8):
+        raise ValueError("1, 2, 4 or 8 parts")
+    return F.when(F.length(path) > 0, nibble_at(path, 0) % parts)
+
+
+def single(nibble: Column) -> Column:
+    """Path of one nibble."""
+    return F.hex(nibble.cast("long"))
+
+
+def is_boundary_leaf(node_path: Column) -> Column:
+    """Leaves whose path is longer than a key hold a hash beyond the synced range."""
+    return F.length(node_path) > PATH_LENGTH
+
+
+def boundary_hash(node_path: Column) -> Column:
+    """The hash that such a leaf's path ends with; null for other leaves."""
+    return F.when(is_boundary_leaf(node_path), F.unhex(F.right(node_path, F.lit(PATH_LENGTH))))

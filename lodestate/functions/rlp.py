@@ -44,6 +44,16 @@ def length_of(value: Column) -> Column:
     return F.octet_length(byte_string(value))
 
 
+def length_of_integer(value: Column) -> Column:
+    """RLP length of a big-endian integer: 1 below 128."""
+    return F.octet_length(integer(value))
+
+
+def length_of_length(n: Column) -> Column:
+    """Bytes that a length takes; 1 for zero."""
+    return F.greatest(F.lit(1), F.octet_length(uint_bytes(n)))
+
+
 def length_of_sequence(content_length: Column) -> Column:
     extra = F.when(content_length < 56, F.lit(0)).otherwise(F.octet_length(uint_bytes(content_length)))
     return content_length + 1 + extra
@@ -95,6 +105,11 @@ def account_bytes(balance: Column, nonce: Column, code_hash: Column, storage_roo
     return let(F.struct(minimal(balance).alias("b"), minimal(nonce).alias("n"), F.coalesce(code_hash, F.lit(EMPTY_CODE)).alias("code"), F.coalesce(storage_root, F.lit(EMPTY_TREE)).alias("root")), write)
 
 
+def account_with(data: Column, **fields: Column) -> Column:
+    """An encoded account with some of its fields (balance, nonce, code_hash, storage_root) replaced."""
+    return let(account_from_bytes(data), lambda a: account_bytes(*[fields.get(f, a[f]) for f in ("balance", "nonce", "code_hash", "storage_root")]))
+
+
 def account_from_bytes(data: Column) -> Column:
     """Struct (balance, nonce, code_hash, storage_root) of ``account_bytes``; null data is the empty account."""
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of a filter; a power of two.
+#: Bits of a filter; a power of two. It suits some hundred thousand keys: see ``bits_for``.
 BITS = 1 << 22
 
 
@@ -16,6 +16,11 @@ def position(hash_: Column, bits: int = BITS) -> Column:
     return F.pmod(hash_, F.lit(bits))
 
 
+def bits_for(keys: int, per_key: int = 10) -> int:
+    """A power of two of bits, some per_key or more for each key: few absent keys get through then."""
+    return 1 << max(16, (keys * per_key - 1).bit_length())
+
+
 def build(keys: DataFrame, hash_: Column, bits: int = BITS, by: list[str] | None = None) -> DataFrame:
     """(bucket, bitmap) of the hashes; by: columns with a filter each."""
     rows = keys.select(*(by or []), position(hash_, bits).alias("p"))
@@ -31,7 +36,7 @@ def union(*filters: DataFrame) -> DataFrame:
 
 
 def _bit(bitmap: Column, position_: Column) -> Column:
-    byte = F.conv(F.hex(F.substr(bitmap, (position_ / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    byte = F.ascii(F.decode(F.substr(bitmap, (position_ / 8).cast("int") + 1, F.lit(1)), "ISO-8859-1"))
     return F.getbit(byte, (position_ % 8).cast("int")) == 1
 
 

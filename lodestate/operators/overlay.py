@@ -171,6 +171,18 @@ def remove_prefixes(state: DataFrame, prefixes: DataFrame) -> DataFrame:
     return state
 
 
+def describe(ops: DataFrame, predicate: Column | None = None) -> DataFrame:
+    """(account, type, slot, deleted): the keys a block changes, of those that a predicate over the op's columns admits."""
+    own = ops.where(F.col("op") == SET)
+    own = own if predicate is None else own.where(predicate)
+    return own.groupBy(*KEY).agg((F.coalesce(F.octet_length(F.max_by("value", "seq")), F.lit(0)) == 0).alias("deleted"))
+
+
+def visit(ops: DataFrame, kind: int) -> DataFrame:
+    """The last change of each key of one type (accounts, storage or trie nodes): (account, slot, value)."""
+    return ops.where((F.col("op") == SET) & (F.col("type") == kind)).groupBy("account", "slot").agg(F.max_by("value", "seq").alias("value"))
+
+
 def lookup(state: DataFrame, keys: DataFrame, on: list[str], default: bytes = b"") -> DataFrame:
     """Values of the asked keys; a missing key reads as default."""
     return keys.join(state.select(*on, "value"), on, "left").withColumn("value", F.coalesce("value", F.lit(default)))

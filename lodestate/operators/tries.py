@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rlp
-from ..functions.keccak import EMPTY_TREE, keccak256_many
-from ..functions.paths import common_prefix
+from ..functions.keccak import EMPTY_TREE, keccak256, keccak256_many
+from ..functions.paths import PATH_LENGTH, common_prefix
 from ..sources.shared import stored
 
 #: Keys that one window task sorts, about.
@@ -269,15 +269,15 @@ def visit(accounts: DataFrame, storage: DataFrame | None = None) -> DataFrame:
     nodes = reduced(account_leaves(accounts, storage_roots), keep=True)[1]
     nodes = nodes if inner is None else nodes.unionByName(inner)
     hashed = (F.octet_length("ref") == 33) & F.hex("ref").startswith("A0")
-    forks = nodes.where("kind != 'leaf'").select(F.col("trie").alias("_t"), F.col("path").alias("_up"))
-    return _leveled(nodes, forks).select(
+    return leveled(nodes).select(
         (F.col("trie") != "").alias("is_storage"), F.col("trie").alias("account"), "path", "level", "kind", "node_path", "children",
         F.when(hashed, F.substr("ref", F.lit(2))).alias("hash"), F.when(~hashed, F.col("ref")).alias("encoded"),
     )
 
 
-def _leveled(nodes: DataFrame, forks: DataFrame) -> DataFrame:
-    """nodes with ``level``: forks (_t, _up) on the way from the root. An extension lies above the branch it leads to, and at its own path below the branch above."""
+def leveled(nodes: DataFrame) -> DataFrame:
+    """nodes (trie, path, kind, ...) with ``level``: the branches and extensions on the way from the root to each."""
+    forks = nodes.where("kind != 'leaf'").select(F.col("trie").alias("_t"), F.col("path").alias("_up"))
     begins = nodes.select("trie", "path", "kind", F.explode(F.sequence(F.lit(0), F.length("path"))).alias("_n"))
     begins = begins.select("trie", "path", "kind", F.substr(F.col("path"), F.lit(1), F.col("_n")).alias("_at"))
     above = begins.join(forks, (F.col("trie") == F.col("_t")) & (F.col("_at") == F.col("_up"))).groupBy("trie", "path", "kind").agg(F.count(F.lit(1)).alias("_above"))
@@ -362,3 +362,60 @@ def is_boundary(value: Column) -> Column:
 
 def boundary(hash_: Column) -> Column:
     return F.concat(F.lit(b"\x00\x00"), hash_)
+
+
+def boundary_value(value: Column) -> Column:
+    """The hash of a boundary value; null for other values."""
+    return F.when(is_boundary(value), F.substr(value, F.lit(3)))
+
+
+def storage_root(storage: DataFrame, account: str) -> DataFrame:
+    """(trie, root) of one account's storage."""
+    return roots(storage_leaves(storage.where(F.col("account") == account.upper())))[0]
+
+
+def storage_subtrie_root(storage: DataFrame, account: str, prefix: str) -> DataFrame:
+    """(trie, root) of what lies under a path of one account's storage."""
+    return subtrie_root(storage_leaves(storage.where(F.col("account") == account.upper())), prefix)
+
+
+_SYNCED = ["account", "path", "kind", "node_path", "children", "memo", "ref", "persist"]
+
+
+def synced_branches(branches: DataFrame) -> DataFrame:
+    """Node rows of branches known by their children's hashes alone.
+
+    branches: (account: zero or empty for the state, path, children: array of (nibble, hash), persist: false for proofs).
+    """
+    sorted_ = F.array_sort("children")
+    items = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.coalesce(F.concat(F.lit("A0"), F.hex(F.try_element_at(F.map_from_entries("children"), F.hex(i)))), F.lit("80")))
+    rows = branches.withColumn("_node", rlp.list_of(F.unhex(F.concat(F.array_join(items, ""), F.lit("80")))))
+    nibble = lambda c: F.conv(c["nibble"], 16, 10).cast("tinyint")
+    return rows.select(
+        "account", "path", F.lit("branch").alias("kind"), F.lit("").alias("node_path"),
+        F.aggregate("children", F.lit(0), lambda m, c: m.bitwiseOR(F.pow(F.lit(2), nibble(c)).cast("int"))).alias("children"),
+        F.map_from_entries(F.transform(sorted_, lambda c: F.struct(nibble(c).alias("k"), c["hash"].alias("v")))).alias("memo"),
+        keccak256(F.col("_node")).alias("ref"), "persist",
+    )
+
+
+def synced_extensions(extensions: DataFrame) -> DataFrame:
+    """Node rows of extensions: (account, path, node_path, child: the hash of the branch below, persist)."""
+    rows = extensions.withColumn("_node", rlp.extension_node(F.col("node_path"), F.concat(F.lit(b"\xa0"), F.col("child"))))
+    return rows.select("account", "path", F.lit("extension").alias("kind"), "node_path", F.lit(0).alias("children"), F.lit(None).cast("map<tinyint,binary>").alias("memo"), keccak256(F.col("_node")).alias("ref"), "persist")
+
+
+def synced_leaves(leaves: DataFrame) -> DataFrame:
+    """Node rows of leaves: (account, path, node_path). Their values are state rows of their own; leaves always persist."""
+    return leaves.select("account", "path", F.lit("leaf").alias("kind"), "node_path", F.lit(0).alias("children"), F.lit(None).cast("map<tinyint,binary>").alias("memo"), F.lit(None).cast("binary").alias("ref"), F.lit(True).alias("persist"))
+
+
+def persisted(keys: DataFrame, nodes: DataFrame) -> DataFrame:
+    """keys (account, path, hash or null) with ``persisted``: whether a node that isn't just a proof is there, with that hash if one is given.
+
+    At the full length of a key there is never one: that is the leaf's value.
+    """
+    there = nodes.where("persist").groupBy("account", "path").agg(F.collect_set("ref").alias("_refs"))
+    met = keys.join(there, ["account", "path"], "left")
+    same = F.col("hash").isNull() | F.array_contains("_refs", F.coalesce("hash", F.lit(b"")))
+    return met.select(*keys.columns, (F.col("_refs").isNotNull() & (F.length("path") < PATH_LENGTH) & same).alias("persisted"))

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .chain import Chain
 from .functions import bits, memo, paths, rlp
 from .functions.keccak import keccak256
 from .operators import filters, overlay, stats, tries
 from .plans import adapters
 from .sources import importer
-from .sources.shared import shared_dir
+from .sources.shared import shared_dir, stored
 from .sources.snapshots import SnapshotStore
 
 #: The block (a day of events) at which as-of reads look.
@@ -44,30 +46,59 @@ def _text(value: str = "value") -> F.Column:
     return F.decode(F.col(value), "UTF-8")
 
 
+def _numbered(ops: DataFrame) -> DataFrame:
+    """Ops of day blocks with the block's number: days since 1970."""
+    return ops.withColumn("number", F.unix_date(F.to_date("block_hash")).cast("long"))
+
+
 _OPS_SQL = """WITH ops AS (
   SELECT strftime(ts, '%Y-%m-%d') AS block_hash, event_id AS seq, event_type = 'error' AS destroys, upper(sha256(CAST(user_id AS VARCHAR))) AS account,
     upper(hex(encode(event_type))) AS slot, CAST(CAST(value AS DECIMAL(18, 2)) AS VARCHAR) AS value FROM events)
 """
 
 
+def _live_sql(where: str = "true") -> str:
+    """(account, slot, value) that live after the ops that a condition admits: the last set of each slot, unless its account was destroyed since."""
+    return f"""(SELECT account, slot, arg_max(value, seq) FILTER (NOT destroys) AS value FROM (
+  SELECT *, max(seq) FILTER (destroys) OVER (PARTITION BY account) AS gone FROM ops WHERE {where}
+) WHERE NOT destroys AND (gone IS NULL OR seq > gone) GROUP BY account, slot)"""
+
+
 # --- reads over blocks -------------------------------------------------------------------------------------------
 
 
-@_query(_OPS_SQL + f"SELECT account, arg_max(value, seq) AS value, max(seq) AS seq FROM ops WHERE block_hash <= '{AS_OF}' AND NOT destroys GROUP BY account")
+@_query(_OPS_SQL + f"SELECT account, arg_max(value, seq) AS value, max(seq) AS seq FROM (SELECT *, max(seq) FILTER (destroys) OVER (PARTITION BY account) AS gone FROM ops WHERE block_hash <= '{AS_OF}') WHERE NOT destroys AND (gone IS NULL OR seq > gone) GROUP BY account")
 def account_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last value of each account as of a block: the filter reaches the scan, and one aggregation gives the winner."""
-    ops = adapters.event_ops(_table(spark, sf_dir, "events"), DESTROYS)
-    seen = ops.where((F.col("block_hash") <= AS_OF) & (F.col("op") == overlay.SET))
-    return seen.groupBy("account").agg(F.max_by(_text(), "seq").alias("value"), F.max("seq").alias("seq"))
+    """The last value of each account as of a block, if nothing destroyed it since: the filter reaches the scan, and one aggregation gives the winner."""
+    ops = adapters.event_ops(_table(spark, sf_dir, "events"), DESTROYS).where(F.col("block_hash") <= AS_OF)
+    set_ = F.when(F.col("op") == overlay.SET, F.struct("seq", _text().alias("value")))
+    last = ops.groupBy("account").agg(F.max(set_).alias("s"), F.max(F.when(F.col("op") == overlay.DESTROY, F.col("seq"))).alias("gone"))
+    return last.where("s is not null and (gone is null or s.seq > gone)").select("account", "s.value", "s.seq")
 
 
-@_query(_OPS_SQL + "SELECT account, slot, arg_max(value, seq) AS value FROM ops WHERE NOT destroys GROUP BY account, slot")
+@_query(_OPS_SQL + "SELECT * FROM " + _live_sql())
 def storage_latest_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ops = adapters.event_ops(_table(spark, sf_dir, "events"), DESTROYS).where(F.col("op") == overlay.SET)
+    ops = adapters.event_ops(_table(spark, sf_dir, "events"), DESTROYS)
     empty = ops.select(*overlay.KEY, "value").limit(0)
     return overlay.fold(empty, ops).select("account", "slot", _text().alias("value"))
 
 
+@_query(
+    _OPS_SQL
+    + f"""SELECT account, slot, value FROM {_live_sql(f"NOT (NOT destroys AND starts_with(slot, '7') AND block_hash < '{AS_OF}' AND account IN (SELECT upper(sha256(CAST(user_id AS VARCHAR))) FROM events WHERE user_id % 3 = 0))")}"""
+)
+def prefix_delete_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All blocks folded at once; the block of AS_OF deletes by prefix what the blocks before it have set in every third account."""
+    events = _table(spark, sf_dir, "events")
+    ops = _numbered(adapters.event_ops(events, DESTROYS))
+    deletes = events.where("user_id % 3 = 0").select("user_id").distinct().select(
+        F.lit(AS_OF).alias("block_hash"), F.lit(0).cast("long").alias("seq"), F.lit(overlay.PREFIX_DELETE).alias("op"), F.lit(paths.STORAGE).alias("type"),
+        adapters.hashed_key(F.col("user_id")).alias("account"), F.lit("7").alias("slot"), F.lit(None).cast("binary").alias("value"), F.lit(0).alias("entry_type"),
+    )
+    both = ops.unionByName(_numbered(deletes), allowMissingColumns=True)
+    return overlay.fold(ops.select(*overlay.KEY, "value").limit(0), both).select("account", "slot", _text().alias("value"))
+
+
 @_query(_OPS_SQL + ", d AS (SELECT account, max(seq) AS last FROM ops WHERE destroys GROUP BY account) SELECT account, slot, arg_max(value, seq) AS value FROM ops LEFT JOIN d USING (account) WHERE NOT destroys AND (last IS NULL OR seq > last) GROUP BY account, slot")
 def destroy_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlay read at the newest block: nearest block first, and destroyed accounts hide what lies below."""
@@ -133,7 +164,7 @@ def retention_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The states that a history of 16 keeps (its length is what bounds the window)."""
     blocks = adapters.day_blocks(_table(spark, sf_dir, "events"))
     top = blocks.agg(F.max("number").alias("top"))
-    return blocks.crossJoin(F.broadcast(top)).where(F.col("number") > F.col("top") - 16).select("state_hash", (F.col("top") - F.col("number") + 1).alias("age"))
+    return blocks.join(top).where(F.col("number") > F.col("top") - 16).select("state_hash", (F.col("top") - F.col("number") + 1).alias("age"))
 
 
 # --- keyed entries -----------------------------------------------------------------------------------------------
@@ -423,10 +454,10 @@ def proof_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- versions and streams ----------------------------------------------------------------------------------------
 
 
-@_query(_OPS_SQL + f", v AS (SELECT 1 AS block_number, account, slot, arg_max(value, seq) AS value FROM ops WHERE NOT destroys AND block_hash <= '{AS_OF}' GROUP BY ALL UNION ALL SELECT 2, account, slot, arg_max(value, seq) FROM ops WHERE NOT destroys GROUP BY ALL) SELECT CAST(block_number AS BIGINT) AS block_number, account, slot, value FROM v")
+@_query(_OPS_SQL + f"SELECT CAST(1 AS BIGINT) AS block_number, account, slot, value FROM {_live_sql(f"block_hash <= '{AS_OF}'")} UNION ALL SELECT 2, account, slot, value FROM {_live_sql()}")
 def snapshot_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two versions committed one after the other, and all retained versions read back."""
-    ops = adapters.event_ops(_table(spark, sf_dir, "events"), DESTROYS).where(F.col("op") == overlay.SET)
+    ops = adapters.event_ops(_table(spark, sf_dir, "events"), DESTROYS)
     store = SnapshotStore(spark, f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}", history=2)
     for number, part in ((1, ops.where(F.col("block_hash") <= AS_OF)), (2, ops.where(F.col("block_hash") > AS_OF))):
         base = store.read_latest().select(*overlay.KEY, "value")
@@ -434,20 +465,405 @@ def snapshot_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read_all().select("block_number", "account", "slot", _text().alias("value"))
 
 
-@_query(_OPS_SQL + "SELECT account, slot, arg_max(value, seq) AS value FROM ops WHERE NOT destroys GROUP BY account, slot")
+_CUTS = ("2024-01-08", AS_OF, "2024-01-22")
+
+
+@_query(
+    _OPS_SQL
+    + ", v AS ("
+    + " UNION ALL ".join(f"SELECT {i} AS n, * FROM {_live_sql(f"block_hash <= '{cut}'")}" for i, cut in enumerate(_CUTS, 1))
+    + """), s AS (SELECT n, count(*) AS entries, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS VARCHAR) AS total FROM v GROUP BY n), a AS (SELECT * FROM (VALUES ('state-1', false, 3), ('state-2', true, 2), ('state-3', true, 3), ('state-9', false, 3)) t(asked, known, n))
+SELECT asked, known, CAST(coalesce(entries, 0) AS BIGINT) AS entries, total FROM a LEFT JOIN s USING (n)"""
+)
+def snapshot_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three versions in a history of two, asked for by hash: what isn't retained reads as the latest."""
+    ops = adapters.event_ops(_table(spark, sf_dir, "events"), DESTROYS)
+    store = SnapshotStore(spark, f"{shared_dir(spark)}/reads-{uuid.uuid4().hex}", history=2)
+    below = ""
+    for i, cut in enumerate(_CUTS, 1):
+        part = ops.where((F.col("block_hash") > below) & (F.col("block_hash") <= cut))
+        store.commit(overlay.fold(store.read_latest().select(*overlay.KEY, "value"), part), i, f"state-{i}", flush=i != 2)
+        below = cut
+    store.flush()
+    every = []
+    for asked in ("state-1", "state-2", "state-3", "state-9"):
+        found = store.read(asked) if store.has_state(asked) else store.read_or_latest(asked)
+        every.append(found.agg(F.lit(asked).alias("asked"), F.lit(store.has_state(asked)).alias("known"), F.count(F.lit(1)).alias("entries"), F.sum(_text().cast("decimal(18,2)")).cast("string").alias("total")))
+    return reduce(DataFrame.unionByName, every)
+
+
+@_query("SELECT 'h' || i AS state_hash, CAST(i AS BIGINT) AS block_number, i - 2 AS batch FROM range(3, 7) t(i)")
+def store_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six commits to a store that keeps four."""
+    store = SnapshotStore(spark, f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}", history=4)
+    state = _customers(spark, sf_dir).limit(1).select(F.col("path").alias("account"), F.lit("").alias("slot"), F.lit(paths.ACCOUNT).alias("type"), "value")
+    for n in range(1, 7):
+        store.commit(state, n, f"h{n}", flush=n % 2 == 0)
+    found = store.read_all().groupBy("state_hash", "block_number", "batch_id").agg(F.count(F.lit(1)).alias("n"))
+    return found.select("state_hash", "block_number", (F.col("batch_id") - 2).alias("batch"))
+
+
+@_query(_OPS_SQL + "SELECT * FROM " + _live_sql())
 def stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The op log as a stream, folded into snapshots batch by batch."""
+    """The op log as a stream of files, folded into snapshots micro-batch by micro-batch; blocks lie across files."""
     from .streaming.folding import fold_stream
 
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    events = _table(spark, sf_dir, "events")
-    adapters.event_ops(events, DESTROYS).where(F.col("op") == overlay.SET).withColumn("number", F.unix_date(F.to_date("block_hash")).cast("long")).repartition(4).write.parquet(f"{path}/ops")
-    source = spark.readStream.schema(spark.read.parquet(f"{path}/ops").schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/ops")
+    _numbered(adapters.event_ops(_table(spark, sf_dir, "events"), DESTROYS)).repartition(4).write.parquet(f"{path}/ops")
+    source = spark.readStream.schema(spark.read.parquet(f"{path}/ops").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/ops")
     store = SnapshotStore(spark, f"{path}/store", history=4)
     fold_stream(source, store, f"{path}/checkpoint").awaitTermination()
     return store.read_latest().select("account", "slot", _text().alias("value"))
 
 
+# --- chains ------------------------------------------------------------------------------------------------------
+
+_ACCOUNTS_SQL = "a AS (SELECT upper(sha256(CAST(c_custkey AS VARCHAR))) AS account, greatest(CAST(round(c_acctbal * 100) AS BIGINT), 0) AS balance, c_nationkey AS nation FROM customer)"
+
+
+def _account_ops(rows: DataFrame, balance: F.Column) -> DataFrame:
+    """Ops that set accounts (account, nonce); seq by hash, as keys don't repeat."""
+    none = F.lit(None).cast("binary")
+    value = rlp.account_bytes(balance, F.col("nonce"), none, none)
+    return rows.select(F.xxhash64("account").alias("seq"), F.lit(overlay.SET).alias("op"), F.lit(paths.ACCOUNT).alias("type"), "account", F.lit("").alias("slot"), value.alias("value"), F.lit(overlay.PERSISTENT).alias("entry_type"))
+
+
+def _chain(spark: SparkSession, sf_dir: str) -> Chain:
+    """Customers' accounts in b1; b2 destroys those of nation 0, b3 sets those of nation 1 anew; the fork f2 on b1 empties those of nation 2."""
+    rows = adapters.accounts_of(_table(spark, sf_dir, "customer")).join(_table(spark, sf_dir, "customer").select(adapters.hashed_key(F.col("c_custkey")).alias("account"), "c_nationkey"), "account")
+    chain = Chain(SnapshotStore(spark, f"{shared_dir(spark)}/chain-{uuid.uuid4().hex}", history=2))
+    block = chain.start()
+    block.apply(_account_ops(rows, F.col("balance")))
+    block.commit(1, "b1")
+    block = chain.start("b1")
+    gone = rows.where("c_nationkey = 0")
+    block.apply(_account_ops(gone, F.col("balance")).withColumns({"op": F.lit(overlay.DESTROY), "value": F.lit(None).cast("binary")}))
+    block.commit(2, "b2")
+    block = chain.start("b2")
+    block.apply(_account_ops(rows.where("c_nationkey = 1"), F.lit(b"\x07")))
+    block.commit(3, "b3")
+    fork = chain.start("b1")
+    fork.apply(_account_ops(rows.where("c_nationkey = 3"), F.lit(b"")))
+    fork.reset()
+    fork.apply(_account_ops(rows.where("c_nationkey = 2"), F.lit(b"")))
+    fork.commit(2, "f2")
+    return chain
+
+
+def _number(c: F.Column) -> F.Column:
+    return F.conv(F.substr(F.hex(c), F.lit(50)), 16, 10).cast("long")
+
+
+_STATES_SQL = _ACCOUNTS_SQL + """, v AS (SELECT 'b1' AS state, * FROM a UNION ALL SELECT 'b2', * FROM a WHERE nation <> 0 UNION ALL SELECT 'b3', account, CASE nation WHEN 1 THEN 7 ELSE balance END, nation FROM a WHERE nation <> 0
+  UNION ALL SELECT 'f2', account, CASE nation WHEN 2 THEN 0 ELSE balance END, nation FROM a)"""
+
+
+@_query("WITH " + _STATES_SQL + " SELECT state, count(*) AS accounts, CAST(sum(balance) AS BIGINT) AS balance, CAST(sum(nation) AS BIGINT) AS nonce, true AS known FROM v GROUP BY state")
+def chain_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four blocks, one of them on a fork, read through views at their hashes."""
+    chain = _chain(spark, sf_dir)
+    each = [chain.view(h).accounts().agg(F.lit(h).alias("state"), F.count(F.lit(1)).alias("accounts"), F.sum(_number(F.col("balance"))).alias("balance"), F.sum(_number(F.col("nonce"))).alias("nonce"), F.lit(chain.has_state(h)).alias("known")) for h in ("b1", "b2", "b3", "f2")]
+    return reduce(DataFrame.unionByName, each)
+
+
+@_query(
+    "WITH " + _STATES_SQL + """, asked AS (SELECT t.h AS state, a.account FROM a, (VALUES ('b1'), ('b2'), ('b3'), ('f2'), ('none')) t(h)),
+known AS (SELECT * FROM v WHERE state IN ('b1', 'b2', 'b3'))
+SELECT asked.state, asked.account, coalesce(known.balance, 0) AS balance, CAST(coalesce(known.nation, 0) AS BIGINT) AS nonce FROM asked LEFT JOIN known USING (state, account)"""
+)
+def accessor_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts at (state hash, account) after b2 is final: versions, the block above them, and hashes that went or never were."""
+    chain = _chain(spark, sf_dir)
+    chain.finalize("b2")
+    states = spark.createDataFrame([(h,) for h in ("b1", "b2", "b3", "f2", "none")], "state_hash string")
+    keys = states.join(_customers(spark, sf_dir).select(F.col("path").alias("account")))
+    read = chain.accessor().accounts(keys)
+    return read.select(F.col("state_hash").alias("state"), "account", _number(F.col("balance")).alias("balance"), _number(F.col("nonce")).alias("nonce"))
+
+
+@_query("SELECT h AS state_hash, known FROM (VALUES ('b1', true), ('b2', true), ('b3', true), ('f2', false), ('none', false)) t(h, known)")
+def finalized_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which states are known after b2 is final: the fork of its height went."""
+    chain = _chain(spark, sf_dir)
+    chain.finalize("b2")
+    chain.finalize("b1")
+    return spark.createDataFrame([(h, chain.has_state(h)) for h in ("b1", "b2", "b3", "f2", "none")], "state_hash string, known boolean")
+
+
+@_query("""WITH n AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS seq, o_custkey, o_orderstatus FROM orders), b AS (SELECT *, seq // (SELECT CAST(ceil(count(*) / 8.0) AS BIGINT) FROM n) + 1 AS number FROM n),
+top AS (SELECT max(number) AS top FROM b), l AS (SELECT 'latest' AS state, o_custkey, o_orderstatus, arg_max(o_orderkey, seq) AS v FROM b, top WHERE number <= top - 4 GROUP BY ALL UNION ALL SELECT 'head', o_custkey, o_orderstatus, arg_max(o_orderkey, seq) FROM b GROUP BY ALL)
+SELECT state, upper(sha256(CAST(o_custkey AS VARCHAR))) AS account, upper(hex(o_orderstatus)) AS slot, CAST(v AS VARCHAR) AS value FROM l""")
+def bulk_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders loaded in about eight blocks; the last four of them stay above the version."""
+    orders = _table(spark, sf_dir, "orders")
+    n = orders.count()
+    ids = orders.select("o_orderkey").sort("o_orderkey")
+    # seq without gaps: ranges of the key are numbered by the counts of the ranges before
+    parted = stored(ids.withColumn("p", F.spark_partition_id()), "ids")
+    sizes = parted.groupBy("p").agg(F.count(F.lit(1)).alias("c"))
+    first = sizes.select("p", F.coalesce(F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    seq = parted.join(first, "p").withColumn("seq", F.col("first") + F.row_number().over(Window.partitionBy("p").orderBy("o_orderkey")) - 1)
+    ops = orders.join(seq, "o_orderkey").select(
+        F.lit("").alias("block_hash"), F.col("seq").cast("long").alias("seq"), F.lit(overlay.SET).alias("op"), F.lit(paths.STORAGE).alias("type"), adapters.hashed_key(F.col("o_custkey")).alias("account"),
+        F.hex(F.encode("o_orderstatus", "UTF-8")).alias("slot"), F.encode(F.col("o_orderkey").cast("string"), "UTF-8").alias("value"), F.lit(overlay.PERSISTENT).alias("entry_type"),
+    )
+    chain = Chain(SnapshotStore(spark, f"{shared_dir(spark)}/import-{uuid.uuid4().hex}", history=2))
+    top = chain.import_blocks(ops, -(-n // 8), lag=4)
+    of = lambda state, view: view.storage().select(F.lit(state).alias("state"), "account", "slot", _text().alias("value"))
+    return of("latest", chain.latest()).unionByName(of("head", chain.view(f"import-{top}")))
+
+
+@_query(_OPS_SQL + f"SELECT account, slot, arg_max(value, seq) = '' AS deleted FROM ops WHERE block_hash = '{AS_OF}' AND NOT destroys AND slot LIKE '7%' GROUP BY account, slot")
+def describe_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys that one block changes, of those a predicate admits."""
+    ops = adapters.event_ops(_table(spark, sf_dir, "events"), DESTROYS).where(F.col("block_hash") == AS_OF)
+    return overlay.describe(ops, F.col("slot").startswith("7")).select("account", "slot", "deleted")
+
+
+@_query(_OPS_SQL + f"SELECT account, slot, arg_max(value, seq) AS value FROM ops WHERE block_hash = '{AS_OF}' AND NOT destroys GROUP BY account, slot")
+def visit_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ops = adapters.event_ops(_table(spark, sf_dir, "events"), DESTROYS).where(F.col("block_hash") == AS_OF)
+    return overlay.visit(ops, paths.STORAGE).select("account", "slot", _text().alias("value"))
+
+
+@_query(_OPS_SQL + f""", k AS (SELECT DISTINCT account, slot FROM ops WHERE NOT destroys), s AS (SELECT DISTINCT account, slot FROM ops WHERE block_hash > '{AS_OF}' AND NOT destroys), d AS (SELECT DISTINCT account FROM ops WHERE block_hash > '{AS_OF}' AND destroys)
+SELECT count(*) AS reads, count(*) FILTER ((account, slot) NOT IN (SELECT (account, slot) FROM s) AND account NOT IN (SELECT account FROM d)) AS to_base, CAST(0 AS BIGINT) AS missed FROM k""")
+def reads_to_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads that no block since AS_OF answers, and reads that the blocks' filter would wrongly keep from them."""
+    ops = adapters.event_ops(_table(spark, sf_dir, "events"), DESTROYS)
+    keys = ops.where(F.col("op") == overlay.SET).select("account", "slot").distinct()
+    new = ops.where(F.col("block_hash") > AS_OF)
+    held = new.where(F.col("op") == overlay.SET).select("account", "slot").distinct()
+    missed = overlay.may_lie_in(keys, new).join(held, ["account", "slot"]).agg(F.count_if(~F.col("may_contain")).alias("missed"))
+    return overlay.fell_through(keys, new).join(missed)
+
+
+@_query("""WITH t AS (SELECT c_custkey AS id, c_name AS v FROM customer WHERE c_custkey % 2 = 0), e AS (SELECT c_custkey AS id, c_mktsegment AS v, c_custkey % 4 AS kind FROM customer WHERE c_custkey % 3 = 0),
+m AS (SELECT id, coalesce(e.v, t.v) AS v FROM t FULL JOIN (SELECT * FROM e WHERE kind IN (0, 1)) e USING (id))
+SELECT upper(sha256(CAST(id AS VARCHAR))) AS slot, v AS value FROM m WHERE id % 5 <> 0""")
+def merged_overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One overlay laid over another, of two entry types only, and keys removed as if never set."""
+    customers = _table(spark, sf_dir, "customer")
+    of = lambda rows, value, kind: rows.select(F.lit("00").alias("account"), F.lit(paths.STORAGE).alias("type"), adapters.hashed_key(F.col("c_custkey")).alias("slot"), F.encode(value, "UTF-8").alias("value"), kind.alias("entry_type"))
+    target = of(customers.where("c_custkey % 2 = 0"), "c_name", F.lit(overlay.PERSISTENT))
+    entries = of(customers.where("c_custkey % 3 = 0"), "c_mktsegment", (F.col("c_custkey") % 4).cast("int"))
+    both = overlay.merged(target, entries, (overlay.PERSISTENT, overlay.CACHED))
+    return overlay.discard(both, of(customers.where("c_custkey % 5 = 0"), "c_name", F.lit(0))).select("slot", _text().alias("value"))
+
+
+# --- more of keys, encodings and statistics ----------------------------------------------------------------------
+
+
+@_query(f"""WITH s AS (SELECT * FROM (VALUES ('all', 0, 15), ('half_low', 0, 7), ('half_high', 8, 15), ('q0', 0, 3), ('q1', 4, 7), ('q2', 8, 11), ('q3', 12, 15)) t(selector, low, high)), k AS (SELECT instr('0123456789ABCDEF', substr(path, 1, 1)) - 1 AS n FROM {_KEYED})
+SELECT selector, count(n) AS entries, count(n) > 0 AS found FROM s LEFT JOIN k ON n BETWEEN low AND high GROUP BY selector""")
+def nibble_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _customers(spark, sf_dir)
+    each = [rows.where(paths.selected(F.col("path"), name)).agg(F.lit(name).alias("selector"), F.count(F.lit(1)).alias("entries")).join(stats.has_any(rows, name)) for name in paths.SELECTORS]
+    return reduce(DataFrame.unionByName, each)
+
+
+@_query(f"SELECT parts, CAST((instr('0123456789ABCDEF', substr(path, 1, 1)) - 1) % parts AS INTEGER) AS part, count(*) AS entries FROM {_KEYED}, (VALUES (1), (2), (4), (8)) t(parts) GROUP BY ALL")
+def nibble_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries dealt into 1, 2, 4 and 8 parts by their first nibble."""
+    rows = _customers(spark, sf_dir)
+    return reduce(DataFrame.unionByName, [stats.partitioned(rows, n).groupBy(F.lit(n).alias("parts"), "part").agg(F.count(F.lit(1)).alias("entries")) for n in (1, 2, 4, 8)])
+
+
+@_query(f"""SELECT 0 + length(prefix) AS depth, prefix, count(*) AS entries, CAST(sum(32 + octet_length(encode(value)) + 4) AS BIGINT) AS bytes FROM (SELECT value, substr(path, 1, CAST(d AS INTEGER)) AS prefix FROM {_KEYED}, range(0, 4) t(d)) GROUP BY prefix""")
+def bucket_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every bucket of up to three nibbles with its prefix, entries and bytes."""
+    return stats.buckets(_customers(spark, sf_dir), 3).select(F.length("prefix").cast("long").alias("depth"), "prefix", "entries", "bytes")
+
+
+@_query(f"""WITH p AS (SELECT 'data' AS kind, 2 AS depth, substr(path, 1, 2) AS b, sum(36 + octet_length(encode(value))) AS used FROM {_KEYED} GROUP BY ALL UNION ALL SELECT 'bottom', 3, substr(path, 1, 3), sum(36 + octet_length(encode(value))) FROM {_KEYED} GROUP BY ALL)
+SELECT kind, depth, least(CAST(floor(used * 100 / 4096.0) AS BIGINT), 99) // 10 * 10 AS percent, count(*) AS parts FROM p GROUP BY ALL""")
+def used_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full parts of 4096 bytes are, for parts by two nibbles (data) and by three (bottom)."""
+    rows = _customers(spark, sf_dir)
+    used = lambda kind, depth: rows.groupBy(F.substring("path", 1, depth)).agg(F.sum(stats.entry_size()).alias("used")).select(F.lit(kind).alias("kind"), F.lit(depth).alias("depth"), "used")
+    parts = used("data", 2).unionByName(used("bottom", 3))
+    return stats.used_histogram(parts, 4096, "data").unionByName(stats.used_histogram(parts, 4096, "bottom"))
+
+
+@_query(f"SELECT CAST(sum(36 + octet_length(encode(value))) AS DOUBLE) / 1048576 AS used FROM {_KEYED}")
+def utilisation_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.utilisation(_customers(spark, sf_dir), 1 << 20)
+
+
+@_query("""SELECT event_type AS name, arg_max(value, event_id) AS last, count(*) AS samples, quantile_cont(value, 0.5) AS p50, round(quantile_cont(value, 0.99), 6) AS p99, max(value) AS highest FROM events GROUP BY event_type""")
+def metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gauge, counter and histogram figures of samples."""
+    from .plans import metrics
+
+    samples = _table(spark, sf_dir, "events").select(F.col("event_id").alias("batch"), F.col("event_type").alias("name"), "value")
+    return metrics.summary(samples).drop("total").withColumn("p99", F.round("p99", 6))
+
+
+@_query(
+    f"""SELECT id, substr(path, 1, 6) AS parsed, substr(path, 4) AS from_second, substr(path, 1, 2) AS pair, substr(path, 1, 1) AS one, lower(path) AS key, id % 3 = 0 OR (id % 3 = 2 AND id % 2 = 0) AS in_state, CASE WHEN id % 2 = 0 THEN lower(path) END AS boundary, id % 2 = 0 AS boundary_leaf,
+  '0000' || lower(path) AS marker, true AS is_marker, lower(path) AS marked, CAST((id * 7919 % 65535 + 1) AS INTEGER) AS mask, CAST(bit_count(((id * 7919 % 65535 + 1) & -(id * 7919 % 65535 + 1)) - 1) AS INTEGER) AS lowest, CAST(bit_count((~(id * 7919 % 65535 + 1) & -(~(id * 7919 % 65535 + 1))) - 1) AS INTEGER) AS missing FROM {_KEYED}"""
+)
+def key_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths from hex, bytes and nibbles, and what tells state keys and hashes beyond a synced range apart."""
+    p, i = F.col("path"), F.col("id")
+    nibbles = F.array(paths.nibble_at(p, 0), paths.nibble_at(p, 1))
+    kind = F.when(i % 3 == 0, paths.ACCOUNT).when(i % 3 == 1, paths.STORAGE).otherwise(paths.MERKLE)
+    long_path = F.when(i % 2 == 0, F.concat(F.lit("ABC"), p)).otherwise(p)
+    marker = tries.boundary(paths.to_key(p))
+    mask = (i * 7919 % 65535 + 1).cast("int")
+    return _customers(spark, sf_dir).select(
+        "id", paths.parse(F.concat(F.lit("0x"), F.lower(F.substring(p, 1, 6)))).alias("parsed"), paths.from_key(F.unhex(p), 3).alias("from_second"), paths.from_nibbles(nibbles).alias("pair"), paths.single(paths.nibble_at(p, 0)).alias("one"),
+        F.lower(F.hex(paths.to_key(p))).alias("key"), paths.is_state(kind, F.when(i % 2 == 0, F.substring(p, 1, 5)).otherwise(p)).alias("in_state"), F.lower(F.hex(paths.boundary_hash(long_path))).alias("boundary"), paths.is_boundary_leaf(long_path).alias("boundary_leaf"),
+        F.lower(F.hex(marker)).alias("marker"), tries.is_boundary(marker).alias("is_marker"), F.lower(F.hex(tries.boundary_value(marker))).alias("marked"), mask.alias("mask"), bits.smallest(mask).alias("lowest"), bits.smallest_missing(mask).alias("missing"),
+    )
+
+
+@_query("SELECT count(DISTINCT c_custkey) AS keys, count(DISTINCT c_custkey) AS hashes, count(DISTINCT c_custkey) AS path_hashes FROM customer")
+def key_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of keys for filters: as many as there are keys."""
+    rows = _customers(spark, sf_dir)
+    return rows.agg(F.count_distinct("path").alias("keys"), F.count_distinct(paths.key_hash(F.col("path"), F.lit(0), F.lit(""))).alias("hashes"), F.count_distinct(F.xxhash64("path")).alias("path_hashes"))
+
+
+@_query("""WITH v AS (SELECT o_orderkey AS id, CAST(round(o_totalprice * 100) AS BIGINT) AS n, o_orderkey % 300 AS size FROM orders), h AS (SELECT *, (length(printf('%X', n)) + 1) // 2 AS width FROM v)
+SELECT id, CAST(CASE WHEN n < 128 THEN 1 ELSE width + 1 END AS INTEGER) AS of_integer, CAST(CASE WHEN size = 0 OR size = 1 THEN 1 WHEN size < 56 THEN size + 1 WHEN size < 256 THEN size + 2 ELSE size + 3 END AS INTEGER) AS of_bytes,
+  CAST(CASE WHEN size < 56 THEN size + 1 WHEN size < 256 THEN size + 2 ELSE size + 3 END AS INTEGER) AS of_list, CAST(CASE WHEN size < 256 THEN 1 ELSE 2 END AS INTEGER) AS of_length,
+  CASE WHEN size < 56 THEN printf('%02X', 192 + size) WHEN size < 256 THEN 'F8' || printf('%02X', size) ELSE 'F9' || printf('%04X', size) END AS list_header FROM h""")
+def rlp_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("size")
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), bits.uint_bytes(F.round(F.col("o_totalprice") * 100).cast("long")).alias("n"), (F.col("o_orderkey") % 300).cast("int").alias("size"))
+    filled = F.unhex(F.repeat(F.lit("07"), size))
+    return rows.select(
+        "id", rlp.length_of_integer(F.col("n")).alias("of_integer"), rlp.length_of(filled).alias("of_bytes"), rlp.length_of_sequence(size).cast("int").alias("of_list"), rlp.length_of_length(size).alias("of_length"),
+        F.substr(F.hex(rlp.list_of(filled)), F.lit(1), F.when(size < 56, 2).when(size < 256, 4).otherwise(6)).alias("list_header"),
+    )
+
+
+_RLP_CASES = (("80", "0"), ("05", "5"), ("7F", "127"), ("8180", "128"), ("820400", "1024"), ("", None), ("00", None), ("8105", None), ("820005", None), ("8204", None), ("83010203FF", None), ("A1" + "01" * 33, None), ("C0", None))
+
+
+@_query("SELECT * FROM (VALUES " + ", ".join(f"('{d}', {'NULL' if v is None else chr(39) + v + chr(39)})" for d, v in _RLP_CASES) + ") t(data, value)")
+def rlp_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical integers are read; empty, over-long, badly sized and zero-led ones are null."""
+    rows = spark.createDataFrame([(d,) for d, _ in _RLP_CASES], "data string")
+    return rows.select("data", F.conv(F.substr(F.hex(rlp.decode_integer(F.unhex("data"))), F.lit(50)), 16, 10).alias("value"))
+
+
+@_query(f"""SELECT id, 'A0' || path AS hash, '80' AS nothing, CASE WHEN id % 2 = 0 THEN '83' || substr(path, 1, 6) ELSE 'A0' || path END AS string, id % 2 = 0 AS is_inline FROM {_KEYED}""")
+def rlp_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes, nothing and strings as items of a list; items below 32 bytes stand for themselves in a parent."""
+    key, even = F.unhex("path"), F.col("id") % 2 == 0
+    value = F.when(even, F.substr(key, F.lit(1), F.lit(3))).otherwise(key)
+    return _customers(spark, sf_dir).select("id", F.hex(rlp.byte_string(key)).alias("hash"), F.hex(rlp.byte_string(F.lit(b""))).alias("nothing"), F.hex(rlp.byte_string(value)).alias("string"), (F.octet_length(rlp.byte_string(value)) < 32).alias("is_inline"))
+
+
+@_query(f"""SELECT id, CAST(66 + 18 AS INTEGER) AS size, '10' AS first, '01' AS second, lower(path) AS root, lower(path) AS changed_code, CAST(CASE WHEN id % 2 = 0 THEN id ELSE 7 END AS BIGINT) AS nonce FROM {_KEYED}""")
+def account_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts of large balance in their long form, with fields replaced one by one."""
+    rows = _customers(spark, sf_dir)
+    big = F.unhex(F.concat(F.lit("FF"), F.repeat(F.lit("01"), F.lit(15))))
+    data = rlp.account_bytes(big, F.lit(b"\x07"), F.lit(None).cast("binary"), F.lit(None).cast("binary"))
+    rows = rows.withColumn("data", data).withColumn("rooted", rlp.account_with(F.col("data"), storage_root=F.unhex("path")))
+    rows = rows.withColumn("coded", rlp.account_with(F.col("rooted"), code_hash=F.unhex("path"))).withColumn("counted", F.when(F.col("id") % 2 == 0, rlp.account_with(F.col("coded"), nonce=bits.uint_bytes(F.col("id")))).otherwise(F.col("coded")))
+    read = rows.select("id", "rooted", "coded", rlp.account_from_bytes(F.col("counted")).alias("a"), F.octet_length("data").alias("size"), F.hex(F.substr("data", F.lit(1), F.lit(1))).alias("first"), F.hex(F.substr("data", F.lit(2), F.lit(1))).alias("second"))
+    return read.select("id", (F.col("size") + 1).alias("size"), "first", "second", F.lower(F.hex("a.storage_root")).alias("root"), F.lower(F.hex("a.code_hash")).alias("changed_code"), _number(F.col("a.nonce")).alias("nonce"))
+
+
+@_query("""WITH m AS (SELECT n_regionkey AS region, n_nationkey % 16 AS k, max(sha256(n_name)) AS v FROM nation GROUP BY ALL), r AS (SELECT DISTINCT region FROM m), d AS (SELECT * FROM r, range(0, 4) t(depth)),
+c AS (SELECT region, count(*) AS n FROM m GROUP BY region)
+SELECT d.region, CAST(depth AS INTEGER) AS depth, (SELECT v FROM m WHERE m.region = d.region AND k = 4 AND depth >= 2) AS fourth, CAST(NULL AS VARCHAR) AS cleared, CASE WHEN depth >= 2 AND NOT (n = 2 AND depth % 2 = 0) THEN n ELSE 0 END AS kept, 'new' AS overwritten FROM d JOIN c USING (region)""")
+def memo_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Child hashes read, cleared, overwritten, and stripped as a snapshot keeps them."""
+    each = _table(spark, sf_dir, "nation").groupBy("n_regionkey", (F.col("n_nationkey") % 16).cast("tinyint").alias("k")).agg(F.max(F.sha2("n_name", 256)).alias("v"))
+    built = each.groupBy(F.col("n_regionkey").alias("region")).agg(F.map_from_entries(F.collect_list(F.struct("k", F.encode("v", "UTF-8").alias("v")))).alias("m"))
+    rows = built.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("s", memo.stripped(F.col("m"), F.repeat(F.lit("A"), F.col("depth")), F.lit("")))
+    text = lambda c: F.decode(c, "UTF-8")
+    kept = F.size(F.map_filter("s", lambda _, v: v.isNotNull())).cast("long")
+    return rows.select("region", "depth", text(memo.get(F.col("s"), F.lit(4))).alias("fourth"), text(memo.get(memo.clear(F.col("m"), F.lit(4)), F.lit(4))).alias("cleared"), kept.alias("kept"), text(memo.get(memo.insert(F.col("m"), F.lit(4), F.lit(b"new")), F.lit(4))).alias("overwritten"))
+
+
+# --- tries with known hashes -------------------------------------------------------------------------------------
+
+# Keys, and roots and references that any implementation of the same trie must give.
+_K0, _K1, _K2 = "0001020304050607" * 4, "0101020304050607" + "0001020304050607" * 3, "06" * 32
+_MAX = 2**256 - 1
+_GOLDEN = {
+    "key 0": ([(_K0, 13, 23)], "E2533A0A0C4F1DDB72FEB7BFAAD12A83853447DEAAB6F28FA5C443DD2D37C3FB"),
+    "key 1": ([(_K1, 17, 29)], "DD358AF6B1D8E875FBA0E585710D054F14DD9D06FA3C8C5F2BAF66F413178F82"),
+    "key 2": ([(_K2, 19, 31)], "A654F039A5F9E9F30C89F21555C92F1CB1E739AF11A9E9B12693DEDC6E76F628"),
+    "largest balance": ([(_K0, _MAX, 23)], "FC790A3674B6847C609BB91B7014D67B2E70FF0E60F53AC49A8A45F1FECF35A6"),
+    "largest nonce": ([(_K0, 13, _MAX)], "F5EC898875FFCF5F161718F09696ABEDA7B77DFB8F8CEBAFA57129F77C8D720B"),
+    "two leaves": ([("10" + "00" * 31, 13, 23), ("20" + "00" * 31, 17, 29)], "73130DAA1AE507554A72811C06E28D4FEE671BFE2E1D0CEF828A7FADE54384F9"),
+    "extension": ([(_K0, 13, 23), (_K1, 17, 29)], "A624947D9693A5CBA0701897B3A48CB9954C2F4FD54DE36151800EB2C7F6BF50"),
+}
+
+
+@_query("SELECT * FROM (VALUES " + ", ".join(f"('{name}', '{root}')" for name, (_, root) in _GOLDEN.items()) + ") t(state, root)")
+def golden_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roots of small states, all tries at once; each state is a trie of its own."""
+    rows = [(name, k, b.to_bytes(32, "big"), n.to_bytes(32, "big")) for name, (accounts, _) in _GOLDEN.items() for k, b, n in accounts]
+    table = spark.createDataFrame(rows, "state string, account string, balance binary, nonce binary")
+    leaves = table.select(F.col("state").alias("trie"), F.col("account").alias("path"), rlp.account_items(F.col("balance"), F.col("nonce"), F.lit(None).cast("binary"), F.lit(None).cast("binary")).alias("i")).select("trie", "path", rlp.list_of(F.col("i")).alias("value"))
+    return tries.roots(leaves)[0].select(F.col("trie").alias("state"), F.hex("root").alias("root"))
+
+
+@_query("SELECT 'C8F9C9C3A0E95E13D6F6B7E0DF65052A0CC484AB0DB3E57C287DF74F2714D5B3' AS root, 'C482200103' AS inlined, '56E81F171BCC55A6FF8345E692C0F86E5B48E01B996CADC001622FB5E363B421' AS empty, 'A624947D9693A5CBA0701897B3A48CB9954C2F4FD54DE36151800EB2C7F6BF50' AS later, true AS same_storage")
+def golden_storage_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A state with inlined storage nodes, a leaf that is its own reference, the empty state, and a root after a change of one part."""
+    slot = "C" * 20 + "D" * 16 + "E" * 26
+    accounts = lambda *rows: spark.createDataFrame([(k, b.to_bytes(32, "big"), n.to_bytes(32, "big")) for k, b, n in rows], "account string, balance binary, nonce binary")
+    storage = spark.createDataFrame([(_K0, slot + "B1", bytes([1, 2, 3])), (_K0, slot + "B2", bytes([10, 20, 30]))], "account string, slot string, value binary")
+    root = tries.state_root(accounts((_K0, 0, 1)), storage).select(F.hex("root").alias("root"))
+    empty = tries.state_root(accounts((_K0, 0, 1)).limit(0)).select(F.hex("root").alias("empty"))
+    first, both = (tries.account_leaves(accounts(*x)) for x in ([(_K0, 13, 23), (_K2, 1, 1)], [(_K0, 13, 23), (_K1, 17, 29)]))
+    parts = tries.updated_parts(tries.reduced_parts(first), both, spark.createDataFrame([("", _K1), ("", _K2)], "trie string, path string"))
+    later = tries.roots_of_parts(parts).select(F.hex("root").alias("later"))
+    same = tries.storage_root(storage, _K0).select("root").join(tries.storage_subtrie_root(storage, _K0, "").select(F.col("root").alias("other"))).select((F.col("root") == F.col("other")).alias("same_storage"))
+    leaf = spark.range(1).select(F.hex(rlp.leaf_node(F.lit("01"), rlp.byte_string(F.lit(b"\x03")))).alias("inlined"))
+    return root.join(leaf).join(empty).join(later).join(same)
+
+
+@_query(
+    _LCP
+    + """, f AS (SELECT trie, prefix, d FROM b UNION ALL SELECT trie, substr(prefix, 1, up + 1), up + 1 FROM u WHERE d > up + 1),
+n AS (SELECT trie, substr(path, 1, d + 1) AS path, 'leaf' AS kind, 0 AS own FROM l UNION ALL SELECT trie, prefix, 'branch', 1 FROM b UNION ALL SELECT trie, substr(prefix, 1, up + 1), 'extension', 1 FROM u WHERE d > up + 1)
+SELECT trie, kind, level, count(*) AS nodes FROM (SELECT n.trie, n.kind, n.path, CAST(count(f.prefix) - n.own AS INTEGER) AS level FROM n LEFT JOIN f ON f.trie = n.trie AND starts_with(n.path, f.prefix) GROUP BY n.trie, n.kind, n.path, n.own) GROUP BY ALL"""
+)
+def trie_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How deep the nodes of two tries lie, counted in nodes."""
+    nodes = tries.structure(_two_tries(spark, sf_dir))
+    return tries.leveled(nodes).groupBy("trie", "kind", "level").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+@_query("""WITH a AS (SELECT count(*) AS n FROM customer), s AS (SELECT count(*) AS n, count(DISTINCT o_custkey) AS tries FROM orders)
+SELECT a.n AS accounts, s.n AS slots, s.tries AS storage_tries, true AS one_root, CAST(0 AS BIGINT) AS without_reference FROM a, s""")
+def trie_visit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of the state's trie and of every storage trie: a leaf for each account and slot, a top for each trie."""
+    seen = tries.visit(adapters.accounts_of(_table(spark, sf_dir, "customer")), adapters.storage_of(_table(spark, sf_dir, "orders")))
+    return seen.agg(
+        F.count_if((F.col("kind") == "leaf") & ~F.col("is_storage")).alias("accounts"), F.count_if((F.col("kind") == "leaf") & F.col("is_storage")).alias("slots"), F.count_if((F.col("level") == 0) & F.col("is_storage")).alias("storage_tries"),
+        (F.count_if((F.col("level") == 0) & ~F.col("is_storage")) == 1).alias("one_root"), F.count_if(F.col("hash").isNull() & F.col("encoded").isNull()).alias("without_reference"),
+    )
+
+
+@_query(f"""WITH h AS (SELECT DISTINCT substr(path, 1, 1) AS p FROM {_KEYED} UNION SELECT DISTINCT substr(path, 1, 2) FROM {_KEYED}), b AS (SELECT p AS path, CAST((SELECT sum(1 << (instr('0123456789ABCDEF', substr(c.p, length(c.p), 1)) - 1)) FROM h c WHERE length(c.p) = length(h.p) + 1 AND starts_with(c.p, h.p)) AS INTEGER) AS children FROM h WHERE length(p) = 1)
+SELECT path, 'branch' AS kind, children, path < '8' AS persisted, path < '8' AS with_hash, false AS with_other, false AS at_key FROM b UNION ALL SELECT '', 'extension', 0, true, true, false, false""")
+def synced_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Branches and an extension known by their children's hashes, and whether they persist: proofs don't, and no node lies at a whole key."""
+    digest = lambda p: F.unhex(F.sha2(F.concat(F.lit("h"), p), 256))
+    twos = _customers(spark, sf_dir).select(F.substring("path", 1, 2).alias("p")).distinct()
+    kids = F.collect_list(F.struct(F.substring("p", 2, 1).alias("nibble"), digest(F.col("p")).alias("hash")))
+    branches = tries.synced_branches(twos.groupBy(F.substring("p", 1, 1).alias("path")).agg(kids.alias("children")).select(F.lit("").alias("account"), "path", "children", (F.col("path") < "8").alias("persist")))
+    top = tries.synced_extensions(spark.createDataFrame([("", "", "0", b"\x01" * 32, True)], "account string, path string, node_path string, child binary, persist boolean"))
+    nodes = stored(branches.unionByName(top), "synced")
+    ask = lambda hash_, name: tries.persisted(nodes.select("account", "path", hash_.alias("hash")), nodes).select("path", F.col("persisted").alias(name))
+    at_key = lambda: F.rpad(F.concat("path", F.lit("8")), 64, "0")
+    key = nodes.withColumn("path", at_key())
+    whole = tries.persisted(key.select("account", "path", F.lit(None).cast("binary").alias("hash")), key).select(F.col("path").alias("_key"), F.col("persisted").alias("at_key"))
+    out = nodes.select("path", "kind", "children").join(ask(F.lit(None).cast("binary"), "persisted"), "path").join(ask(F.col("ref"), "with_hash"), "path").join(ask(F.lit(b"\x00" * 32), "with_other"), "path")
+    return out.join(whole, at_key() == F.col("_key")).drop("_key")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -286,3 +286,101 @@ def test_visited_nodes(spark):
         (False, "", "extension"): (0, False), (False, "0", "branch"): (1, False), (False, "00", "leaf"): (2, False), (False, "01", "leaf"): (2, False),
         (True, "", "extension"): (0, False), (True, "C" * 60 + "EEB", "branch"): (1, True), (True, "C" * 60 + "EEB1", "leaf"): (2, True), (True, "C" * 60 + "EEB2", "leaf"): (2, True),
     }
+
+
+def test_accessor_follows_the_chain(spark, tmp_path):
+    chain = Chain(SnapshotStore(spark, f"file://{tmp_path}/a", history=2))
+    parent = EMPTY
+    for n in range(1, 6):
+        block = chain.start(parent)
+        block.set_account(K0, n, n)
+        block.setter(K0)(K1, bytes([n]))
+        parent = block.commit(n, f"s{n}")
+    fork = chain.start("s1")
+    fork.set_account(K0, 99, 99)
+    fork.commit(2, "fork")
+    reads = chain.accessor()
+    assert reads.get_account("fork", K0) == (99, 99) and reads.get_account("s4", K0) == (4, 4) and reads.get_account("none", K0) == (0, 0)
+    chain.finalize("s4")
+    assert sorted(reads.hashes()) == ["s3", "s4", "s5"]  # the fork went, and what the history doesn't keep
+    asked = spark.createDataFrame([(h, K0, K1) for h in ("s1", "s3", "s4", "s5", "fork")], "state_hash string, account string, slot string")
+    assert {r.state_hash: bytes(r.value) for r in reads.storage(asked).collect()} == {"s1": b"", "s3": b"\x03", "s4": b"\x04", "s5": b"\x05", "fork": b""}
+    assert {r.state_hash: int.from_bytes(r.nonce, "big") for r in reads.accounts(asked.drop("slot")).collect()} == {"s1": 0, "s3": 3, "s4": 4, "s5": 5, "fork": 0}
+
+
+def test_raw_state_with_proofs(spark, tmp_path):
+    chain = Chain(SnapshotStore(spark, f"file://{tmp_path}/raw"))
+    raw = chain.start_raw()
+    kids = {f"{i:X}": bytes([i]) * 32 for i in range(16)}
+    raw.create_branch("", "0", kids, persist=False)
+    ref = bytes(raw.nodes.first().ref)
+    body = b"".join(b"\xa0" + h for h in kids.values()) + b"\x80"
+    from lodestate.functions.keccak import keccak256_many
+
+    assert ref == keccak256_many([b"\xf9" + len(body).to_bytes(2, "big") + body])[0]
+    assert not raw.is_persisted("", "0") and raw.process_proofs() == []
+    for i, (k, h) in enumerate(kids.items()):
+        raw.nodes = raw.nodes.unionByName(tries.synced_leaves(spark.createDataFrame([("", f"0{k}", "1")], "account string, path string, node_path string")).withColumn("ref", F.lit(h)))
+    assert raw.process_proofs() == ["0"] and raw.is_persisted("", "0") and raw.is_persisted("", "0", ref) and not raw.is_persisted("", "0", b"x" * 32)
+    raw.create_extension("", "", "0", ref)
+    assert raw.is_persisted("", "")
+    raw.set_account(K0, 13, 23)
+    assert raw.commit() == ROOTS[0][1] == raw.seal(1)
+    assert chain.latest().get_account(K0) == (13, 23)
+
+
+def test_import_in_blocks(spark, tmp_path):
+    chain = Chain(SnapshotStore(spark, f"file://{tmp_path}/imp", history=3))
+    rows = [("", i, 0, 1, K0, f"{i % 7:02X}", bytes([i]), 0) for i in range(50)]
+    ops = spark.createDataFrame(rows, "block_hash string, seq long, op int, type int, account string, slot string, value binary, entry_type int")
+    assert chain.import_blocks(ops, 5, lag=4) == 10
+    assert chain.finalized == ("import-6", 6) and list(chain.blocks) == [f"import-{n}" for n in range(7, 11)]
+    assert {r.slot: r.value[0] for r in chain.view("import-10").storage().collect()} == {f"{i % 7:02X}": i for i in range(50)}
+    assert {r.slot: r.value[0] for r in chain.latest().storage().collect()} == {f"{i % 7:02X}": i for i in range(30)}
+
+
+def test_writers_exclude_each_other(spark, tmp_path):
+    path = f"file://{tmp_path}/w"
+    state = spark.createDataFrame([(K0, "", 0, b"\x01")], "account string, slot string, type int, value binary")
+    one, two = SnapshotStore(spark, path), SnapshotStore(spark, path)
+    with one._writing(), pytest.raises(RuntimeError):
+        two.commit(state, 1, "h")
+    assert one.vacuum() == 0
+    one.commit(state, 1, "h1", flush=one.NO_WRITE)
+    assert one.pending() == ["h1"] and two.latest() is None
+    one.commit(state, 2, "h2", flush=one.DATA_ONLY)
+    assert two.latest() is None
+    one.flush()
+    assert [r.state_hash for r in two._rows()] == ["h2", "h1"] and one.pending() == []
+    two.commit(state, 3, "h3")
+    state.write.parquet(f"{path}/versions/left-behind")
+    assert two.vacuum() == 2 and two.vacuum() == 0
+    assert [r.state_hash for r in one._rows()] == ["h3", "h2"] and one.read("h2").count() == 1
+    assert len(list((tmp_path / "w" / "manifest").glob("*.parquet"))) == 1
+    assert sorted((r.batch_id, r.entries) for r in one.parts().collect()) == [(2, 1), (3, 1)]
+
+
+def test_metrics(spark, tmp_path):
+    from lodestate.plans import metrics
+
+    df, watch = metrics.observed(spark.range(10), rows=F.count(F.lit(1)), highest=F.max("id"))
+    df.write.parquet(f"{tmp_path}/m")
+    assert watch.get == {"rows": 10, "highest": 9}
+    listener = metrics.StreamMetrics()
+    for i, v in enumerate((3, 1, 2)):
+        listener.record(i, "reads", v)
+    row = listener.table(spark).first()
+    assert (row["last"], row.total, row.samples, row.p50, row.highest) == (2.0, 6.0, 3, 2.0, 3.0)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from lodestate.__main__ import main
+
+    chain = Chain(SnapshotStore(spark, f"file://{tmp_path}/cli"))
+    block = chain.start()
+    block.set_account(K0, 13, 23)
+    block.set_account(K1, 17, 29)
+    chain.finalize(block.commit(1))
+    assert main(["verify", f"file://{tmp_path}/cli"]) == 0 and ROOTS[4][1] in capsys.readouterr().out
+    assert main(["stats", f"file://{tmp_path}/cli"]) == 0 and main(["storage", f"file://{tmp_path}/cli"]) == 0
+    assert "extension" in capsys.readouterr().out
