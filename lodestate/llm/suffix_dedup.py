@@ -39,8 +39,8 @@ REACH = MATCH - ANCHOR
 ANCHOR_BLOCK = 3 << 20
 #: Contexts of one pair of suffix arrays, about.
 PART = 20_000
-#: An anchor of more contexts than this has its passages grouped by Spark.
-HOT = 2_000
+#: An anchor of more than one context for so many bytes of text (and of more than PART in any case) has its passages grouped by Spark.
+HOT_BYTES = 200_000
 #: Bytes of text whose anchors one bucket holds at once (some six times as many bytes of columns), about.
 BUCKET_TEXT = 48 << 20
 #: Anchors of one hash that a bucket may get from all blocks. Where a block alone has more contexts of one anchor than its
@@ -539,14 +539,15 @@ def _partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", keep_text: bool = True, hot: int = HOT, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", keep_text: bool = True, hot: int | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Cut every byte that lies in a MATCH-byte string which also begins in a document with a smaller key.
 
     Returns the columns of docs but for the text inside ``row``, n_bytes, n_removed, n_spans (joined removed ranges),
     kept_sha256 (of the bytes left) and ``kept`` (these as text, without halves of cut characters; null with keep_text=False). Texts are whole UTF-8 byte strings; null
     counts as empty; strings never cross documents and are judged on the input. Rows with equal keys don't remove each
     other's bytes, nor do repeats within one text. A null key counts as larger than any other. Names of columns don't
-    matter, as they stay inside ``row``. hot, bucket_rows: as HOT and BUCKET_ROWS; they change the way, not the result.
+    matter, as they stay inside ``row``. hot: contexts of an anchor from
+    which on they are grouped by Spark, by default as HOT_BYTES says; bucket_rows: as BUCKET_ROWS. Both change the way, not the result.
     """
     spark = docs.sparkSession
     bounded_arrow(spark)
@@ -554,6 +555,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     _, size = total_bytes(docs, text)
     wanted = -(-size // BUCKET_TEXT)
     names = _bucket_names(spark, partitions) if wanted <= partitions else list(range(wanted))
+    hot = min(PART, size // HOT_BYTES + 1) if hot is None else hot
     crowd = max(2, bucket_rows // (size // ANCHOR_BLOCK + 1))
     none = F.lit((1 << 63) - 1)
     texts = docs.select(F.coalesce(F.col(key).cast("long"), none).alias("doc"), F.hash(F.col(text)).cast("long").alias("mark"), F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row"))
