@@ -36,6 +36,20 @@ class Template:
     escapes: tuple[tuple[str, str], ...] = (("\\", "\\b"), ("###", "\\h"), ("</turn>", "\\t"), (": ", "\\c"))
 
 
+    def __post_init__(self) -> None:
+        """Refuses templates whose formatted texts could not be read back."""
+        plain, escaped = zip(*self.escapes, strict=True)
+        if plain[0] != "\\" or any(len(e) != 2 or e[0] != "\\" for e in escaped) or len(set(escaped)) != len(escaped):
+            raise ValueError("escapes must begin with the backslash's own and be a backslash and a letter each")
+        if any("\\" in p or any(p.startswith(e[1]) for e in escaped[:i]) for i, p in enumerate(plain) if i):
+            raise ValueError("no escaped string may hold a backslash or begin with the letter of an escape before it")
+        for control in (self.opening, self.after_role, self.closing):
+            if not any(p in control for p in plain[1:]):
+                raise ValueError(f"nothing in {control!r} is escaped inside texts")
+        if not any(self.after_role == p for p in plain):
+            raise ValueError("the string behind a role must be escaped as a whole, as texts and roles may hold parts of it")
+
+
 CHAT = Template()
 
 
@@ -65,14 +79,16 @@ def format_chats(turns: DataFrame, *, conversation: str = "conv_id", turn: str =
     """One row for each conversation: conv_id, n_turns, in_order, segments (array of text and loss flag), formatted.
 
     Rows go by turn; equal turn numbers by role, then text (repeated rows are turns of their own). Null roles and texts
-    count as empty; a null turn number comes first; rows with a null conversation form one of their own. Conversations out
+    count as empty; a null turn number comes first; a row without a conversation is one of its own (equal ones together),
+    so that such rows make no endless text. Conversations out
     of order are formatted as well, with in_order false. Other columns are left out, so their names can't clash.
     """
     rows = turns.select(
         F.col(conversation).alias("conv_id"),
         F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("t"),
     )
-    chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    alone = F.when(F.col("conv_id").isNull(), F.col("t"))
+    chats = rows.groupBy("conv_id", alone.alias("_alone")).agg(F.array_sort(F.collect_list("t")).alias("turns"))
 
     def segments(t: Column) -> Column:
         # the role's own separator is escaped in roles and texts alike
@@ -113,6 +129,6 @@ def _quoted(text: str) -> str:
     return "\\Q" + text + "\\E"
 
 
-def loss_text(segments: Column, template: Template = CHAT) -> Column:
-    """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"], template)), "")
+def loss_text(turns: Column, template: Template = CHAT) -> Column:
+    """All text under the loss mask, of turns as ``read_turns`` gives them: each loss role's text once, in order, nothing between."""
+    return F.array_join(F.transform(F.filter(turns, lambda t: t["role"].isin(*template.loss_roles)), lambda t: t["text"]), "")

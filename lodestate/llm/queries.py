@@ -30,7 +30,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(_HOSTILE).alias("text")) for i, role in enumerate(("user", "assistant"))])).alias("t"),
     )
     chats = chat.format_chats(turns.unionByName(extra.select("conv_id", "t.*")))
-    back = chats.select("conv_id", "n_turns", "in_order", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.loss_text(F.col("segments")).alias("loss"))
+    back = chats.select("conv_id", "in_order", "formatted", chat.read_turns(F.col("formatted")).alias("turns")).withColumn("loss", chat.loss_text(F.col("turns")))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",
@@ -47,13 +47,14 @@ _OP1_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
+), s AS (SELECT *, CASE WHEN conv_id IS NULL THEN {'turn': turn, 'role': role, 'text': text} END AS alone FROM t
 ), e AS (
   SELECT *, replace(replace(replace(replace(text, '\', '\b'), '###', '\h'), '</turn>', '\t'), ': ', '\c') AS et,
     replace(replace(replace(replace(role, '\', '\b'), '###', '\h'), '</turn>', '\t'), ': ', '\c') AS er,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
-    count(*) OVER (PARTITION BY conv_id) AS n,
-    lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before
-  FROM t
+    row_number() OVER (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role, text) AS i,
+    count(*) OVER (PARTITION BY conv_id, alone) AS n,
+    lag(role) OVER (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role, text) AS before
+  FROM s
 )
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
@@ -66,7 +67,7 @@ SELECT conv_id, count(*) AS n_turns,
     WHEN 'assistant' THEN coalesce(before IN ('user', 'tool'), false)
     WHEN 'tool' THEN coalesce(before IN ('user', 'tool', 'assistant'), false)
     ELSE false END) AND bool_or(i = n AND role = 'assistant') AS in_order
-FROM e GROUP BY conv_id
+FROM e GROUP BY conv_id, alone
 """
 
 
@@ -158,8 +159,8 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored_ = media.store_media(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return media.media_features(stored_.select("row.doc_id", "n_bytes", "media"), keep=["doc_id", "n_bytes"], codes=False)
+    stored_ = stored(media.store_media(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("row.doc_id", "n_bytes", "media"), "media")
+    return media.media_features(stored_, keep=["doc_id", "n_bytes"])
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,8 @@ BLOCK_TOKENS = 1 << 20
 #: Documents named by one row of the shard's list.
 LISTED = 4096
 SEPARATOR = "<|endoftext|>"
+#: Stands for a missing key in the shards' lists.
+NO_KEY = -(1 << 63)
 
 _FLAT = "shard int, kind string, seq long, data binary"
 
@@ -33,7 +35,8 @@ def write_tokens(docs: DataFrame, *, key: str = "doc_id", text: str = "text", pa
 
     kind ``tokens``: block number seq of the shard, little-endian 16-bit ids. kind ``docs``: the 64-bit keys of the
     shard's documents in order, from document number seq on. Null and empty texts are a separator alone; the
-    separator's own string inside a text is encoded as ordinary text, so that it can't split a document.
+    separator's own string inside a text is encoded as ordinary text, so that it can't split a document. Texts of any
+    length go over as many blocks as they need; repeated rows are documents of their own; a missing key stays missing.
     The partition number names the shard: store the result (one job makes both kinds) before reading it twice.
     """
     spark = docs.sparkSession
@@ -44,6 +47,8 @@ def write_tokens(docs: DataFrame, *, key: str = "doc_id", text: str = "text", pa
         codec, shard = make(), TaskContext.get().partitionId()
         kept = np.zeros(0, "<u2")
         parts, size, block, keys, listed = [kept], 0, 0, [], 0
+        if codec.plain.max_token_value > 0xFFFF:
+            raise ValueError("the vocabulary has more ids than 16 bits hold")
         end = np.full(1, codec.plain._special_tokens[SEPARATOR], "<u2")
 
         def rows(kind: str, seqs: list[int], data: list[bytes]) -> pa.RecordBatch:
@@ -69,7 +74,7 @@ def write_tokens(docs: DataFrame, *, key: str = "doc_id", text: str = "text", pa
         if keys:
             yield rows("docs", [listed], [np.array(keys, "<i8").tobytes()])
 
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("key"), F.col(text).alias("text")).mapInArrow(run, _FLAT)
+    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.col(text).alias("text")).mapInArrow(run, _FLAT)
 
 
 def _separators(flat: DataFrame, separator: int) -> DataFrame:
@@ -116,4 +121,4 @@ def document_keys(flat: DataFrame) -> DataFrame:
                 keys = np.frombuffer(data, "<i8")
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), shard, np.int32)), pa.array(seq + np.arange(len(keys))), pa.array(keys)], ["shard", "document", "doc_id"])
 
-    return flat.where("kind = 'docs'").select("shard", "seq", "data").mapInArrow(run, "shard int, document long, doc_id long")
+    return flat.where("kind = 'docs'").select("shard", "seq", "data").mapInArrow(run, "shard int, document long, doc_id long").withColumn("doc_id", F.when(F.col("doc_id") != NO_KEY, F.col("doc_id")))

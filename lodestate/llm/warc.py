@@ -1,9 +1,11 @@
 """WARC archives as chunked record tables.
 
-An archive is a table of (record, chunk, last, data): the bytes of a WARC/1.1 record, cut into chunks of bounded
-size, so that no task holds a whole oversized payload's record. Chunk 0 is the record's header block, the rest its
-content block. Concatenating the chunks of all records in order gives a WARC file. Readers carry an incremental
-digest from chunk row to chunk row.
+An archive is a table of (record, chunk, last, data): the bytes of a WARC/1.1 record in chunks of bounded size. A record
+of one chunk is one row; of others, chunk 0 is the header block, and the chunks behind it are the content block.
+Concatenating the chunks of all records in order gives a WARC file.
+
+Payloads are cut into chunk rows where they are read; from there on no step holds more than a chunk of one. Digests go
+on from chunk row to chunk row, when records are planned, written and read.
 """
 
 from __future__ import annotations
@@ -15,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._batches import bounded_arrow, shared_dir
+from ._batches import bounded_arrow, shared_dir, stored
 
 #: Bytes of a chunk.
 CHUNK_BYTES = 1 << 20
+#: Parts that the copies of one payload are dealt into when they are joined with the first.
+SALTS = 16
 #: Smaller payloads are always stored as responses.
 REVISIT_FROM = 100
 
@@ -27,19 +31,52 @@ _READ = "page_id long, url string, payload_bytes long, payload_digest string, re
 _END = b"\r\n\r\n"
 
 
-def plan_records(pages: DataFrame, *, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
-    """(page_id, url, payload, digest, refers_to): which record is the first with its payload, and which revisit it.
+def chunk_rows(pages: DataFrame, *, key: str = "page_id", url: str = "url", payload: str = "html", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(record, page_id, mark, url, size, chunk, data): each payload in pieces. mark tells payloads of one page_id apart; record numbers rows."""
+    data = F.coalesce(F.encode(F.col(payload), "UTF-8"), F.lit(b""))
+    rows = pages.select(F.monotonically_increasing_id().alias("record"), F.col(key).cast("long").alias("page_id"), F.xxhash64(F.col(payload)).alias("mark"), F.col(url).cast("string").alias("url"), data.alias("payload"))
+    pieces = F.greatest(F.ceil(F.octet_length("payload") / chunk_bytes), F.lit(1)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: F.substr(F.col("payload"), i * chunk_bytes + 1, F.lit(chunk_bytes)))
+    return rows.select("record", "page_id", "mark", "url", F.octet_length("payload").cast("long").alias("size"), F.posexplode(cut).alias("chunk", "data"))
+
+
+_DIGESTS = "page_id long, mark long, size long, digest string"
+
 
-    Digests are grouped before anything is joined, so that a payload with many copies shuffles one row for each task and
-    narrow rows else. Ties (repeated page ids with equal payloads) are all responses: none refers to itself.
+def payload_digests(chunks: DataFrame) -> DataFrame:
+    """(page_id, mark, size, digest: SHA-256) of each record of chunk rows that lie together in order."""
+    bounded_arrow(chunks.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, digest, seen = None, hashlib.sha256(), 0
+        for batch in batches:
+            out: list[tuple] = []
+            for record, page, mark, size, data in zip(*(batch.column(c).to_pylist() for c in ("record", "page_id", "mark", "size")), batch.column("data"), strict=True):
+                if record != own:
+                    own, digest, seen = record, hashlib.sha256(), 0
+                view = data.as_buffer()
+                digest.update(view)
+                seen += len(view)
+                if seen == size:
+                    out.append((page, mark, size, digest.hexdigest()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["page_id", "mark", "size", "digest"])
+
+    return chunks.select("record", "page_id", "mark", "size", "data").mapInArrow(run, _DIGESTS)
+
+
+def plan_revisits(chunks: DataFrame) -> DataFrame:
+    """(page_id, mark, digest, refers_to), stored: the records whose payload an earlier page has.
+
+    Digests alone are grouped, and what refers to them is joined in narrow rows, which are dealt over parts: a payload
+    with very many copies is nobody's whole work. Ties (repeated page ids with equal payloads) are all responses: none
+    refers to itself. A page without an id is a response.
     """
-    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.encode(F.col(payload), "UTF-8"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256))
-    long_ = rows.where(F.octet_length("payload") >= REVISIT_FROM)
-    first = long_.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first")
-    return rows.join(first, (F.col("digest") == F.col("d")) & (F.octet_length("payload") >= REVISIT_FROM), "left").select(
-        "page_id", "url", "payload", "digest", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to")
-    )
+    narrow = stored(payload_digests(chunks).where(F.col("page_id").isNotNull() & (F.col("size") >= REVISIT_FROM)), "digests")
+    first = narrow.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("most")).where("refers_to < most").drop("most")
+    salted = first.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = narrow.withColumn("s", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "s"]).where("page_id != refers_to")
+    return stored(met.select("page_id", "mark", "digest", "refers_to").distinct(), "revisits")
 
 
 def _header(page: int | None, url: str | None, size: int, digest: str, refers_to: int | None, stored: int) -> bytes:
@@ -60,46 +97,45 @@ def _header(page: int | None, url: str | None, size: int, digest: str, refers_to
     return ("\r\n".join(lines)).encode("utf-8", "surrogatepass") + _END
 
 
-def _cut(parts: list[memoryview], size: int) -> Iterator[bytes]:
-    """The concatenated parts in pieces of size bytes, without holding more than one piece."""
-    piece = bytearray()
-    for part in parts:
-        at = 0
-        while at < len(part):
-            take = min(size - len(piece), len(part) - at)
-            piece += part[at : at + take]
-            at += take
-            if len(piece) == size:
-                yield bytes(piece)
-                piece = bytearray()
-    if piece:
-        yield bytes(piece)
-
+def to_records(chunks: DataFrame, revisits: DataFrame, *, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Archive rows of chunk rows. Store them before reading them twice.
 
-def to_records(planned: DataFrame, *, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Chunk rows of planned records; a record of at most chunk_bytes is one row. Store them before reading them twice."""
-    bounded_arrow(planned.sparkSession)
+    revisits is a narrow table: small ones are broadcast by Spark itself, and payloads stay where they are; with larger
+    ones chunk rows are dealt by page. A record's header is written when its last chunk has passed.
+    """
+    bounded_arrow(chunks.sparkSession)
+    met = chunks.join(revisits, ["page_id", "mark"], "left").where("refers_to is null or chunk = 0")
+    names = ("record", "page_id", "url", "size", "chunk", "refers_to", "digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = hashlib.sha256()
         for batch in batches:
             rows: list[tuple] = []
             held = 0
-            for record, page, url, payload, digest, refers_to in zip(*(batch.column(c) for c in ("record", "page_id", "url", "payload", "digest", "refers_to")), strict=True):
-                view, refers = memoryview(payload.as_buffer()), refers_to.as_py()
-                stored = view[: 0 if refers is not None else len(view)]
-                header = _header(page.as_py(), url.as_py(), len(view), digest.as_py(), refers, len(stored))
-                left = len(header) + len(stored) + len(_END)
-                for i, piece in enumerate(_cut([memoryview(header), stored, memoryview(_END)], chunk_bytes)):
-                    left -= len(piece)
-                    rows.append((record.as_py(), i, left == 0, piece))
-                    held += len(piece)
-                    if held > 4 * chunk_bytes:
-                        yield _chunks(rows)
-                        rows, held = [], 0
+            for i, (record, page, url, size, chunk, refers, known) in enumerate(zip(*(batch.column(c).to_pylist() for c in names), strict=True)):
+                if refers is not None:
+                    rows.append((record, 0, True, _header(page, url, size, known, refers, 0) + _END))
+                    continue
+                data = memoryview(batch.column("data")[i].as_buffer())
+                if chunk == 0:
+                    digest = hashlib.sha256()
+                digest.update(data)
+                last = chunk * chunk_bytes + len(data) == size
+                header = _header(page, url, size, digest.hexdigest(), None, size) if last else b""
+                if last and chunk == 0:
+                    rows.append((record, 0, True, header + data + _END))
+                else:
+                    rows.append((record, chunk + 1, last, bytes(data) + _END if last else bytes(data)))
+                    if last:
+                        rows.append((record, 0, False, header))
+                held += len(data)
+                if held > 4 * chunk_bytes:
+                    yield _chunks(rows)
+                    rows, held = [], 0
             if rows:
                 yield _chunks(rows)
 
-    return planned.select(F.monotonically_increasing_id().alias("record"), "*").mapInArrow(run, _ARCHIVE)
+    return met.sortWithinPartitions("record", "chunk").select(*names, "data").mapInArrow(run, _ARCHIVE)
 
 
 def _chunks(rows: list[tuple]) -> pa.RecordBatch:
@@ -107,9 +143,10 @@ def _chunks(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(record, pa.int64()), pa.array(chunk, pa.int32()), pa.array(last), pa.array(data, pa.binary())], ["record", "chunk", "last", "data"])
 
 
-def write_archives(pages: DataFrame, path: str, **columns) -> None:
+def write_archives(pages: DataFrame, path: str, *, chunk_bytes: int = CHUNK_BYTES, **columns) -> None:
     """Write the archive table of pages to path (Parquet, in the shared folder or any store that Spark reaches)."""
-    to_records(plan_records(pages, **columns)).write.option("compression", "zstd").parquet(path)
+    chunks = chunk_rows(pages, chunk_bytes=chunk_bytes, **columns)
+    to_records(chunks, plan_revisits(chunks), chunk_bytes=chunk_bytes).write.option("compression", "zstd").parquet(path)
 
 
 class _Reader:

@@ -269,28 +269,46 @@ def test_warc_round_trip(spark, tmp_path):
     big = "<p>" + "large " * 5000
     rows = [(1, "http://a/\r\nx", big), (2, None, big), (3, "u", None), (4, "v", ""), (5, "w", "tiny"), (6, "w", "tiny"), (7, "é", "ü" * 60), (7, "é", "ü" * 60), (9, "q", "ü" * 60)]
     pages = spark.createDataFrame([(*r, 0) for r in rows], "page_id long, url string, html string, record int")
-    chunks = warc.to_records(warc.plan_records(pages), chunk_bytes=64)
     path = f"file://{tmp_path}/w"
-    chunks.write.parquet(path)
-    got = sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.intact) for r in warc.read_archives(spark.read.parquet(path)).collect())
+    warc.write_archives(pages, path, chunk_bytes=64)
+    rows += [(None, "n", big), (8, "s", "ü" * 60 + "x")]
+    pages = spark.createDataFrame([(*r, 0) for r in rows], "page_id long, url string, html string, record int")
+    path = f"file://{tmp_path}/w2"
+    warc.write_archives(pages, path, chunk_bytes=64)
+    assert spark.read.parquet(path).where("octet_length(data) > 64 + 400").count() == 0
+    got = list((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.intact) for r in warc.read_archives(spark.read.parquet(path)).collect())
     digest = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
     refers = {2: 1, 9: 7}
-    assert got == sorted((p, len((h or "").encode()), digest(h), "revisit" if p in refers else "response", refers.get(p), True) for p, _, h in rows)
+    assert sorted(map(repr, got)) == sorted(repr((p, len((h or "").encode()), digest(h), "revisit" if p in refers else "response", refers.get(p), True)) for p, _, h in rows)
 
 
 def test_chat_round_trip_and_order(spark):
     nasty = ["### ", "\\h", "a: b", " </turn>\n", "\\", "", None, "</turn", "\\b\\t", "###: "]
     rows = [(c, t, ["user", "assistant"][t % 2], x) for c, x in enumerate(nasty) for t in range(2)] + [(20, 1, "assistant", "x"), (21, 1, "ro: le\\", "y"), (22, 1, None, "z"), (23, 2, "assistant", "b"), (23, 1, "user", "a"), (23, 2, "assistant", "b")]
     chats = chat.format_chats(spark.createDataFrame([(*r, 5) for r in rows], "conv_id long, turn int, role string, text string, segments int"))
-    back = {r.conv_id: r for r in chats.select("*", chat.read_turns(F.col("formatted")).alias("turns"), chat.loss_text(F.col("segments")).alias("loss")).collect()}
+    back = {r.conv_id: r for r in chats.select("*", chat.read_turns(F.col("formatted")).alias("turns")).withColumns({"loss": chat.loss_text(F.col("turns")), "masked": chat.escape(chat.loss_text(F.col("turns")))}).collect()}
     for c in {r[0] for r in rows}:
         turns = [((r[2] or ""), r[3] or "") for r in sorted((r for r in rows if r[0] == c), key=lambda r: r[1])]
         assert [tuple(t) for t in back[c].turns] == turns
         assert back[c].loss == "".join(t for role, t in turns if role == "assistant")
         assert back[c].formatted == "".join(s.text for s in back[c].segments)
+        assert "".join(s.text for s in back[c].segments if s.loss) == back[c].masked
     assert back[0].in_order and not back[20].in_order and not back[21].in_order and not back[23].in_order
 
 
+def test_chat_rows_without_a_conversation(spark):
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (None, 1, "assistant", "b"), (1, 0, "user", "c")]
+    got = sorted((r.conv_id or 0, r.n_turns) for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect())
+    assert got == [(0, 1), (0, 2), (1, 1)]
+
+
+def test_templates_that_cannot_be_read_back():
+    for options in ({"opening": "@@ "}, {"closing": "</end>"}, {"after_role": ":: "}, {"escapes": (("###", "\\h"),)}):
+        with pytest.raises(ValueError):
+            chat.Template(**options)
+    chat.Template(opening="@@ ", escapes=(("\\", "\\b"), ("@@", "\\h"), ("</turn>", "\\z"), (": ", "\\c")))
+
+
 def test_chat_plan_is_native(spark):
     from lodestate.llm import queries
 
@@ -336,5 +354,6 @@ def test_empty_tables(spark):
     assert decontam.contamination(none, spark.createDataFrame([], "item_id long, text string")).count() == 0
     assert media.store_media(none).count() == 0 and toxicity.score(none, toxicity.Model.seeded(np.zeros(0, np.uint64))).count() == 0
     assert token_counts.scan_tokens(stored(token_counts.write_tokens(none), "test"), 50256).count() == 0
-    assert warc.to_records(warc.plan_records(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
+    pages = warc.chunk_rows(spark.createDataFrame([], "page_id long, url string, html string"))
+    assert warc.to_records(pages, warc.plan_revisits(pages)).count() == 0
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
