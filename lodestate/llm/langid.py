@@ -165,6 +165,10 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
-    """The documents whose language can be told, with their own columns; those without any letter are rejected."""
-    return predict(docs, model, text=text).where(F.col("lang_pred") != UNDETERMINED).select("row.*")
+def keep_identified(docs: DataFrame, model: Model, *, text: str = "text", lang: str | None = None) -> DataFrame:
+    """The documents whose language can be told, with their own columns; those without any letter are rejected.
+
+    lang: a column whose missing values are filled with the prediction.
+    """
+    found = predict(docs, model, text=text).where(F.col("lang_pred") != UNDETERMINED)
+    return found.select(*[F.coalesce(f"row.`{c}`", "lang_pred").alias(c) if c == lang else F.col(f"row.`{c}`") for c in docs.columns])

@@ -35,6 +35,11 @@ def near_duplicates(rows, percent=85):
 
 def remove_repeats(rows, size=50):
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of (doc_id, text) rows."""
+    return sorted((d, n, gone, spans, hashlib.sha256(kept).hexdigest()) for d, n, gone, spans, kept in kept_bytes(rows, size))
+
+
+def kept_bytes(rows, size=50):
+    """The same with the bytes that are left."""
     texts = [(d, (t or "").encode()) for d, t in rows]
     first = {}
     for d, b in sorted(texts):
@@ -47,8 +52,8 @@ def remove_repeats(rows, size=50):
             if first[b[i : i + size]] < d:
                 gone[i : i + size] = b"\1" * size
         kept = bytes(x for x, y in zip(b, gone, strict=True) if not y)
-        out.append((d, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
-    return sorted(out)
+        out.append((d, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), kept))
+    return out
 
 
 def contamination(docs, items, window=10):
@@ -68,3 +73,19 @@ def contamination(docs, items, window=10):
                     found.add(item)
         out.append((doc, len(w), len(hit), sorted(found)))
     return sorted(out)
+
+
+def fingerprint(samples, frame=128, hop=64, peaks=2, fan=3):
+    """Codes of spectral-peak pairs, frame by frame and bin by bin."""
+    import numpy as np
+
+    x = [b - 128.0 for b in samples] + [0.0] * max(0, frame - len(samples))
+    window = np.hanning(frame)
+    size = [np.round(np.abs(np.fft.rfft(np.array(x[i : i + frame]) * window)), 3)[1:] for i in range(0, len(x) - frame + 1, hop)]
+    found = []
+    for t, own in enumerate(size):
+        near = [size[k] for k in (t - 1, t, t + 1) if 0 <= k < len(size)]
+        tops = [b for b in range(1, len(own) - 1) if own[b - 1] < own[b] >= own[b + 1] and own[b] > 0 and all(own[b] >= n[b] for n in near)]
+        found += [(t, b + 1) for b in sorted(tops, key=lambda b: (-own[b], b))[:peaks]]
+    pairs = [(a, b) for i, a in enumerate(found) for b in found[i + 1 : i + 1 + fan] if b[0] - a[0] < 256]
+    return sorted(a[0] << 32 | a[1] << 20 | b[1] << 8 | b[0] - a[0] for a, b in pairs)

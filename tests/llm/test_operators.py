@@ -258,6 +258,12 @@ def test_media(docs):
     assert len({f for t, f in seen.items() if len(t) > 500}) == len([t for t in seen if len(t) > 500])
 
 
+def test_fingerprints_equal_the_plain_version():
+    for text in ("", "a", prose(5, 12), prose(6, 400), "x" * 1000, "日本語" * 90):
+        samples = media.payload_of(text.encode())
+        assert media.fingerprint(samples).tolist() == brute.fingerprint(samples)
+
+
 def test_media_parts_agree(monkeypatch):
     samples = prose(9, 800).encode()
     whole = media.fingerprint(samples)
@@ -318,10 +324,18 @@ def test_chat_plan_is_native(spark):
 
 def test_grammar_composition():
     rules = toxicity.grammar()
-    run = lambda symbols: "".join(rules.read(list(symbols)))
-    assert run("I") == "I" and run("GOI")[-1] == "b" and run("NI")[-1] == "c" and run("ROOOOOI")[-1] == "d"
-    assert run("NOOOOOI")[-1] == "I" and run("RT")[-1] == "h" and run("GT")[-1] == "f"
-    assert run("TG") == "fG" and run("NTG")[1] == "g" and run("ROIG")[2] == "d" and run("IOOOOOG")[0] == "I"
+    run = lambda symbols: "".join(rules.read(list(symbols))[0])
+    assert run("I") == "a" and run("GOI")[-1] == "b" and run("NI")[-1] == "c" and run("ROOOOOI")[-1] == "d"
+    assert run("NOOOOOI")[-1] == "a" and run("RT")[-1] == "h" and run("GT")[-1] == "f"
+    assert run("TG") == "fG" and run("NTG")[1] == "g" and run("ROIG")[2] == "d" and run("IOOOOOG")[0] == "a"
+
+
+def test_clauses_are_scored_by_their_path():
+    rules, w = toxicity.grammar(), toxicity.PRIOR
+    value = lambda symbols: float(rules.read(list(symbols))[1] @ w[:9])
+    assert value("OOG") == 0 and value("I") == w[0] + w[8] and value("GI") == w[0] + w[2] + w[8]
+    assert value("NI") == w[0] + w[4] < value("I") and value("RI") == w[0] + w[6] and value("GNI") == w[0] + w[2] + w[4]
+    assert value("TG") == w[1] + w[3] + w[8] > value("T") == w[1]
 
 
 def test_toxicity(spark):
@@ -345,6 +359,9 @@ def test_language(spark):
     asked = spark.createDataFrame([(1, "stone and light", 0.5), (2, "die steine und licht", 0.5), (3, None, 0.5), (4, "", 0.5), (5, "12 34 !!", 0.5)], "doc_id long, text string, score double")
     assert {r.row.doc_id: r.lang_pred for r in langid.predict(asked, model).collect()} == {1: "en", 2: "de", 3: "und", 4: "und", 5: "und"}
     assert sorted(r.doc_id for r in langid.keep_identified(asked, model).collect()) == [1, 2]
+    labelled = spark.createDataFrame([(1, "stone and light", None), (2, "die steine und licht", "xx"), (3, "..", None)], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang for r in langid.keep_identified(labelled, model, lang="lang").collect()} == {1: "en", 2: "xx"}
+    assert langid.predict(asked.limit(0), model).count() == 0
     assert {r.lang_pred for r in langid.predict(asked, langid.train(train.limit(0))).collect()} == {"und"}
 
 
@@ -357,3 +374,43 @@ def test_empty_tables(spark):
     pages = warc.chunk_rows(spark.createDataFrame([], "page_id long, url string, html string"))
     assert warc.to_records(pages, warc.plan_revisits(pages)).count() == 0
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_texts_of_many_megabytes(spark):
+    """Texts of 3 and 20 MB, far above any block, and a copy of the smaller one."""
+    from tokenizers import Tokenizer
+
+    def long(seed, size):
+        r = random.Random(seed)
+        names = [f"{r.choice(WORDS)}{r.randrange(10**6)}" for _ in range(40_000)]
+        out = " ".join(r.choices(names, k=size // 10))
+        return (out + " " + " ".join(r.choices(names, k=size // 10)))[:size]
+
+    three, twenty = long(1, 3 << 20), long(2, 20 << 20)
+    rows = [(1, three), (2, twenty), (3, three + " you worthless idiot."), (4, "short text of no weight")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.row.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(docs).collect()} == {1: 0, 2: 0, 3: len(three), 4: 0}
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 1, 4: 4}
+    item = " ".join(twenty.split()[1_000_000:1_000_012])
+    assert {r.row.doc_id: r.n_hit for r in decontam.contamination(docs, spark.createDataFrame([(1, item)], "item_id int, text string")).collect()} == {1: 0, 2: 12, 3: 0, 4: 0}
+    plain = Tokenizer.from_file(bpe.default_path())
+    for r in bpe.encode(docs.where("doc_id != 2"), decoded="back").collect():
+        text = dict(rows)[r.row.doc_id]
+        assert r.back == text and np.frombuffer(bytes(r.ids), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    scores = {r.row.doc_id: r.score for r in toxicity.score(docs, toxicity.Model.seeded(np.zeros(0, np.uint64))).collect()}
+    assert scores[3] > 0.5 > scores[2] == scores[4]
+    model = langid.train(spark.createDataFrame([("the river and the stone " * 9, "en"), ("der fluss und der stein " * 9, "de")], "text string, lang string"))
+    assert {r.lang_pred for r in langid.predict(docs, model).collect()} == {"en"}
+    found = {r.doc_id: (r.payload_bytes, r.payload_sha256) for r in media.media_features(media.store_media(docs).select("row.doc_id", "media"), keep=["doc_id"], codes=False).collect()}
+    assert found[2] == (20 << 20, hashlib.sha256(twenty.encode()).hexdigest())
+    flat = stored(token_counts.write_tokens(docs.where("doc_id in (1, 4)")), "test")
+    counts = {r.doc_id: r.n_tokens for r in token_counts.scan_tokens(flat, 50256).join(token_counts.document_keys(flat), ["shard", "document"]).collect()}
+    assert counts[1] == len(plain.encode(three, add_special_tokens=False).ids)
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
+    path = warc.archive_path(spark, "long")
+    warc.write_archives(pages, path)
+    assert spark.read.parquet(path).agg(F.max(F.octet_length("data"))).first()[0] <= warc.CHUNK_BYTES + 4
+    assert {r.page_id: (r.payload_bytes, r.intact) for r in warc.read_archives(spark.read.parquet(path)).collect()} == {d: (len(t), True) for d, t in rows}
+    turns = spark.createDataFrame([(1, 0, "user", three), (1, 1, "assistant", twenty)], "conv_id long, turn int, role string, text string")
+    back = chat.format_chats(turns).select(chat.read_turns(F.col("formatted")).alias("t")).select(F.transform("t", lambda t: F.sha2(t["text"], 256)).alias("h")).first().h
+    assert back == [hashlib.sha256(t.encode()).hexdigest() for t in (three, twenty)]
