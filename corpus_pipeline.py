@@ -1,4 +1,5 @@
 """A training corpus from ``documents``, in stages. Each stage works on the whole table that the stage before it wrote.
+Columns beside those of documents are left out, so that no name can clash; an empty table gives an empty one.
 
 Every function takes (spark, docs, sf_dir); all but the last return the columns of documents. A stage's result is to be
 written before the next stage begins: that one deletes the intermediate tables of the one before.
@@ -40,26 +41,32 @@ def _stage(make: Stage) -> Stage:
 
 @_stage
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents without any letter go."""
-    return langid.keep_identified(docs.select(*COLUMNS), language_model(docs))
+    """Language ID: documents without any letter go, missing languages are filled in. A null text has no letter; repeated rows stay."""
+    return langid.keep_identified(docs.select(*COLUMNS), language_model(docs), lang="lang")
 
 
 @_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash: the document of the smallest id stays of each group. Documents of Jaccard 0.8 and up are near duplicates."""
+    """MinHash: the document of the smallest id stays of each group. Documents of Jaccard 0.8 and up are near duplicates.
+
+    Rows of one id stay or go together; rows without an id or without words stay.
+    """
     return minhash.keep_one(docs.select(*COLUMNS), percent=80)
 
 
 @_stage
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Suffix arrays: passages that an earlier document has are cut out of the texts. Halves of cut characters go too."""
+    """Suffix arrays: passages that an earlier document has are cut out of the texts. Halves of cut characters go too.
+
+    Every row stays; a null text becomes an empty one, a null id counts as the last.
+    """
     left = suffix_dedup.remove_repeats(docs.select(*COLUMNS))
     return left.select("row.doc_id", F.col("kept").alias("text"), "row.lang", "row.source", F.char_length("kept").cast("long").alias("n_chars"))
 
 
 @_stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Suffix arrays over words: documents with a benchmark window go."""
+    """Suffix arrays over words: documents with a benchmark window go. Texts without words stay."""
     return decontam.decontaminate(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -78,7 +85,7 @@ STAGES = [
     ("BPE", encode),
 ]
 
-#: The rows of run() as DuckDB SQL: trained, iterative and byte-wise stages have none; tests hold run() against brute force.
+#: The rows of run() as DuckDB SQL: trained, iterative and byte-wise stages have none; a test holds run() against brute force on a small table.
 ORACLE_SQL = None
 
 
