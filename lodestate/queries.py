@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .chain import Chain
 from .functions import bits, memo, paths, rlp
-from .functions.keccak import keccak256
+from .functions.keccak import EMPTY_CODE, EMPTY_TREE, ROTATIONS, ROUNDS, keccak256
 from .operators import filters, overlay, stats, tries
 from .plans import adapters
 from .sources import importer
@@ -378,7 +378,29 @@ def child_memo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built.select("region", text.alias("memo"), memo.children(m).alias("children"), memo.exists(m, F.lit(3)).alias("has_3"))
 
 
-@_query()
+def _keccak_sql(rows: str, given: str = "") -> str:
+    """SQL for (id, digest) of rows (id, h: upper-case hex of at most 135 bytes): the permutation as list expressions, a row for each round."""
+    place, turn = [0] * 25, [0] * 25
+    for (x, y), n in ROTATIONS.items():
+        at = y + 5 * ((2 * x + 3 * y) % 5)
+        place[at], turn[at] = x + 5 * y + 1, n
+    constants = ", ".join(str(int(c)) for c in ROUNDS)
+    lane = "array_to_string([substr({0}, 15 - 2 * k, 2) for k in range(0, 8)], '')"
+    return f"""WITH RECURSIVE {given} kin AS (SELECT id, rpad(h || '01', 270, '0') || '80' AS h FROM {rows}),
+s AS (SELECT id, 0 AS round, [CASE WHEN i < 17 THEN CAST('0x' || {lane.format('substr(h, 16 * i + 1, 16)')} AS UBIGINT) ELSE 0::UBIGINT END for i in range(0, 25)] AS a FROM kin
+UNION ALL SELECT id, round + 1, [CASE WHEN i = 1 THEN xor(v, ([{constants}]::UBIGINT[])[round + 1]) ELSE v END for v, i in x] FROM (
+  SELECT id, round, [xor(b[i + 1], ~b[i - i % 5 + (i + 1) % 5 + 1] & b[i - i % 5 + (i + 2) % 5 + 1]) for i in range(0, 25)] AS x FROM (
+    SELECT id, round, [CASE WHEN r[j + 1] = 0 THEN t[p[j + 1]] ELSE ((t[p[j + 1]] & ((1::UBIGINT << (64 - r[j + 1])) - 1)) << r[j + 1]) | (t[p[j + 1]] >> (64 - r[j + 1])) END for j in range(0, 25)] AS b FROM (
+      SELECT id, round, {place} AS p, {turn}::UBIGINT[] AS r, [xor(a[i + 1], d[i % 5 + 1]) for i in range(0, 25)] AS t FROM (
+        SELECT id, round, a, [xor(c[(x + 4) % 5 + 1], ((c[(x + 1) % 5 + 1] & 9223372036854775807::UBIGINT) << 1) | (c[(x + 1) % 5 + 1] >> 63)) for x in range(0, 5)] AS d FROM (
+          SELECT id, round, a, [xor(xor(xor(xor(a[x + 1], a[x + 6]), a[x + 11]), a[x + 16]), a[x + 21]) for x in range(0, 5)] AS c FROM s WHERE round < 24))))))
+SELECT id, array_to_string([{lane.format("printf('%016X', a[i])")} for i in range(1, 5)], '') AS digest FROM s WHERE round = 24"""
+
+
+_EVEN = "CASE WHEN length({0}) % 2 = 1 THEN '0' || {0} ELSE {0} END"
+
+
+@_query(_keccak_sql(f"(SELECT id, hex(encode(value)) AS h FROM {_KEYED})"))
 def keccak_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _customers(spark, sf_dir).select("id", F.hex(keccak256(F.col("value"))).alias("digest"))
 
@@ -416,6 +438,36 @@ def trie_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.structure(_two_tries(spark, sf_dir)).groupBy("trie", "kind", F.length("path").cast("long").alias("depth")).agg(F.count(F.lit(1)).alias("nodes"))
 
 
+_LEAF_SQL = f"""b AS (SELECT c_custkey AS id, upper(sha256(CAST(c_custkey AS VARCHAR))) AS path, c_nationkey AS nonce, CASE WHEN c_acctbal <= 0 THEN '' ELSE printf('%X', CAST(round(c_acctbal * 100) AS BIGINT)) END AS x FROM customer),
+e AS (SELECT id, path, CASE WHEN nonce = 0 THEN '80' ELSE printf('%02X', nonce) END AS n, {_EVEN.format('x')} AS x FROM b),
+a AS (SELECT id, path, n || CASE WHEN x = '' THEN '80' WHEN length(x) = 2 AND x < '80' THEN x ELSE printf('%02X', 128 + length(x) // 2) || x END || 'A0{EMPTY_TREE.hex().upper()}A0{EMPTY_CODE.hex().upper()}' AS body FROM e),
+v AS (SELECT id, 'A120' || path || 'B8' || printf('%02X', length(body) // 2 + 2) || 'F8' || printf('%02X', length(body) // 2) || body AS body FROM a),"""
+
+
+@_query(_keccak_sql("(SELECT id, 'F8' || printf('%02X', length(body) // 2) || body AS h FROM v)", _LEAF_SQL))
+def account_leaf_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The root of each account's own state: its leaf is the whole trie."""
+    accounts = adapters.accounts_of(_table(spark, sf_dir, "customer"))
+    ids = _customers(spark, sf_dir).select("id", "path")
+    leaves = tries.account_leaves(accounts).withColumn("trie", F.col("path"))
+    return tries.roots(leaves)[0].join(ids, F.col("trie") == F.col("path")).select("id", F.hex("root").alias("digest"))
+
+
+@_query(
+    _keccak_sql(
+        "(SELECT id, printf('%02X', 192 + length(body) // 2) || body AS h FROM v)",
+        f"""one AS (SELECT o_custkey AS id, min(o_orderkey) AS o, CAST(round(min(o_totalprice) * 100) AS BIGINT) AS n FROM orders GROUP BY 1 HAVING count(*) = 1),
+x AS (SELECT id, o, printf('%X', n) AS x FROM one), r AS (SELECT id, o, {_EVEN.format('x')} AS x FROM x),
+v AS (SELECT id, 'A120' || upper(sha256(CAST(o AS VARCHAR))) || printf('%02X', 128 + length(x) // 2 + 1) || printf('%02X', 128 + length(x) // 2) || x AS body FROM r),""",
+    )
+)
+def single_slot_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Storage roots of the customers that have one order."""
+    orders = _table(spark, sf_dir, "orders")
+    one = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select(F.col("o_custkey").alias("id"), adapters.hashed_key(F.col("o_custkey")).alias("trie"))
+    return tries.roots(tries.storage_leaves(adapters.storage_of(orders)))[0].join(one, "trie").select("id", F.hex("root").alias("digest"))
+
+
 @_query()
 def state_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state's root over customers as accounts and their orders as storage."""
