@@ -2,10 +2,9 @@
 
 A rolling hash over 16 bytes cuts texts where their content says so, so that documents with common passages have
 common chunks. A task encodes each distinct chunk once and keeps its ids. Where two chunks meet, the ids near the
-join may differ from those of the whole text; the join is repaired by encoding the text around it again, from the
-last place in the left chunk to the first place in the right one at which the pre-tokenizer must begin a new word
-whatever stands around it. A chunk without such a place joins the window, which grows until both of its ends agree
-with the chunks' own ids.
+join may differ from those of the whole text; the join is repaired by encoding the text around it again. The window
+grows over whole chunks until both of its ends are places at which the pre-tokenizer must begin a new word whatever
+stands around it: beyond such a place a chunk's ids and the whole text's agree exactly, and nothing is left to compare.
 """
 
 from __future__ import annotations

@@ -4,7 +4,8 @@ Phase 1 groups suffixes by their longest Lyndon prefix. Groups are taken in desc
 is hung to its previous smaller suffix, and the suffixes that were hung to are moved ahead of the rest of their own
 group, in one step for each number of equal neighbours. Phase 2 emits the order: each suffix that is placed
 places the suffix before it, and along its previous-smaller pointers, at the front of what is left of their groups.
-Nothing is renamed or sorted again on the way, and the work is linear in the length.
+Groups are never renamed or compared again. Two sorts remain beside the linear phases: one of the symbols, to begin
+with, and one of each group's members by place, which together see every suffix once.
 """
 
 from __future__ import annotations
