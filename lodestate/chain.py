@@ -76,6 +76,52 @@ class View:
         return bytes(tries.state_root(self.accounts().select("account", "balance", "nonce", "code_hash"), self.storage()).first().root).hex().upper()
 
 
+class Roots:
+    """What a state's root is made of: hashed parts of the state's trie and of all storage tries, and the storage roots.
+
+    ``after`` makes those of a later state: only parts that its ops touch are read, folded and hashed again.
+    """
+
+    def __init__(self, state: DataFrame, storage: DataFrame, roots: DataFrame, level: int) -> None:
+        self.state, self.storage, self.roots, self.level = state, storage, roots, level
+
+    @classmethod
+    def of(cls, state: DataFrame, level: int) -> Roots:
+        """Those of (account, type, slot, value)."""
+        view = View(stored(state, "state"), "")
+        storage = tries.reduced_parts(tries.storage_leaves(view.storage()), level)
+        roots = tries.roots_of_parts(storage)
+        return cls(tries.reduced_parts(tries.account_leaves(view.accounts(), roots), level), storage, roots, level)
+
+    def after(self, base: DataFrame, ops: DataFrame) -> Roots:
+        """Those of the fold of ops over base, the state that these are of."""
+        ops = stored(ops, "ops")
+        head = lambda column: F.substr(F.col(column), F.lit(1), F.lit(self.level))
+        sets, deletes = ops.where(F.col("op") == SET), ops.where(F.col("op") == PREFIX_DELETE)
+        destroyed = ops.where(F.col("op") == DESTROY).select(F.col("account").alias("trie")).distinct()
+        under = F.col("prefix").startswith(F.col("slot")) | F.col("slot").startswith(F.col("prefix"))
+        known = self.storage.select("trie", "prefix")
+        cut = deletes.where(F.col("type") == STORAGE).select(F.col("account").alias("trie"), "slot")
+        touched = sets.where(F.col("type") == STORAGE).select(F.col("account").alias("trie"), head("slot").alias("prefix"))
+        touched = stored(touched.union(known.join(destroyed, "trie")).union(known.join(cut, "trie").where(under).select("trie", "prefix")).distinct(), "touched")
+        slots = base.where(F.col("type") == STORAGE).withColumns({"trie": F.col("account"), "prefix": head("slot")}).join(touched, ["trie", "prefix"], "left_semi")
+        now = overlay.fold(slots, ops.where((F.col("type") == STORAGE) | (F.col("op") == DESTROY)))
+        storage = tries.replaced_parts(self.storage, tries.storage_leaves(now.select("account", "slot", "value")), touched, self.level)
+        changed = stored(touched.select("trie").distinct(), "tries")
+        roots = stored(self.roots.join(changed, "trie", "left_anti").union(tries.roots_of_parts(storage.join(changed, "trie", "left_semi"))), "roots")
+        prefixes = self.state.select("prefix").distinct()
+        heads = sets.where(F.col("type") == ACCOUNT).select(head("account").alias("prefix")).union(destroyed.union(changed).select(head("trie")))
+        heads = heads.union(prefixes.join(deletes.where(F.col("type") == ACCOUNT).select("slot"), under).select("prefix"))
+        touched = stored(heads.distinct().select(F.lit("").alias("trie"), "prefix"), "touched")
+        rows = base.where(F.col("type") == ACCOUNT).withColumn("prefix", head("account")).join(touched, "prefix", "left_semi")
+        accounts = View(overlay.fold(rows, ops.where((F.col("type") == ACCOUNT) | (F.col("op") == DESTROY))), "").accounts()
+        return Roots(tries.replaced_parts(self.state, tries.account_leaves(accounts, roots), touched, self.level), storage, roots, self.level)
+
+    def root(self) -> str:
+        row = tries.roots_of_parts(self.state).first()
+        return bytes(row.root).hex().upper() if row else EMPTY
+
+
 class Block:
     """An open block. Hooks (callables of the block's ops) run before its hash is computed."""
 
@@ -149,11 +195,19 @@ class Block:
         """
         for hook in self.hooks:
             hook(self.ops())
-        state_hash = state_hash or self.view().root()
+        if state_hash is None:
+            roots = self._roots()
+            state_hash = roots.root()
+            self.chain.roots[state_hash] = roots
         if state_hash != self.parent:
             self.chain._publish(state_hash, self.parent, number, self.ops())
         return state_hash
 
+    def _roots(self) -> Roots:
+        """From the parent's, if these are known: of other parents, everything is hashed."""
+        base, known = self.chain.view(self.parent).state, self.chain.roots.get(self.parent)
+        return known.after(base, self.ops()) if known else Roots.of(overlay.fold(base, self.ops()), self.chain.level)
+
 
 class Raw(Block):
     """A state under synchronisation: nodes may be known by hashes alone, and commits need no root.
@@ -255,9 +309,13 @@ class Accessor:
 
 
 class Chain:
-    """Fork-aware blocks above a snapshot store. finality: blocks below the head by that much finalize by themselves."""
+    """Fork-aware blocks above a snapshot store. finality: blocks below the head by that much finalize by themselves.
+
+    level: nibbles by which tries are hashed in parts; a part of the largest trie should have some ten thousand keys.
+    """
 
-    def __init__(self, store: SnapshotStore, finality: int | None = None) -> None:
+    def __init__(self, store: SnapshotStore, finality: int | None = None, level: int = tries.STEP) -> None:
+        self.level, self.roots = level, {}
         self.store, self.spark, self.finality = store, store.spark, finality
         self.blocks: dict[str, tuple[str, int, DataFrame]] = {}
         last = store.latest()
@@ -351,4 +409,6 @@ class Chain:
             self.store.commit(self._folded(base, part), number, block)
             self.finalized = block, number
             self.blocks = {h: b for h, b in self.blocks.items() if b[1] > number}  # forks of the same height go as well
+        kept = {*self.blocks, *(r.state_hash for r in self.store._rows())}
+        self.roots = {h: r for h, r in self.roots.items() if h in kept}
         return True

@@ -295,7 +295,12 @@ def reduced_parts(leaves: DataFrame, level: int = STEP) -> DataFrame:
 def updated_parts(parts: DataFrame, leaves: DataFrame, changed: DataFrame, level: int = STEP) -> DataFrame:
     """parts after keys (trie, path) have changed, been added or deleted. leaves: all that live now; only those of changed parts are read and hashed."""
     prefix = F.substr(F.col("path"), F.lit(1), F.lit(level))
-    touched = stored(changed.select("trie", prefix.alias("prefix")).distinct(), "touched")
+    return replaced_parts(parts, leaves, stored(changed.select("trie", prefix.alias("prefix")).distinct(), "touched"), level)
+
+
+def replaced_parts(parts: DataFrame, leaves: DataFrame, touched: DataFrame, level: int = STEP) -> DataFrame:
+    """parts, of which those touched (trie, prefix) are made anew from leaves, or go if they have none any more."""
+    prefix = F.substr(F.col("path"), F.lit(1), F.lit(level))
     own = leaves.withColumn("prefix", prefix).join(touched, ["trie", "prefix"], "left_semi").drop("prefix")
     return stored(parts.join(touched, ["trie", "prefix"], "left_anti").unionByName(reduced_parts(own, level)), "parts")
 

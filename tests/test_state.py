@@ -384,3 +384,29 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["verify", f"file://{tmp_path}/cli"]) == 0 and ROOTS[4][1] in capsys.readouterr().out
     assert main(["stats", f"file://{tmp_path}/cli"]) == 0 and main(["storage", f"file://{tmp_path}/cli"]) == 0
     assert "extension" in capsys.readouterr().out
+
+
+def test_commits_hash_what_they_change(spark, tmp_path):
+    """Roots after sets, deletes, destroys and prefix deletes equal those of the whole state."""
+    import random
+
+    r = random.Random(6)
+    key = lambda: "".join(r.choice("0123456789ABCDEF") for _ in range(64))
+    chain = Chain(SnapshotStore(spark, f"file://{tmp_path}/inc", history=4))
+    accounts_, slots, parent = [key() for _ in range(30)], [key() for _ in range(12)], EMPTY
+    for n in range(1, 5):
+        block = chain.start(parent)
+        for a in r.sample(accounts_, 12 if n == 1 else 4):
+            block.set_account(a, r.randrange(1, 10**9), n)
+            for slot in r.sample(slots, 6):
+                block.set_storage(a, slot, bytes([r.randrange(1, 255)]) if r.random() < 0.8 else b"")
+        if n == 2:
+            block.destroy_account(accounts_[0])
+            block.destroy_account(sorted(x.account for x in chain.view(parent).accounts().collect())[0])
+        if n == 3:
+            block.delete_by_prefix(accounts_[3][0])
+            block.delete_by_prefix(slots[0][0], sorted(x.account for x in chain.view(parent).storage().select("account").distinct().collect())[0])
+        before = chain.roots.get(parent)
+        parent = block.commit(n)
+        assert parent == chain.view(parent).root() and (before is not None) == (n > 1)
+    assert chain.finalize(parent) and set(chain.roots) <= {x.state_hash for x in chain.store._rows()}
