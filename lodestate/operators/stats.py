@@ -87,13 +87,17 @@ def consecutive(values: DataFrame, column: str, longest: int | None = None, by:
 
 def highest_not_above(members: DataFrame, queries: DataFrame, member: str, query: str) -> DataFrame:
     """For each query value the largest member that isn't above it (null if none): one ordered pass over both."""
-    both = members.select(F.col(member).alias("v"), F.lit(0).alias("q")).unionByName(queries.select(F.col(query).alias("v"), F.lit(1).alias("q")))
-    width = 1 << 20
-    near = Window.partitionBy(F.expr(f"v div {width}")).orderBy("v", "q").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("m", F.max(F.when(F.col("q") == 0, F.col("v"))).over(near)).withColumn("part", F.expr(f"v div {width}"))
-    tops = both.where("q = 0").groupBy(F.expr(f"v div {width}").alias("part")).agg(F.max("v").alias("top"))
+    both = members.select(F.col(member).cast("long").alias("v"), F.lit(0).alias("q")).unionByName(queries.select(F.col(query).cast("long").alias("v"), F.lit(1).alias("q")))
+    near = Window.partitionBy(F.shiftright("v", 20)).orderBy("v", "q").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("m", F.max(F.when(F.col("q") == 0, F.col("v"))).over(near)).withColumn("part", F.shiftright("v", 20))
+    tops = both.where("q = 0").groupBy(F.shiftright("v", 20).alias("part")).agg(F.max("v").alias("top"))
     below = tops.unionByName(found.where("q = 1").select("part", F.lit(None).cast("long").alias("top")).distinct()).groupBy("part").agg(F.max("top").alias("top"))
-    carried = below.withColumn("before", F.max("top").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("part", "before")
+    # ranges are carried over within ranges of ranges, and these among themselves: however far values lie apart, no task has all
+    near = Window.partitionBy("far").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    all_before = Window.orderBy("far").rowsBetween(Window.unboundedPreceding, -1)
+    below = below.withColumn("far", F.shiftright("part", 20))
+    fars = below.groupBy("far").agg(F.max("top").alias("top")).withColumn("from_far", F.max("top").over(all_before)).select("far", "from_far")
+    carried = below.withColumn("own", F.max("top").over(near)).join(fars, "far").select("part", F.coalesce("own", "from_far").alias("before"))
     return found.where("q = 1").join(carried, "part").select(F.col("v").alias(query), F.coalesce("m", "before").alias(member))
 
 

@@ -410,3 +410,10 @@ def test_commits_hash_what_they_change(spark, tmp_path):
         parent = block.commit(n)
         assert parent == chain.view(parent).root() and (before is not None) == (n > 1)
     assert chain.finalize(parent) and set(chain.roots) <= {x.state_hash for x in chain.store._rows()}
+
+
+def test_predecessors_far_apart(spark):
+    members = [-(1 << 50), -5, 3, (1 << 41) + 7, 1 << 55]
+    asked = [-(1 << 51), -(1 << 50), -6, -5, 2, 3, 1 << 30, (1 << 41) + 6, (1 << 41) + 8, (1 << 60)]
+    found = stats.highest_not_above(spark.createDataFrame([(m,) for m in members], "v long"), spark.createDataFrame([(q,) for q in asked], "q long"), "v", "q")
+    assert {r.q: r.v for r in found.collect()} == {q: max((m for m in members if m <= q), default=None) for q in asked}
