@@ -342,7 +342,7 @@ class Chain:
         top = placed.agg(F.max("number")).first()[0] or 0
         final, first = max(0, top - lag), self.finalized[1]
         if final:
-            base = self.store.read_latest().select("account", "slot", "type", "value")
+            base = self.store.read_head().select("account", "slot", "type", "value")
             self.store.commit(overlay.fold(base, placed.where(F.col("number") <= final)), first + final, f"{name}-{final}")
             self.finalized = f"{name}-{final}", first + final
         for n in range(final + 1, top + 1):

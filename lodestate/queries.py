@@ -512,7 +512,7 @@ def snapshot_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ops = adapters.event_ops(_table(spark, sf_dir, "events"), DESTROYS)
     store = SnapshotStore(spark, f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}", history=2)
     for number, part in ((1, ops.where(F.col("block_hash") <= AS_OF)), (2, ops.where(F.col("block_hash") > AS_OF))):
-        base = store.read_latest().select(*overlay.KEY, "value")
+        base = store.read_head().select(*overlay.KEY, "value")
         store.commit(overlay.fold(base, part), number, f"state-{number}")
     return store.read_all().select("block_number", "account", "slot", _text().alias("value"))
 
@@ -534,7 +534,7 @@ def snapshot_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     below = ""
     for i, cut in enumerate(_CUTS, 1):
         part = ops.where((F.col("block_hash") > below) & (F.col("block_hash") <= cut))
-        store.commit(overlay.fold(store.read_latest().select(*overlay.KEY, "value"), part), i, f"state-{i}", flush=i != 2)
+        store.commit(overlay.fold(store.read_head().select(*overlay.KEY, "value"), part), i, f"state-{i}", flush=i != 2)
         below = cut
     store.flush()
     every = []

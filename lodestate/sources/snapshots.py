@@ -102,6 +102,17 @@ class SnapshotStore:
         except StateGone:
             return self.read_latest()
 
+    def head(self) -> Row | None:
+        """What the next commit comes after: this store's last commit, published or not; else the newest version."""
+        return self._pending[-1] if self._pending else self.latest()
+
+    def read_head(self) -> DataFrame:
+        """The state of ``head``: what a writer builds on. Readers that ask for the latest see published versions only."""
+        row = self.head()
+        if row is not None and row.path in self._unwritten:
+            return self._keyed(self._unwritten[row.path])
+        return self._read(row)
+
     def read_all(self) -> DataFrame:
         """All retained versions, with batch_id, block_number and state_hash."""
         parts = [self._read(r).withColumns({"batch_id": F.lit(r.batch_id).cast("long"), "block_number": F.lit(r.block_number).cast("long"), "state_hash": F.lit(r.state_hash)}) for r in self._rows()]
@@ -116,7 +127,7 @@ class SnapshotStore:
         """
         level = {True: self.DATA_AND_ROOT, False: self.DATA_ONLY}.get(flush, flush)
         with self._writing():
-            last = self._pending[-1] if self._pending else self.latest()
+            last = self.head()
             row = Row(batch_id=(last.batch_id if last else 0) + 1, block_number=block_number, state_hash=state_hash, path=f"{self.path}/versions/{uuid.uuid4().hex}")
             if level == self.NO_WRITE:
                 self._unwritten[row.path] = state
@@ -127,10 +138,12 @@ class SnapshotStore:
                 self._publish()
             return row
 
+    def _keyed(self, state: DataFrame) -> DataFrame:
+        return state.select("account", "slot", F.col("type").cast("int").alias("type"), "value", F.substring("account", 1, self.partition_nibbles).alias("nib01"))
+
     def _write(self, state: DataFrame, path: str) -> None:
         """Dealt by more nibbles than the folders have, of accounts and slots: neither a nibble nor an account is one task's work."""
-        keyed = state.select("account", "slot", F.col("type").cast("int").alias("type"), "value", F.substring("account", 1, self.partition_nibbles).alias("nib01"))
-        dealt = keyed.repartition(F.col("nib01"), F.substring("account", 1, 5), F.substring("slot", 1, 2))
+        dealt = self._keyed(state).repartition(F.col("nib01"), F.substring("account", 1, 5), F.substring("slot", 1, 2))
         dealt.sortWithinPartitions("nib01", "account", "slot").write.partitionBy("nib01").parquet(path)
 
     def _publish(self) -> None:

@@ -40,7 +40,7 @@ def fold_stream(ops: DataFrame, store: SnapshotStore, checkpoint: str, *, trigge
     stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark, last = store.spark, store.latest()
+        spark, last = store.spark, store.head()
         done = re.fullmatch(rf"block--?\d+-stream-{stream}-batch-(\d+)", last.state_hash) if last else None
         if done and int(done[1]) >= batch_id:
             return
@@ -53,7 +53,7 @@ def fold_stream(ops: DataFrame, store: SnapshotStore, checkpoint: str, *, trigge
             known = spark.read.schema(_CARRIED).parquet(f"{carried}/{last.state_hash}")
         else:  # a version of another writer lies below all ops
             low = F.lit(-(1 << 62))
-            known = store.read_latest().select(low.alias("number"), low.alias("seq"), F.lit(SET).alias("op"), "type", "account", "slot", "value", F.lit(PERSISTENT).alias("entry_type"))
+            known = store.read_head().select(low.alias("number"), low.alias("seq"), F.lit(SET).alias("op"), "type", "account", "slot", "value", F.lit(PERSISTENT).alias("entry_type"))
         top = max(top, last.block_number) if last else top
         name = f"block-{top}-stream-{stream}-batch-{batch_id}"
         settled(known.unionByName(fresh)).write.mode("overwrite").parquet(f"{carried}/{name}")

@@ -103,6 +103,18 @@ def test_retention_and_isolation(spark, tmp_path):
     assert store.vacuum() == 2
 
 
+@pytest.mark.parametrize("flush", [SnapshotStore.DATA_ONLY, SnapshotStore.NO_WRITE])
+def test_commits_build_on_unpublished_ones(spark, tmp_path, flush):
+    store = SnapshotStore(spark, f"file://{tmp_path}/u")
+    assert store.head() is None and store.read_head().count() == 0
+    for n in (1, 2, 3):
+        own = spark.createDataFrame([(K0, f"{n:02X}", 1, bytes([n]))], "account string, slot string, type int, value binary")
+        store.commit(store.read_head().select(*overlay.KEY, "value").unionByName(own.select(*overlay.KEY, "value")), n, f"h{n}", flush=flush if n == 2 else True)
+        assert store.latest().state_hash == ("h1" if n == 2 else f"h{n}") and store.head().state_hash == f"h{n}"
+        assert sorted(r.slot for r in store.read_head().collect()) == [f"{i:02X}" for i in range(1, n + 1)]
+    assert sorted(r.slot for r in store.read("h2").collect()) == ["01", "02"]
+
+
 def test_prefix_deletes(spark):
     state = spark.createDataFrame([("A" * 63 + c, "", 0, b"\x01") for c in "0123"] + [("B" * 64, "", 0, b"\x01"), ("B" * 64, "A" * 64, 1, b"\x02")], "account string, slot string, type int, value binary")
     delete = lambda *rows: overlay.remove_prefixes(state, spark.createDataFrame(rows, "account string, prefix string, type int")).count()
