@@ -5,11 +5,18 @@ A table of buckets grows with its number of bits and is never gathered in one pl
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bits of a filter; a power of two. It suits some hundred thousand keys: see ``bits_for``.
 BITS = 1 << 22
+#: Filters of up to so many bits (4 MB) are broadcast.
+BROADCAST = 1 << 25
+#: Bytes of the pieces of a bitmap that keys are joined with, and how many a bucket of 4 KB has.
+BLOCK = 64
+_PIECES = 4096 // BLOCK
 
 
 def position(hash_: Column, bits: int = BITS) -> Column:
@@ -40,14 +47,30 @@ def _bit(bitmap: Column, position_: Column) -> Column:
     return F.getbit(byte, (position_ % 8).cast("int")) == 1
 
 
+def _blocks(filter_: DataFrame) -> DataFrame:
+    """(_block, _bits): the pieces of a filter's bitmaps that have any bit. What joins one carries a piece, not a whole bitmap."""
+    piece = lambda i: F.struct((F.col("bucket") * _PIECES + i).alias("_block"), F.substr(F.col("bitmap"), i * BLOCK + 1, F.lit(BLOCK)).alias("_bits"))
+    return filter_.select(F.inline(F.transform(F.sequence(F.lit(0), F.lit(_PIECES - 1)), piece))).where(F.col("_bits") != F.lit(bytes(BLOCK)))
+
+
 def may_contain(keys: DataFrame, filter_: DataFrame, *hashes: Column, bits: int = BITS) -> DataFrame:
-    """keys with ``may_contain``: whether the filter may have any of the hashes. Never false for a key that was added."""
-    out = keys
-    hits = F.lit(False)
+    """keys with ``may_contain``: whether the filter may have any of the hashes. Never false for a key that was added.
+
+    Filters of at most BROADCAST bits go to where the keys are; the pieces of larger ones are repeated 16 times and keys
+    dealt over them, so that a hash that many keys share isn't one task's work.
+    """
+    blocks = _blocks(filter_)
+    small = bits <= BROADCAST
+    blocks = F.broadcast(blocks) if small else blocks.withColumn("_dealt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    out = keys if small else keys.withColumn("_dealt", F.pmod(F.xxhash64(*hashes), F.lit(16)).cast("int"))
     for i, hash_ in enumerate(hashes):
         p = position(hash_, bits)
-        out = out.join(filter_.select(F.col("bucket").alias(f"_b{i}"), F.col("bitmap").alias(f"_m{i}")), F.bitmap_bucket_number(p) == F.col(f"_b{i}"), "left")
-        hits = hits | F.coalesce(_bit(F.col(f"_m{i}"), F.bitmap_bit_position(p)), F.lit(False))
+        at = F.bitmap_bit_position(p)
+        rows = out.withColumns({"_block": F.bitmap_bucket_number(p) * _PIECES + F.floor(at / (8 * BLOCK)), "_at": at % (8 * BLOCK)})
+        # the answer is computed before the next join: no row takes a piece along
+        hit = F.coalesce(_bit(F.col("_bits"), F.col("_at")), F.lit(False)).alias(f"_hit{i}")
+        out = rows.join(blocks, ["_block"] if small else ["_block", "_dealt"], "left").select(*out.columns, hit)
+    hits = reduce(Column.__or__, (F.col(f"_hit{i}") for i in range(len(hashes))), F.lit(False))
     return out.select(*keys.columns, hits.alias("may_contain"))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestate.chain import EMPTY, Chain
 from lodestate.functions import paths
-from lodestate.operators import overlay, stats, tries
+from lodestate.operators import filters, overlay, stats, tries
 from lodestate.sources.snapshots import SnapshotStore, StateGone
 
 K0 = "0001020304050607" * 4
@@ -429,3 +429,24 @@ def test_predecessors_far_apart(spark):
     asked = [-(1 << 51), -(1 << 50), -6, -5, 2, 3, 1 << 30, (1 << 41) + 6, (1 << 41) + 8, (1 << 60)]
     found = stats.highest_not_above(spark.createDataFrame([(m,) for m in members], "v long"), spark.createDataFrame([(q,) for q in asked], "q long"), "v", "q")
     assert {r.q: r.v for r in found.collect()} == {q: max((m for m in members if m <= q), default=None) for q in asked}
+
+
+def _join_inputs(plan):
+    """Types of the columns that reach each join of a logical plan from its left."""
+    below = [plan.children().apply(i) for i in range(plan.children().size())]
+    own = [[plan.left().output().apply(i).dataType().simpleString() for i in range(plan.left().output().size())]] if plan.nodeName() == "Join" else []
+    return own + [x for child in below for x in _join_inputs(child)]
+
+
+def test_filter_lookups_carry_no_bitmaps(spark):
+    hash_ = F.xxhash64("id")
+    for bits in (1 << 16, filters.BROADCAST * 2):
+        has = filters.union(filters.build(spark.range(0, 3000, 3), hash_, bits), filters.build(spark.range(1, 3000, 3), hash_, bits))
+        found = filters.may_contain(spark.range(3000), has, F.xxhash64(F.lit("absent")), hash_, bits=bits)
+        inputs = _join_inputs(found._jdf.queryExecution().optimizedPlan())
+        assert len(inputs) == 2 and not any("binary" in types for types in inputs)
+        rows = {r.id: r.may_contain for r in found.collect()}
+        assert len(rows) == 3000 and all(rows[i] for i in range(3000) if i % 3 < 2)
+        assert sum(rows[i] for i in range(2, 3000, 3)) <= (100 if bits == 1 << 16 else 5)
+        both = filters.may_contain(spark.range(2, 3000, 3), has, hash_, F.xxhash64(F.lit(0).cast("long")), bits=bits)
+        assert both.where("not may_contain").count() == 0  # the second hash is that of a member
