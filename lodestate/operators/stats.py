@@ -86,19 +86,24 @@ def consecutive(values: DataFrame, column: str, longest: int | None = None, by:
 
 
 def highest_not_above(members: DataFrame, queries: DataFrame, member: str, query: str) -> DataFrame:
-    """For each query value the largest member that isn't above it (null if none): one ordered pass over both."""
-    both = members.select(F.col(member).cast("long").alias("v"), F.lit(0).alias("q")).unionByName(queries.select(F.col(query).cast("long").alias("v"), F.lit(1).alias("q")))
-    near = Window.partitionBy(F.shiftright("v", 20)).orderBy("v", "q").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("m", F.max(F.when(F.col("q") == 0, F.col("v"))).over(near)).withColumn("part", F.shiftright("v", 20))
-    tops = both.where("q = 0").groupBy(F.shiftright("v", 20).alias("part")).agg(F.max("v").alias("top"))
-    below = tops.unionByName(found.where("q = 1").select("part", F.lit(None).cast("long").alias("top")).distinct()).groupBy("part").agg(F.max("top").alias("top"))
+    """For each query value the largest member that isn't above it (null if none): one ordered pass over the distinct values of both.
+
+    A range has at most 2**20 distinct values, so no task's memory grows with how often they are repeated.
+    """
+    both = members.select(F.col(member).cast("long").alias("v"), F.lit(True).alias("is_member"), F.lit(0).alias("asked")).unionByName(queries.select(F.col(query).cast("long").alias("v"), F.lit(False).alias("is_member"), F.lit(1).alias("asked")))
+    values = both.groupBy("v").agg(F.max("is_member").alias("is_member"), F.sum("asked").alias("asked")).withColumn("part", F.shiftright("v", 20))
+    near = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    found = values.withColumn("m", F.max(F.when(F.col("is_member"), F.col("v"))).over(near))
     # ranges are carried over within ranges of ranges, and these among themselves: however far values lie apart, no task has all
     near = Window.partitionBy("far").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     all_before = Window.orderBy("far").rowsBetween(Window.unboundedPreceding, -1)
-    below = below.withColumn("far", F.shiftright("part", 20))
+    below = values.groupBy("part").agg(F.max(F.when(F.col("is_member"), F.col("v"))).alias("top")).withColumn("far", F.shiftright("part", 20))
     fars = below.groupBy("far").agg(F.max("top").alias("top")).withColumn("from_far", F.max("top").over(all_before)).select("far", "from_far")
     carried = below.withColumn("own", F.max("top").over(near)).join(fars, "far").select("part", F.coalesce("own", "from_far").alias("before"))
-    return found.where("q = 1").join(carried, "part").select(F.col("v").alias(query), F.coalesce("m", "before").alias(member))
+    each = found.where("asked > 0").join(carried, "part", "left").select("v", F.when(F.col("v").isNotNull(), F.coalesce("m", "before")).alias("m"), "asked")
+    # a value that was asked for several times has as many rows; in two steps, so that none holds a long list of them
+    some = each.withColumn("_from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("asked"), F.lit(1000).cast("long"))))
+    return some.select(F.col("v").alias(query), F.col("m").alias(member), F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + 999, F.col("asked")))).alias("_n")).drop("_n")
 
 
 def first_gap(members: DataFrame, member: str) -> DataFrame:

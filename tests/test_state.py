@@ -450,3 +450,18 @@ def test_filter_lookups_carry_no_bitmaps(spark):
         assert sum(rows[i] for i in range(2, 3000, 3)) <= (100 if bits == 1 << 16 else 5)
         both = filters.may_contain(spark.range(2, 3000, 3), has, hash_, F.xxhash64(F.lit(0).cast("long")), bits=bits)
         assert both.where("not may_contain").count() == 0  # the second hash is that of a member
+
+
+def test_predecessors_of_repeated_values(spark):
+    members = spark.range(200_000).select((F.col("id") % 5 * 10).alias("v"))
+    queries = spark.createDataFrame([(q,) for q in [-1, 7, 7, 7, 40, 41, None] + [25] * 2500], "q long")
+    found = stats.highest_not_above(members, queries, "v", "q")
+    counts = {tuple(r)[:2]: r["count"] for r in found.groupBy("q", "v").count().collect()}
+    assert counts == {(-1, None): 1, (7, 0): 3, (40, 40): 1, (41, 40): 1, (None, None): 1, (25, 20): 2500}
+    # what is sorted are distinct values: there is an aggregation below each window
+    windows = [x for x in _plans(found._jdf.queryExecution().optimizedPlan()) if x.nodeName() == "Window"]
+    assert windows and all(any(y.nodeName() == "Aggregate" for y in _plans(x)) for x in windows)
+
+
+def _plans(plan):
+    return [plan] + [x for i in range(plan.children().size()) for x in _plans(plan.children().apply(i))]
