@@ -22,6 +22,8 @@ ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
 #: At most so many rows are learned from for each language, those of the smallest hash of their key and text.
 TRAIN_ROWS = 4000
+#: Bytes of text whose n-grams are made at once: their arrays take over a hundred times as much.
+AT_ONCE = 1 << 19
 SMOOTHING = 0.5
 UNDETERMINED = "und"
 
@@ -80,6 +82,23 @@ def features(column: pa.Array, letters: np.ndarray, orders=ORDERS, buckets: int
     return key // buckets, key % buckets, count, has
 
 
+def _counted(batches: Iterator[pa.RecordBatch], orders=ORDERS, buckets: int = BUCKETS) -> Iterator[pa.RecordBatch]:
+    """(lang, bucket, n): n-grams of each language among rows (lang, text); bucket -1 has its documents."""
+    letters = _letters()
+    total: dict[str, np.ndarray] = {}
+    docs: dict[str, int] = {}
+    for block in blocks(batches, "text", AT_ONCE):
+        row, bucket, n, _ = features(block.column("text"), letters, orders, buckets)
+        names = np.array(block.column("lang").to_pylist(), object)
+        for name in set(names.tolist()):
+            mine = (names == name)[row]
+            total[name] = total.get(name, 0) + np.bincount(bucket[mine], n[mine], buckets)
+            docs[name] = docs.get(name, 0) + int((names == name).sum())
+    for name, counts in total.items():
+        at = np.nonzero(counts)[0]
+        yield pa.RecordBatch.from_arrays([pa.array([name] * (len(at) + 1)), pa.array(np.append(at, -1)), pa.array(np.append(counts[at], docs[name]))], ["lang", "bucket", "n"])
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -108,19 +127,7 @@ def train(rows: DataFrame, *, text: str = "text", lang: str = "lang", order_by:
     sample = labelled.where(F.pmod(F.col("h"), F.lit(1_000_000)) < share * 1_000_000).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = _letters()
-        total: dict[str, np.ndarray] = {}
-        docs: dict[str, int] = {}
-        for block in blocks(batches, "text"):
-            row, bucket, n, _ = features(block.column("text"), letters, orders, buckets)
-            names = np.array(block.column("lang").to_pylist(), object)
-            for name in set(names.tolist()):
-                mine = (names == name)[row]
-                total[name] = total.get(name, 0) + np.bincount(bucket[mine], n[mine], buckets)
-                docs[name] = docs.get(name, 0) + int((names == name).sum())
-        for name, counts in total.items():
-            at = np.nonzero(counts)[0]
-            yield pa.RecordBatch.from_arrays([pa.array([name] * (len(at) + 1)), pa.array(np.append(at, -1)), pa.array(np.append(counts[at], docs[name]))], ["lang", "bucket", "n"])
+        return _counted(batches, orders, buckets)
 
     sums = sample.mapInArrow(count, "lang string, bucket long, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(sums["lang"].unique())
@@ -151,7 +158,7 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
         model, letters = handle.value, _letters()
         buckets, k = model.log_prob.shape
         names = np.array([*model.languages, UNDETERMINED], object)
-        for block in blocks(batches, "text", 1 << 20):
+        for block in blocks(batches, "text", AT_ONCE):
             row, bucket, n, has = features(block.column("text"), letters, model.orders, buckets)
             size = block.num_rows
             if k:

@@ -414,3 +414,18 @@ def test_texts_of_many_megabytes(spark):
     turns = spark.createDataFrame([(1, 0, "user", three), (1, 1, "assistant", twenty)], "conv_id long, turn int, role string, text string")
     back = chat.format_chats(turns).select(chat.read_turns(F.col("formatted")).alias("t")).select(F.transform("t", lambda t: F.sha2(t["text"], 256)).alias("h")).first().h
     assert back == [hashlib.sha256(t.encode()).hexdigest() for t in (three, twenty)]
+
+
+def test_language_counts_take_little_memory():
+    import tracemalloc
+
+    text = "eine kleine geschichte ohne ende und ohne anfang " * 40
+    batch = pa.RecordBatch.from_arrays([pa.array(["de", "en"] * 1000), pa.array([text] * 2000)], ["lang", "text"])
+    tracemalloc.start()
+    try:
+        sums = pa.Table.from_batches(list(langid._counted(iter([batch])))).to_pandas()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sums[sums.bucket == -1].set_index("lang").n.to_dict() == {"de": 1000, "en": 1000}
+    assert peak < 130 << 20
