@@ -53,8 +53,10 @@ SUBTRIE = 1 << 15
 STEP = 2
 #: Rows that a task holds before it works on the whole parts among them.
 HELD = 20_000
+#: Leaves of a task, about.
+LEAVES_PER_TASK = 50_000
 
-_ITEM = "trie string, path string, leaf boolean, node binary, kind string, node_path string, children int, ref binary"
+_ITEM = "trie string, path string, leaf boolean, node binary, kind string, node_path string, children int, ref binary, level int"
 
 
 def _lengths(data: int, short: int, long_: int) -> bytes:
@@ -89,13 +91,39 @@ class _Part:
     """Whole sub-tries as sorted items (leaves, and branches that were made before), worked on together from the deepest fork up.
 
     hashes: False leaves all hashes out, for the structure alone. keep: collect rows for every node that is made.
+
+    A node has the place of its first item. Of a row, the forks (branches and extensions) below it at its place are noted;
+    those over each place are known when all are made, and their difference is the row's level.
     """
 
-    def __init__(self, hashes: bool, keep: bool) -> None:
+    def __init__(self, hashes: bool, keep: bool, items: int) -> None:
         self.hashes, self.keep = hashes, keep
         self.rows: list[tuple] = []
+        self.at: list[int] = []
+        self.below: list[int] = []
+        self.so_far = np.zeros(items, np.int32)
+        self.steps = np.zeros(items + 1, np.int32)
+
+    def _keep(self, rows: list[tuple], place: np.ndarray, end: np.ndarray | None = None) -> None:
+        """Collect rows; end: where forks' items end, None for leaves."""
+        self.rows += rows
+        self.at += place.tolist()
+        self.below += [0] * len(place) if end is None else (self.so_far[place] + 1).tolist()
+        if end is not None:
+            self.so_far[place] += 1
+            self.steps[place] += 1
+            self.steps[end] -= 1
+
+    def kept(self, trie: list[str], path: list[str], leaf: list[bool]) -> list[tuple]:
+        """The rows with their levels, counted from the part's top, and those of the part's own branches among the items (kind ``item``)."""
+        if not self.keep:
+            return []
+        over = np.cumsum(self.steps[:-1])
+        levels = (over[self.at] - np.array(self.below, np.int32)).tolist() if self.at else []
+        items = [(trie[i], path[i], False, None, "item", None, None, None, int(over[i])) for i, is_leaf in enumerate(leaf) if not is_leaf]
+        return [(*r, n) for r, n in zip(self.rows, levels, strict=True)] + items
 
-    def _as_children(self, trie: list[str], path: list[str], leaf: list[bool], node: list[bytes], at: list[int]) -> list[bytes]:
+    def _as_children(self, trie: list[str], path: list[str], leaf: list[bool], node: list[bytes], at: list[int], place: np.ndarray, end: np.ndarray) -> list[bytes]:
         """References of items as children of branches at depths at - 1 (their own path begins at ``at``)."""
         tails = [p[a:] for p, a in zip(path, at, strict=True)]
         if self.hashes:
@@ -107,11 +135,9 @@ class _Part:
             refs, longer = [b""] * len(path), [i for i, (t, is_leaf) in enumerate(zip(tails, leaf, strict=True)) if t and not is_leaf]
             extended = [b""] * len(longer)
         if self.keep:
-            for i, is_leaf in enumerate(leaf):
-                if is_leaf:
-                    self.rows.append((trie[i], path[i][: at[i]], True, None, "leaf", tails[i], 0, refs[i]))
-            for i, ref in zip(longer, extended, strict=True):
-                self.rows.append((trie[i], path[i][: at[i]], False, None, "extension", tails[i], 0, ref))
+            leaves = [i for i, is_leaf in enumerate(leaf) if is_leaf]
+            self._keep([(trie[i], path[i][: at[i]], True, None, "leaf", tails[i], 0, refs[i]) for i in leaves], place[leaves])
+            self._keep([(trie[i], path[i][: at[i]], False, None, "extension", tails[i], 0, ref) for i, ref in zip(longer, extended, strict=True)], place[longer], end[longer])
         for i, ref in zip(longer, extended, strict=True):
             refs[i] = ref
         return refs
@@ -127,13 +153,14 @@ class _Part:
         shared = np.where(group[1:] == group[:-1], np.minimum(equal.argmin(1), np.minimum(size[1:], size[:-1])), -1)
         left, right = np.concatenate([[-1], shared]), np.concatenate([shared, [-1]])
         alive = np.arange(n)
+        after = lambda: np.append(alive[1:], n)
         while len(alive) and (depth := max(left[alive].max(), right[alive].max())) >= 0:
             joined = right[alive] == depth  # with the item after it
             mine = joined | (left[alive] == depth)
             first = np.nonzero(mine & (left[alive] != depth))[0]
             ends = np.nonzero(mine & ~joined)[0]
-            own = alive[mine]
-            refs = self._as_children(trie_[own].tolist(), path_[own].tolist(), leaf_[own].tolist(), node_[own].tolist(), [depth + 1] * len(own))
+            own, end = alive[mine], after()
+            refs = self._as_children(trie_[own].tolist(), path_[own].tolist(), leaf_[own].tolist(), node_[own].tolist(), [depth + 1] * len(own), own, end[mine])
             nibbles = [int(p[depth], 16) for p in path_[own].tolist()]
             bounds = np.cumsum(ends - first + 1).tolist()
             made, masks = [], []
@@ -151,25 +178,29 @@ class _Part:
             prefixes = [p[:depth] for p in path_[at].tolist()]
             if self.keep:
                 own_refs = _references(made) if self.hashes else made
-                self.rows += [(t, p, False, None, "branch", "", m, r) for t, p, m, r in zip(trie_[at].tolist(), prefixes, masks, own_refs, strict=True)]
+                self._keep([(t, p, False, None, "branch", "", m, r) for t, p, m, r in zip(trie_[at].tolist(), prefixes, masks, own_refs, strict=True)], at, end[ends])
             path_[at], node_[at], leaf_[at] = prefixes, made, False
             right[at] = right[alive[ends]]
             gone = mine.copy()
             gone[first] = False
             alive = alive[~gone]
-        return [(trie_[i], path_[i], bool(leaf_[i]), node_[i], None, None, None, None) for i in alive]
+        self.tops_at = alive, after()
+        return [(trie_[i], path_[i], bool(leaf_[i]), node_[i], None, None, None, None, None) for i in alive]
 
     def tops(self, trie: list[str], path: list[str], leaf: list[bool], node: list[bytes]) -> list[tuple]:
         """Rows of kind ``root``: the hash of each whole trie."""
-        refs = self._as_children(trie, path, leaf, node, [0] * len(path))
+        refs = self._as_children(trie, path, leaf, node, [0] * len(path), *self.tops_at)
         if not self.hashes:
             return []
         whole = [_path_node(p, 2, _string(x)) if is_leaf else x if not p else _path_node(p, 0, r) for p, is_leaf, x, r in zip(path, leaf, node, _references([b"" if is_leaf else x for is_leaf, x in zip(leaf, node, strict=True)]), strict=True)]
-        return [(t, "", False, None, "root", "", 0, d) for t, d in zip(trie, keccak256_many(whole), strict=True)] if refs else []
+        return [(t, "", False, None, "root", "", 0, d, None) for t, d in zip(trie, keccak256_many(whole), strict=True)] if refs else []
 
 
-def _reduced(items: DataFrame, level: int, hashes: bool, keep: bool) -> DataFrame:
-    """items (trie, path, leaf, node) reduced to one for each (trie, first ``level`` nibbles); at level 0, to roots. keep: nodes as rows, too."""
+def _reduced(items: DataFrame, level: int, hashes: bool, keep: bool, tasks: int | None = None) -> DataFrame:
+    """items (trie, path, leaf, node) reduced to one for each (trie, first ``level`` nibbles); at level 0, to roots. keep: nodes as rows, too.
+
+    tasks: among how many the parts are dealt; Spark's own number is by bytes, of which hashing takes long.
+    """
     prefix = F.substr(F.col("path"), F.lit(1), F.lit(level))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,14 +208,13 @@ def _reduced(items: DataFrame, level: int, hashes: bool, keep: bool) -> DataFram
 
         def work(rows: list[tuple[str, str, bool, bytes]]) -> pa.RecordBatch:
             trie, path, leaf, node = (list(x) for x in zip(*rows, strict=True))
-            part = _Part(hashes, keep)
+            part = _Part(hashes, keep, len(rows))
             new = [i == 0 or trie[i] != trie[i - 1] or path[i][:level] != path[i - 1][:level] for i in range(len(rows))]
             out = part.reduce(np.cumsum(new), trie, path, leaf, node)
             if level == 0:
-                trie, path, leaf, node = (list(x) for x in zip(*[x[:4] for x in out], strict=True))
-                out = part.tops(trie, path, leaf, node)
-            kinds = (pa.string(), pa.string(), pa.bool_(), pa.binary(), pa.string(), pa.string(), pa.int32(), pa.binary())
-            rows = out + part.rows
+                out = part.tops(*(list(x) for x in zip(*[x[:4] for x in out], strict=True)))
+            kinds = (pa.string(), pa.string(), pa.bool_(), pa.binary(), pa.string(), pa.string(), pa.int32(), pa.binary(), pa.int32())
+            rows = out + part.kept(trie, path, leaf)
             columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in _ITEM.split(", ")])
 
@@ -201,7 +231,7 @@ def _reduced(items: DataFrame, level: int, hashes: bool, keep: bool) -> DataFram
         if held:
             yield work(held)
 
-    dealt = items.select("trie", "path", "leaf", "node").repartition(F.col("trie"), prefix).sortWithinPartitions("trie", "path")
+    dealt = items.select("trie", "path", "leaf", "node").repartition(*([tasks] if tasks else []), F.col("trie"), prefix).sortWithinPartitions("trie", "path")
     return dealt.mapInArrow(run, _ITEM)
 
 
@@ -225,29 +255,44 @@ def reduced(leaves: DataFrame, *, hashes: bool = True, keep: bool = False, subtr
     """((trie, root), nodes) of all tries among leaves (trie, path, value: the encoded leaf value), both stored.
 
     A task turns whole sub-tries of bounded size into one item each; the deepest parts go first, and theirs are items of
-    the parts above. Most tries are one part. nodes: (trie, path, kind, node_path, children, ref), with keep. Of one
-    (trie, path), leaves must have one row. Tries without leaves have no row.
+    the parts above. Most tries are one part. nodes: (trie, path, kind, node_path, children, ref, level: branches
+    and extensions above), with keep. Of one (trie, path), leaves must have one row. Tries without leaves have no row.
     """
-    dealt = _levels(stored(leaves.select("trie", "path", F.lit(True).alias("leaf"), F.col("value").alias("node")), "leaves"), subtrie)
+    all_leaves = stored(leaves.select("trie", "path", F.lit(True).alias("leaf"), F.col("value").alias("node")), "leaves")
+    tasks = 1 + all_leaves.count() // LEAVES_PER_TASK
+    dealt = _levels(all_leaves, subtrie)
     made: list[DataFrame] = []
     for level in range(max(dealt), -1, -STEP):
         pool = dealt[level]
         if made:
             pool = pool.unionByName(made[-1].where("kind is null").select(pool.columns))
-        made.append(stored(_reduced(pool, level, hashes, keep), "nodes"))
+        made.append(stored(_reduced(pool, level, hashes, keep, tasks), "nodes"))
     tops = made[-1].where("kind = 'root'").select("trie", F.col("ref").alias("root"))
-    nodes = reduce(DataFrame.unionByName, made).where("kind is not null and kind != 'root'").select("trie", "path", "kind", "node_path", "children", "ref") if keep else None
-    return tops, nodes
+    return tops, _leveled(made[::-1]) if keep else None
 
 
-def structure(keys: DataFrame, trie: str = "trie", path: str = "path") -> DataFrame:
-    """(trie, path, kind, node_path, children) of all nodes. children: mask of a branch's nibbles.
+def _leveled(made: list[DataFrame]) -> DataFrame:
+    """The nodes of parts, the topmost first, with levels counted from their trie's root: a part's top lies where the part above has it."""
+    out, above = [], None
+    for i, rows in enumerate(made):
+        if above is not None:
+            prefix = lambda: F.substr(F.col("path"), F.lit(1), F.lit(i * STEP))  # noqa: B023, E731
+            # one row a part: read back, so that it is known to be small
+            tops = stored(above.where("kind = 'item'").select(F.col("trie").alias("_t"), prefix().alias("_p"), F.col("level").alias("_top")), "tops")
+            rows = rows.where("kind is not null").join(tops, (F.col("trie") == F.col("_t")) & (prefix() == F.col("_p")), "left").withColumn("level", F.col("level") + F.col("_top"))
+        above = rows
+        out.append(rows.where("kind in ('leaf', 'branch', 'extension')").select("trie", "path", "kind", "node_path", "children", "ref", "level"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def structure(keys: DataFrame, trie: str = "trie", path: str = "path", levels: bool = False) -> DataFrame:
+    """(trie, path, kind, node_path, children[, level]) of all nodes. children: mask of a branch's nibbles.
 
     A leaf hangs one nibble below its deepest branch; a branch that is more than one nibble below the branch above it
     has an extension in between.
     """
     leaves = keys.select(F.col(trie).alias("trie"), F.col(path).alias("path")).distinct().withColumn("value", F.lit(b""))
-    return reduced(leaves, hashes=False, keep=True)[1].drop("ref").withColumnRenamed("trie", trie)
+    return reduced(leaves, hashes=False, keep=True)[1].drop("ref", *([] if levels else ["level"])).withColumnRenamed("trie", trie)
 
 
 def roots(leaves: DataFrame, with_nodes: bool = False) -> tuple[DataFrame, DataFrame | None]:
@@ -269,23 +314,12 @@ def visit(accounts: DataFrame, storage: DataFrame | None = None) -> DataFrame:
     nodes = reduced(account_leaves(accounts, storage_roots), keep=True)[1]
     nodes = nodes if inner is None else nodes.unionByName(inner)
     hashed = (F.octet_length("ref") == 33) & F.hex("ref").startswith("A0")
-    return leveled(nodes).select(
+    return nodes.select(
         (F.col("trie") != "").alias("is_storage"), F.col("trie").alias("account"), "path", "level", "kind", "node_path", "children",
         F.when(hashed, F.substr("ref", F.lit(2))).alias("hash"), F.when(~hashed, F.col("ref")).alias("encoded"),
     )
 
 
-def leveled(nodes: DataFrame) -> DataFrame:
-    """nodes (trie, path, kind, ...) with ``level``: the branches and extensions on the way from the root to each."""
-    forks = nodes.where("kind != 'leaf'").select(F.col("trie").alias("_t"), F.col("path").alias("_up"))
-    begins = nodes.select("trie", "path", "kind", F.explode(F.sequence(F.lit(0), F.length("path"))).alias("_n"))
-    begins = begins.select("trie", "path", "kind", F.substr(F.col("path"), F.lit(1), F.col("_n")).alias("_at"))
-    above = begins.join(forks, (F.col("trie") == F.col("_t")) & (F.col("_at") == F.col("_up"))).groupBy("trie", "path", "kind").agg(F.count(F.lit(1)).alias("_above"))
-    # nodes at the same path: a branch counts itself, an extension only itself, as its branch is deeper
-    own = F.when(F.col("kind") == "leaf", F.lit(0)).otherwise(F.lit(1))
-    return nodes.join(above, ["trie", "path", "kind"], "left").withColumn("level", F.coalesce("_above", F.lit(0)).cast("int") - own).drop("_above")
-
-
 def reduced_parts(leaves: DataFrame, level: int = STEP) -> DataFrame:
     """(trie, prefix, path, leaf, node): one stored item for each (trie, first nibbles). What ``updated_parts`` and ``roots_of_parts`` start from."""
     found = _reduced(leaves.select("trie", "path", F.lit(True).alias("leaf"), F.col("value").alias("node")), level, True, False)

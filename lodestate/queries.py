@@ -883,8 +883,8 @@ SELECT trie, kind, level, count(*) AS nodes FROM (SELECT n.trie, n.kind, n.path,
 )
 def trie_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How deep the nodes of two tries lie, counted in nodes."""
-    nodes = tries.structure(_two_tries(spark, sf_dir))
-    return tries.leveled(nodes).groupBy("trie", "kind", "level").agg(F.count(F.lit(1)).alias("nodes"))
+    nodes = tries.structure(_two_tries(spark, sf_dir), levels=True)
+    return nodes.groupBy("trie", "kind", "level").agg(F.count(F.lit(1)).alias("nodes"))
 
 
 @_query("""WITH a AS (SELECT count(*) AS n FROM customer), s AS (SELECT count(*) AS n, count(DISTINCT o_custkey) AS tries FROM orders)

@@ -465,3 +465,12 @@ def test_predecessors_of_repeated_values(spark):
 
 def _plans(plan):
     return [plan] + [x for i in range(plan.children().size()) for x in _plans(plan.children().apply(i))]
+
+
+@pytest.mark.parametrize("subtrie", [1 << 15, 30])
+def test_levels_of_nodes_come_with_the_parts(spark, leaves, subtrie):
+    table = spark.createDataFrame(leaves, "trie string, path string, value binary").repartition(3)
+    nodes = tries.reduced(table, keep=True, subtrie=subtrie)[1].collect()
+    forks = {(r.trie, r.path, r.kind) for r in nodes if r.kind != "leaf"}
+    up = lambda r: sum((r.trie, r.path[:n], k) in forks for n in range(len(r.path) + 1) for k in ("branch", "extension")) - (r.kind != "leaf")
+    assert len(nodes) > 400 and [r.level for r in nodes] == [up(r) for r in nodes]
